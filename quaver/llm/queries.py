@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaver.llm import bpe, fingerprints, mixing, sharding, topk
+from quaver.llm import bpe, fingerprints, mixing, sharding, simhash, topk
 from quaver.llm.common import table
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
 
@@ -35,7 +40,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_fingerprints, op6_bpe, op7_topk, op8_mixing, op10_sharding)}
+    return {f.__name__: f for f in (op3_simhash, op5_fingerprints, op6_bpe, op7_topk, op8_mixing, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
