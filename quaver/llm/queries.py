@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaver.llm import bpe, fingerprints, mixing, secrets, sharding, simhash, topk, toxicity
+from quaver.llm import bpe, fingerprints, mixing, quality, secrets, sharding, simhash, topk, toxicity
 from quaver.llm.common import table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), limit=20_000, threshold=0.3)
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
@@ -51,7 +55,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secrets, op3_simhash, op5_fingerprints, op6_bpe, op7_topk, op8_mixing, op9_toxicity, op10_sharding)}
+    return {f.__name__: f for f in (op1_quality, op2_secrets, op3_simhash, op5_fingerprints, op6_bpe, op7_topk, op8_mixing, op9_toxicity, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
