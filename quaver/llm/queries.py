@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaver.llm import bpe, fingerprints, mixing, quality, secrets, sharding, simhash, topk, toxicity
+from quaver.llm import bpe, fingerprints, mixing, quality, secrets, sharding, simhash, substrings, topk, toxicity
 from quaver.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeated_passages(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
 
@@ -55,7 +59,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_secrets, op3_simhash, op5_fingerprints, op6_bpe, op7_topk, op8_mixing, op9_toxicity, op10_sharding)}
+    return {f.__name__: f for f in (op1_quality, op2_secrets, op3_simhash, op4_substrings, op5_fingerprints, op6_bpe, op7_topk, op8_mixing, op9_toxicity, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
