@@ -1 +1,70 @@
-STAGES = []
+"""A training corpus from documents: toxic ones out, near-duplicates out, secrets masked, sources mixed, texts encoded."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quaver.llm import bpe, mixing, secrets, simhash, toxicity
+from quaver.llm.common import WORD, materialize, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go; it learns from the labelled ones."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), limit=20_000)
+    return toxicity.score_toxicity(docs, model, keep=COLUMNS).where("predicted = 0").select(*COLUMNS)
+
+
+def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near-duplicates the document with the smallest id stays (one row of it). Rows without id all stay."""
+    found = simhash.near_duplicates(docs)
+    keep = found.where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL")).select(*COLUMNS)
+
+
+def secrets_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every span found is replaced by <REDACTED>."""
+    found = secrets.find_secrets(docs, keep=("doc_id", "lang", "source"))
+    return found.select("doc_id", F.col("redacted").alias("text"), "lang", "source", F.length("redacted").cast("long").alias("n_chars"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them; where a source's target ends inside of one, its words up to there.
+
+    Rows of the same id and text are taken alike.
+    """
+    seed = 42
+    taken = mixing.mix(docs, seed=seed).groupBy("row_key").agg(F.max("size").alias("size"), F.max("first_pass").alias("first_pass"), F.max("second_pass").alias("second_pass"))
+    keyed = docs.withColumn("row_key", F.xxhash64(F.lit(seed), "doc_id", F.coalesce(F.col("text"), F.lit(""))))
+    passes = keyed.join(taken.where("first_pass > 0"), "row_key").withColumn("words", F.explode(F.filter(F.array("first_pass", "second_pass"), lambda n: n > 0)))
+    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("words").cast("int")), " ")
+    cut = passes.withColumn("text", F.when(F.col("words") < F.col("size"), part).otherwise(F.col("text")))
+    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, and the digest of what they decode to."""
+    import public_tokenizers
+
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"), out=("n_tokens", "ids", "ids_sha256", "decoded_sha256"))
+
+
+STAGES = [
+    ("toxicity", toxic_out),
+    ("simhash near-dedup", near_copies_out),
+    ("secret scans", secrets_masked),
+    ("mixing to target weights", mixed),
+    ("bpe encoding", encoded),
+]
+
+#: Fitted models and fingerprints are beyond SQL; tests/llm compares the stages with plain Python instead.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -139,15 +140,17 @@ def encoder(path: str) -> ForcedBoundaryBpe:
     return ForcedBoundaryBpe(path)
 
 
-def encode(docs: DataFrame, path: str, keep_ids: bool = True, digest: bool = False) -> DataFrame:
-    """Encode and decode whole texts: doc_id, n_tokens and, as asked for, ids and decoded, or ids_sha256 and decoded_sha256.
+KINDS = {"n_tokens": "long", "ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
+
+
+def encode(docs: DataFrame, path: str, out: tuple[str, ...] = ("n_tokens", "ids", "decoded")) -> DataFrame:
+    """Encode and decode whole texts: doc_id and the columns of KINDS in ``out``.
 
     Null texts count as empty: no ids, an empty decoded text. Rows are independent: repeated rows and ids, null ids and extra
     columns change nothing, and an empty table gives an empty result. ``path``: the tokenizer file, the same on all machines.
     """
     small_batches(docs.sparkSession)
-    names = ["doc_id", "n_tokens", *(["ids", "decoded"] if keep_ids else []), *(["ids_sha256", "decoded_sha256"] if digest else [])]
-    kinds = {"doc_id": "long", "n_tokens": "long", "ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
+    sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = encoder(path)
@@ -155,13 +158,17 @@ def encode(docs: DataFrame, path: str, keep_ids: bool = True, digest: bool = Fal
             rows = []
             for text in batch["text"]:
                 ids, said = bpe.encode(text)
-                back = bpe.decode(ids)
-                row = {"n_tokens": len(ids)}
-                if keep_ids:
-                    row |= {"ids": ids, "decoded": back}
-                if digest:
-                    row |= {"ids_sha256": hashlib.sha256(said.encode()).hexdigest(), "decoded_sha256": hashlib.sha256(back.encode()).hexdigest()}
-                rows.append(row)
-            yield pd.DataFrame(rows, columns=names[1:]).assign(doc_id=batch["doc_id"].astype("Int64").array)[names]
-
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, ", ".join(f"{n} {kinds[n]}" for n in names))
+                back = bpe.decode(ids) if "decoded" in out or "decoded_sha256" in out else None
+                made = {"n_tokens": len(ids), "decoded": back}
+                if "ids" in out:
+                    made["ids"] = np.array(ids, np.int32)
+                if "ids_sha256" in out:
+                    made["ids_sha256"] = sha(said)
+                if "decoded_sha256" in out:
+                    made["decoded_sha256"] = sha(back)
+                rows.append([made[c] for c in out])
+            frame = pd.DataFrame(rows, columns=list(out))
+            frame.insert(0, "doc_id", batch["doc_id"].astype("Int64").array)
+            yield frame
+
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, ", ".join(["doc_id long", *(f"{c} {KINDS[c]}" for c in out)]))

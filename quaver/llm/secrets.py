@@ -195,7 +195,7 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def find_secrets(docs: DataFrame, labelled: dict[str, list[str]] | None = None, least: float = 0.25, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Scan whole texts: ``keep`` columns, n_assign, n_access, n_hex, n_format, base_sha256, spans and redacted.
+    """Scan whole texts: ``keep`` columns, n_assign, n_access, n_hex, n_format, base_sha256, spans and redacted (null stays null).
 
     The automata are inferred on the driver from ``labelled`` (a few hundred strings of each format and of ``other`` tokens; see
     labelled_credentials) and score every run of 20 and more credential characters that no base rule matched.
@@ -209,16 +209,17 @@ def find_secrets(docs: DataFrame, labelled: dict[str, list[str]] | None = None,
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for text in b["_text"]:
+            for given in b["_text"]:
+                text = given or ""
                 base, spans = scan(text, scorer, least)
                 n = [sum(s[0] == k for s in spans) for k in KINDS]
-                rows.append((*n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), redact(text, spans)))
+                rows.append((*n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), None if given is None else redact(text, spans)))
             made = pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "n_format", "base_sha256", "spans", "redacted"])
             for i, f in enumerate(fields):
                 made.insert(i, f.name, b[f.name].astype("Int64").array if f.dataType.typeName() in ("long", "integer", "short", "byte") else b[f.name].array)
             yield made
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text")).mapInPandas(
+    return docs.select(*keep, F.col("text").alias("_text")).mapInPandas(
         run, f"{kept}, n_assign long, n_access long, n_hex long, n_format long, base_sha256 string, spans string, redacted string"
     )

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -181,27 +182,28 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[float,
     return float(beta[0]), float(beta[1])
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """Score whole texts: doc_id, held_out, score, predicted, passages (start and end token, score).
+def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Score whole texts: ``keep`` columns, held_out, score, predicted, passages (start and end token, score).
 
     Null and empty texts have no passages and the score of no evidence. Rows are independent: repeated rows, null ids (not held out) and
     extra columns change nothing; an empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
+    held = F.struct(*keep)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for text in b["text"]:
+            scores, passages = [], []
+            for text in b.column("text").to_pylist():
                 tokens = _TOKEN.findall(text.lower())
                 found = maximal_segments(model.token_scores(tokens))
-                out.append((model.probability(model.evidence(found, len(tokens))), [s for s in found if model.surprise(s[2], len(tokens)) > 3.0]))
-            made = pd.DataFrame(out, columns=["score", "passages"])
-            made["passages"] = [[{"start": a, "end": z, "score": s} for a, z, s in p] for p in made["passages"]]
-            made.insert(0, "doc_id", b["doc_id"].astype("Int64").array)
-            yield made
-
-    scored = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(
-        run, "doc_id long, score double, passages array<struct<start: long, end: long, score: double>>"
+                scores.append(model.probability(model.evidence(found, len(tokens))))
+                passages.append([{"start": a, "end": z, "score": s} for a, z, s in found if model.surprise(s, len(tokens)) > 3.0])
+            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
+            yield pa.RecordBatch.from_arrays([b.column("kept"), pa.array(scores, pa.float64()), pa.array(passages, kind)], ["kept", "score", "passages"])
+
+    kept = docs.select(held.alias("kept")).schema["kept"].dataType.simpleString()
+    scored = docs.select(held.alias("kept"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(
+        run, f"kept {kept}, score double, passages array<struct<start: bigint, end: bigint, score: double>>"
     )
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "passages")
+    return scored.select("kept.*", held_out(F.col("kept.doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "passages")
