@@ -176,13 +176,12 @@ def _stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = []
-        for x, y, text, lists in b[["a", "b", "text", "lists"]].itertuples(index=False, name=None):
+        for x, y, text, spans in b[["a", "b", "text", "spans"]].itertuples(index=False, name=None):
             words = split_words(text)
             edge = np.zeros(len(words) + 1, np.int64)
-            for spans in lists:
-                for s in spans:
-                    edge[s["lo"]] += 1
-                    edge[s["hi"]] -= 1
+            for s in spans:
+                edge[s["lo"]] += 1
+                edge[s["hi"]] -= 1
             kept = [w for w, gone in zip(words, np.cumsum(edge[:-1]) > 0, strict=True) if not gone]
             rows.append((int(x), int(y), len(words) - len(kept), _digest(kept), b" ".join(kept).decode("utf-8", "surrogatepass")))
         yield pd.DataFrame(rows, columns=["a", "b", "n_removed", "cut_sha256", "cut_text"])
@@ -235,7 +234,7 @@ def remove_repeated_passages(docs: DataFrame) -> DataFrame:
         "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("salt"), F.lit(0).alias("kind"), "doc_id", "a", F.lit(0).cast("long").alias("b"), "text"
     )
     dealt = phrases.unionByName(rows).repartition(partitions(spark), "shard", "salt").sortWithinPartitions("shard", "salt", "kind")
-    spans = dealt.mapInPandas(_stream, f"{KEY}, spans array<struct<lo: long, hi: long>>").groupBy("a", "b").agg(F.collect_list("spans").alias("lists"))
+    spans = dealt.mapInPandas(_stream, f"{KEY}, spans array<struct<lo: long, hi: long>>").groupBy("a", "b").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     once = some.select("a", "b", "text").dropDuplicates(["a", "b"])
     cut = spans.join(once, ["a", "b"]).mapInPandas(_cut, f"{KEY}, n_removed long, cut_sha256 string, cut_text string")
 
