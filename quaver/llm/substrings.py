@@ -18,8 +18,8 @@ WINDOW = 50
 GRAM = 20
 #: Words of a phrase in an automaton. Any window of a passage holds a whole one of the phrases that start each BLOCK words.
 BLOCK = 25
-#: Passage bytes for one automaton (about 50 times that in memory), and documents streamed through one copy of it.
-SHARD_BYTES, SHARD_DOCS = 1 << 20, 512
+#: Passage bytes for one automaton (some ten times that in memory), and documents streamed through one copy of it.
+SHARD_BYTES, SHARD_DOCS = 1 << 23, 2048
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -115,6 +115,11 @@ def _passages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["doc_id", "a", "text", "seeds"])
 
 
+def _letters(words: list[bytes]) -> tuple[int, ...]:
+    """The automata's letters: words as 32-bit hashes."""
+    return tuple(map(xxhash.xxh32_intdigest, words))
+
+
 class PhraseAutomaton:
     """An Aho-Corasick automaton over the phrases of passages, each of which belongs to the document that has it first."""
 
@@ -123,13 +128,14 @@ class PhraseAutomaton:
 
         self.first = [d for d, _ in passages]
         self.words = [split_words(t) for _, t in passages]
-        self.automaton = ahocorasick.Automaton()
-        places: dict[str, list[tuple[int, int]]] = {}
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        places: dict[tuple[int, ...], list[tuple[int, int]]] = {}
         for i, w in enumerate(self.words):
+            letters = _letters(w)
             for at in range(0, len(w) - BLOCK + 1, BLOCK):
-                places.setdefault(" " + b" ".join(w[at : at + BLOCK]).decode("utf-8", "surrogatepass") + " ", []).append((i, at))
+                places.setdefault(letters[at : at + BLOCK], []).append((i, at))
         for phrase, where in places.items():
-            self.automaton.add_word(phrase, (len(phrase), where))
+            self.automaton.add_word(phrase, where)
         if places:
             self.automaton.make_automaton()
         self.empty = not places
@@ -138,15 +144,15 @@ class PhraseAutomaton:
         """Word spans of all occurrences, of at least WINDOW words, of passages first seen in a smaller document."""
         if self.empty or len(words) < WINDOW:
             return []
-        said = [w.decode("utf-8", "surrogatepass") for w in words]
-        place = dict(zip(np.cumsum([0, *(len(w) + 1 for w in said)]).tolist(), range(len(said) + 1), strict=True))
         out, reached = [], {}
-        for end, (length, where) in self.automaton.iter(" " + " ".join(said) + " "):
-            i = place[end - length + 1]
+        for end, where in self.automaton.iter(_letters(words)):
+            i = end - BLOCK + 1
             for p, at in where:
                 if self.first[p] >= doc_id or reached.get((p, i - at), -1) >= i:
                     continue
                 other = self.words[p]
+                if words[i : i + BLOCK] != other[at : at + BLOCK]:
+                    continue  # other words of the same hashes
                 lo = 0
                 while lo < at and lo < i and words[i - lo - 1] == other[at - lo - 1]:
                     lo += 1
