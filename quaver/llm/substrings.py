@@ -85,7 +85,7 @@ def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for doc_id, x, y, text, wanted in b[["doc_id", "a", "b", "text", "wanted"]].itertuples(index=False, name=None):
             h = word_hashes(split_words(text))
             s, at = seeds(h)
-            at = at[np.isin(s, np.fromiter((r["seed"] for r in wanted), np.int64, len(wanted)).view(np.uint64))]
+            at = at[np.isin(s, np.asarray(wanted, np.int64).view(np.uint64))]
             n = len(h) - WINDOW + 1
             edge = np.zeros(n + 1, np.int64)
             np.add.at(edge, np.maximum(0, at + GRAM - WINDOW), 1)
@@ -96,22 +96,19 @@ def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _passages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The runs of recurring windows of the documents that have them first, with the rarest recurring seed of each window."""
+    """The runs of recurring windows of the documents that have them first, with the least seed of each window.
+
+    The least one is a seed of every text that holds the window; others may depend on the words around it.
+    """
     for b in batches:
         rows = []
-        for doc_id, x, text, wanted, starts in b[["doc_id", "a", "text", "wanted", "starts"]].itertuples(index=False, name=None):
+        for doc_id, x, text, starts in b[["doc_id", "a", "text", "starts"]].itertuples(index=False, name=None):
             words = split_words(text)
-            s, at = seeds(word_hashes(words))
-            s = s.view(np.int64)
-            texts = {r["seed"]: r["n"] for r in wanted}
-            common = np.array([texts.get(i, 0) for i in s.tolist()], np.int64)
-            s, at, common = s[common > 0], at[common > 0], common[common > 0]
+            least = _slide(run_hashes(word_hashes(words), GRAM), WINDOW - GRAM + 1, True).view(np.int64)
             starts = np.unique(np.asarray(starts, np.int64))
             for run in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
                 lo, hi = int(run[0]), int(run[-1]) + WINDOW
-                left, right = np.searchsorted(at, run), np.searchsorted(at, run + (WINDOW - GRAM), side="right")
-                rarest = {int(s[i + np.lexsort((s[i:j], common[i:j]))[0]]) for i, j in set(zip(left.tolist(), right.tolist(), strict=True))}
-                rows.append((int(doc_id), int(x), b" ".join(words[lo:hi]).decode("utf-8", "surrogatepass"), sorted(rarest)))
+                rows.append((int(doc_id), int(x), b" ".join(words[lo:hi]).decode("utf-8", "surrogatepass"), np.unique(least[run])))
         yield pd.DataFrame(rows, columns=["doc_id", "a", "text", "seeds"])
 
 
@@ -165,12 +162,28 @@ class PhraseAutomaton:
         return out
 
 
+def _fragments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The stretches of a document that windows with one of a shard's seeds can cover."""
+    for b in batches:
+        rows = []
+        for shard, salt, doc_id, x, y, text, mine in b[["shard", "salt", "doc_id", "a", "b", "text", "mine"]].itertuples(index=False, name=None):
+            words = split_words(text)
+            s, at = seeds(word_hashes(words))
+            at = at[np.isin(s.view(np.int64), np.asarray(mine, np.int64))]
+            lo, hi = np.maximum(0, at + GRAM - WINDOW), np.minimum(len(words), at + WINDOW)
+            new = np.flatnonzero(np.append(True, lo[1:] > hi[:-1])) if len(at) else []
+            for i, j in zip(new, [*new[1:], len(at)], strict=True):
+                part = b" ".join(words[lo[i] : hi[j - 1]]).decode("utf-8", "surrogatepass")
+                rows.append((int(shard), int(salt), 1, int(doc_id), int(x), int(y), int(lo[i]), part))
+        yield pd.DataFrame(rows, columns=["shard", "salt", "kind", "doc_id", "a", "b", "at", "text"])
+
+
 def _stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows of whole shards: first the passages, then the documents that may hold them."""
     at, passages, automaton = None, [], None
     for b in batches:
         rows = []
-        for shard, salt, kind, doc_id, x, y, text in b[["shard", "salt", "kind", "doc_id", "a", "b", "text"]].itertuples(index=False, name=None):
+        for shard, salt, kind, doc_id, x, y, start, text in b[["shard", "salt", "kind", "doc_id", "a", "b", "at", "text"]].itertuples(index=False, name=None):
             if (shard, salt) != at:
                 at, passages, automaton = (shard, salt), [], None
             if kind == 0:
@@ -180,7 +193,7 @@ def _stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 automaton, passages = PhraseAutomaton(passages), []
             found = automaton.spans(int(doc_id), split_words(text))
             if found:
-                rows.append((int(x), int(y), [{"lo": lo, "hi": hi} for lo, hi in sorted(set(found))]))
+                rows.append((int(x), int(y), [{"lo": start + lo, "hi": start + hi} for lo, hi in sorted(set(found))]))
         yield pd.DataFrame(rows, columns=["a", "b", "spans"])
 
 
@@ -207,8 +220,8 @@ def remove_repeated_passages(docs: DataFrame) -> DataFrame:
     Returns doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space) and kept_text (null where nothing
     was removed). Recurring seeds name the documents and windows worth confirming; windows found in two documents are
     confirmed by their hashes and merged into passages of the document that has them first; passages are compiled into
-    automata of bounded size. Each window of a passage names its rarest seed, and every document that holds one of a shard's seeds is
-    streamed through its automaton, hot shards in several copies. Matches are extended word by word, so spans are exact. Texts equal as a whole are handled once.
+    automata of bounded size. Each window of a passage names its least seed, and what windows with a shard's seeds cover
+    of any document is streamed through its automaton, hot shards in several copies. Matches are extended word by word, so spans are exact. Texts equal as a whole are handled once.
 
     Null and empty texts have no words. Documents without doc_id are neither changed nor compared. Rows that share a doc_id don't
     remove each other's words. Repeated rows get equal results; an empty table an empty one. Extra columns are ignored.
@@ -224,29 +237,31 @@ def remove_repeated_passages(docs: DataFrame) -> DataFrame:
     # seeds of different texts, and the texts that hold them
     distinct = materialize(known.where(F.size("seeds") > 0).groupBy("a", "b").agg(F.min("doc_id").alias("doc_id"), F.first("seeds").alias("seeds")))
     held = distinct.select("a", "b", "doc_id", F.explode("seeds").alias("seed"))
-    recurring = held.groupBy("seed").agg(F.min("a").alias("lo"), F.max("a").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("seed", "n")
+    recurring = held.groupBy("seed").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo < hi").select("seed")
     shared = materialize(held.join(recurring, "seed"))
-    wanted = shared.groupBy("a", "b", "doc_id").agg(F.collect_list(F.struct("seed", "n")).alias("wanted"))  # a text's own seeds
+    wanted = shared.groupBy("a", "b", "doc_id").agg(F.collect_list("seed").alias("wanted"))  # a text's own seeds
     some = materialize(keyed.join(wanted, ["a", "b", "doc_id"]))
 
+    once = some.select("a", "b", "text").dropDuplicates(["a", "b"])
+
     first = F.min(F.struct("doc_id", "a", "b", "start")).alias("first")
     windows = some.mapInPandas(_windows, f"w1 long, w2 long, doc_id long, {KEY}, start long").groupBy("w1", "w2").agg(first, F.max("doc_id").alias("last"))
     starts = windows.where("first.doc_id < last").groupBy("first.a", "first.b").agg(F.collect_list("first.start").alias("starts"))
-    passages = materialize(some.join(starts, ["a", "b"]).mapInPandas(_passages, "doc_id long, a long, text string, seeds array<long>"))
+    passages = materialize(some.drop("wanted").join(starts, ["a", "b"]).mapInPandas(_passages, "doc_id long, a long, text string, seeds array<long>"))
 
     size = passages.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shards = max(1, -(-size // SHARD_BYTES))
     placed = passages.withColumn("shard", F.pmod(F.xxhash64("doc_id", "a"), F.lit(shards)))
-    route = materialize(placed.select("shard", F.explode("seeds").alias("seed")).distinct().join(shared.drop("n"), "seed").select("shard", "a", "b", "doc_id").distinct())
+    route = materialize(placed.select("shard", F.explode("seeds").alias("seed")).distinct().join(shared, "seed").groupBy("shard", "a", "b", "doc_id").agg(F.collect_list("seed").alias("mine")))
     copies = route.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / SHARD_DOCS).alias("copies"))
-    streams = route.join(copies, "shard").select("shard", F.pmod(F.xxhash64("a", "b"), "copies").alias("salt"), F.lit(1).alias("kind"), "doc_id", "a", "b")
-    rows = streams.join(some.select("a", "b", "text"), ["a", "b"]).select("shard", "salt", "kind", "doc_id", "a", "b", "text")
+    streams = route.join(copies, "shard").select("shard", F.pmod(F.xxhash64("a", "b"), "copies").alias("salt"), "doc_id", "a", "b", "mine")
+    row = f"shard long, salt long, kind int, doc_id long, {KEY}, at long, text string"
+    rows = streams.join(once, ["a", "b"]).mapInPandas(_fragments, row)
     phrases = placed.join(copies, "shard").select(
-        "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("salt"), F.lit(0).alias("kind"), "doc_id", "a", F.lit(0).cast("long").alias("b"), "text"
+        "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("salt"), F.lit(0).alias("kind"), "doc_id", "a", F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("at"), "text"
     )
     dealt = phrases.unionByName(rows).repartition(partitions(spark), "shard", "salt").sortWithinPartitions("shard", "salt", "kind")
     spans = dealt.mapInPandas(_stream, f"{KEY}, spans array<struct<lo: long, hi: long>>").groupBy("a", "b").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    once = some.select("a", "b", "text").dropDuplicates(["a", "b"])
     cut = spans.join(once, ["a", "b"]).mapInPandas(_cut, f"{KEY}, n_removed long, cut_sha256 string, cut_text string")
 
     texts = firsts.withColumnRenamed("doc_id", "first_doc").join(cut, ["a", "b"], "left")
