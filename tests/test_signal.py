@@ -6,6 +6,7 @@ import pytest
 
 from quaver.functions import highpass, k_weighting, peaking, shelf
 from quaver.operators import measure as m
+import quaver.plans.dynamics  # registers its queries
 from quaver.plans.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
