@@ -58,17 +58,37 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_secrets, op3_simhash, op4_substrings, op5_fingerprints, op6_bpe, op7_topk, op8_mixing, op9_toxicity, op10_sharding)}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {
-        "op7_topk": """
+#: Every window of 50 words by its own text; words that a window covers whose text also starts in an earlier document go.
+_OP4 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+w AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM d),
+s AS (SELECT doc_id, p AS pos, md5(array_to_string(words[p:p + 49], ' ')) AS passage FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS p FROM d WHERE len(words) >= 50)),
+r AS (SELECT doc_id, pos, min(doc_id) OVER (PARTITION BY passage) < doc_id AS seen FROM s),
+c AS (SELECT w.doc_id, w.pos, word, coalesce(bool_or(seen) OVER (PARTITION BY w.doc_id ORDER BY w.pos ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), false) AS gone FROM w LEFT JOIN r USING (doc_id, pos)),
+k AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (WHERE NOT gone) AS kept FROM c GROUP BY 1)
+SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
+
+_OP7 = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS e FROM embeddings),
 scored AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
 ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored)
-SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10""",
-    }
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10"""
+
+#: The checksum byte by byte with the table of the reflected polynomial, itself made here by a rule.
+_OP10 = """
+WITH t AS (SELECT list(c ORDER BY n) AS crcs FROM (SELECT n, list_reduce(range(8), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, n) AS c FROM (SELECT unnest(range(256)) AS n))),
+b AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS bytes FROM documents),
+s AS (SELECT doc_id, CAST(size AS BIGINT) AS size, xor(list_reduce(bytes, lambda a, x: xor(a >> 8, crcs[(xor(a, x) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS text_crc32 FROM b, t),
+p AS (SELECT *, coalesce(sum(size) OVER (ORDER BY doc_id, size, text_crc32 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size // 2 AS middle, sum(size) OVER () AS total FROM s),
+c AS (SELECT *, CAST(least(39, middle * 40 // total) AS INTEGER) AS shard FROM p)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id, size, text_crc32) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM c"""
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in (op1_quality, op2_secrets, op3_simhash, op4_substrings, op5_fingerprints, op6_bpe, op7_topk, op8_mixing, op9_toxicity, op10_sharding)}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {"op4_substrings": _OP4, "op7_topk": _OP7, "op10_sharding": _OP10}

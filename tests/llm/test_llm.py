@@ -230,3 +230,18 @@ def test_held_out_accuracy(spark, name, label, least):
     sf = "/root/testdata/sf0.01"
     rows = queries()[name](spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
     assert np.mean([r["predicted"] == r[label] for r in rows]) >= least
+
+
+@pytest.mark.parametrize("name", ["op4_substrings", "op7_topk", "op10_sharding"])
+def test_query_matches_its_sql(spark, name):
+    import duckdb
+
+    from quaver.llm import queries
+
+    con, sf = duckdb.connect(), "/root/testdata/sf0.001"
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    got = queries.queries()[name](spark, sf)
+    cols = ", ".join(sorted(got.columns))
+    want = con.execute(f"SELECT {cols} FROM ({queries.oracle_sql()[name]})").fetchall()
+    assert want and sorted(map(repr, map(tuple, got.select(*sorted(got.columns)).collect()))) == sorted(map(repr, want))
