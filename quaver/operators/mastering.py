@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quaver.functions import highpass, k_weighting
+from quaver.functions import highpass, k_weighting, lowpass
 from quaver.operators.dynamics import keeps
 from quaver.operators.measure import biquad, folded
 
@@ -261,3 +261,62 @@ def shape_difference(pairs: DataFrame, keys: list[str]) -> DataFrame:
     flat = pairs.withColumn("d", F.col("b") - F.col("a")).withColumn("d", F.col("d") - F.avg("d").over(w))
     near = lambda f: F.coalesce(f("d").over(o), F.col("d"))
     return flat.select(*keys, "band", ((near(F.lag) + 2 * F.col("d") + near(F.lead)) / 4).alias("level"))
+
+
+#: A lane's filters as (kind, corner in Hz, quality).
+LANES = {
+    "bass": (("low", 120.0, 0.54), ("low", 120.0, 1.31)),
+    "vocal": (("high", 250.0, 0.707), ("low", 3500.0, 0.707)),
+    "air": (("low", 8000.0, 0.54), ("low", 8000.0, 1.31)),
+}
+
+
+def lane_stages(lane: str, fs: float) -> list[tuple[float, ...]]:
+    return [(lowpass if kind == "low" else highpass)(fs, f, q) for kind, f, q in LANES[lane]]
+
+
+def lane_gain(signal: DataFrame, lane: str, gain_db: float, fs: float) -> DataFrame:
+    """The signal with one stem lane raised: bass below its corner, vocal within a band of mid, air what its low-pass leaves out."""
+    stages, extra = lane_stages(lane, fs), 10 ** (gain_db / 20) - 1
+
+    def through(x: np.ndarray) -> np.ndarray:
+        y = x
+        for s in stages:
+            y = biquad(y, s)
+        return x - y if lane == "air" else y
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("idx")
+        left, right = pdf["l"].to_numpy(np.float64), pdf["r"].to_numpy(np.float64)
+        if lane == "vocal":
+            more = (through((left + right) / 2),) * 2
+        else:
+            more = (through(left), through(right))
+        return pdf.assign(l=left + extra * more[0], r=right + extra * more[1])
+
+    s = signal.select("track", "idx", "l", "r")
+    return s.groupBy("track").applyInPandas(run, s.schema)
+
+
+def framed(placed: DataFrame, size: int, hop: int) -> DataFrame:
+    """Overlapping frames of mono with a symmetric Hann window: track, col, x (array of ``size``). A last frame that isn't full is dropped.
+
+    ``placed``: track, i, l, r. Each sample names the at most size / hop frames it lies in, so frames are built by one
+    grouping with rows of a bounded length, and a long track is spread over many tasks.
+    """
+    first = F.greatest(F.floor((F.col("i") - size) / hop) + 1, F.lit(0))
+    cols = F.explode(F.sequence(first.cast("long"), F.floor(F.col("i") / hop).cast("long"))).alias("col")
+    at = (F.col("i") - F.col("col") * hop).cast("int")
+    hann = 0.5 - 0.5 * F.cos(at * F.lit(2 * math.pi / (size - 1)))
+    parts = placed.select("track", "i", ((F.col("l") + F.col("r")) / 2).alias("mono"), cols).select("track", "col", F.struct(at.alias("at"), (F.col("mono") * hann).alias("x")).alias("s"))
+    rows = parts.groupBy("track", "col").agg(F.array_sort(F.collect_list("s")).alias("s")).where(F.size("s") == size)
+    return rows.select("track", "col", F.transform("s", lambda s: s["x"]).alias("x"))
+
+
+def powers(frames: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """Power of each bin from 0 to size / 2 of the frames x: keys, k, power."""
+    bins = F.explode(F.sequence(F.lit(0), F.lit(size // 2))).alias("k")
+    turn = lambda i: F.lit(2 * math.pi / size) * ((F.col("k") * i) % size)
+    total = lambda f: F.aggregate(F.transform("x", lambda v, i: v * f(turn(i))), F.lit(0.0), lambda s, v: s + v)
+    both = frames.select(*keys, "x", bins).select(*keys, "k", total(F.cos).alias("re"), total(F.sin).alias("im"))
+    return both.select(*keys, F.col("k").cast("long").alias("k"), (F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("power"))

@@ -335,3 +335,34 @@ def stereo_cost(spark, d):
 def filename_template(spark, d):
     name = F.regexp_replace("c_name", r'[<>:"/\\|?*#\x00-\x1f]', "_")
     return read(spark, d, "customer").select("c_custkey", F.concat(F.lpad((F.col("c_custkey") % 100).cast("string"), 2, "0"), F.lit(" - "), name, F.lit(" ("), F.lower("c_mktsegment"), F.lit(").wav")).alias("s"))
+
+
+# --- stem lanes, and frames of long signals
+
+LANE_FS, LANE_DB = 48000, 3.0
+_EXTRA = LIT(10 ** (LANE_DB / 20) - 1)
+_MONO = EV.replace("sp AS (SELECT *,", "sp AS (SELECT *, (l + r) / 2 AS m,")
+
+
+def _lane_sql(lane: str) -> str:
+    by = ("m",) if lane == "vocal" else ("l", "r")
+    fl, fr = ("fs.fm", "fs.fm") if lane == "vocal" else ("fs.fl", "fs.fr") if lane == "bass" else ("(l - fs.fl)", "(r - fs.fr)")
+    return f"""SELECT * FROM (WITH RECURSIVE {_MONO}, {_chain(ma.lane_stages(lane, LANE_FS), by)}
+SELECT track, '{lane}' AS lane, round(sum(pow(l + {_EXTRA} * {fl}, 2) + pow(r + {_EXTRA} * {fr}, 2)), 4) + 0.0 AS energy FROM sp JOIN fs USING (track, i) GROUP BY 1)"""
+
+
+@query(" UNION ALL ".join(map(_lane_sql, ma.LANES)))
+def stem_lanes(spark, d):
+    energy = r4(F.sum(F.col("l") * F.col("l") + F.col("r") * F.col("r"))).alias("energy")
+    each = [ma.lane_gain(ev(spark, d), lane, LANE_DB, LANE_FS).groupBy("track").agg(energy).withColumn("lane", F.lit(lane)) for lane in ma.LANES]
+    return each[0].unionByName(each[1]).unionByName(each[2]).select("track", "lane", "energy")
+
+
+@query(f"""WITH {EV}, g AS (SELECT track, col, i - col * 32 AS j, (l + r) / 2 AS x FROM sp CROSS JOIN (SELECT unnest([0, 1]) AS back) JOIN (SELECT unnest(range((SELECT max(i) // 32 + 1 FROM sp))) AS col) ON col = i // 32 - back),
+f AS (SELECT *, count(*) OVER (PARTITION BY track, col) AS n FROM g),
+p AS (SELECT track, col, k, pow(sum(x * (0.5 - 0.5 * cos(2 * pi() * j / 63)) * cos(2 * pi() * k * j / 64)), 2) + pow(sum(x * (0.5 - 0.5 * cos(2 * pi() * j / 63)) * sin(2 * pi() * k * j / 64)), 2) AS power
+FROM f, (SELECT unnest(range(33)) AS k) WHERE n = 64 GROUP BY 1, 2, 3)
+SELECT track, CAST(col AS BIGINT) AS col, CAST(k AS BIGINT) AS k, round(power, 4) + 0.0 AS power FROM p""")
+def framed_spectrum(spark, d):
+    frames = ma.framed(positions(ev(spark, d)), 64, 32)
+    return ma.powers(frames, ["track", "col"], 64).select("track", "col", "k", r4(F.col("power")).alias("power"))

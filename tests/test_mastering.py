@@ -71,3 +71,21 @@ def test_equal_curves_need_no_gain(spark):
 
 def test_k_weighting_is_stable():
     assert all(abs(a2) < 1 and abs(a1) < 1 + a2 + 1e-9 for *_, a1, a2 in k_weighting())
+
+
+def test_lanes_without_gain_are_identity(spark):
+    s = tone(spark, 0.3, n=500)
+    want = s.orderBy("idx").toPandas()[["l", "r"]]
+    for lane in ma.LANES:
+        assert np.allclose(ma.lane_gain(s, lane, 0.0, 48000).orderBy("idx").toPandas()[["l", "r"]], want)
+
+
+def test_frames_and_powers_are_those_of_a_windowed_transform(spark):
+    x = np.random.default_rng(2).normal(size=250)
+    s = spark.createDataFrame([("t", i, float(v), float(v)) for i, v in enumerate(x)], "track string, i long, l double, r double")
+    got = {(r["col"], r["k"]): r["power"] for r in ma.powers(ma.framed(s, 64, 32), ["track", "col"], 64).collect()}
+    assert {c for c, _ in got} == set(range((250 - 64) // 32 + 1))
+    for c in {c for c, _ in got}:
+        want = np.abs(np.fft.rfft(x[c * 32 : c * 32 + 64] * np.hanning(64))) ** 2
+        assert np.allclose([got[c, k] for k in range(33)], want)
+    assert ma.framed(s.where("i < 50"), 64, 32).count() == 0
