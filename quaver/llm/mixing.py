@@ -108,11 +108,13 @@ def schedule(targets: DataFrame, block: int, chunk: int = 4096, cells: int = 102
     """The slots of the mix in order: slot, src, rank, pass, block, words.
 
     Golden-ratio points fall into the sources' intervals of [0, 1) by an equi-join on a grid of ``cells``. Ranks per source
-    come from counts per chunk of slots, so no source's slots meet in one task.
+    come from counts per chunk of slots, so no source's slots meet in one task. The sequence is bounded, so sources of a small
+    share can be short of slots after it; the slots that they still miss follow at its end.
     """
     spark = targets.sparkSession
     t = targets.where("target >= 1").withColumn("need", F.floor("target").cast("long"))
-    t = t.withColumn("blocks", F.ceil(F.col("source_size") / block)).withColumn("share", F.col("target") / F.sum("target").over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    t = t.withColumn("blocks", F.ceil(F.col("source_size") / block)).withColumn("needed", F.expr("need DIV source_size") * F.col("blocks") + F.ceil(F.col("need") % F.col("source_size") / block))
+    t = t.withColumn("share", F.col("target") / F.sum("target").over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
     t = t.withColumn("hi", F.sum("share").over(W.orderBy("src"))).withColumn("lo", F.coalesce(F.lag("hi").over(W.orderBy("src")), F.lit(0.0)))
     t = t.withColumn("hi", F.when(F.row_number().over(W.orderBy(F.desc("src"))) == 1, F.lit(1.0)).otherwise(F.col("hi")))
     # passes over a source end with a part block, so two passes take one slot more than words / block
@@ -121,10 +123,16 @@ def schedule(targets: DataFrame, block: int, chunk: int = 4096, cells: int = 102
     slots = spark.range(n).select(F.col("id").alias("slot"), (((F.col("id") % PERIOD) * GOLDEN) % (1 << 32) / F.lit(float(1 << 32))).alias("u")).withColumn("cell", F.floor(F.col("u") * cells))
     grid = t.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * cells), F.least(F.lit(cells - 1), F.floor(F.col("hi") * cells)))))
     drawn = slots.join(grid, "cell").where("u >= lo AND u < hi").select("slot", F.floor(F.col("slot") / chunk).alias("chunk"), "src", "need", "blocks", "source_size")
-    per_chunk = drawn.groupBy("src", "chunk").agg(F.count(F.lit(1)).alias("n"))
+    per_chunk = materialize(drawn.groupBy("src", "chunk").agg(F.count(F.lit(1)).alias("n")))
     before = per_chunk.withColumn("ranks_before", F.coalesce(F.sum("n").over(W.partitionBy("src").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
     ranked = drawn.withColumn("in_chunk", F.row_number().over(W.partitionBy("src", "chunk").orderBy("slot")) - 1).join(before, ["src", "chunk"])
-    ranked = ranked.withColumn("rank", F.col("in_chunk") + F.col("ranks_before")).withColumns(
+    ranked = ranked.withColumn("rank", F.col("in_chunk") + F.col("ranks_before")).select("slot", "src", "need", "blocks", "source_size", "rank")
+    short = t.join(per_chunk.groupBy("src").agg(F.sum("n").alias("got")), "src", "left").withColumn("got", F.coalesce("got", F.lit(0))).where("got < needed")
+    short = short.withColumn("slots_before", F.coalesce(F.sum(F.col("needed") - F.col("got")).over(W.orderBy("src").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    short = short.withColumn("from", F.explode(F.sequence("got", F.col("needed") - 1, F.lit(chunk).cast("long"))))
+    missing = short.withColumn("rank", F.explode(F.sequence("from", F.least(F.col("from") + chunk, "needed") - 1)))
+    missing = missing.withColumn("slot", F.col("slots_before") + F.col("rank") - F.col("got") + n)
+    ranked = ranked.unionByName(missing.select(*ranked.columns)).withColumns(
         {"pass": F.floor(F.col("rank") / F.col("blocks")), "block": F.col("rank") % F.col("blocks")}
     )
     length = F.least(F.lit(block), F.col("source_size") - F.col("block") * block)

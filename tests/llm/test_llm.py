@@ -97,6 +97,26 @@ def test_mix_meets_targets(edge):
         assert abs(sum(r["taken"] for r in mine) - target[s]) <= 1
 
 
+def test_mix_takes_a_tiny_source_among_large_ones(spark):
+    large = spark.range(30).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 200_000).alias("text"), F.lit("a").alias("source"))
+    tiny = spark.createDataFrame([(100, "one", "b"), (101, "some more", "c")], large.schema)
+    got = mixing.mix(large.unionByName(tiny), block_words=4096).groupBy("source").agg(F.max("target").alias("target"), F.sum("taken").alias("taken")).collect()
+    assert {r["source"] for r in got} == {"a", "b", "c"}
+    assert all(abs(r["taken"] - r["target"]) <= 1 for r in got)
+
+
+def test_schedule_has_every_slot(spark):
+    targets = [(0, 600_000_000, 999_000_000.0), (1, 100, 200.0), (2, 479, 700.0), (3, 5000, 9999.5)]
+    df = spark.createDataFrame(targets, "src int, source_size long, target double")
+    for chunk in (1, 4096):
+        small = mixing.schedule(df, 4096, chunk).where("src > 0").collect()
+        for src, size, target in targets[1:]:
+            blocks = [(p, b) for p in range(2) for b in range(-(-size // 4096))]
+            want = [(k, p, b, min(4096, size - b * 4096, int(target) - p * size - b * 4096)) for k, (p, b) in enumerate(blocks)]
+            assert sorted((r["rank"], r["pass"], r["block"], r["words"]) for r in small if r["src"] == src) == [w for w in want if w[3] > 0]
+        assert len({r["slot"] for r in small}) == len(small)
+
+
 def test_bpe_is_the_library(edge):
     import public_tokenizers
     from tokenizers import Tokenizer
