@@ -21,6 +21,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # of AKIA[A-Z0-9]+ those of 20 and mo
 HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_LEAST = 6
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{20,}")
+CANDIDATE_LEAST = 20
+#: Characters after which a credential may begin within a run, and before which it may end.
+JOINTS = "=/."
 KINDS = ("assign", "access", "hex", "format")
 
 
@@ -84,6 +87,7 @@ class Automaton:
         self.seen: list[dict[str, int]] = [{}]
         self.ends: list[int] = [0]
         self.total: list[int] = [0]
+        self._steps: dict[tuple[int, str], tuple[int, float]] = {}
         for e in examples:
             s = 0
             self.total[s] += 1
@@ -152,14 +156,24 @@ class Automaton:
                 else:
                     self.next[p][a] = self.next[q][a]
 
+    def step(self, state: int, symbol: str) -> tuple[int, float]:
+        """The next state and the symbol's log-likelihood; one never seen at a state has a small share, and the automaton stays where it is."""
+        found = self._steps.get((state, symbol))
+        if found is None:
+            share = (self.seen[state].get(symbol, 0) + 0.01) / (self.total[state] + 1)
+            found = self._steps[state, symbol] = (self.next[state].get(symbol, state), math.log(share))
+        return found
+
+    def ending(self, state: int) -> float:
+        return math.log((self.ends[state] + 0.01) / (self.total[state] + 1))
+
     def log_likelihood(self, text: str) -> float:
-        """Of the whole text; symbols never seen at a state have a small share, after which the automaton stays where it is."""
+        """Of the whole text."""
         s, out = 0, 0.0
         for i, c in enumerate(text):
-            a, n = _symbol(c, i), self.total[s]
-            out += math.log((self.seen[s].get(a, 0) + 0.01) / (n + 1))
-            s = self.next[s].get(a, s)
-        return out + math.log((self.ends[s] + 0.01) / (self.total[s] + 1))
+            s, more = self.step(s, _symbol(c, i))
+            out += more
+        return out + self.ending(s)
 
 
 class FormatScorer:
@@ -174,13 +188,93 @@ class FormatScorer:
         return (max(a.log_likelihood(token) for a in self.formats.values()) - self.other.log_likelihood(token)) / len(token)
 
 
+def best_parts(run: str, scorer: FormatScorer, least: float) -> list[tuple[int, int]]:
+    """The non-overlapping parts of ``run``, of CANDIDATE_LEAST and more characters, that score at least ``least``: those with the
+    greatest sum of (score - least) * length.
+
+    Parts begin and end at the run's ends and at JOINTS. A part's worth is a sum over its characters, so of the beginnings that
+    have brought a format's automaton and the other one into the same states only the best goes on; this loses nothing once
+    they are long enough, and the time grows with the run's length, not its square.
+    """
+    formats, other = list(scorer.formats.values()), scorer.other
+    total, last = [0.0] * (len(run) + 1), [None] * (len(run) + 1)  # best sum up to each position, and the part that ends there
+    young: list[tuple[int, list[int], list[float], int]] = []  # start, states and worth by format, other's state
+    old: dict[tuple[int, int, int], tuple[float, int]] = {}  # (format, its state, other's state): best sum, start
+    for i, c in enumerate(run):
+        if i == 0 or (run[i - 1] in JOINTS and c not in JOINTS):
+            young.append((i, [0] * len(formats), [total[i]] * len(formats), 0))
+        grown: dict[tuple[int, int, int], tuple[float, int]] = {}
+        class_ = _symbol(c, 4)
+        for (k, s, o), (v, start) in old.items():
+            s, up = formats[k].step(s, class_)
+            o, down = other.step(o, class_)
+            v += up - down - least
+            if (k, s, o) not in grown or v > grown[k, s, o][0]:
+                grown[k, s, o] = (v, start)
+        still = []
+        for start, states, worth, o in young:
+            a = _symbol(c, i - start)
+            o, down = other.step(o, a)
+            for k, f in enumerate(formats):
+                states[k], up = f.step(states[k], a)
+                worth[k] += up - down - least
+            if i + 1 - start < CANDIDATE_LEAST:
+                still.append((start, states, worth, o))
+                continue
+            for k, (s, v) in enumerate(zip(states, worth, strict=True)):
+                if (k, s, o) not in grown or v > grown[k, s, o][0]:
+                    grown[k, s, o] = (v, start)
+        young, old = still, grown
+        total[i + 1] = total[i]
+        if i + 1 == len(run) or run[i + 1] in JOINTS:
+            for (k, s, o), (v, start) in old.items():
+                v += formats[k].ending(s) - other.ending(o)
+                if v > total[i + 1] or (v == total[i + 1] and last[i + 1] is None):
+                    total[i + 1], last[i + 1] = v, start
+    out, i = [], len(run)
+    while i > 0:
+        if last[i] is None:
+            i -= 1
+        else:
+            out.append((last[i], i))
+            i = last[i]
+    return out[::-1]
+
+
+def rejoined(run: str, parts: list[tuple[int, int]], scorer: FormatScorer, least: float) -> list[tuple[int, int]]:
+    """``parts`` with those that one joint separates made one where the whole scores enough too, as for tokens with dots inside."""
+    out: list[tuple[int, int]] = []
+    for a, b in parts:
+        if out and a == out[-1][1] + 1 and scorer.score(run[out[-1][0] : b]) >= least:
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+    return out
+
+
 def scan(text: str, scorer: FormatScorer, least: float) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
-    """Base spans, and these with the candidates outside of them that score at least ``least``."""
+    """Base spans, and these with the best candidates outside of them that score at least ``least``."""
     base = base_spans(text)
-    more = []
+    more, k = [], 0
+    merged: list[list[int]] = []
+    for _, a, b in base:
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
     for m in CANDIDATE.finditer(text):
-        if not any(a < m.end() and m.start() < b for _, a, b in base) and scorer.score(m[0]) >= least:
-            more.append(("format", m.start(), m.end()))
+        while k < len(merged) and merged[k][1] <= m.start():
+            k += 1
+        at, j = m.start(), k
+        free = []
+        while j < len(merged) and merged[j][0] < m.end():
+            free.append((at, merged[j][0]))
+            at, j = max(at, merged[j][1]), j + 1
+        free.append((at, m.end()))
+        for a, b in free:
+            if b - a >= CANDIDATE_LEAST:
+                run = text[a:b]
+                more += [("format", a + x, a + y) for x, y in rejoined(run, best_parts(run, scorer, least), scorer, least)]
     return base, sorted(base + more, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
@@ -198,7 +292,7 @@ def find_secrets(docs: DataFrame, labelled: dict[str, list[str]] | None = None,
     """Scan whole texts: ``keep`` columns, n_assign, n_access, n_hex, n_format, base_sha256, spans and redacted (null stays null).
 
     The automata are inferred on the driver from ``labelled`` (a few hundred strings of each format and of ``other`` tokens; see
-    labelled_credentials) and score every run of 20 and more credential characters that no base rule matched.
+    labelled_credentials) and score every run of 20 and more credential characters that no base rule matched, and its parts (see best_parts).
     Null texts count as empty: no spans, the digest of the empty string. Rows are independent: repeated rows, null ids and
     extra columns change nothing; an empty table gives an empty result. Spans count code points, ends exclusive.
     """

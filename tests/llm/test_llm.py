@@ -225,6 +225,42 @@ def test_secret_spans():
     assert "AKIA" not in secrets.redact(text, spans) and secrets.redact("plain", []) == "plain"
 
 
+def test_glued_credentials_are_found():
+    scorer = secrets.FormatScorer(secrets.labelled_credentials())
+    fresh, seen = secrets.labelled_credentials(each=40, seed=11), []
+    before = ["GH_PAT=", "https://maps.example.com/v1/geocode?key=", "/etc/deploy/keys/", "cfg.prod.value=", "AKIA" + "Q7" * 8 + "/", "0af" * 9 + "="]
+    for kind in ("forge", "pay", "maps", "chat", "web"):
+        for i, made in enumerate(fresh[kind]):
+            text = f"set {before[i % len(before)]}{made}{('', '/', '.', '=x', '/notes.txt')[i % 5]} done"
+            spans = secrets.scan(text, scorer, 0.25)[1]
+            at = text.index(made)
+            # a hex or access match within the credential is masked as such
+            seen.append(all(any(a <= p < b for _, a, b in spans) for p in range(at, at + len(made))) and "set" in secrets.redact(text, spans))
+    assert np.mean(seen) > 0.95
+
+
+def test_tokens_with_dots_stay_whole():
+    scorer = secrets.FormatScorer(secrets.labelled_credentials())
+    fresh = secrets.labelled_credentials(each=200, seed=7)["web"]
+    assert np.mean([("format", 0, len(t)) in secrets.scan(t, scorer, 0.25)[1] for t in fresh]) > 0.95
+
+
+def test_parts_are_the_best_of_all():
+    scorer, r = secrets.FormatScorer(secrets.labelled_credentials()), random.Random(8)
+    made = [t for v in secrets.labelled_credentials(each=4, seed=9).values() for t in v if len(t) < 60]
+    for _ in range(60):
+        run = "".join(r.choice(["=", "/", ".", "a", "ab/c"]) + r.choice([*made, "x/y"]) for _ in range(r.randint(1, 3)))
+        starts = [i for i in range(len(run)) if i == 0 or (run[i - 1] in "=/." and run[i] not in "=/.")]
+        ends = [i for i in range(1, len(run) + 1) if i == len(run) or run[i] in "=/."]
+        parts = [(a, b, (scorer.score(run[a:b]) - 0.25) * (b - a)) for a in starts for b in ends if b - a >= 20]
+        best = [0.0] * (len(run) + 1)
+        for e in range(1, len(run) + 1):
+            best[e] = max([best[e - 1]] + [best[a] + w for a, b, w in parts if b == e and w >= 0])
+        got = secrets.best_parts(run, scorer, 0.25)
+        assert all(a[1] <= b[0] for a, b in zip(got, got[1:], strict=False)) and all(scorer.score(run[a:b]) >= 0.25 - 1e-9 for a, b in got)
+        assert sum((scorer.score(run[a:b]) - 0.25) * (b - a) for a, b in got) == pytest.approx(best[-1])
+
+
 def test_automaton_prefers_its_own_format():
     made, fresh = secrets.labelled_credentials(), secrets.labelled_credentials(seed=7)
     scorer = secrets.FormatScorer(made)
