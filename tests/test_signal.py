@@ -64,3 +64,21 @@ def test_query_matches_its_oracle(spark, name):
     b = sorted(map(str, ([show(v) for v in r] for r in want[cols].itertuples(index=False))))
     assert len(a) == len(b)
     assert sum(x != y for x, y in zip(a, b, strict=True)) <= len(a) // 500  # ties of rounding to three places
+
+
+def test_streamed_frames_are_served_from_files(spark):
+    got = QUERIES["meter_frames_streamed"](spark, "/root/testdata/sf0.001")
+    assert got.inputFiles()  # a memory sink has none: its rows are the driver's
+    want = QUERIES["meter_frames_batch"](spark, "/root/testdata/sf0.001")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
+
+
+def test_streamed_frames_over_several_batches(spark):
+    from quaver.streaming.meters import meter_frames, stream_frames
+
+    rows = [(t, i, float((i * 37) % 101 - 50), None if i % 5 == 0 else 1.0) for t in ("a", "b") for i in range(300)]
+    signal = spark.createDataFrame(rows, "track string, i long, l double, r double")
+    got = stream_frames(signal.repartition(4, "i"), files_per_batch=1)
+    want = meter_frames(signal.withColumnRenamed("i", "idx"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert stream_frames(signal.limit(0)).count() == 0
