@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,29 +16,47 @@ from quaver.sources import positions
 
 def biquad(x: np.ndarray, coefficients: tuple[float, ...]) -> np.ndarray:
     """Second-order filter in transposed direct form II; sequential by nature."""
+    return biquad_from(x, coefficients, (0.0, 0.0))[0]
+
+
+def biquad_from(x: np.ndarray, coefficients: tuple[float, ...], state: tuple[float, float]) -> tuple[np.ndarray, tuple[float, float]]:
+    """The same from the state that the samples before have left; also the state after."""
     b0, b1, b2, a1, a2 = coefficients
-    z1 = z2 = 0.0
+    z1, z2 = state
     out = np.empty(len(x))
     for i, v in enumerate(x.tolist()):
         y = b0 * v + z1
         z1, z2 = b1 * v - a1 * y + z2, b2 * v - a2 * y
         out[i] = y
-    return out
+    return out, (z1, z2)
 
 
-def filtered(signal: DataFrame, stages: list[tuple[float, ...]]) -> DataFrame:
-    """Both channels through a cascade of filters, track by track."""
+def stretches(batch: pd.DataFrame) -> Iterator[tuple[object, int, int]]:
+    """(track, start, end) of the runs of equal tracks in a batch of sorted rows; null tracks are one, as None."""
+    codes = pd.factorize(batch["track"])[0]
+    cuts = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(batch)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            yield (None if codes[a] < 0 else batch["track"].iloc[a]), a, b
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        for c in ("l", "r"):
-            x = pdf[c].to_numpy(np.float64)
-            for s in stages:
-                x = biquad(x, s)
-            pdf[c] = x
-        return pdf[["track", "idx", "l", "r"]]
-
-    return signal.select("track", "idx", "l", "r").groupBy("track").applyInPandas(run, signal.select("track", "idx", "l", "r").schema)
+
+def filtered(signal: DataFrame, stages: list[tuple[float, ...]]) -> DataFrame:
+    """Both channels through a cascade of filters, track by track: sorted rows in batches, with only the filters' state between them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, state = (), {}
+        for pdf in batches:
+            out = {c: pdf[c].to_numpy(np.float64, copy=True) for c in ("l", "r")}
+            for track, a, b in stretches(pdf):
+                if at != (track,):
+                    at, state = (track,), {(c, k): (0.0, 0.0) for c in out for k in range(len(stages))}
+                for c, x in out.items():
+                    for k, s in enumerate(stages):
+                        x[a:b], state[c, k] = biquad_from(x[a:b], s, state[c, k])
+            yield pdf.assign(**out)
+
+    rows = signal.select("track", "idx", "l", "r")
+    return rows.repartition("track").sortWithinPartitions("track", F.col("idx").asc_nulls_last()).mapInPandas(run, rows.schema)
 
 
 def hop_energy(signal: DataFrame, hop: int = 10) -> DataFrame:
