@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 from quaver.llm.common import materialize, partitions, small_batches
 
 WINDOW = 50
-#: Two texts that share a window share a seed: the least hash of GRAM words in each run of WINDOW - GRAM + 1 of them.
+#: The key of a window is the least hash of its runs of GRAM words. Equal windows have equal keys, whatever is around them.
 GRAM = 20
 #: Words of a phrase in an automaton. Any window of a passage holds a whole one of the phrases that start each BLOCK words.
 BLOCK = 25
-#: Passage bytes for one automaton (some ten times that in memory), and documents streamed through one copy of it.
-SHARD_BYTES, SHARD_DOCS = 1 << 23, 2048
+#: Bytes of text that one automaton is for (some ten times that in memory, at most), and rows handled at once by it.
+SHARD_BYTES, ROWS = 1 << 22, 1000
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -54,14 +54,9 @@ def _slide(x: np.ndarray, size: int, least: bool) -> np.ndarray:
     return out
 
 
-def seeds(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and places of the seeds of a text of at least WINDOW words."""
-    if len(hashes) < WINDOW:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h, w = run_hashes(hashes, GRAM), WINDOW - GRAM + 1
-    least = np.concatenate([np.zeros(w - 1, np.uint64), _slide(h, w, True), np.zeros(w - 1, np.uint64)])
-    at = np.flatnonzero(h == _slide(least, w, False))  # the least of some run
-    return h[at], at
+def window_keys(hashes: np.ndarray) -> np.ndarray:
+    """The key of each window of a text."""
+    return _slide(run_hashes(hashes, GRAM), WINDOW - GRAM + 1, True) if len(hashes) >= WINDOW else np.zeros(0, np.uint64)
 
 
 def _digest(words: list[bytes]) -> str:
@@ -73,128 +68,147 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for text in b["text"]:
             words = split_words(text)
-            found = np.unique(seeds(word_hashes(words))[0]) if len(words) >= WINDOW else np.zeros(0, np.uint64)
+            found = np.unique(window_keys(word_hashes(words))) if len(words) >= WINDOW else np.zeros(0, np.uint64)
             rows.append((len(words), _digest(words), found.view(np.int64)))
         made = pd.DataFrame(rows, columns=["n_words", "kept_sha256", "seeds"])
         yield made.assign(doc_id=b["doc_id"].astype("Int64").array, a=b["a"].array, b=b["b"].array)[["doc_id", "a", "b", "n_words", "kept_sha256", "seeds"]]
 
 
+def _stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What neighbouring windows of one recurring key cover: some 65 words, or all of a text that repeats itself."""
+    names = ["doc_id", "a", "b", "start", "seed", "c", "d", "text"]
+    for batch in batches:
+        rows = []
+        for doc_id, x, y, text, wanted in batch[["doc_id", "a", "b", "text", "wanted"]].itertuples(index=False, name=None):
+            words = split_words(text)
+            keys = window_keys(word_hashes(words))
+            edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
+            some = np.isin(keys[edges[:-1]].view(np.int64), np.asarray(wanted, np.int64))
+            for lo, hi in zip(edges[:-1][some].tolist(), edges[1:][some].tolist(), strict=True):
+                part = b" ".join(words[lo : hi + WINDOW - 1])
+                c, d = np.frombuffer(xxhash.xxh3_128_digest(part), "<i8").tolist()
+                rows.append((int(doc_id), int(x), int(y), lo, int(keys[lo].view(np.int64)), c, d, part.decode("utf-8", "surrogatepass")))
+                if len(rows) >= 5000:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+        yield pd.DataFrame(rows, columns=names)
+
+
+class _Texts:
+    """Several texts end to end: hashes of all words, and hashes of all windows with the text and place they start at."""
+
+    def __init__(self, texts: list[str]) -> None:
+        split = [split_words(t) for t in texts]
+        self.sizes = np.array([len(w) for w in split], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.hashes = word_hashes([w for words in split for w in words])
+        row = np.repeat(np.arange(len(split)), self.sizes)
+        at = np.arange(len(row)) - self.starts[row]
+        self.whole = np.flatnonzero(at + WINDOW <= self.sizes[row])  # where windows start
+        self.row, self.at = row[self.whole], at[self.whole]
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(run_hashes(self.hashes, WINDOW, odd)[self.whole].view(np.int64) for odd in _ODD)
+
+    def letters(self, separated: bool) -> list[int]:
+        """Words as letters of the automata, 31-bit numbers from 1; 0 stands between texts."""
+        out = (self.hashes % np.uint64((1 << 31) - 1)).astype(np.int64) + 1
+        return (np.insert(out, self.starts, 0) if separated else out).tolist()
+
+
 def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Hashes and starts of the windows that hold a recurring seed."""
+    """The distinct windows of each stretch."""
     for b in batches:
-        for doc_id, x, y, text, wanted in b[["doc_id", "a", "b", "text", "wanted"]].itertuples(index=False, name=None):
-            h = word_hashes(split_words(text))
-            s, at = seeds(h)
-            at = at[np.isin(s, np.asarray(wanted, np.int64).view(np.uint64))]
-            n = len(h) - WINDOW + 1
-            edge = np.zeros(n + 1, np.int64)
-            np.add.at(edge, np.maximum(0, at + GRAM - WINDOW), 1)
-            np.add.at(edge, np.minimum(n, at + 1), -1)
-            starts = np.flatnonzero(np.cumsum(edge[:n]) > 0)
-            keys = [run_hashes(h, WINDOW, odd)[starts].view(np.int64) for odd in _ODD]
-            yield pd.DataFrame({"w1": keys[0], "w2": keys[1], "doc_id": int(doc_id), "a": int(x), "b": int(y), "start": starts})
+        t = _Texts(b["text"].tolist())
+        w1, w2 = t.windows()
+        made = pd.DataFrame({"w1": w1, "w2": w2, "first": b["first"].to_numpy()[t.row], "last": b["last"].to_numpy()[t.row], "c": b["c"].to_numpy()[t.row], "d": b["d"].to_numpy()[t.row], "at": t.at})
+        yield made.drop_duplicates(["w1", "w2", "c", "d"])
 
 
 def _passages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The runs of recurring windows of the documents that have them first, with the least seed of each window.
-
-    The least one is a seed of every text that holds the window; others may depend on the words around it.
-    """
+    """The runs of recurring windows of the stretches that have them first."""
     for b in batches:
         rows = []
-        for doc_id, x, text, starts in b[["doc_id", "a", "text", "starts"]].itertuples(index=False, name=None):
+        for seed, first, text, starts in b[["seed", "first", "text", "starts"]].itertuples(index=False, name=None):
             words = split_words(text)
-            least = _slide(run_hashes(word_hashes(words), GRAM), WINDOW - GRAM + 1, True).view(np.int64)
             starts = np.unique(np.asarray(starts, np.int64))
             for run in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
-                lo, hi = int(run[0]), int(run[-1]) + WINDOW
-                rows.append((int(doc_id), int(x), b" ".join(words[lo:hi]).decode("utf-8", "surrogatepass"), np.unique(least[run])))
-        yield pd.DataFrame(rows, columns=["doc_id", "a", "text", "seeds"])
-
-
-def _letters(words: list[bytes]) -> tuple[int, ...]:
-    """The automata's letters: words as 32-bit hashes."""
-    return tuple(map(xxhash.xxh32_intdigest, words))
+                rows.append((int(seed), int(first), b" ".join(words[int(run[0]) : int(run[-1]) + WINDOW]).decode("utf-8", "surrogatepass")))
+        yield pd.DataFrame(rows, columns=["seed", "first", "text"])
 
 
 class PhraseAutomaton:
-    """An Aho-Corasick automaton over the phrases of passages, each of which belongs to the document that has it first."""
+    """An Aho-Corasick automaton over the phrases of passages, and the first document of each of their windows."""
 
     def __init__(self, passages: list[tuple[int, str]]) -> None:
         import ahocorasick
 
-        self.first = [d for d, _ in passages]
-        self.words = [split_words(t) for _, t in passages]
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        places: dict[tuple[int, ...], list[tuple[int, int]]] = {}
-        for i, w in enumerate(self.words):
-            letters = _letters(w)
-            for at in range(0, len(w) - BLOCK + 1, BLOCK):
-                places.setdefault(letters[at : at + BLOCK], []).append((i, at))
-        for phrase, where in places.items():
-            self.automaton.add_word(phrase, where)
-        if places:
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
+        self.first: dict[tuple[int, int], int] = {}
+        for at in range(0, len(passages), ROWS):
+            some = passages[at : at + ROWS]
+            t = _Texts([text for _, text in some])
+            letters = t.letters(separated=False)
+            for lo, n in zip(t.starts.tolist(), t.sizes.tolist(), strict=True):
+                for i in range(lo, lo + n - BLOCK + 1, BLOCK):
+                    self.automaton.add_word(tuple(letters[i : i + BLOCK]))
+            owners = np.array([doc for doc, _ in some], np.int64)[t.row].tolist()
+            for key, doc in zip(zip(*map(np.ndarray.tolist, t.windows()), strict=True), owners, strict=True):
+                if doc < self.first.get(key, doc + 1):
+                    self.first[key] = doc
+        if self.first:
             self.automaton.make_automaton()
-        self.empty = not places
-
-    def spans(self, doc_id: int, words: list[bytes]) -> list[tuple[int, int]]:
-        """Word spans of all occurrences, of at least WINDOW words, of passages first seen in a smaller document."""
-        if self.empty or len(words) < WINDOW:
-            return []
-        out, reached = [], {}
-        for end, where in self.automaton.iter(_letters(words)):
-            i = end - BLOCK + 1
-            for p, at in where:
-                if self.first[p] >= doc_id or reached.get((p, i - at), -1) >= i:
-                    continue
-                other = self.words[p]
-                if words[i : i + BLOCK] != other[at : at + BLOCK]:
-                    continue  # other words of the same hashes
-                lo = 0
-                while lo < at and lo < i and words[i - lo - 1] == other[at - lo - 1]:
-                    lo += 1
-                hi = BLOCK
-                while at + hi < len(other) and i + hi < len(words) and words[i + hi] == other[at + hi]:
-                    hi += 1
-                reached[p, i - at] = i + hi - 1
-                if lo + hi >= WINDOW:
-                    out.append((i - lo, i + hi))
-        return out
-
 
-def _fragments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The stretches of a document that windows with one of a shard's seeds can cover."""
-    for b in batches:
-        rows = []
-        for shard, salt, doc_id, x, y, text, mine in b[["shard", "salt", "doc_id", "a", "b", "text", "mine"]].itertuples(index=False, name=None):
-            words = split_words(text)
-            s, at = seeds(word_hashes(words))
-            at = at[np.isin(s.view(np.int64), np.asarray(mine, np.int64))]
-            lo, hi = np.maximum(0, at + GRAM - WINDOW), np.minimum(len(words), at + WINDOW)
-            new = np.flatnonzero(np.append(True, lo[1:] > hi[:-1])) if len(at) else []
-            for i, j in zip(new, [*new[1:], len(at)], strict=True):
-                part = b" ".join(words[lo[i] : hi[j - 1]]).decode("utf-8", "surrogatepass")
-                rows.append((int(shard), int(salt), 1, int(doc_id), int(x), int(y), int(lo[i]), part))
-        yield pd.DataFrame(rows, columns=["shard", "salt", "kind", "doc_id", "a", "b", "at", "text"])
+    def spans(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
+        """(lo, hi, first) for each text: its words from lo to hi are covered by windows that start first in document ``first``.
+
+        The automaton finds the phrases; the windows that hold one are looked up. Time grows with the texts' length alone.
+        """
+        out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+        t = _Texts(texts)
+        if not self.first or not len(t.whole):
+            return out
+        ends = np.array([end for end, _ in self.automaton.iter(tuple(t.letters(separated=True)))], np.int64)
+        if not len(ends):
+            return out
+        ends -= np.searchsorted(t.starts + np.arange(1, len(texts) + 1), ends, "right")  # without the separators
+        edge = np.zeros(len(t.hashes) + 1, np.int64)
+        np.add.at(edge, np.maximum(0, ends + 1 - WINDOW), 1)  # the windows that hold the phrase, crossing ones included
+        np.add.at(edge, ends - BLOCK + 2, -1)
+        near = np.flatnonzero(np.cumsum(edge)[t.whole] > 0)
+        w1, w2 = t.windows()
+        get = self.first.get
+        owner = [get(k, -1) for k in zip(w1[near].tolist(), w2[near].tolist(), strict=True)]
+        row, at, has = t.row[near], t.at[near], np.array([o != -1 for o in owner], bool)
+        previous = None
+        for i in np.flatnonzero(has).tolist():
+            r, a, o = int(row[i]), int(at[i]), owner[i]
+            if previous == (r, a - 1, o):
+                lo, _, _ = out[r][-1]
+                out[r][-1] = (lo, a + WINDOW, o)
+            else:
+                out[r].append((a, a + WINDOW, o))
+            previous = (r, a, o)
+        return out
 
 
 def _stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of whole shards: first the passages, then the documents that may hold them."""
+    """Rows of whole shards: first the passages, then the stretches that may hold them."""
     at, passages, automaton = None, [], None
     for b in batches:
-        rows = []
-        for shard, salt, kind, doc_id, x, y, start, text in b[["shard", "salt", "kind", "doc_id", "a", "b", "at", "text"]].itertuples(index=False, name=None):
+        for (shard, salt), part in b.groupby(["shard", "salt"], sort=False):
             if (shard, salt) != at:
                 at, passages, automaton = (shard, salt), [], None
-            if kind == 0:
-                passages.append((int(doc_id), text))
+            known = part["kind"].to_numpy() == 0
+            passages += zip(part["c"].to_numpy()[known].tolist(), part["text"].to_numpy()[known].tolist(), strict=True)
+            if known.all():
                 continue
             if automaton is None:
                 automaton, passages = PhraseAutomaton(passages), []
-            found = automaton.spans(int(doc_id), split_words(text))
-            if found:
-                rows.append((int(x), int(y), [{"lo": start + lo, "hi": start + hi} for lo, hi in sorted(set(found))]))
-        yield pd.DataFrame(rows, columns=["a", "b", "spans"])
+            streamed = part[~known]
+            found = automaton.spans(streamed["text"].tolist())
+            rows = [(c, d, [{"lo": lo, "hi": hi, "first": o} for lo, hi, o in f]) for c, d, f in zip(streamed["c"], streamed["d"], found, strict=True) if f]
+            yield pd.DataFrame(rows, columns=["c", "d", "found"])
 
 
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -218,13 +232,14 @@ def remove_repeated_passages(docs: DataFrame) -> DataFrame:
     """Remove words covered by a window of 50 words that also starts in a document of smaller doc_id.
 
     Returns doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space) and kept_text (null where nothing
-    was removed). Recurring seeds name the documents and windows worth confirming; windows found in two documents are
-    confirmed by their hashes and merged into passages of the document that has them first; passages are compiled into
-    automata of bounded size. Each window of a passage names its least seed, and what windows with a shard's seeds cover
-    of any document is streamed through its automaton, hot shards in several copies. Matches are extended word by word, so spans are exact. Texts equal as a whole are handled once.
+    was removed). A window's key depends on its words alone, so only windows whose key recurs in another text can recur. What
+    neighbouring windows of one key cover is a stretch; equal stretches are handled once. Windows found in two documents are
+    confirmed by their hashes and merged into passages, which are compiled into automata, sharded by key. Every stretch is streamed
+    through the automaton of its key, hot shards in several copies. Texts equal as a whole are handled once.
 
     Null and empty texts have no words. Documents without doc_id are neither changed nor compared. Rows that share a doc_id don't
     remove each other's words. Repeated rows get equal results; an empty table an empty one. Extra columns are ignored.
+    Time and memory grow with a text's length, also where it repeats one word.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -234,34 +249,35 @@ def remove_repeated_passages(docs: DataFrame) -> DataFrame:
     known = scanned.where("doc_id IS NOT NULL")
     firsts = known.groupBy("a", "b").agg(F.min("doc_id").alias("doc_id"))
 
-    # seeds of different texts, and the texts that hold them
+    # keys of different texts, and the texts that hold them
     distinct = materialize(known.where(F.size("seeds") > 0).groupBy("a", "b").agg(F.min("doc_id").alias("doc_id"), F.first("seeds").alias("seeds")))
     held = distinct.select("a", "b", "doc_id", F.explode("seeds").alias("seed"))
     recurring = held.groupBy("seed").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo < hi").select("seed")
-    shared = materialize(held.join(recurring, "seed"))
-    wanted = shared.groupBy("a", "b", "doc_id").agg(F.collect_list("seed").alias("wanted"))  # a text's own seeds
+    wanted = held.join(recurring, "seed").groupBy("a", "b", "doc_id").agg(F.collect_list("seed").alias("wanted"))  # a text's own keys
     some = materialize(keyed.join(wanted, ["a", "b", "doc_id"]))
-
-    once = some.select("a", "b", "text").dropDuplicates(["a", "b"])
-
-    first = F.min(F.struct("doc_id", "a", "b", "start")).alias("first")
-    windows = some.mapInPandas(_windows, f"w1 long, w2 long, doc_id long, {KEY}, start long").groupBy("w1", "w2").agg(first, F.max("doc_id").alias("last"))
-    starts = windows.where("first.doc_id < last").groupBy("first.a", "first.b").agg(F.collect_list("first.start").alias("starts"))
-    passages = materialize(some.drop("wanted").join(starts, ["a", "b"]).mapInPandas(_passages, "doc_id long, a long, text string, seeds array<long>"))
-
-    size = passages.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    shards = max(1, -(-size // SHARD_BYTES))
-    placed = passages.withColumn("shard", F.pmod(F.xxhash64("doc_id", "a"), F.lit(shards)))
-    route = materialize(placed.select("shard", F.explode("seeds").alias("seed")).distinct().join(shared, "seed").groupBy("shard", "a", "b", "doc_id").agg(F.collect_list("seed").alias("mine")))
-    copies = route.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / SHARD_DOCS).alias("copies"))
-    streams = route.join(copies, "shard").select("shard", F.pmod(F.xxhash64("a", "b"), "copies").alias("salt"), "doc_id", "a", "b", "mine")
-    row = f"shard long, salt long, kind int, doc_id long, {KEY}, at long, text string"
-    rows = streams.join(once, ["a", "b"]).mapInPandas(_fragments, row)
-    phrases = placed.join(copies, "shard").select(
-        "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("salt"), F.lit(0).alias("kind"), "doc_id", "a", F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("at"), "text"
+    row = f"doc_id long, {KEY}, start long, seed long, c long, d long, text string"
+    stretches = materialize(some.mapInPandas(_stretches, row))
+    each = materialize(stretches.groupBy("c", "d").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.first("seed").alias("seed"), F.first("text").alias("text")))
+
+    windows = each.mapInPandas(_windows, "w1 long, w2 long, first long, last long, c long, d long, at long")
+    place = F.min(F.struct("first", "c", "d", "at")).alias("place")
+    recurs = windows.groupBy("w1", "w2").agg(place, F.max("last").alias("last")).where("place.first < last")
+    starts = recurs.groupBy("place.c", "place.d").agg(F.collect_list("place.at").alias("starts"))  # within one stretch
+    passages = materialize(each.join(starts, ["c", "d"]).mapInPandas(_passages, "seed long, first long, text string"))
+
+    size = each.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    shard = F.pmod(F.xxhash64("seed"), F.lit(max(1, -(-size // SHARD_BYTES)))).alias("shard")
+    copies = each.groupBy(shard).agg(F.ceil(F.sum(F.octet_length("text")) / (2 * SHARD_BYTES)).alias("copies"))
+    streams = each.withColumn("shard", shard).join(copies, "shard").select("shard", F.pmod(F.xxhash64("c", "d"), "copies").alias("salt"), F.lit(1).alias("kind"), "c", "d", "text")
+    phrases = passages.withColumn("shard", shard).join(copies, "shard").select(
+        "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("first").alias("c"), F.lit(0).cast("long").alias("d"), "text"
     )
-    dealt = phrases.unionByName(rows).repartition(partitions(spark), "shard", "salt").sortWithinPartitions("shard", "salt", "kind")
-    spans = dealt.mapInPandas(_stream, f"{KEY}, spans array<struct<lo: long, hi: long>>").groupBy("a", "b").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    dealt = phrases.unionByName(streams).repartition(partitions(spark), "shard", "salt").sortWithinPartitions("shard", "salt", "kind")
+    found = dealt.mapInPandas(_stream, "c long, d long, found array<struct<lo: long, hi: long, first: long>>")
+    earlier = F.filter("found", lambda s: s["first"] < F.col("doc_id"))
+    placed = stretches.select("doc_id", "a", "b", "start", "c", "d").join(found, ["c", "d"]).withColumn("spans", F.transform(earlier, lambda s: F.struct((s["lo"] + F.col("start")).alias("lo"), (s["hi"] + F.col("start")).alias("hi"))))
+    spans = placed.where(F.size("spans") > 0).groupBy("a", "b").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    once = some.select("a", "b", "text").dropDuplicates(["a", "b"])
     cut = spans.join(once, ["a", "b"]).mapInPandas(_cut, f"{KEY}, n_removed long, cut_sha256 string, cut_text string")
 
     texts = firsts.withColumnRenamed("doc_id", "first_doc").join(cut, ["a", "b"], "left")
