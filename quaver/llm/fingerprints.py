@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from quaver.llm.common import partitions, search, small_batches
 
-#: Lanes that decide equality (sums modulo 2**64) and lanes that also tell likeness (sums modulo 2**16).
+#: Lanes that decide equality (sums modulo 2**64) and lanes that also tell likeness (sums modulo 2**32).
 WIDE, NEAR = 8, 128
 SHINGLE = 3
-_HALF = np.int64(1 << 15)
+_TURN, _HALF = 1 << 32, 1 << 31
 
 
 def _near_lanes(paragraph: bytes) -> np.ndarray:
@@ -56,21 +56,21 @@ class Fingerprint:
     def add(self, paragraph: str) -> None:
         data = paragraph.encode("utf-8", "surrogatepass")
         self.wide += np.frombuffer(hashlib.blake2b(data, digest_size=8 * WIDE).digest(), "<u8")
-        self.near = (self.near + _near_lanes(data)) % (1 << 16)
+        self.near = (self.near + _near_lanes(data)) % _TURN
 
     def remove(self, paragraph: str) -> None:
         data = paragraph.encode("utf-8", "surrogatepass")
         self.wide -= np.frombuffer(hashlib.blake2b(data, digest_size=8 * WIDE).digest(), "<u8")
-        self.near = (self.near - _near_lanes(data)) % (1 << 16)
+        self.near = (self.near - _near_lanes(data)) % _TURN
 
     def hex(self) -> str:
-        return self.wide.astype("<u8").tobytes().hex() + self.near.astype("<u2").tobytes().hex()
+        return self.wide.astype("<u8").tobytes().hex() + self.near.astype("<u4").tobytes().hex()
 
     def likeness(self, other: Fingerprint) -> float:
         """1 for equal fingerprints, else the cosine of the centred likeness lanes, cut off at 0."""
         if (self.wide == other.wide).all() and (self.near == other.near).all():
             return 1.0
-        a, b = (((x.near + _HALF) % (1 << 16) - _HALF).astype(np.float64) for x in (self, other))
+        a, b = (((x.near + _HALF) % _TURN - _HALF).astype(np.float64) for x in (self, other))
         norm = float(np.sqrt((a @ a) * (b @ b)))
         return min(1.0, max(0.0, float(a @ b) / norm)) if norm else 0.0
 
@@ -99,12 +99,13 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """Fingerprint each document and its edit with the next document by ascending doc_id (the last: the first).
 
     A fingerprint is the sum over the text's paragraphs (split at line feeds) of wide vectors: 8 lanes of 64 bits of BLAKE2b
-    modulo 2**64 for equality, and 128 lanes modulo 2**16 of +-1 per 3-word shingle, whose cosine is the likeness. It does not
+    modulo 2**64 for equality, and 128 lanes modulo 2**32 of +-1 per 3-word shingle, whose cosine is the likeness. It does not
     depend on the order of paragraphs, and edits add and subtract only the paragraphs they touch.
 
     Null texts count as empty (near 1 to other empty texts, 0 to others); null ids come last; ties in doc_id are ordered by text;
     a single document is its own next; an empty table gives an empty result; extra columns are ignored.
-    The texts are shuffled once, in ranges of doc_id; the first document of each range goes to the range before as well.
+    Rows that share an id, or have none, are in one range. Very long texts: 16,384 shingles at a time. Likeness is right for texts of
+    fewer than 2**31 shingles. The texts are shuffled once, in ranges of doc_id; the first document of each range goes to the range before as well.
     """
     spark = docs.sparkSession
     small_batches(spark)
