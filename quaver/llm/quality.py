@@ -184,12 +184,14 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", li
 
     Only the sample's statistics reach the driver. The rules become one expression over the statistics of each whole text.
     Null texts count as empty ones; both get a score. Repeated rows are scored alike; null ids are not held out; an empty
-    table gives an empty result; without labels of both kinds the score is a constant. Extra columns are ignored.
+    table gives an empty result; without labels of both kinds the score is a constant. Extra columns are ignored. Very long texts:
+    a text's words and pairs of words are counted in memory, in proportion to its length.
     """
     stats = materialize(text_statistics(docs))
     rows = training_rows(labels, label, limit)
     # of repeated ids one row is learned from, so that the sample stays within its bound
-    sample = stats.join(F.broadcast(rows), "doc_id").groupBy("doc_id").agg(*[F.first(c).alias(c) for c in (*STATISTICS, "label")]).orderBy("doc_id").toPandas()
+    one = F.min(F.struct(*STATISTICS, "label")).alias("one")
+    sample = stats.join(F.broadcast(rows), "doc_id").groupBy("doc_id").agg(one).select("doc_id", "one.*").orderBy("doc_id").toPandas()
     model = fit_rules(sample[list(STATISTICS)].to_numpy(np.float64), sample["label"].to_numpy(np.float64))
     scored = stats.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.column().alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
