@@ -38,29 +38,29 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
     return filled.withColumn("level", level).select("source", "src", "source_size", F.coalesce(F.least("cap", F.col("level") * F.col("weight")), F.col("cap")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 42, block_words: int | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 42, block_words: int = 4096) -> DataFrame:
     """How often the mix takes each document: doc_id, row_key, size, source, source_size, target, taken, first_pass, second_pass.
 
-    Each source's documents are laid end to end in an order shuffled by a hash and cut into blocks of ``block_words``
-    words (by default a millionth of all words, within 16 and 4096). Slots follow the golden-ratio sequence mapped through the
+    Each source's documents are laid end to end in the order of a hash and cut into blocks of ``block_words`` words. Which
+    documents are taken depends on that hash (``seed``), on the targets and, for the interleaving of sources, on ``block_words``. Slots follow the golden-ratio sequence mapped through the
     cumulative targets; the k-th slot of a source takes its block k modulo its number of blocks, until the source's
     target is met, the last block in part. ``taken`` counts a document's words in all taken blocks; repeats count.
 
     Null texts and texts without words have size 0 and are taken 0 times. Null sources form one source, the last. Repeated
     rows and ids are separate documents; row_key tells documents apart by id and content. An empty table gives an empty result. Extra columns are ignored.
-    Documents are dealt by (source, hash), so a source with a third of all rows is spread over all tasks.
+    Documents are dealt by (source, range of the hash), so a source with a third of all rows is spread over all tasks. Only tables of
+    sources (offsets, targets, shares) meet in one task, not documents. Very long texts are counted as a whole, and span many blocks.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     base = materialize(
         docs.select("doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(F.lit(seed), "doc_id", text).alias("h"))
     )
-    n_rows, words = base.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
-    buckets = max(16, n_rows // 20_000)
-    block = block_words or min(4096, max(16, words // 1_000_000))
+    buckets, block = max(256, base.count() // 5000), block_words
 
     # per (source, bucket) totals, then offsets of buckets within their source
-    base = base.withColumn("bucket", F.pmod(F.shiftright("h", 20), F.lit(buckets)))
+    # buckets are ranges of the hash, so the order of documents is that of the hash, whatever the number of buckets
+    base = base.withColumn("bucket", F.shiftright((F.shiftright("h", 32) + (1 << 31)) * buckets, 32))
     per_bucket = base.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     sizes = per_bucket.groupBy("source").agg(F.sum("words").alias("source_size"))
     targets = materialize(source_targets(sizes, weights, share, most))
