@@ -17,6 +17,8 @@ from quaver.llm.components import components
 BITS = 64
 #: A bucket of more fingerprints than this is verified by midpoints instead of pairs.
 WIDE_BUCKET = 64
+#: Differing bits up to which fingerprints link. Wide buckets are verified by midpoints, which is for 2.
+RADIUS = 2
 
 
 def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
@@ -36,7 +38,7 @@ def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
 def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         f = np.fromiter((fingerprint(t) for t in b["text"]), np.uint64, len(b))
-        yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "fp": f.view(np.int64)})
+        yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "fp": f.view(np.int64), "text_key": b["text_key"]})
 
 
 def _bits(fp: np.ndarray) -> np.ndarray:
@@ -117,8 +119,9 @@ def allocate(counts: np.ndarray, ratios: list[np.ndarray], radius: int) -> np.nd
     return out - 1
 
 
-def near_links(nodes: DataFrame, radius: int = 2, parts: int | None = None) -> DataFrame:
-    """Links (a, b) that join all fingerprints (fp, distinct) within ``radius`` of each other, directly or by others within it."""
+def near_links(nodes: DataFrame, parts: int | None = None) -> DataFrame:
+    """Links (a, b) that join all fingerprints (fp, distinct) within RADIUS of each other, directly or by others within it."""
+    radius = RADIUS
     total, both = bit_statistics(nodes)
     # fewer, wider parts as fingerprints grow more: a part should have more values than there are fingerprints
     parts = parts or (3 if total < 1 << 22 else 2)
@@ -167,36 +170,42 @@ def near_links(nodes: DataFrame, radius: int = 2, parts: int | None = None) -> D
     # Members and visitors of wide buckets: within 2 of each other if, and only if, they share a fingerprint within 1 of both.
     # At most 65 are within 1 of any fingerprint, so no group is large, and links go to the least of each group.
     dense = probes.where("wide").select("fp").unionByName(held.where("wide").select("fp")).distinct()
-    return pairs.unionByName(_midpoint_links(dense, radius))
+    return pairs.unionByName(_midpoint_links(dense))
 
 
-def _midpoint_links(dense: DataFrame, radius: int) -> DataFrame:
-    if radius != 2:
-        raise ValueError("wide buckets are verified by midpoints, for a radius of 2")
+def _midpoint_links(dense: DataFrame) -> DataFrame:
     middles = F.concat(F.array("fp"), F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
     near = dense.select("fp", F.explode(middles).alias("middle")).groupBy("middle").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
     return near.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b")
 
 
-def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
-    """SimHash fingerprints and near-duplicate components: doc_id, fp (signed), component_id (the smallest doc_id reachable).
+def text_key(text: Column) -> Column:
+    """What tells texts apart: a hash of the whole text, null as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
-    Documents of equal fingerprints are one node; nodes within ``radius`` bits are linked. Bits that vary together form a part;
-    each fingerprint gets its own thresholds per part by estimated candidate counts, its neighbours' values are probed
-    and candidates verified. Groups of copies never become pairs: copies are one node, wide buckets link by midpoints.
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """SimHash fingerprints and near-duplicate components: doc_id, text_key, fp (signed), root, component_id.
+
+    ``root`` is the smallest fingerprint of the component, ``component_id`` its smallest doc_id. Documents of equal fingerprints
+    are one node; nodes within RADIUS bits are linked. Bits that vary together form a part; each fingerprint gets its own
+    thresholds per part by estimated candidate counts, its neighbours' values are probed and candidates verified.
+    Groups of copies never become pairs: copies are one node, wide buckets link by midpoints.
 
     Null and empty texts have fingerprint 0 and link like any other. Null ids are kept; they are never a component's id
     (null if it has no other). Repeated rows stay. An empty table gives an empty result; extra columns are ignored.
+    Very long texts: shingles are counted in parts, so memory beyond the words themselves is bounded.
     """
     small_batches(docs.sparkSession)
-    marked = materialize(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(_fingerprints, "doc_id long, fp long"))
+    given = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), text_key(F.col("text")).alias("text_key"))
+    marked = materialize(given.mapInPandas(_fingerprints, "doc_id long, fp long, text_key long"))
     nodes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(near_links(nodes, radius))
+    roots = components(near_links(nodes))
     linked = materialize(nodes.join(roots, F.col("fp") == F.col("node")).select("fp", "least", "root"))
     least = linked.groupBy("root").agg(F.min("least").alias("of_root"))
     # a fingerprint linked to no other has its own least document
-    ids = nodes.join(linked.join(least, "root").select("fp", "of_root"), "fp", "left").select("fp", F.coalesce("of_root", "least").alias("component_id"))
-    return marked.join(ids, "fp").select("doc_id", "fp", "component_id")
+    ids = nodes.join(linked.join(least, "root").select("fp", "root", "of_root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("of_root", "least").alias("component_id"))
+    return marked.join(ids, "fp").select("doc_id", "text_key", "fp", "root", "component_id")
 
 
 def hex_digits(fp: str) -> Column:
