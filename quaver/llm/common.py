@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -21,17 +23,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; in local mode (tests) one of our own where it is unset."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if given:
         return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_dir:
-        _own_dir.append("file://" + tempfile.mkdtemp(prefix="quaver-shared-"))
+        own = tempfile.mkdtemp(prefix="quaver-shared-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        _own_dir.append("file://" + own)
     return _own_dir[0]
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors, is computed once."""
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors, is computed once.
+
+    Results are lazy and may be read at any time, so the files stay as long as the application; its owner clears the folder,
+    as with Spark's own checkpoints (``quaver`` below spark.checkpoint.dir). A folder of our own goes when Python ends.
+    """
     path = f"{shared_dir(df.sparkSession)}/quaver/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
