@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quaver.functions import highpass, lowpass
-from quaver.operators.measure import filtered, folded
+from quaver.operators.blocks import filtered, folded
 
 #: Time constants in seconds, thresholds and ranges in dB.
 LOOKAHEAD, LIMIT_RELEASE = 0.0025, 0.09
@@ -52,42 +52,83 @@ def limiter_stats(signal: DataFrame, ceiling_db: float, fs: float) -> DataFrame:
     late = F.greatest(F.abs(F.lag("l", n, 0.0).over(w)), F.abs(F.lag("r", n, 0.0).over(w)))
     ready = true_peaks(signal).select("track", "idx", F.min(need).over(w.rowsBetween(1 - n, 0)).alias("l"), late.alias("r"))
 
-    def step(lowest, delayed):
+    def make():
         gain, least, clipped = 1.0, 1.0, 0
-        for low, x in zip(lowest.tolist(), delayed.tolist(), strict=True):
-            gain = low + (attack if low < gain else release) * (gain - low)
-            least = min(least, gain)
-            clipped += x * gain > ceiling
-        return -20 * math.log10(max(least, 1e-6)), float(clipped)
 
-    return folded(ready, step, ("max_gr", "n_clipped")).withColumn("n_clipped", F.col("n_clipped").cast("long"))
+        def push(lowest, delayed):
+            nonlocal gain, least, clipped
+            for low, x in zip(lowest.tolist(), delayed.tolist(), strict=True):
+                gain = low + (attack if low < gain else release) * (gain - low)
+                least = min(least, gain)
+                clipped += x * gain > ceiling
+            return -20 * math.log10(max(least, 1e-6)), float(clipped)
+
+        return push
+
+    return folded(ready, make, ("max_gr", "n_clipped")).withColumn("n_clipped", F.col("n_clipped").cast("long"))
 
 
 def transient_gain(signal: DataFrame, amount: float, fs: float) -> DataFrame:
     """Gain in dB that follows attacks, where a fast envelope is above a slow one: track, g_last, g_max."""
+    def make():
+        gains, top = transient_gains(amount, fs), 0.0
+
+        def push(left, right):
+            nonlocal top
+            g = gains(left, right)
+            top = max(top, float(g.max(initial=0.0)))
+            return float(g[-1]), top
+
+        return push
+
+    return folded(signal, make, ("g_last", "g_max"))
+
+
+def transient_gains(amount: float, fs: float):
+    """The gain in dB at each sample, for pieces of a track in order."""
     (fa, fr), (sa, sr), (ga, gr) = ([1 - keeps(fs, t) for t in TRANSIENT[k]] for k in ("fast", "slow", "gain"))
+    fast = slow = gain = 0.0
 
-    def step(left, right):
-        fast = slow = gain = top = 0.0
+    def push(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        nonlocal fast, slow, gain
+        out = []
         for x in np.maximum(np.abs(left), np.abs(right)).tolist():
             fast += (fa if x > fast else fr) * (x - fast)
             slow += (sa if x > slow else sr) * (x - slow)
             goal = amount * 0.6 * min(10.0, max(0.0, 20 * math.log10((fast + 1e-9) / (slow + 1e-9))))
             gain += (ga if abs(goal) > abs(gain) else gr) * (goal - gain)
-            top = max(top, gain)
-        return gain, top
+            out.append(gain)
+        return np.array(out)
 
-    return folded(signal, step, ("g_last", "g_max"))
+    return push
 
 
 def compressor_reduction(signal: DataFrame, density: float, fs: float) -> DataFrame:
     """Smoothed gain reduction in dB of a soft-knee compressor: track, gr_last, gr_max."""
+    def make():
+        reductions, top = compressor_reductions(density, fs), 0.0
+
+        def push(left, right):
+            nonlocal top
+            gr = reductions(left, right)
+            top = max(top, float(gr.max(initial=0.0)))
+            return float(gr[-1]), top
+
+        return push
+
+    return folded(signal, make, ("gr_last", "gr_max"))
+
+
+def compressor_reductions(density: float, fs: float):
+    """The smoothed reduction in dB at each sample, for pieces of a track in order."""
     threshold, slope, knee = -16 - 8 * density, 1 - 1 / (1.2 + 0.8 * density), COMPRESSOR["knee"]
     take = 1 - keeps(fs, COMPRESSOR["level"])
     (ea, er), (ga, gr) = ([keeps(fs, t) for t in COMPRESSOR[k]] for k in ("envelope", "gain"))
+    level, env, reduction = 0.0, -80.0, 0.0
 
-    def step(left, right):
-        level, env, reduction, top = 0.0, -80.0, 0.0, 0.0
+    def push(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        nonlocal level, env, reduction
+        out = []
         for power in (0.5 * (left * left + right * right)).tolist():
             level += take * (power - level)
             db = 10 * math.log10(level + 1e-12)
@@ -95,10 +136,10 @@ def compressor_reduction(signal: DataFrame, density: float, fs: float) -> DataFr
             above = min(max(env - threshold + knee / 2, 0.0), knee)  # the part inside of the knee
             goal = slope * (above * above / (2 * knee) + max(0.0, env - threshold - knee / 2))
             reduction = goal + (ga if goal > reduction else gr) * (reduction - goal)
-            top = max(top, reduction)
-        return reduction, top
+            out.append(reduction)
+        return np.array(out)
 
-    return folded(signal, step, ("gr_last", "gr_max"))
+    return push
 
 
 def bass_and_treble(signal: DataFrame, fs: float, bass: float = 140.0, treble: float = 4500.0) -> DataFrame:

@@ -13,14 +13,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quaver.functions import highpass, k_weighting, lowpass
+from quaver.functions import highpass, lowpass, peaking
+from quaver.operators.blocks import Cascade, Pieces, biquad_from, folded, ordered
 from quaver.operators.dynamics import keeps
-from quaver.operators.measure import biquad, folded
+from quaver.operators.measure import integrated_loudness, weighted_hops
+from quaver.sources import written
 
 #: Time constants in seconds, corner frequencies in Hz, filter qualities, limits in dB.
 DRUMS = {"fast": (0.0003, 0.035), "slow": (0.02, 0.3)}
 WIDTH_BANDS, WIDTH_Q = (140.0, 2000.0), (0.54, 1.31)
-DEHARSH = {"corner": 4500.0, "q": 0.707, "env": (0.003, 0.08), "gain": (0.004, 0.12), "grace": 8.0, "most": 6.0}
+DEHARSH = {"corner": 4500.0, "q": 0.707, "env": (0.003, 0.08), "gain": (0.004, 0.12), "grace": 8.0, "most": 6.0, "centre": 6500.0, "width": 1.1, "moved": 0.05}
 MATCH_CENTRES = (31.5, 63.0, 125.0, 250.0, 500.0, 1000.0, 2000.0, 4000.0, 8000.0, 16000.0)
 
 
@@ -38,35 +40,55 @@ def width_gains(width: float, bass_mono: bool = False) -> tuple[float, float, fl
 
 def widen(signal: DataFrame, width: float, fs: float, bass_mono: bool = False) -> DataFrame:
     """The signal with its side scaled by band."""
-    low_gain, mid_gain, high_gain = width_gains(width, bass_mono)
-    low_split, high_split = width_stages(fs)[:2], width_stages(fs)[2:]
+    return ordered(signal, lambda: Widener(width, fs, bass_mono))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        left, right = pdf["l"].to_numpy(np.float64), pdf["r"].to_numpy(np.float64)
+
+class Widener(Pieces):
+    def __init__(self, width: float, fs: float, bass_mono: bool = False) -> None:
+        self.gains, stages = width_gains(width, bass_mono), width_stages(fs)
+        self.splits = [Cascade(stages[:2], 1024), Cascade(stages[2:], 1024)]
+        self.states = [c.rest() for c in self.splits]
+
+    def push(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         mid, side = (left + right) / 2, (left - right) / 2
-        above = biquad(biquad(side, low_split[0]), low_split[1])
-        high = biquad(biquad(above, high_split[0]), high_split[1])
+        above, self.states[0] = self.splits[0].run(side, self.states[0])
+        high, self.states[1] = self.splits[1].run(above, self.states[1])
+        low_gain, mid_gain, high_gain = self.gains
         wide = low_gain * (side - above) + mid_gain * (above - high) + high_gain * high
-        return pdf.assign(l=mid + wide, r=mid - wide)
-
-    s = signal.select("track", "idx", "l", "r")
-    return s.groupBy("track").applyInPandas(run, s.schema)
+        return mid + wide, mid - wide
 
 
 def drum_weight(signal: DataFrame, fs: float) -> DataFrame:
     """Mean share of the signal that counts as drum hits, where the fast envelope leads the slow one: track, mean_weight."""
+    def make():
+        weights, total, n = drum_weights(fs), 0.0, 0
+
+        def push(left, right):
+            nonlocal total, n
+            w = weights(left, right)
+            total, n = total + float(w.sum()), n + len(w)
+            return (total / n,)
+
+        return push
+
+    return folded(signal, make, ("mean_weight",))
+
+
+def drum_weights(fs: float):
+    """How much each sample counts as a drum hit, for pieces of a track in order."""
     (fa, fr), (sa, sr) = ([1 - keeps(fs, t) for t in DRUMS[k]] for k in ("fast", "slow"))
+    fast = slow = 0.0
 
-    def step(left, right):
-        fast = slow = total = 0.0
+    def push(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        nonlocal fast, slow
+        out = []
         for x in np.maximum(np.abs(left), np.abs(right)).tolist():
             fast += (fa if x > fast else fr) * (x - fast)
             slow += (sa if x > slow else sr) * (x - slow)
-            total += min(1.0, max(0.0, ((fast / slow if slow > 1e-6 else 1.0) - 1.1) / 1.2))
-        return (total / len(left),)
+            out.append(((fast / slow if slow > 1e-6 else 1.0) - 1.1) / 1.2)
+        return np.clip(np.array(out), 0.0, 1.0)
 
-    return folded(signal, step, ("mean_weight",))
+    return push
 
 
 def saturate(x: Column, drive: float) -> Column:
@@ -77,65 +99,90 @@ def saturate(x: Column, drive: float) -> Column:
 
 def deharsh_reduction(signal: DataFrame, amount: float, fs: float, block: int = 64, corner: float = DEHARSH["corner"]) -> DataFrame:
     """Reduction in dB of the band above ``corner`` Hz, set once per block: track, gr_last, gr_max."""
-    (ea, er), (ga, gr) = ([1 - keeps(fs, t) for t in DEHARSH[k]] for k in ("env", "gain"))
-    split = highpass(fs, corner, DEHARSH["q"])
+    def make():
+        part = DeHarsher(amount, fs, block, corner)
+
+        def push(left, right):
+            part.push(left, right)
+            # a last block that isn't full counts too; what comes next starts from before it
+            return part.peek()
+
+        return push
+
+    return folded(signal, make, ("gr_last", "gr_max"))
 
-    def step(left, right):
+
+class DeHarsher(Pieces):
+    """Cuts around 6.5 kHz while the band above ``corner`` is loud against the whole; the cut is set anew once per block."""
+
+    def __init__(self, amount: float, fs: float, block: int = 64, corner: float = DEHARSH["corner"]) -> None:
+        self.amount, self.fs, self.block = amount, fs, block
+        (self.ea, self.er), (self.ga, self.gr) = ([1 - keeps(fs, t) for t in DEHARSH[k]] for k in ("env", "gain"))
+        self.split, self.band = highpass(fs, corner, DEHARSH["q"]), (0.0, 0.0)
+        self.high = self.full = self.now = self.top = 0.0
+        self.cut, self.applied, self.states = (1.0, 0.0, 0.0, 0.0, 0.0), -1.0, [(0.0, 0.0), (0.0, 0.0)]
+        self.held = (np.zeros(0), np.zeros(0))
+
+    def _reduction(self, left: np.ndarray, right: np.ndarray) -> tuple:
+        """State after a block: of the split, both envelopes, reduction."""
         mono = (left + right) / 2
-        band, wide = np.abs(biquad(mono, split)).tolist(), np.abs(mono).tolist()
-        high = full = now = top = 0.0
-        for start in range(0, len(wide), block):
-            stop = min(start + block, len(wide))
-            for i in range(start, stop):
-                high += (ea if band[i] > high else er) * (band[i] - high)
-                full += (ea if wide[i] > full else er) * (wide[i] - full)
-            over = 20 * math.log10((high + 1e-9) / (full + 1e-9)) + DEHARSH["grace"]
-            goal = amount * min(DEHARSH["most"], max(0.0, over))
-            now = max(0.0, now + min(1.0, (ga if goal > now else gr) * (stop - start)) * (goal - now))
-            top = max(top, now)
-        return now, top
-
-    return folded(signal, step, ("gr_last", "gr_max"))
-
-
-def _gated(energy: np.ndarray) -> float:
-    """Integrated loudness of the energies of hops."""
-    lufs = lambda e: -0.691 + 10 * np.log10(np.maximum(e, 1e-12))
-    if len(energy) < 4:
-        return -70.0
-    blocks = np.convolve(energy, np.full(4, 0.25), "valid")
-    loud = blocks[lufs(blocks) > -70]
-    if len(loud):
-        loud = loud[lufs(loud) > lufs(loud.mean()) - 10]
-    return float(lufs(loud.mean())) if len(loud) else -70.0
+        band, state = biquad_from(mono, self.split, self.band)
+        high, full = self.high, self.full
+        for b, w in zip(np.abs(band).tolist(), np.abs(mono).tolist(), strict=True):
+            high += (self.ea if b > high else self.er) * (b - high)
+            full += (self.ea if w > full else self.er) * (w - full)
+        over = 20 * math.log10((high + 1e-9) / (full + 1e-9)) + DEHARSH["grace"]
+        goal = self.amount * min(DEHARSH["most"], max(0.0, over))
+        now = max(0.0, self.now + min(1.0, (self.ga if goal > self.now else self.gr) * len(left)) * (goal - self.now))
+        return state, high, full, now
+
+    def _one(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        self.band, self.high, self.full, self.now = self._reduction(left, right)
+        self.top = max(self.top, self.now)
+        if abs(self.now - self.applied) > DEHARSH["moved"]:
+            self.cut, self.applied = peaking(self.fs, DEHARSH["centre"], -self.now, DEHARSH["width"]), self.now
+        a, self.states[0] = biquad_from(left, self.cut, self.states[0])
+        b, self.states[1] = biquad_from(right, self.cut, self.states[1])
+        return a, b
+
+    def peek(self) -> tuple[float, float]:
+        """The reduction after all samples so far and the largest."""
+        if not len(self.held[0]):
+            return self.now, self.top
+        now = self._reduction(*self.held)[3]
+        return now, max(self.top, now)
+
+    def push(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        left, right = np.concatenate([self.held[0], left]), np.concatenate([self.held[1], right])
+        full = len(left) // self.block * self.block
+        self.held = left[full:], right[full:]
+        made = [self._one(left[i : i + self.block], right[i : i + self.block]) for i in range(0, full, self.block)]
+        return tuple(np.concatenate([m[k] for m in made]) if made else np.zeros(0) for k in (0, 1))
+
+    def finish(self) -> tuple[np.ndarray, np.ndarray]:
+        rest, self.held = self.held, (np.zeros(0), np.zeros(0))
+        return self._one(*rest) if len(rest[0]) else rest
 
 
 def solve_gain(signal: DataFrame, target: float, drive: float, hop: int = 10, passes: int = 4, tolerance: float = 0.15) -> DataFrame:
     """Gain into the saturator that brings each track's output to ``target``: track, gain_db, passes, final_err.
 
-    Each pass renders, measures and moves the gain by 0.95 of the error, until it is within ``tolerance``. All passes of a
-    track run where its samples are, so the signal is shuffled once, however many passes it takes.
+    Each pass renders with every track's own gain, measures in parallel blocks and moves the gain by 0.95 of the error, until it is
+    within ``tolerance``; tracks that are done keep theirs. What goes from pass to pass is one row per track.
     """
-    g, bias = 10 ** (drive / 2), 0.12 * drive
-
-    def step(left, right):
-        gain, err, used = 0.0, math.inf, 0
-        while used < passes:
-            energy = 0.0
-            for x in (left, right):
-                y = (np.tanh(g * (x * 10 ** (gain / 20) + bias)) - np.tanh(g * bias)) / g
-                for stage in k_weighting():
-                    y = biquad(y, stage)
-                energy = energy + y * y
-            full = len(left) // hop * hop
-            err = target - _gated(energy[:full].reshape(-1, hop).mean(1))
-            used += 1
-            if abs(err) <= tolerance or used == passes:
-                break
-            gain += 0.95 * err
-        return gain, float(used), err
-
-    return folded(signal, step, ("gain_db", "passes", "final_err")).withColumn("passes", F.col("passes").cast("long"))
+    state = signal.select("track").distinct().select("track", F.lit(0.0).alias("gain_db"), F.lit(0).cast("long").alias("passes"), F.lit(None).cast("double").alias("final_err"))
+    for _ in range(passes):
+        open_ = F.coalesce(F.abs("final_err") > tolerance, F.lit(True))
+        moved = state.withColumn("gain_db", F.when(F.col("passes") == 0, 0.0).when(open_, F.col("gain_db") + 0.95 * F.col("final_err")).otherwise(F.col("gain_db")))
+        gains = moved.select(F.col("track").alias("g_track"), F.pow(F.lit(10.0), F.col("gain_db") / 20).alias("g"))
+        driven = signal.join(gains, F.col("track").eqNullSafe(F.col("g_track"))).select("track", "idx", *[saturate(F.col(c) * F.col("g"), drive).alias(c) for c in "lr"])
+        loud = integrated_loudness(weighted_hops(driven, hop)).select(F.col("track").alias("l_track"), "lufs")
+        err = F.lit(target) - F.coalesce("lufs", F.lit(-70.0))
+        after = moved.join(loud, F.col("track").eqNullSafe(F.col("l_track")), "left").select(
+            "track", "gain_db", F.when(open_, F.col("passes") + 1).otherwise(F.col("passes")).alias("passes"), F.when(open_, err).otherwise(F.col("final_err")).alias("final_err")
+        )
+        state = written(after)
+    return state
 
 
 class _Totals:
@@ -266,7 +313,7 @@ def shape_difference(pairs: DataFrame, keys: list[str]) -> DataFrame:
 #: A lane's filters as (kind, corner in Hz, quality).
 LANES = {
     "bass": (("low", 120.0, 0.54), ("low", 120.0, 1.31)),
-    "vocal": (("high", 250.0, 0.707), ("low", 3500.0, 0.707)),
+    "vocal": (("high", 250.0, 0.54), ("high", 250.0, 1.31), ("low", 3500.0, 0.54), ("low", 3500.0, 1.31)),
     "air": (("low", 8000.0, 0.54), ("low", 8000.0, 1.31)),
 }
 
@@ -275,27 +322,36 @@ def lane_stages(lane: str, fs: float) -> list[tuple[float, ...]]:
     return [(lowpass if kind == "low" else highpass)(fs, f, q) for kind, f, q in LANES[lane]]
 
 
-def lane_gain(signal: DataFrame, lane: str, gain_db: float, fs: float) -> DataFrame:
-    """The signal with one stem lane raised: bass below its corner, vocal within a band of mid, air what its low-pass leaves out."""
-    stages, extra = lane_stages(lane, fs), 10 ** (gain_db / 20) - 1
+class StemLanes(Pieces):
+    """Bass, vocal, air and drums raised or lowered one after the other: bass below its corner, vocal within a band of mid, air what its
+    low-pass leaves out, drums where the fast envelope leads."""
 
-    def through(x: np.ndarray) -> np.ndarray:
-        y = x
-        for s in stages:
-            y = biquad(y, s)
+    def __init__(self, gains_db: dict[str, float], fs: float) -> None:
+        self.extra = {lane: 10 ** (db / 20) - 1 for lane, db in gains_db.items()}
+        self.filters = {lane: Cascade(lane_stages(lane, fs), 1024) for lane in LANES if self.extra.get(lane, 0.0) != 0}
+        self.states = {(lane, k): c.rest() for lane, c in self.filters.items() for k in (0, 1)}
+        self.weights = drum_weights(fs)
+
+    def _through(self, lane: str, k: int, x: np.ndarray) -> np.ndarray:
+        y, self.states[lane, k] = self.filters[lane].run(x, self.states[lane, k])
         return x - y if lane == "air" else y
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        left, right = pdf["l"].to_numpy(np.float64), pdf["r"].to_numpy(np.float64)
-        if lane == "vocal":
-            more = (through((left + right) / 2),) * 2
-        else:
-            more = (through(left), through(right))
-        return pdf.assign(l=left + extra * more[0], r=right + extra * more[1])
-
-    s = signal.select("track", "idx", "l", "r")
-    return s.groupBy("track").applyInPandas(run, s.schema)
+    def push(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        for lane in self.filters:
+            if lane == "vocal":
+                more = (self._through(lane, 0, (left + right) / 2),) * 2
+            else:
+                more = self._through(lane, 0, left), self._through(lane, 1, right)
+            left, right = left + self.extra[lane] * more[0], right + self.extra[lane] * more[1]
+        if self.extra.get("drums", 0.0) != 0:
+            g = 1 + self.extra["drums"] * self.weights(left, right)
+            left, right = left * g, right * g
+        return left, right
+
+
+def lane_gain(signal: DataFrame, lane: str, gain_db: float, fs: float) -> DataFrame:
+    """The signal with one stem lane raised."""
+    return ordered(signal, lambda: StemLanes({lane: gain_db}, fs))
 
 
 def framed(placed: DataFrame, size: int, hop: int) -> DataFrame:

@@ -11,37 +11,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quaver.functions import energy_to_lufs, k_weighting, linear_to_db
+from quaver.operators.blocks import biquad, biquad_from, filtered_energy, stretches  # noqa: F401
 from quaver.sources import positions
 
 
-def biquad(x: np.ndarray, coefficients: tuple[float, ...]) -> np.ndarray:
-    """Second-order filter in transposed direct form II; sequential by nature."""
-    return biquad_from(x, coefficients, (0.0, 0.0))[0]
-
-
-def biquad_from(x: np.ndarray, coefficients: tuple[float, ...], state: tuple[float, float]) -> tuple[np.ndarray, tuple[float, float]]:
-    """The same from the state that the samples before have left; also the state after."""
-    b0, b1, b2, a1, a2 = coefficients
-    z1, z2 = state
-    out = np.empty(len(x))
-    for i, v in enumerate(x.tolist()):
-        y = b0 * v + z1
-        z1, z2 = b1 * v - a1 * y + z2, b2 * v - a2 * y
-        out[i] = y
-    return out, (z1, z2)
-
-
-def stretches(batch: pd.DataFrame) -> Iterator[tuple[object, int, int]]:
-    """(track, start, end) of the runs of equal tracks in a batch of sorted rows; null tracks are one, as None."""
-    codes = pd.factorize(batch["track"])[0]
-    cuts = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(batch)]
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        if b > a:
-            yield (None if codes[a] < 0 else batch["track"].iloc[a]), a, b
-
-
 def filtered(signal: DataFrame, stages: list[tuple[float, ...]]) -> DataFrame:
-    """Both channels through a cascade of filters, track by track: sorted rows in batches, with only the filters' state between them."""
+    """Both channels through a cascade of filters, track by track and equal to the recursion to the last bit: sorted rows in batches, with
+    only the filters' state between them. ``blocks.filtered`` is parallel within a track, and equal but for rounding."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, state = (), {}
@@ -66,7 +42,7 @@ def hop_energy(signal: DataFrame, hop: int = 10) -> DataFrame:
 
 
 def weighted_hops(signal: DataFrame, hop: int = 10) -> DataFrame:
-    return hop_energy(filtered(signal, list(k_weighting())), hop)
+    return filtered_energy(signal, list(k_weighting()), hop)
 
 
 def moving_mean(hops: DataFrame, n: int, partial: bool = False) -> DataFrame:
@@ -77,12 +53,13 @@ def moving_mean(hops: DataFrame, n: int, partial: bool = False) -> DataFrame:
 
 
 def integrated_loudness(hops: DataFrame) -> DataFrame:
-    """Two-stage gated mean of 4-hop blocks: track, lufs; -70 where nothing passes."""
-    blocks = moving_mean(hops, 4)
-    gated = blocks.where(energy_to_lufs(F.col("m")) > -70)
-    gate = gated.groupBy("track").agg((energy_to_lufs(F.avg("m")) - 10).alias("gate"))
-    loud = gated.join(gate, "track").where(energy_to_lufs(F.col("m")) > F.col("gate")).groupBy("track").agg(energy_to_lufs(F.avg("m")).alias("lufs"))
-    return hops.select("track").distinct().join(loud, "track", "left").select("track", F.coalesce("lufs", F.lit(-70.0)).alias("lufs"))
+    """Two-stage gated mean of 4-hop blocks: track, lufs; -70 where nothing passes. Gates are windows over the same blocks, so hops are read once."""
+    w = W.partitionBy("track")
+    m = F.when(F.count("e").over(w.orderBy("hop").rowsBetween(-3, 0)) == 4, F.avg("e").over(w.orderBy("hop").rowsBetween(-3, 0)))
+    blocks = hops.withColumn("m", m).withColumn("m", F.when(energy_to_lufs(F.col("m")) > -70, F.col("m")))
+    gated = blocks.withColumn("gate", energy_to_lufs(F.avg("m").over(w)) - 10)
+    loud = F.avg(F.when(energy_to_lufs(F.col("m")) > F.col("gate"), F.col("m")))
+    return gated.groupBy("track").agg(F.coalesce(F.when(loud.isNotNull(), energy_to_lufs(loud)), F.lit(-70.0)).alias("lufs"))
 
 
 def short_term(hops: DataFrame, stride: int = 5) -> DataFrame:
@@ -98,13 +75,16 @@ def nearest_rank(values: DataFrame, share: float, name: str) -> DataFrame:
 
 
 def loudness_range(hops: DataFrame) -> DataFrame:
-    """p95 - p10 of gated short-term values: track, lra; 0 with fewer than two."""
-    v = moving_mean(hops, 30).select("track", "m", energy_to_lufs(F.col("m")).alias("v")).where("v > -70")
-    gate = v.groupBy("track").agg((energy_to_lufs(F.avg("m")) - 20).alias("gate"))
-    kept = v.join(gate, "track").where("v > gate").select("track", "v")
-    both = nearest_rank(kept, 0.95, "hi").join(nearest_rank(kept, 0.10, "lo"), "track")
-    enough = kept.groupBy("track").count().where("count >= 2").select("track")
-    return hops.select("track").distinct().join(both.join(enough, "track", "left_semi"), "track", "left").select("track", F.coalesce(F.col("hi") - F.col("lo"), F.lit(0.0)).alias("lra"))
+    """p95 - p10 of gated short-term values: track, lra; 0 with fewer than two. Gate and ranks are windows over one pass of the hops."""
+    w = W.partitionBy("track")
+    last = w.orderBy("hop").rowsBetween(-29, 0)
+    v = hops.withColumn("m", F.when(F.count("e").over(last) == 30, F.avg("e").over(last))).withColumn("m", F.when(energy_to_lufs(F.col("m")) > -70, F.col("m")))
+    gate = energy_to_lufs(F.avg("m").over(w)) - 20
+    kept = v.withColumn("gate", gate).withColumn("v", F.when(energy_to_lufs(F.col("m")) > F.col("gate"), energy_to_lufs(F.col("m"))))
+    ranked = kept.withColumns({"rn": F.row_number().over(w.orderBy(F.col("v").asc_nulls_last())) - 1, "n": F.count("v").over(w)})
+    at = lambda share: F.max(F.when(F.col("rn") == F.least(F.floor(F.col("n") * share), F.col("n") - 1), F.col("v")))
+    range_ = F.when(F.max("n") >= 2, at(0.95) - at(0.10))
+    return ranked.groupBy("track").agg(F.coalesce(range_, F.lit(0.0)).alias("lra"))
 
 
 def sample_peak(signal: DataFrame) -> DataFrame:
@@ -154,14 +134,3 @@ def pyramid(signal: DataFrame, per: int = 8, factor: int = 8, levels: int = 3) -
         level = level.groupBy("track", F.floor(F.col("bucket") / factor).alias("bucket")).agg(F.min("mn").alias("mn"), F.max("mx").alias("mx"), F.sqrt(F.avg(F.col("rms") * F.col("rms"))).alias("rms"))
         out = out.unionByName(level.select("track", F.lit(k).alias("level"), "bucket", "mn", "mx", "rms"))
     return out
-
-
-def folded(signal: DataFrame, step, names: tuple[str, ...]) -> DataFrame:
-    """One row per track from a sequential pass: ``step(l, r)`` gets the ordered samples of a track."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        values = step(pdf["l"].to_numpy(np.float64), pdf["r"].to_numpy(np.float64))
-        return pd.DataFrame([[pdf["track"].iloc[0], *values]], columns=["track", *names])
-
-    return signal.groupBy("track").applyInPandas(run, "track string, " + ", ".join(f"{n} double" for n in names))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quaver.functions import energy_to_lufs, fade_gain, half_up, k_weighting, lowpass, r4
 from quaver.operators import measure as m
+from quaver.operators.blocks import filtered, folded
 from quaver.plans.dims import PLATFORMS, PRESETS
 from quaver.sources import event_signal, line_signal, positions, read
 from quaver.streaming.meters import meter_frames, meter_frames_stream
@@ -68,7 +69,7 @@ loud AS (SELECT b.track, {LUFS.format('avg(m)')} AS lufs FROM blocks b JOIN g US
 
 @query(f"WITH RECURSIVE {EV}, {_chain([lowpass(48000, 8000, 0.7071)])} SELECT track, round(sum(fl * fl + fr * fr), 4) + 0.0 AS energy FROM fs GROUP BY 1")
 def biquad_energy(spark, d):
-    return m.filtered(ev(spark, d), [lowpass(48000, 8000, 0.7071)]).groupBy("track").agg(r4(F.sum(F.col("l") * F.col("l") + F.col("r") * F.col("r"))).alias("energy"))
+    return filtered(ev(spark, d), [lowpass(48000, 8000, 0.7071)]).groupBy("track").agg(r4(F.sum(F.col("l") * F.col("l") + F.col("r") * F.col("r"))).alias("energy"))
 
 
 @query(f"{HOPS} SELECT track, hop, round(e, 4) + 0.0 AS e FROM hops")
@@ -183,14 +184,19 @@ def lookahead_delay(spark, d):
 SELECT s.track, s.i, e.env + CASE WHEN abs(s.l) > e.env THEN 0.3::DOUBLE ELSE 0.02::DOUBLE END * (abs(s.l) - e.env) FROM e JOIN sp s ON s.track = e.track AND s.i = e.i + 1)
 SELECT track, round(max_by(env, i), 4) + 0.0 AS env_last, round(max(env), 4) + 0.0 AS env_max FROM e GROUP BY 1""")
 def envelope_follower(spark, d):
-    def step(left, right):
+    def make():
         env = top = 0.0
-        for x in np.abs(left).tolist():
-            env += (0.3 if x > env else 0.02) * (x - env)
-            top = max(top, env)
-        return env, top
 
-    return m.folded(ev(spark, d), step, ("env_last", "env_max")).select("track", r4(F.col("env_last")).alias("env_last"), r4(F.col("env_max")).alias("env_max"))
+        def push(left, right):
+            nonlocal env, top
+            for x in np.abs(left).tolist():
+                env += (0.3 if x > env else 0.02) * (x - env)
+                top = max(top, env)
+            return env, top
+
+        return push
+
+    return folded(ev(spark, d), make, ("env_last", "env_max")).select("track", r4(F.col("env_last")).alias("env_last"), r4(F.col("env_max")).alias("env_max"))
 
 
 HANN = [0.5 - 0.5 * math.cos(2 * math.pi * i / 63) for i in range(64)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,15 +13,24 @@ _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; in local mode (tests) one of our own where it is unset."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if given:
         return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="quaver-shared-"))
     return _own_dir[0]
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` from a table in the shared folder: cuts lineage, is computed once, survives lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/quaver/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -38,8 +48,25 @@ def line_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("track"), (F.col("l_quantity") / 64).alias("l"), F.col("l_discount").alias("r"))
 
 
+#: Ranges of idx that positions are counted in, each apart.
+RANGES = 64
+
+
 def positions(signal: DataFrame) -> DataFrame:
-    """Adds i, the position from 0 within the track."""
+    """Adds i, the position from 0 within the track; rows without idx come last.
+
+    Rows are numbered within ranges of idx that hold about the same number of rows, and start from what the ranges before hold: a
+    track of any length is sorted in as many parts as there are ranges.
+    """
     from pyspark.sql import Window as W
 
-    return signal.withColumn("i", F.row_number().over(W.partitionBy("track").orderBy("idx")) - 1)
+    shares = F.percentile_approx("idx", [k / RANGES for k in range(1, RANGES)], 10 * RANGES)
+    bounds = signal.agg(F.coalesce(shares, F.array(F.lit(0).cast(signal.schema["idx"].dataType))).alias("bounds"))  # one row
+    last = F.when(F.col("idx").isNull(), F.lit(RANGES)).otherwise(F.size(F.filter("bounds", lambda b: b <= F.col("idx"))))
+    placed = signal.crossJoin(F.broadcast(bounds)).withColumn("range", last).drop("bounds")
+    counts = placed.groupBy("track", "range").agg(F.count(F.lit(1)).alias("rows"))
+    before = F.coalesce(F.sum("rows").over(W.partitionBy("track").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(F.col("track").alias("s_track"), F.col("range").alias("s_range"), before.alias("before"))
+    inside = F.row_number().over(W.partitionBy("track", "range").orderBy(F.col("idx").asc_nulls_last())) - 1
+    joined = placed.withColumn("i", inside).join(starts, F.col("track").eqNullSafe(F.col("s_track")) & (F.col("range") == F.col("s_range")))
+    return joined.withColumn("i", F.col("i") + F.col("before")).drop("s_track", "s_range", "before", "range")
