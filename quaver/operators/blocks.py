@@ -177,16 +177,16 @@ def stretches(batch: pd.DataFrame) -> Iterator[tuple[object, int, int]]:
 
 
 class Pieces:
-    """The processor of one track's two channels: gets its samples in order, in pieces of any length, and keeps its own state.
+    """The processor of one track's columns (two channels, mostly): gets its samples in order, in pieces of any length, and keeps its own state.
 
     ``push`` returns what is ready, which may lag behind; ``finish`` the rest. All outputs together are as many as the inputs.
     """
 
-    def push(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def push(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, ...]:
         raise TypeError("a processor defines push")
 
-    def finish(self) -> tuple[np.ndarray, np.ndarray]:
-        return np.zeros(0), np.zeros(0)
+    def finish(self) -> tuple[np.ndarray, ...]:
+        return (np.zeros(0),) * 3
 
 
 class Chained(Pieces):
@@ -204,13 +204,13 @@ class Chained(Pieces):
         left, right = np.zeros(0), np.zeros(0)
         for p in self.parts:
             a, b = p.push(left, right) if len(left) else (left, right)
-            c, d = p.finish()
+            c, d, *_ = p.finish()
             left, right = np.concatenate([a, c]), np.concatenate([b, d])
         return left, right
 
 
-def ordered(signal: DataFrame, make: Callable[[], Pieces]) -> DataFrame:
-    """An ordered pass over each track that can't be split: track, idx, l, r as the processor of ``make`` returns them.
+def ordered(signal: DataFrame, make: Callable[[], Pieces], columns: tuple[str, ...] = ("l", "r")) -> DataFrame:
+    """An ordered pass over each track that can't be split: track, idx and ``columns`` as the processor of ``make`` returns them.
 
     A task holds a batch and the processor's state, never a track. Tracks run in parallel.
     """
@@ -219,11 +219,11 @@ def ordered(signal: DataFrame, make: Callable[[], Pieces]) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, part, waiting = (), None, []  # waiting: idx of the samples that the processor still holds
 
-        def table(parts: list[tuple[object, tuple[np.ndarray, np.ndarray]]]) -> pd.DataFrame:
-            tracks = np.repeat(np.array([t for t, _ in parts] + [None], object)[:-1], [len(made[0]) for _, made in parts])
-            left, right = (np.concatenate([made[k] for _, made in parts]) if parts else np.zeros(0) for k in (0, 1))
+        def table(parts: list[tuple[object, tuple[np.ndarray, ...]]]) -> pd.DataFrame:
+            tracks = np.repeat(np.array([t for t, _ in parts] + [None], object)[:-1], [len(m[0]) for _, m in parts])
+            made = {c: np.concatenate([m[k] for _, m in parts]) if parts else np.zeros(0) for k, c in enumerate(columns)}
             ready, waiting[:] = waiting[: len(tracks)], waiting[len(tracks) :]
-            return pd.DataFrame({"track": tracks, "idx": ready, "l": left, "r": right})
+            return pd.DataFrame({"track": tracks, "idx": ready, **made})
 
         for pdf in batches:
             parts = []
@@ -233,13 +233,13 @@ def ordered(signal: DataFrame, make: Callable[[], Pieces]) -> DataFrame:
                         parts.append((at[0], part.finish()))
                     at, part = (track,), make()
                 waiting += pdf["idx"].iloc[a:b].tolist()
-                parts.append((track, part.push(*[pdf[c].to_numpy(np.float64)[a:b] for c in ("l", "r")])))
+                parts.append((track, part.push(*[pdf[c].to_numpy(np.float64)[a:b] for c in columns])))
             yield table(parts)
         if at:
             yield table([(at[0], part.finish())])
 
-    schema = ", ".join(f"{c} {kinds[c].dataType.simpleString()}" for c in ("track", "idx")) + ", l double, r double"
-    sorted_rows = signal.select("track", "idx", "l", "r").repartition("track").sortWithinPartitions("track", F.col("idx").asc_nulls_last())
+    schema = ", ".join(f"{c} {kinds[c].dataType.simpleString()}" for c in ("track", "idx")) + "".join(f", {c} double" for c in columns)
+    sorted_rows = signal.select("track", "idx", *columns).repartition("track").sortWithinPartitions("track", F.col("idx").asc_nulls_last())
     return sorted_rows.mapInPandas(run, schema)
 
 

@@ -7,6 +7,7 @@ import pytest
 from quaver.functions import highpass, k_weighting, peaking, shelf
 from quaver.operators import measure as m
 import quaver.plans.dynamics  # registers its queries
+import quaver.plans.chain
 import quaver.plans.mastering
 from quaver.plans.queries import ORACLES, QUERIES
 
