@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quaver.functions import energy_to_lufs, k_weighting, linear_to_db
-from quaver.operators.blocks import biquad, biquad_from, filtered_energy, stretches  # noqa: F401
+from quaver.operators.blocks import Pieces, biquad, biquad_from, filtered_energy, ordered, stretches  # noqa: F401
 from quaver.sources import positions
 
 
@@ -134,3 +135,85 @@ def pyramid(signal: DataFrame, per: int = 8, factor: int = 8, levels: int = 3) -
         level = level.groupBy("track", F.floor(F.col("bucket") / factor).alias("bucket")).agg(F.min("mn").alias("mn"), F.max("mx").alias("mx"), F.sqrt(F.avg(F.col("rms") * F.col("rms"))).alias("rms"))
         out = out.unionByName(level.select("track", F.lit(k).alias("level"), "bucket", "mn", "mx", "rms"))
     return out
+
+
+def pyramid_until(signal: DataFrame, per: int = 128, factor: int = 8, most: int = 2048) -> DataFrame:
+    """A pyramid whose levels go on, ``factor`` to one, for each track until it has at most ``most`` buckets: track, level, bucket, mn, mx, rms.
+
+    The number of levels follows from the longest track, whose length is the only thing that the driver gets.
+    """
+    level = pyramid_base(signal, per).withColumn("level", F.lit(0))
+    out, longest = level, (level.agg(F.max("bucket")).first()[0] or 0) + 1
+    while longest > most:
+        tall = level.withColumn("last", F.max("bucket").over(W.partitionBy("track"))).where(F.col("last") >= most)
+        k = F.col("level") + 1
+        level = tall.groupBy("track", k.alias("level"), F.floor(F.col("bucket") / factor).alias("bucket")).agg(F.min("mn").alias("mn"), F.max("mx").alias("mx"), F.sqrt(F.avg(F.col("rms") * F.col("rms"))).alias("rms"))
+        out, longest = out.unionByName(level), -(-longest // factor)
+    return out
+
+
+def smoothed_correlation(signal: DataFrame, block: int = 128, fs: float = 48_000, seconds: float = 0.3) -> DataFrame:
+    """Correlation from sums over blocks, each smoothed exponentially: track, block, corr; 1 while there is no signal."""
+    share = 1 - math.exp(-block / (fs * seconds))
+    sums = positions(signal).groupBy("track", F.floor(F.col("i") / block).alias("idx")).agg(*[F.sum(F.col(a) * F.col(b)).alias(n) for a, b, n in (("l", "r", "lr"), ("l", "l", "ll"), ("r", "r", "rr"))])
+
+    class Smooth(Pieces):
+        def __init__(self) -> None:
+            self.now = [0.0, 1e-12, 1e-12]
+
+        def push(self, *sums: np.ndarray) -> tuple[np.ndarray, ...]:
+            out = [np.empty(len(s)) for s in sums]
+            for k, s in enumerate(sums):
+                now = self.now[k]
+                for i, x in enumerate(s.tolist()):
+                    now += share * (x - now)
+                    out[k][i] = now
+                self.now[k] = now
+            return tuple(out)
+
+    s = ordered(sums, Smooth, ("lr", "ll", "rr"))
+    norm = F.sqrt(F.col("ll") * F.col("rr"))
+    return s.select("track", F.col("idx").alias("block"), F.when(norm > 1e-9, F.col("lr") / norm).otherwise(1.0).alias("corr"))
+
+
+def held_peaks(frames: DataFrame, fall: float = 0.06, least: float = -70.0) -> DataFrame:
+    """Peak hold over frames (track, idx, db, playing): a higher peak takes its place at once, else it falls by ``fall`` while playing: track, idx, hold."""
+
+    class Hold(Pieces):
+        now = least
+
+        def push(self, db: np.ndarray, playing: np.ndarray) -> tuple[np.ndarray, ...]:
+            out = []
+            for x, on in zip(db.tolist(), playing.tolist(), strict=True):
+                self.now = x if x > self.now else max(least, self.now - fall) if on else self.now
+                out.append(self.now)
+            return np.array(out), playing
+
+    return ordered(frames, Hold, ("db", "playing")).select("track", "idx", F.col("db").alias("hold"))
+
+
+def display_bands(spectra: DataFrame, bands: int = 56, fs: float = 48_000, attack: float = 0.5, decay: float = 0.12) -> DataFrame:
+    """Peak of each logarithmic band of spectra (label, vec_id, embedding), smoothed from one to the next: label, band, col, v."""
+
+    def peak(b: int) -> Column:
+        lo = F.floor(20 * 1000 ** (b / bands) / (fs / 2) * F.size("embedding"))
+        hi = F.least(F.size("embedding"), F.greatest(lo + 1, F.ceil(20 * 1000 ** ((b + 1) / bands) / (fs / 2) * F.size("embedding"))))
+        part = F.slice("embedding", (lo + 1).cast("int"), F.greatest(hi - lo, F.lit(0)).cast("int"))
+        return F.struct(F.lit(b).cast("long").alias("band"), F.greatest(F.lit(0.0), F.coalesce(F.array_max(part).cast("double"), F.lit(0.0))).alias("peak"))
+
+    p = spectra.select("label", "vec_id", F.inline(F.array(*[peak(b) for b in range(bands)])))
+
+    class Ballistics(Pieces):
+        now = 0.0
+
+        def push(self, peaks: np.ndarray) -> tuple[np.ndarray, ...]:
+            out = []
+            for x in peaks.tolist():
+                self.now += (x - self.now) * (attack if x > self.now else decay)
+                out.append(self.now)
+            return (np.array(out),)
+
+    s = ordered(p.select(F.concat_ws("-", "label", "band").alias("track"), F.col("vec_id").alias("idx"), F.col("peak").alias("v")), Ballistics, ("v",))
+    at = F.split("track", "-(?=[0-9]+$)")
+    col = F.row_number().over(W.partitionBy("track").orderBy("idx")).cast("long") - 1
+    return s.select(at[0].cast(spectra.schema["label"].dataType).alias("label"), at[1].cast("long").alias("band"), col.alias("col"), "v")

@@ -9,6 +9,7 @@ from quaver.operators import measure as m
 import quaver.plans.dynamics  # registers its queries
 import quaver.plans.chain
 import quaver.plans.mastering
+import quaver.plans.project
 from quaver.plans.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
