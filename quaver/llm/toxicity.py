@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -15,15 +17,30 @@ from pyspark.sql import functions as F
 
 from quaver.llm.common import held_out, materialize, small_batches, training_rows
 
-TOKEN = r"\p{L}+"
 _TOKEN = re.compile(r"[^\W\d_]+")
-#: Lengths of stems; unknown words score by their longest known stem.
-STEMS = (8, 7, 6, 5)
+#: Lengths of stems; a word scores by the likeliest of itself and its stems.
+STEMS = (8, 7, 6, 5, 4, 3)
+#: Tokens whose scores a worker remembers before it starts afresh.
+REMEMBERED = 200_000
+#: Parts of the sample; each is scored for the calibration with the tokens of the others.
+FOLDS = 5
+#: A token's log-odds are bounded on both sides, so that no single word decides.
+LOWEST, HIGHEST = -2.0, 8.0
+
+
+def tokens_of(text: str) -> list[str]:
+    """Runs of letters in lower case: the tokens of the fit and of the scores."""
+    return _TOKEN.findall(text.lower())
+
+
+def units(token: str) -> list[str]:
+    """A token and its stems."""
+    return [token, *("^" + token[:n] for n in STEMS if len(token) > n)]
 
 
 @dataclass
 class ToxicityModel:
-    """Token scores, the drift of other tokens, and the calibration."""
+    """Token scores, the drift of all tokens, and the calibration."""
 
     weights: dict[str, float]
     drift: float = 0.2
@@ -32,9 +49,17 @@ class ToxicityModel:
     slope: float = 1.0
     offset: float = -3.0
 
-    def token_scores(self, tokens: list[str]) -> list[float]:
-        known = _Scores(self)
-        return list(map(known.__getitem__, tokens))
+    def token_scores(self, tokens: list[str], known: _Scores | None = None) -> list[float]:
+        """Log-odds less the drift; the k-th occurrence of a positive token in a text counts 1/k of it."""
+        known = _Scores(self) if known is None else known
+        if len(known) > REMEMBERED:
+            known.clear()
+        out = list(map(known.__getitem__, tokens))
+        times: dict[str, int] = {}
+        for i in [i for i, x in enumerate(out) if x > 0]:
+            times[tokens[i]] = k = times.get(tokens[i], 0) + 1
+            out[i] /= k
+        return out
 
     def surprise(self, segment_score: float, n: int) -> float:
         """-ln of the chance that a clean text of n tokens has a segment of this score (Gumbel tail)."""
@@ -42,7 +67,7 @@ class ToxicityModel:
         return -log_e if log_e < -30 else -math.log(-math.expm1(-math.exp(min(log_e, 30))) or 1e-300)
 
     def evidence(self, segments: list[tuple[int, int, float]], n: int) -> float:
-        """Joint surprise of the significant segments of a text, on a log scale."""
+        """Joint surprise of all segments of a text, on a log scale."""
         return math.log1p(sum(max(0.0, self.surprise(s, n)) for _, _, s in segments))
 
     def probability(self, evidence: float) -> float:
@@ -50,31 +75,24 @@ class ToxicityModel:
 
 
 class _Scores(dict):
-    """Scores of the tokens met in one text."""
+    """Scores of the tokens met so far."""
 
     def __init__(self, model: ToxicityModel) -> None:
         super().__init__()
-        self.weights, self.drift = model.weights, -model.drift
+        self.weights, self.drift = model.weights, model.drift
 
     def __missing__(self, token: str) -> float:
-        w = self.weights.get(token)
-        for n in STEMS:
-            if w is None and len(token) > n:
-                w = self.weights.get("^" + token[:n])
-        self[token] = out = self.drift if w is None else w
+        known = [w for u in units(token) if (w := self.weights.get(u)) is not None]
+        self[token] = out = (max(LOWEST, min(HIGHEST, max(known))) if known else 0.0) - self.drift
         return out
 
 
 def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (start, end exclusive, score) in linear time (Ruzzo and Tompa 1999)."""
     segments: list[list[float]] = []  # start, end, sum before, sum after
-    total = 0.0
-    for i, x in enumerate(scores):
-        if x <= 0:
-            total += x
-            continue
-        new = [i, i + 1, total, total + x]
-        total += x
+    sums = list(accumulate(scores, initial=0.0))
+    for i in [i for i, x in enumerate(scores) if x > 0]:
+        new = [i, i + 1, sums[i], sums[i + 1]]
         while True:
             j = len(segments) - 1
             while j >= 0 and segments[j][2] >= new[2]:
@@ -87,92 +105,128 @@ def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
     return [(int(a), int(b), hi - lo) for a, b, lo, hi in segments]
 
 
-def token_weights(docs: DataFrame, rows: DataFrame, prior: float = 30.0, least_z: float = 3.0, most: int = 50_000) -> list[dict[str, float]]:
-    """Log-odds of words and stems with a Dirichlet prior, from labelled rows (doc_id, label, fold): for all, fold 0 and fold 1.
+def token_counts(sample: DataFrame) -> DataFrame:
+    """How many distinct words of the texts of each (label, fold) are or begin with each unit: unit, label, fold, n."""
 
-    Counts are of documents that hold a token. The prior of a token is ``prior`` times its share of all documents, so a rare token
-    is drawn to even odds. Only those with a z-score of ``least_z`` are kept, the ``most`` highest;
-    weights are lowered by 1.5 standard errors, so that weak evidence counts little.
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found: dict[tuple[int, int], Counter] = {}
+            for text, label, fold in zip(b["text"], b["label"], b["fold"], strict=True):
+                own = found.setdefault((int(label), int(fold)), Counter())
+                for word in set(tokens_of(text)):
+                    own.update(units(word))
+                own[""] += len(set(tokens_of(text)))  # all distinct words
+            for (label, fold), own in found.items():
+                yield pd.DataFrame({"unit": list(own), "label": label, "fold": fold, "n": list(own.values())})
+
+    return sample.select("text", "label", "fold").mapInPandas(count, "unit string, label int, fold int, n long")
+
+
+def token_weights(sample: DataFrame, prior: float = 3000.0, least_z: float = 2.5, lowered: float = 1.0) -> list[dict[str, float]]:
+    """Log-odds of words and stems with a Dirichlet prior, from sample rows (text, label, fold): of all, then without each fold.
+
+    The prior is ``prior`` words spread as in the whole sample, so a rare token is drawn to even odds. Tokens of either sign whose
+    z-score reaches ``least_z`` are kept, nearer to even odds by ``lowered`` standard errors; those of the toxic side must be in
+    the words of at least two texts. What reaches the driver is bounded by the words of the labelled sample.
     """
-    text = F.lower(F.coalesce(F.col("text"), F.lit("")))
-    words = F.array_distinct(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)))
-    held = docs.select("doc_id", words.alias("words")).join(F.broadcast(rows), "doc_id")  # rows are bounded by the sample
-    stem = lambda n: F.transform(F.filter("words", lambda w: F.length(w) > n), lambda w: F.concat(F.lit("^"), F.substring(w, 1, n)))
-    stems = F.array_distinct(F.concat(*[stem(n) for n in STEMS]))
-    tokens = held.select("label", "fold", F.explode(F.concat("words", stems)).alias("token"))
-    case = lambda label, fold: F.count(F.when((F.col("label") == label) & (F.col("fold") == fold), 1))
-    counts = tokens.groupBy("token").agg(*[case(y, f).alias(f"n{y}{f}") for y in (0, 1) for f in (0, 1)])
-    sizes = {(y, f): n for y, f, n in rows.groupBy("label", "fold").count().collect()}
-    shown = counts.select("token", *[c for c in counts.columns if c != "token"])
-    out = []
-    scored = shown
-    for name, folds in (("all", (0, 1)), ("f0", (0,)), ("f1", (1,))):
-        n = [max(1, sum(sizes.get((y, f), 0) for f in folds)) for y in (0, 1)]
-        y = [sum((F.col(f"n{c}{f}") for f in folds), F.lit(0)) for c in (0, 1)]
-        share = (y[0] + y[1]) / F.lit(float(sum(n)))
-        a = [y[c] + share * prior for c in (0, 1)]
-        odds = [F.log(F.greatest(a[c], F.lit(1e-9)) / F.greatest(F.lit(n[c] + prior) - a[c], F.lit(1e-9))) for c in (0, 1)]
-        delta = odds[1] - odds[0]
-        z = F.when(a[0] * a[1] > 0, delta / F.sqrt(1 / F.greatest(a[1], F.lit(1e-9)) + 1 / F.greatest(a[0], F.lit(1e-9))))
-        scored = scored.withColumns({f"w_{name}": F.when(y[1] >= 2, F.least(delta * (1 - 1.5 / z), F.lit(8.0))), f"z_{name}": F.when(y[1] >= 2, z)})
-    any_z = F.greatest(*[F.coalesce(f"z_{k}", F.lit(-1.0)) for k in ("all", "f0", "f1")])
-    rows_ = scored.where(any_z >= least_z).orderBy(any_z.desc(), "token").limit(most).collect()
-    for name in ("all", "f0", "f1"):
-        out.append({r["token"]: float(r[f"w_{name}"]) for r in rows_ if r[f"z_{name}"] is not None and r[f"z_{name}"] >= least_z and r[f"w_{name}"] > 1.0})
-    return out
+    case = lambda label, fold: F.coalesce(F.sum(F.when((F.col("label") == label) & (F.col("fold") == fold), F.col("n"))), F.lit(0)).alias(f"n{label}{fold}")
+    counts = materialize(token_counts(sample).groupBy("unit").agg(*[case(y, f) for y in (0, 1) for f in range(FOLDS)]))
+    whole = counts.where("unit = ''").first()
+    if whole is None:
+        return [{}] * (FOLDS + 1)
+    names = {"all": range(FOLDS)} | {f"not{f}": [g for g in range(FOLDS) if g != f] for f in range(FOLDS)}
+    scored = counts.where("unit <> ''")
+    for name, folds in names.items():
+        total = [max(1.0, float(sum(whole[f"n{y}{f}"] for f in folds))) for y in (0, 1)]
+        n = [sum((F.col(f"n{y}{f}") for f in folds), F.lit(0.0)) for y in (0, 1)]
+        share = (n[0] + n[1]) / F.lit(sum(total))
+        a = [n[y] + share * prior for y in (0, 1)]
+        odds = [F.log(a[y] / (F.lit(total[y] + prior) - a[y])) for y in (0, 1)]
+        delta, error = odds[1] - odds[0], F.sqrt(1 / a[0] + 1 / a[1])
+        weight = F.when(delta / error >= least_z, F.when(n[1] >= 2, delta - lowered * error)).when(delta / error <= -least_z, delta + lowered * error)
+        scored = scored.withColumn(f"w_{name}", F.when(n[0] + n[1] > 0, weight))
+    rows = scored.select("unit", *[f"w_{k}" for k in names]).where(F.coalesce(*[f"w_{k}" for k in names]).isNotNull()).collect()
+    return [{r["unit"]: float(r[f"w_{k}"]) for r in rows if r[f"w_{k}"] is not None} for k in names]
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = 20_000) -> ToxicityModel:
     """Learn from at most ``limit`` labelled documents that aren't held out.
 
-    Token scores come from all of them. For the calibration each half is scored with the other half's tokens: the rate and
-    size of the Gumbel law from clean texts, then a logistic curve from evidence to probability.
+    Token scores come from all of them. For the calibration each of FOLDS parts is scored with the tokens of the others: the rate and
+    size of the Gumbel law from the best segments of the clean texts and their lengths, then a logistic curve from the evidence
+    of all segments to the probability, in which the rarer class counts more (see _logistic).
+    Of rows that share a labelled id all are learned from. Without labels of both kinds the score is a constant.
     """
-    rows = materialize(training_rows(labels, label, limit).withColumn("fold", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(2)).cast("int")))
-    every, *halves = token_weights(docs, rows)
+    spark = docs.sparkSession
+    small_batches(spark)
+    rows = materialize(training_rows(labels, label, limit).withColumn("fold", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(FOLDS)).cast("int")))
+    sample = materialize(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(rows), "doc_id"))  # rows are bounded by the sample
+    every, *others = token_weights(sample)
     model = ToxicityModel(every)
-    sides = [ToxicityModel(h) for h in halves[::-1]]  # fold 0 is scored with tokens of fold 1
-    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(rows), "doc_id")
+    sides = [ToxicityModel(w) for w in others]
 
     def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = [_Scores(side) for side in sides]
         for b in batches:
             out = []
             for text, y, fold in zip(b["text"], b["label"], b["fold"], strict=True):
-                tokens = _TOKEN.findall(text.lower())
-                s = maximal_segments(sides[fold].token_scores(tokens))
-                out.append((int(y), len(tokens), sorted((x for _, _, x in s), reverse=True)[:64]))
-            yield pd.DataFrame(out, columns=["y", "n", "best"])
-
-    seen = sample.select("text", "label", "fold").mapInPandas(segments, "y int, n long, best array<double>").collect()  # at most ``limit`` rows
-    clean = np.array([(r.best[0], r.n) for r in seen if r.y == 0 and r.best], np.float64).reshape(-1, 2)
-    quiet = sum(r.y == 0 for r in seen)
-    if len(clean) >= 10 and clean[:, 0].std() > 1e-3:
-        model.rate = min(2.0, max(0.2, math.pi / (math.sqrt(6) * clean[:, 0].std())))
-    # a text's expected number of segments above s is size * n * exp(-rate * s): fitted to the clean texts' best segments
-    tail = float(np.exp(model.rate * clean[:, 0]).sum()) if len(clean) else 1.0
-    model.size = min(1.0, max(1e-9, len(clean) ** 2 / max(tail, 1e-9) / max(1.0, sum(r.n for r in seen if r.y == 0)))) if quiet else 1e-6
-    x = np.array([model.evidence([(0, 0, s) for s in r.best], r.n) for r in seen])
-    y = np.array([r.y for r in seen], np.float64)
+                tokens = tokens_of(text)
+                found = [x for _, _, x in maximal_segments(sides[fold].token_scores(tokens, known[fold]))]
+                out.append((int(y), len(tokens), max(found, default=0.0), found))
+            yield pd.DataFrame(out, columns=["y", "n", "best", "found"])
+
+    seen = materialize(sample.select("text", "label", "fold").mapInPandas(segments, "y int, n long, best double, found array<double>"))
+    clean = seen.where("y = 0").select("best", "n").toPandas()  # at most ``limit`` rows of two numbers
+    model.rate, model.size = gumbel(clean["best"].to_numpy(np.float64), clean["n"].to_numpy(np.float64))
+
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"y": b["y"], "x": [model.evidence([(0, 0, s) for s in found], n) for found, n in zip(b["found"], b["n"], strict=True)]})
+
+    points = seen.mapInPandas(weigh, "y int, x double").toPandas()
+    x, y = points["x"].to_numpy(np.float64), points["y"].to_numpy(np.float64)
     if 0 < y.sum() < len(y):
         a, c = _logistic(x, y)
         model.slope, model.offset = float(max(a, 1e-3)), float(c)
     elif len(y):
-        model.offset = 3.0 if y[0] else -3.0
+        model.slope, model.offset = 0.0, 3.0 if y[0] else -3.0
     return model
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[float, float]:
-    """Slope and offset by Newton's method with halved steps."""
+def gumbel(best: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """Rate and size of the law P(best <= s) = exp(-size * n * exp(-rate * s)) by maximum likelihood.
+
+    A text without segments (best 0) only says that its best is not above 0.
+    """
+    hits = best > 0
+    if hits.sum() < 3 or np.ptp(best[hits]) < 1e-9:
+        return 1.0, max(1e-9, float(hits.sum()) / max(1.0, float(n.sum())))
+
+    def slope(rate: float) -> float:
+        e = n * np.exp(-rate * best)
+        return 1 / rate - best[hits].mean() + float((e * best).sum() / e.sum())
+
+    low, high = 1e-3, 20.0
+    for _ in range(100):
+        mid = math.sqrt(low * high)
+        low, high = (mid, high) if slope(mid) > 0 else (low, mid)
+    return low, max(1e-12, float(hits.sum() / (n * np.exp(-low * best)).sum()))
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
+    """Slope and offset by Newton's method with halved steps. A class weighs as the square root of its number: halfway between
+    rows that all weigh alike, where a cut at 0.5 would spare the rare class, and classes that do."""
     design, beta = np.stack([x, np.ones_like(x)], 1), np.zeros(2)
+    w = np.sqrt(np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())))
 
     def loss(b: np.ndarray) -> float:
         m = design @ b
-        return float(np.logaddexp(0, m).sum() - y @ m + ridge * b @ b / 2)
+        return float((w * (np.logaddexp(0, m) - y * m)).sum() + ridge * b @ b / 2)
 
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -50, 50)))
-        g = design.T @ (p - y) + ridge * beta
-        step = np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + ridge * np.eye(2), g)
+        g = design.T @ (w * (p - y)) + ridge * beta
+        step = np.linalg.solve((design * (w * p * (1 - p))[:, None]).T @ design + ridge * np.eye(2), g)
         size = 1.0
         while loss(beta - size * step) > loss(beta) and size > 1e-6:
             size /= 2
@@ -186,17 +240,18 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...]
     """Score whole texts: ``keep`` columns, held_out, score, predicted, passages (start and end token, score).
 
     Null and empty texts have no passages and the score of no evidence. Rows are independent: repeated rows, null ids (not held out) and
-    extra columns change nothing; an empty table gives an empty result.
+    extra columns change nothing; an empty table gives an empty result. Very long texts: time and memory grow with the length.
     """
     small_batches(docs.sparkSession)
     held = F.struct(*keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Scores(model)
         for b in batches:
             scores, passages = [], []
             for text in b.column("text").to_pylist():
-                tokens = _TOKEN.findall(text.lower())
-                found = maximal_segments(model.token_scores(tokens))
+                tokens = tokens_of(text)
+                found = maximal_segments(model.token_scores(tokens, known))
                 scores.append(model.probability(model.evidence(found, len(tokens))))
                 passages.append([{"start": a, "end": z, "score": s} for a, z, s in found if model.surprise(s, len(tokens)) > 3.0])
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
