@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from quaver.llm.common import small_batches
 
-#: White space at which fragments may begin, and how many fragments a worker remembers before it starts afresh.
-SPACES, REMEMBERED = " \t\n\r\x0b\x0c", 200_000
+#: White space at which fragments may begin.
+SPACES = " \t\n\r\x0b\x0c"
+#: Characters of a fragment that is worth remembering, and of all that a worker remembers before it starts afresh.
+SHORT, REMEMBERED = 64, 1 << 23
 
 
 def byte_letters() -> dict[str, int]:
@@ -31,9 +33,10 @@ class ForcedBoundaryBpe:
     """Encoder of a byte-level BPE ``tokenizer.json`` (no normalizer, no prefix space).
 
     A merge only makes tokens of the vocabulary, so two neighbouring bytes that no token holds side by side always belong to
-    different tokens. Where in addition the left character is not white space and the right one is, no piece of the
-    splitting pattern spans the place or looks across it. Text is cut at such places, fragments are encoded on their own
-    (each distinct one once), and the ids are concatenated. Special tokens in a text are cut out first, as the library does.
+    different tokens: a forced boundary. Text is cut at these in two steps. Where the left character is not white space and the
+    right one is, no piece of the splitting pattern spans the place or looks across it, so the text is cut there before the pattern
+    is applied. The pattern's pieces in each fragment are then cut at all other forced boundaries, and what is left is
+    merged on its own. The ids are concatenated. Short fragments are encoded once. Special tokens in a text are cut out first, as the library does.
     """
 
     def __init__(self, path: str) -> None:
@@ -55,16 +58,27 @@ class ForcedBoundaryBpe:
         self.fragment = re.compile(r"\s*\S+(?:[^\S \t-\r]\s*\S*)*|\s+")
         self.open_cuts = {(b, ord(s)) for b in range(256) for s in SPACES if (b, ord(s)) in self.joined and not chr(b).isspace()}
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.said: dict[str, str] = {}
-        self.known = _Known(self._fast(spec) or self._library, self.said)
+        # most fragments: what the splitting pattern makes of them is plain from it
+        self.letters, self.common = letters, re.compile(r"(\n?)( ?[A-Za-zÀ-ÖØ-öø-ʯ]+)([.,;:!?]*)")
+        self.plain_bytes = {ord(c): b for c, b in letters.items()}
+        self.forced = np.ones((256, 256), bool)
+        for x, y in self.joined:
+            self.forced[x, y] = False
+        self.merged = self._ranked(spec) or self._library
+        self.known = _Known(self._encode)
         self._forget()
         self.table = [self.bytes_of[i] for i in range(len(self.bytes_of))] if set(self.bytes_of) == set(range(len(self.bytes_of))) else self.bytes_of
 
-    def _library(self, fragment: str) -> list[int]:
-        return self.tokenizer.encode(fragment, add_special_tokens=False).ids
+    def _library(self, piece: bytes) -> list[int]:
+        """Merge the bytes of a piece, without the splitting pattern."""
+        return [t.id for t in self.tokenizer.model.tokenize("".join(map(self._letter_of().__getitem__, piece)))]
 
-    def _fast(self, spec: dict):
-        """An encoder by ranks that gives the same ids in a tenth of the time for a short fragment, or None.
+    @lru_cache(maxsize=1)  # noqa: B019
+    def _letter_of(self) -> dict[int, str]:
+        return {b: c for c, b in self.letters.items()}
+
+    def _ranked(self, spec: dict):
+        """Merging by ranks, which gives the same ids in a tenth of the time for a short piece, or None.
 
         It merges any neighbours whose bytes make a token, the library only listed pairs. The two agree if ids follow the
         order of the merges and the listed merges turn the bytes of each token into that token: neighbours x, y that
@@ -80,7 +94,27 @@ class ForcedBoundaryBpe:
         if not ordered or any(len(whole(t)) != 1 for t in vocab if t not in special):
             return None
         ranks = {self.bytes_of[i]: i for t, i in vocab.items() if t not in special}
-        return tiktoken.Encoding("by-rank", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        return tiktoken.Encoding("by-rank", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+
+    def pieces(self, fragment: str) -> list[bytes]:
+        """The pattern's pieces of a fragment, cut at forced boundaries."""
+        if (m := self.common.fullmatch(fragment)) and not (m[1] and m[2][0] == " "):
+            found = [p.encode() for p in m.groups() if p]
+        else:
+            found = [p.translate(self.plain_bytes).encode("latin-1") for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(fragment)]
+        out: list[bytes] = []
+        for p in found:
+            if len(p) > SHORT:
+                b = np.frombuffer(p, np.uint8)
+                cuts = (np.flatnonzero(self.forced[b[:-1], b[1:]]) + 1).tolist()
+            else:
+                joined = self.joined
+                cuts = [i for i, pair in enumerate(zip(p, p[1:], strict=False), 1) if pair not in joined]
+            out += [p[i:j] for i, j in zip([0, *cuts], [*cuts, len(p)], strict=True)] if cuts else [p]
+        return out
+
+    def _encode(self, fragment: str) -> list[int]:
+        return [i for p in self.pieces(fragment) for i in self.merged(p)]
 
     def fragments(self, text: str) -> list[str]:
         found = (self.fragment if self.rare.search(text) else self.plain).findall(text)
@@ -105,34 +139,36 @@ class ForcedBoundaryBpe:
 
     def _forget(self) -> None:
         self.known.clear()
-        self.said.clear()
-        self.known.update({t: (i,) for t, i in self.special.items()})
-        self.said.update({t: str(i) for t, i in self.special.items()})
+        self.known.size = 0
+        self.known.update({t: ((i,), str(i)) for t, i in self.special.items()})
 
     def encode(self, text: str) -> tuple[list[int], str]:
         """Ids, and the same as decimals joined by commas."""
-        parts = self.parts(text)
-        if len(self.known) > REMEMBERED:
+        if self.known.size > REMEMBERED:
             self._forget()
-        ids = list(chain.from_iterable(map(self.known.__getitem__, parts)))
-        return ids, ",".join(map(self.said.__getitem__, parts))
+        found = list(map(self.known.__getitem__, self.parts(text)))
+        return list(chain.from_iterable([ids for ids, _ in found])), ",".join([said for _, said in found])
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.table.__getitem__, ids)).decode("utf-8", "replace")
 
 
 class _Known(dict):
-    """Ids of each distinct fragment, encoded when first met; ``said`` gets the same as text."""
+    """Ids of each distinct fragment and the same as text; long ones are not kept."""
+
+    size = 0
 
-    def __init__(self, encode, said: dict[str, str]) -> None:
+    def __init__(self, encode) -> None:
         super().__init__()
-        self.encode, self.texts = encode, said
+        self.encode = encode
 
-    def __missing__(self, fragment: str) -> tuple[int, ...]:
+    def __missing__(self, fragment: str) -> tuple[tuple[int, ...], str]:
         ids = tuple(self.encode(fragment))
-        self.texts[fragment] = ",".join(map(str, ids))
-        self[fragment] = ids
-        return ids
+        out = ids, ",".join(map(str, ids))
+        if len(fragment) <= SHORT and self.size <= REMEMBERED:
+            self.size += len(fragment) + len(out[1])
+            self[fragment] = out
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -147,7 +183,8 @@ def encode(docs: DataFrame, path: str, out: tuple[str, ...] = ("n_tokens", "ids"
     """Encode and decode whole texts: doc_id and the columns of KINDS in ``out``.
 
     Null texts count as empty: no ids, an empty decoded text. Rows are independent: repeated rows and ids, null ids and extra
-    columns change nothing, and an empty table gives an empty result. ``path``: the tokenizer file, the same on all machines.
+    columns change nothing, and an empty table gives an empty result. Very long texts, with or without white space, take time and
+    memory in proportion to their length. ``path``: the tokenizer file, the same on all machines.
     """
     small_batches(docs.sparkSession)
     sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
