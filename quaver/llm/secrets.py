@@ -241,19 +241,48 @@ def best_parts(run: str, scorer: FormatScorer, least: float) -> list[tuple[int,
     return out[::-1]
 
 
+class _Running:
+    """The score of a growing part of a run, from one beginning."""
+
+    def __init__(self, scorer: FormatScorer, run: str, start: int) -> None:
+        self.run, self.start, self.end = run, start, start
+        self.automata = [*scorer.formats.values(), scorer.other]
+        self.at = [(0, 0.0)] * len(self.automata)
+
+    def grown(self, end: int) -> _Running:
+        out = object.__new__(_Running)
+        out.run, out.start, out.end, out.automata, out.at = self.run, self.start, end, self.automata, []
+        symbols = [_symbol(self.run[i], i - self.start) for i in range(self.end, end)]
+        for f, (s, v) in zip(self.automata, self.at, strict=True):
+            for c in symbols:
+                s, more = f.step(s, c)
+                v += more
+            out.at.append((s, v))
+        return out
+
+    def score(self) -> float:
+        done = [v + f.ending(s) for f, (s, v) in zip(self.automata, self.at, strict=True)]
+        return (max(done[:-1]) - done[-1]) / (self.end - self.start)
+
+
 def rejoined(run: str, parts: list[tuple[int, int]], scorer: FormatScorer, least: float) -> list[tuple[int, int]]:
     """``parts`` with those that one joint separates made one where the whole scores enough too, as for tokens with dots inside."""
-    out: list[tuple[int, int]] = []
+    out: list[_Running] = []
     for a, b in parts:
-        if out and a == out[-1][1] + 1 and scorer.score(run[out[-1][0] : b]) >= least:
-            out[-1] = (out[-1][0], b)
+        more = out[-1].grown(b) if out and a == out[-1].end + 1 else None
+        if more is not None and more.score() >= least:
+            out[-1] = more
         else:
-            out.append((a, b))
-    return out
+            out.append(_Running(scorer, run, a).grown(b))
+    return [(r.start, r.end) for r in out]
 
 
 def scan(text: str, scorer: FormatScorer, least: float) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
-    """Base spans, and these with the best candidates outside of them that score at least ``least``."""
+    """Base spans, and these with the best candidates that score at least ``least``.
+
+    Every run is a candidate as a whole, whatever base spans lie in it, and so is what base spans leave of it. What a base span
+    already covers is not named again.
+    """
     base = base_spans(text)
     more, k = [], 0
     merged: list[list[int]] = []
@@ -262,19 +291,27 @@ def scan(text: str, scorer: FormatScorer, least: float) -> tuple[list[tuple[str,
             merged[-1][1] = max(merged[-1][1], b)
         else:
             merged.append([a, b])
+
+    def parts(a: int, b: int) -> list[tuple[int, int]]:
+        if b - a < CANDIDATE_LEAST:
+            return []
+        return [(a + x, a + y) for x, y in rejoined(text[a:b], best_parts(text[a:b], scorer, least), scorer, least)]
+
     for m in CANDIDATE.finditer(text):
         while k < len(merged) and merged[k][1] <= m.start():
             k += 1
-        at, j = m.start(), k
-        free = []
+        j = k
         while j < len(merged) and merged[j][0] < m.end():
-            free.append((at, merged[j][0]))
-            at, j = max(at, merged[j][1]), j + 1
-        free.append((at, m.end()))
-        for a, b in free:
-            if b - a >= CANDIDATE_LEAST:
-                run = text[a:b]
-                more += [("format", a + x, a + y) for x, y in rejoined(run, best_parts(run, scorer, least), scorer, least)]
+            j += 1
+        within = merged[k:j]
+        whole = [(a, b) for a, b in parts(m.start(), m.end()) if not any(x <= a and b <= y for x, y in within)]
+        # the gaps between all of these: base spans and parts found
+        at = m.start()
+        for x, y in [*sorted([*map(tuple, within), *whole]), (m.end(), m.end())]:
+            if within and x - at >= CANDIDATE_LEAST:
+                more += [("format", a, b) for a, b in parts(at, x)]
+            at = max(at, y)
+        more += [("format", a, b) for a, b in whole]
     return base, sorted(base + more, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
@@ -292,9 +329,10 @@ def find_secrets(docs: DataFrame, labelled: dict[str, list[str]] | None = None,
     """Scan whole texts: ``keep`` columns, n_assign, n_access, n_hex, n_format, base_sha256, spans and redacted (null stays null).
 
     The automata are inferred on the driver from ``labelled`` (a few hundred strings of each format and of ``other`` tokens; see
-    labelled_credentials) and score every run of 20 and more credential characters that no base rule matched, and its parts (see best_parts).
+    labelled_credentials) and score every run of 20 and more credential characters, and its parts (see best_parts), also where base rules match in it.
     Null texts count as empty: no spans, the digest of the empty string. Rows are independent: repeated rows, null ids and
     extra columns change nothing; an empty table gives an empty result. Spans count code points, ends exclusive.
+    Very long texts and runs: the time grows with their length.
     """
     small_batches(docs.sparkSession)
     scorer = FormatScorer(labelled or labelled_credentials())
