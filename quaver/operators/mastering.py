@@ -245,7 +245,7 @@ def novelty(bands: DataFrame, width: int) -> DataFrame:
     return step.where(F.col("n") == 2 * width).groupBy("label", "col").agg(F.sqrt(F.sum(F.col("d") * F.col("d"))).alias("v"))
 
 
-def pick_peaks(curve: DataFrame, sigmas: float, gap: int) -> DataFrame:
+def pick_peaks(curve: DataFrame, sigmas: float, gap: float) -> DataFrame:
     """Local maxima above mean + ``sigmas`` deviations: label, col, v.
 
     A peak nearer than ``gap`` to the last one kept takes its place if it is higher; this is greedy from the left.
@@ -276,6 +276,15 @@ def bar_offset(bounds: DataFrame, first: int, beat: int, beats: int = 4) -> Data
     return sums.select("label", best["k"].alias("k"), best["dist"].cast("long").alias("dist"))
 
 
+def bar_offset_seconds(bounds: DataFrame, beats: int = 4) -> DataFrame:
+    """The same in seconds, from boundaries with their track's grid (track, sec, first_beat, beat): track, k, dist."""
+    bar = F.col("beat") * beats
+    far = lambda k: F.pmod(F.col("sec") - (F.col("first_beat") + k * F.col("beat")), bar)
+    sums = bounds.groupBy("track").agg(*[F.sum(F.least(far(k), bar - far(k))).alias(f"d{k}") for k in range(beats)])
+    best = F.array_min(F.array(*[F.struct(F.col(f"d{k}").alias("dist"), F.lit(k).cast("long").alias("k")) for k in range(beats)]))
+    return sums.select("track", best["k"].alias("k"), best["dist"].alias("dist"))
+
+
 def label_sections(sections: DataFrame) -> DataFrame:
     """Adds label to (track, seg, mean): by terciles of the mean LOW, MID or PEAK; a first or last one that is no PEAK is INTRO or OUTRO."""
     w = W.partitionBy("track")

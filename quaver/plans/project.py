@@ -330,8 +330,8 @@ def correlation_smoothed(spark, d):
     return m.smoothed_correlation(ev(spark, d), 16, 4800).select("track", "block", r4(F.col("corr")).alias("corr"))
 
 
-@query("""WITH e AS (SELECT user_id, event_id, event_type, epoch_ms(ts) AS at, lead(epoch_ms(ts)) OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS later FROM events)
-SELECT user_id, event_id, event_type FROM e WHERE later IS NULL OR later - at >= 36000000""")
+@query("""WITH e AS (SELECT user_id, event_id, event_type, epoch_ms(ts) AS ms, lead(epoch_ms(ts)) OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS later FROM events)
+SELECT user_id, event_id, event_type FROM e WHERE later IS NULL OR later - ms >= 36000000""")
 def debounced(spark, d):
     """Of changes to one field that follow each other closely only the last acts."""
     e = read(spark, d, "events").select("user_id", "event_id", "event_type", F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))

@@ -10,6 +10,7 @@ import quaver.plans.dynamics  # registers its queries
 import quaver.plans.chain
 import quaver.plans.mastering
 import quaver.plans.project
+import quaver.plans.tempo
 from quaver.plans.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
