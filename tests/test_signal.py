@@ -8,6 +8,7 @@ from quaver.functions import highpass, k_weighting, peaking, shelf
 from quaver.operators import measure as m
 import quaver.plans.dynamics  # registers its queries
 import quaver.plans.chain
+import quaver.plans.files
 import quaver.plans.mastering
 import quaver.plans.project
 import quaver.plans.tempo
