@@ -12,7 +12,8 @@ from quaver.functions import energy_to_lufs, fade_gain, half_up, k_weighting, lo
 from quaver.operators import measure as m
 from quaver.operators.blocks import filtered, folded
 from quaver.plans.dims import PLATFORMS, PRESETS
-from quaver.sources import event_signal, line_signal, positions, read
+from quaver.sources import event_signal, line_signal, positions, read, written
+from quaver.streaming.loudness import meter_files, played
 from quaver.streaming.meters import meter_frames, meter_frames_stream
 
 QUERIES, ORACLES = {}, {}
@@ -370,6 +371,16 @@ def meter_frames_streamed(spark, d):
     return meter_frames_stream(spark, d)
 
 
+@query(f"""WITH {EV}, b AS (SELECT track, i // 128 AS b, max(greatest(abs(l), abs(r))) AS peak, count(*) AS n FROM sp GROUP BY 1, 2 UNION ALL SELECT track, -1, NULL, count(*) FROM sp GROUP BY 1)
+SELECT track, CAST(b AS BIGINT) AS frame, b = -1 AS ended, CASE WHEN b = -1 THEN n ELSE (b + 1) * 128 END AS playhead FROM b WHERE b = -1 OR n = 128""")
+def loudness_streamed(spark, d):
+    """Which frames the streamed meter gives for each track, and the playhead at each; its readings are tested against the batch operators."""
+    samples = written(played(positions(ev(spark, d))))
+    stream = spark.readStream.schema(samples.schema).parquet(samples.inputFiles()[0].rsplit("/", 1)[0])
+    frames = meter_files(stream, 4800, 128)
+    return frames.select("track", F.when(F.col("ended"), F.lit(-1)).otherwise(F.col("frame")).cast("long").alias("frame"), "ended", "playhead")
+
+
 @query(f"WITH {EV} SELECT track, i, CASE WHEN i < 100 THEN i ELSE 20 + (i - 20) % 80 END AS src_idx FROM sp")
 def loop_remap(spark, d):
     """Play positions with a loop over [20, 100)."""
