@@ -8,61 +8,12 @@ from quaver.functions import r4
 from quaver.operators import chain as ch
 from quaver.operators import measure as m
 from quaver.plans.queries import EV, ev, query
+from quaver.plans.sql import between, coefficients, decay, follow, recursion
 from quaver.sources import positions
 
 FS = 48000
 
-# Oracles: filters from their formulas, in SQL, with the constants of the format spelled out where they are used.
-
-
-def _sql(kind: str, f: float, gain: float = 0.0, q: float = 0.707, fs: int = FS) -> tuple[str, ...]:
-    w, a = f"(2 * pi() * {f!r} / {fs!r}::DOUBLE)", f"pow(10::DOUBLE, {gain!r} / 40::DOUBLE)"
-    c, s = f"cos({w})", f"sin({w})"
-    if kind in ("high", "low"):
-        al, sign = f"({s} / (2 * {q!r}::DOUBLE))", "+" if kind == "high" else "-"
-        a0 = f"(1 + {al})"
-        mid = f"(-(1 + {c}) / {a0})" if kind == "high" else f"((1 - {c}) / {a0})"
-        b = f"((1 {sign} {c}) / 2 / {a0})"
-        return b, mid, b, f"(-2 * {c} / {a0})", f"((1 - {al}) / {a0})"
-    if kind == "peak":
-        al = f"({s} / (2 * {q!r}::DOUBLE))"
-        a0 = f"(1 + {al} / {a})"
-        return f"((1 + {al} * {a}) / {a0})", f"(-2 * {c} / {a0})", f"((1 - {al} * {a}) / {a0})", f"(-2 * {c} / {a0})", f"((1 - {al} / {a}) / {a0})"
-    t = f"(2 * sqrt({a}) * ({s} / 2 * sqrt(({a} + 1 / {a}) * (1 / {q!r}::DOUBLE - 1) + 2)))"
-    up, down = ("+", "-") if kind == "highshelf" else ("-", "+")
-    a0 = f"(({a} + 1) {down} ({a} - 1) * {c} + {t})"
-    two = "-2" if kind == "highshelf" else "2"
-    return (
-        f"({a} * (({a} + 1) {up} ({a} - 1) * {c} + {t}) / {a0})", f"({two} * {a} * (({a} - 1) {up} ({a} + 1) * {c}) / {a0})", f"({a} * (({a} + 1) {up} ({a} - 1) * {c} - {t}) / {a0})",
-        f"({'2' if kind == 'highshelf' else '-2'} * (({a} - 1) {down} ({a} + 1) * {c}) / {a0})", f"((({a} + 1) {down} ({a} - 1) * {c} - {t}) / {a0})",
-    )
-
-
-def _constants(stages: list[tuple[str, ...]]) -> tuple[str, list[tuple[str, ...]]]:
-    """A table of the filters' coefficients, and the names of its columns."""
-    names = [[f"c{k}{n}" for n in ("b0", "b1", "b2", "a1", "a2")] for k in range(len(stages))]
-    table = "SELECT " + ", ".join(f"{e} AS {n}" for st, ns in zip(stages, names, strict=True) for e, n in zip(st, ns, strict=True))
-    return table, [tuple(f"K.{n}" for n in ns) for ns in names]
-
-
-def recursion(stages: list[tuple[str, ...]], channels: str = "lr", signal: str = EV) -> str:
-    """f(track, i, y per channel) of a cascade given as SQL coefficients."""
-    table, names = _constants(stages)
-    cols, init, step = [], [], []
-    for c in channels:
-        x = x0 = f"s.{c}"
-        for k, (b0, b1, b2, a1, a2) in enumerate(names):
-            y, p, q = f"{c}y{k}", f"{c}p{k}", f"{c}q{k}"
-            y0, y1 = f"({b0} * {x0})", f"({b0} * {x} + f.{p})"
-            cols += [y, p, q]
-            init += [f"{y0} AS {y}", f"({b1} * {x0} - {a1} * {y0}) AS {p}", f"({b2} * {x0} - {a2} * {y0}) AS {q}"]
-            step += [y1, f"({b1} * {x} - {a1} * {y1} + f.{q})", f"({b2} * {x} - {a2} * {y1})"]
-            x0, x = y0, y1
-    last = len(names) - 1
-    out = ", ".join(f"{c}y{last} AS f{c}" for c in channels)
-    return f"""{signal}, K AS MATERIALIZED ({table}), f AS (SELECT s.track, s.i, {', '.join(init)} FROM sp s, K WHERE s.i = 0
-  UNION ALL SELECT s.track, s.i, {', '.join(step)} FROM f JOIN sp s ON s.track = f.track AND s.i = f.i + 1, K), fs AS (SELECT track, i, {out} FROM f)"""
-
+# Oracles spell out their constants where they are used.
 
 _ENERGY = "round(sum(fl * fl), 4) + 0.0 AS e_l, round(sum(fr * fr), 4) + 0.0 AS e_r"
 
@@ -72,15 +23,15 @@ def _shown(signal):
     return e.select("track", r4(F.col("e_l")).alias("e_l"), r4(F.col("e_r")).alias("e_r"))
 
 
-RUMBLE = _sql("high", 18.0)
+RUMBLE = coefficients("high", 18.0)
 
 
-@query(f"WITH RECURSIVE {recursion([RUMBLE, _sql('lowshelf', 700.0, -2.7, 0.6), _sql('highshelf', 700.0, 2.7, 0.6)])} SELECT track, {_ENERGY} FROM fs GROUP BY 1")
+@query(f"WITH RECURSIVE {recursion([RUMBLE, coefficients('lowshelf', 700.0, -2.7, 0.6), coefficients('highshelf', 700.0, 2.7, 0.6)], "lr", EV)} SELECT track, {_ENERGY} FROM fs GROUP BY 1")
 def tilt_eq(spark, d):
     return _shown(ch.filtered(ev(spark, d), ch.equaliser(ch.Settings(tone=0.6), FS)))
 
 
-@query(f"WITH RECURSIVE {recursion([RUMBLE, _sql('peak', 3000.0, 2.0, 0.9), _sql('peak', 450.0, -1.25, 0.9), _sql('highshelf', 13000.0, 4.2, 0.75)])} SELECT track, {_ENERGY} FROM fs GROUP BY 1")
+@query(f"WITH RECURSIVE {recursion([RUMBLE, coefficients('peak', 3000.0, 2.0, 0.9), coefficients('peak', 450.0, -1.25, 0.9), coefficients('highshelf', 13000.0, 4.2, 0.75)], "lr", EV)} SELECT track, {_ENERGY} FROM fs GROUP BY 1")
 def shape_and_air_eq(spark, d):
     return _shown(ch.filtered(ev(spark, d), ch.equaliser(ch.Settings(shape=0.5, air=0.7), FS)))
 
@@ -88,7 +39,7 @@ def shape_and_air_eq(spark, d):
 MATCH = (3.0, 0.01, -2.0, 0.0, 0.0, 1.5, 0.0, 0.0, 0.0, 4.0)  # the second and the zeros are too small to count
 
 
-@query(f"""WITH RECURSIVE {recursion([RUMBLE, _sql('lowshelf', 31.5 * 1.4, 3.0, 0.8), _sql('peak', 125.0, -2.0, 1.1), _sql('peak', 1000.0, 1.5, 1.1), _sql('highshelf', 16000 * 0.8, 4.0, 0.8)])}
+@query(f"""WITH RECURSIVE {recursion([RUMBLE, coefficients('lowshelf', 31.5 * 1.4, 3.0, 0.8), coefficients('peak', 125.0, -2.0, 1.1), coefficients('peak', 1000.0, 1.5, 1.1), coefficients('highshelf', 16000 * 0.8, 4.0, 0.8)], "lr", EV)}
 SELECT track, {_ENERGY} FROM fs GROUP BY 1""")
 def match_eq(spark, d):
     return _shown(ch.filtered(ev(spark, d), ch.equaliser(ch.Settings(match=MATCH), FS)))
@@ -97,7 +48,7 @@ def match_eq(spark, d):
 ADVANCED = ((True, "lowshelf", 100.0, 2.0, 0.7), (True, "peak", 250.0, -3.0, 1.4), (False, "peak", 800.0, 5.0, 1.0), (True, "peak", 2500.0, 0.04, 1.0), (True, "highshelf", 12000.0, -2.0, 0.8))
 
 
-@query(f"WITH RECURSIVE {recursion([RUMBLE, _sql('lowshelf', 100.0, 2.0, 0.9), _sql('peak', 250.0, -3.0, 1.4), _sql('highshelf', 12000.0, -2.0, 0.9)])} SELECT track, {_ENERGY} FROM fs GROUP BY 1")
+@query(f"WITH RECURSIVE {recursion([RUMBLE, coefficients('lowshelf', 100.0, 2.0, 0.9), coefficients('peak', 250.0, -3.0, 1.4), coefficients('highshelf', 12000.0, -2.0, 0.9)], "lr", EV)} SELECT track, {_ENERGY} FROM fs GROUP BY 1")
 def advanced_eq(spark, d):
     return _shown(ch.filtered(ev(spark, d), ch.equaliser(ch.Settings(advanced=ADVANCED), FS)))
 
@@ -105,16 +56,12 @@ def advanced_eq(spark, d):
 _LOW = 4800  # the dynamics at a tenth of the rate, so that short tracks meet them
 
 
-def _e(seconds: float, fs: int = _LOW) -> str:
-    return f"exp(-1 / ({fs}::DOUBLE * {seconds!r}))"
-
-
 _COMP = f"""g AS (SELECT DISTINCT track, -1::BIGINT AS i, 0.0::DOUBLE AS l, 0.0::DOUBLE AS r, 0.0::DOUBLE AS level, -80.0::DOUBLE AS env, 0.0::DOUBLE AS gr FROM sp UNION ALL
-SELECT track, i, l, r, level, env, goal + CASE WHEN goal > gr THEN {_e(0.01)} ELSE {_e(0.15)} END * (gr - goal) FROM (
+SELECT track, i, l, r, level, env, goal + CASE WHEN goal > gr THEN {decay(0.01)} ELSE {decay(0.15)} END * (gr - goal) FROM (
   SELECT *, CASE WHEN env + 20.8 >= 4 THEN (env + 20.8) * (1 - 1 / 1.68::DOUBLE) WHEN env + 20.8 > -4 THEN (1 - 1 / 1.68::DOUBLE) * pow(env + 24.8, 2) / 16 ELSE 0 END AS goal FROM (
-    SELECT track, i, l, r, level, gr, db + CASE WHEN db > env THEN {_e(0.03)} ELSE {_e(0.25)} END * (env - db) AS env FROM (
+    SELECT track, i, l, r, level, gr, db + CASE WHEN db > env THEN {decay(0.03)} ELSE {decay(0.25)} END * (env - db) AS env FROM (
       SELECT *, 10 * log10(level + 1e-12) AS db FROM (
-        SELECT s.track, s.i, s.l, s.r, g.env, g.gr, g.level + (1 - {_e(0.005)}) * ((s.l * s.l + s.r * s.r) / 2 - g.level) AS level FROM g JOIN sp s ON s.track = g.track AND s.i = g.i + 1)))))"""
+        SELECT s.track, s.i, s.l, s.r, g.env, g.gr, g.level + (1 - {decay(0.005)}) * ((s.l * s.l + s.r * s.r) / 2 - g.level) AS level FROM g JOIN sp s ON s.track = g.track AND s.i = g.i + 1)))))"""
 
 
 @query(f"""WITH RECURSIVE {EV}, {_COMP}, y AS (SELECT track, pow(10, (-gr + 8.8 * (1 - 1 / 1.68::DOUBLE) * 0.7) / 20::DOUBLE) AS k, l, r FROM g WHERE i >= 0)
@@ -124,14 +71,10 @@ def compressed(spark, d):
     return _shown(ch.ordered(ev(spark, d), lambda: ch.Compressor(0.6, _LOW)))
 
 
-def _up(name: str, x: str, a: float, b: float) -> str:
-    return f"{name} + CASE WHEN {x} > {name} THEN 1 - {_e(a)} ELSE 1 - {_e(b)} END * ({x} - {name})"
-
-
 _TRANS = f"""g AS (SELECT DISTINCT track, -1::BIGINT AS i, 0.0::DOUBLE AS l, 0.0::DOUBLE AS r, 0.0::DOUBLE AS fast, 0.0::DOUBLE AS slow, 0.0::DOUBLE AS gain FROM sp UNION ALL
-SELECT track, i, l, r, fast, slow, gain + CASE WHEN abs(goal) > abs(gain) THEN 1 - {_e(0.0005)} ELSE 1 - {_e(0.03)} END * (goal - gain) FROM (
+SELECT track, i, l, r, fast, slow, gain + CASE WHEN abs(goal) > abs(gain) THEN 1 - {decay(0.0005)} ELSE 1 - {decay(0.03)} END * (goal - gain) FROM (
   SELECT *, -0.7::DOUBLE * 0.6::DOUBLE * least(10, greatest(0, 20 * log10((fast + 1e-9) / (slow + 1e-9)))) AS goal FROM (
-    SELECT track, i, l, r, gain, {_up('fast', 'x', 0.0002, 0.03)} AS fast, {_up('slow', 'x', 0.015, 0.3)} AS slow
+    SELECT track, i, l, r, gain, {follow('fast', 'x', 0.0002, 0.03)} AS fast, {follow('slow', 'x', 0.015, 0.3)} AS slow
     FROM (SELECT s.track, s.i, s.l, s.r, g.fast, g.slow, g.gain, greatest(abs(s.l), abs(s.r)) AS x FROM g JOIN sp s ON s.track = g.track AND s.i = g.i + 1))))"""
 
 
@@ -141,22 +84,12 @@ def transients_shaped(spark, d):
     return _shown(ch.ordered(ev(spark, d), lambda: ch.Transients(-0.7, _LOW)))
 
 
-def _tap(fraction: float, n: int) -> str:
-    k = n - (3 + fraction)
-    return f"(sin(pi() * {k!r}) / (pi() * {k!r}) * greatest(0, 0.54 + 0.46 * cos(pi() * {k!r} / 4)))"
-
-
-def _point(c: str, fraction: float) -> str:
-    total = " + ".join(_tap(fraction, n) for n in range(8))
-    return f"abs(({' + '.join(f'{_tap(fraction, n)} * lag({c}, {n}, 0.0::DOUBLE) OVER w' for n in range(8))}) / ({total}))"
-
-
 _CEIL = "pow(10::DOUBLE, -12 / 20::DOUBLE)"
-_LIM = f"""tp AS MATERIALIZED (SELECT track, i, l, r, greatest(abs(l), abs(r), {', '.join(_point(c, q) for c in 'lr' for q in (0.25, 0.5, 0.75))}) AS peak FROM sp WINDOW w AS (PARTITION BY track ORDER BY i)),
+_LIM = f"""tp AS MATERIALIZED (SELECT track, i, l, r, greatest(abs(l), abs(r), {', '.join(between(c, q) for c in 'lr' for q in (0.25, 0.5, 0.75))}) AS peak FROM sp WINDOW w AS (PARTITION BY track ORDER BY i)),
 req AS MATERIALIZED (SELECT track, i, min(CASE WHEN peak > {_CEIL} THEN {_CEIL} / peak ELSE 1 END) OVER (PARTITION BY track ORDER BY i ROWS BETWEEN 15 PRECEDING AND CURRENT ROW) AS low,
   lag(l, 16, 0.0::DOUBLE) OVER o AS l, lag(r, 16, 0.0::DOUBLE) OVER o AS r FROM tp WINDOW o AS (PARTITION BY track ORDER BY i)),
 g AS (SELECT DISTINCT track, -1::BIGINT AS i, 1.0::DOUBLE AS gain, 0.0::DOUBLE AS l, 0.0::DOUBLE AS r FROM req UNION ALL
-SELECT q.track, q.i, q.low + CASE WHEN q.low < g.gain THEN {_e(0.0025 / 4)} ELSE {_e(0.09)} END * (g.gain - q.low), q.l, q.r FROM g JOIN req q ON q.track = g.track AND q.i = g.i + 1),
+SELECT q.track, q.i, q.low + CASE WHEN q.low < g.gain THEN {decay(0.0025 / 4)} ELSE {decay(0.09)} END * (g.gain - q.low), q.l, q.r FROM g JOIN req q ON q.track = g.track AND q.i = g.i + 1),
 y AS (SELECT track, i, l, r, greatest(-{_CEIL}, least({_CEIL}, l * gain)) AS yl, greatest(-{_CEIL}, least({_CEIL}, r * gain)) AS yr FROM g WHERE i >= 0)"""
 
 
@@ -192,13 +125,13 @@ def saturated_oversampled(spark, d):
     return _shown(ch.ordered(one, lambda: ch.Saturator(0.4, FS))).select("track", "e_l")
 
 
-_LANES = f"""{EV}, b AS MATERIALIZED (SELECT * FROM (WITH RECURSIVE {recursion([_sql('low', 120.0, q=0.54), _sql('low', 120.0, q=1.31)])} SELECT track, i, sp.l + (pow(10::DOUBLE, 2 / 20::DOUBLE) - 1) * fl AS l, sp.r + (pow(10::DOUBLE, 2 / 20::DOUBLE) - 1) * fr AS r FROM fs JOIN sp USING (track, i))),
-v AS MATERIALIZED (SELECT * FROM (WITH RECURSIVE {recursion([_sql('high', 250.0, q=0.54), _sql('high', 250.0, q=1.31), _sql('low', 3500.0, q=0.54), _sql('low', 3500.0, q=1.31)], 'm', 'sp AS MATERIALIZED (SELECT track, i, l, r, (l + r) / 2 AS m FROM b)')}
+_LANES = f"""{EV}, b AS MATERIALIZED (SELECT * FROM (WITH RECURSIVE {recursion([coefficients('low', 120.0, q=0.54), coefficients('low', 120.0, q=1.31)], "lr", EV)} SELECT track, i, sp.l + (pow(10::DOUBLE, 2 / 20::DOUBLE) - 1) * fl AS l, sp.r + (pow(10::DOUBLE, 2 / 20::DOUBLE) - 1) * fr AS r FROM fs JOIN sp USING (track, i))),
+v AS MATERIALIZED (SELECT * FROM (WITH RECURSIVE {recursion([coefficients('high', 250.0, q=0.54), coefficients('high', 250.0, q=1.31), coefficients('low', 3500.0, q=0.54), coefficients('low', 3500.0, q=1.31)], 'm', 'sp AS MATERIALIZED (SELECT track, i, l, r, (l + r) / 2 AS m FROM b)')}
   SELECT track, i, sp.l + (pow(10::DOUBLE, -1.5 / 20::DOUBLE) - 1) * fm AS l, sp.r + (pow(10::DOUBLE, -1.5 / 20::DOUBLE) - 1) * fm AS r FROM fs JOIN sp USING (track, i))),
-a AS MATERIALIZED (SELECT * FROM (WITH RECURSIVE {recursion([_sql('low', 8000.0, q=0.54), _sql('low', 8000.0, q=1.31)], 'lr', 'sp AS MATERIALIZED (SELECT track, i, l, r FROM v)')}
+a AS MATERIALIZED (SELECT * FROM (WITH RECURSIVE {recursion([coefficients('low', 8000.0, q=0.54), coefficients('low', 8000.0, q=1.31)], 'lr', 'sp AS MATERIALIZED (SELECT track, i, l, r FROM v)')}
   SELECT track, i, sp.l + (pow(10::DOUBLE, 3 / 20::DOUBLE) - 1) * (sp.l - fl) AS l, sp.r + (pow(10::DOUBLE, 3 / 20::DOUBLE) - 1) * (sp.r - fr) AS r FROM fs JOIN sp USING (track, i))),
 w AS (SELECT DISTINCT track, -1::BIGINT AS i, 0.0::DOUBLE AS l, 0.0::DOUBLE AS r, 0.0::DOUBLE AS fast, 0.0::DOUBLE AS slow FROM a UNION ALL
-SELECT track, i, l, r, fast + CASE WHEN x > fast THEN 1 - {_e(0.0003, FS)} ELSE 1 - {_e(0.035, FS)} END * (x - fast), slow + CASE WHEN x > slow THEN 1 - {_e(0.02, FS)} ELSE 1 - {_e(0.3, FS)} END * (x - slow)
+SELECT track, i, l, r, fast + CASE WHEN x > fast THEN 1 - {decay(0.0003, FS)} ELSE 1 - {decay(0.035, FS)} END * (x - fast), slow + CASE WHEN x > slow THEN 1 - {decay(0.02, FS)} ELSE 1 - {decay(0.3, FS)} END * (x - slow)
 FROM (SELECT s.track, s.i, s.l, s.r, w.fast, w.slow, greatest(abs(s.l), abs(s.r)) AS x FROM w JOIN a s ON s.track = w.track AND s.i = w.i + 1)),
 y AS (SELECT track, l, r, 1 + (pow(10::DOUBLE, -2 / 20::DOUBLE) - 1) * least(1, greatest(0, (CASE WHEN slow > 1e-6 THEN fast / slow ELSE 1 END - 1.1::DOUBLE) / 1.2::DOUBLE)) AS k FROM w WHERE i >= 0)"""
 

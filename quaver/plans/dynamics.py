@@ -5,24 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quaver.functions import highpass, lowpass, peaking, r4, shelf
+from quaver.functions import peaking, r4, shelf
 from quaver.operators import dynamics as dyn
 from quaver.operators import measure as m
-from quaver.plans.queries import EV, HOPS, ORACLES, PYR, QUERIES, _chain, ev, query, spectral_flux
+from quaver.plans.queries import EV, HOPS, ORACLES, PYR, QUERIES, RAW_FLUX, ev, query, raw_flux
+from quaver.plans.sql import between, coefficients, decay, follow, recursion
 from quaver.sources import event_signal, positions
 
 FS, CEILING_DB, AMOUNT, DENSITY = 4800, -12.0, 1.0, 0.5
-CEILING, AHEAD = 10 ** (CEILING_DB / 20), max(16, round(FS * dyn.LOOKAHEAD))
 
 
-def _between(c: str, q: int) -> str:
-    terms = [f"({h!r}::DOUBLE) * " + (c if n == 0 else f"lag({c}, {n}, 0.0::DOUBLE) OVER w") for n, h in enumerate(dyn.kernel(q / 4))]
-    return f"abs({' + '.join(terms)})"
-
-
-TP = f"""tp AS MATERIALIZED (SELECT track, i, l, r, greatest(abs(l), abs(r), {', '.join(_between(c, q) for c in 'lr' for q in (1, 2, 3))}) AS peak
+TP = f"""tp AS MATERIALIZED (SELECT track, i, l, r, greatest(abs(l), abs(r), {', '.join(between(c, q) for c in 'lr' for q in (0.25, 0.5, 0.75))}) AS peak
 FROM sp WINDOW w AS (PARTITION BY track ORDER BY i))"""
-LIT = "({!r}::DOUBLE)".format
+_CEIL = "pow(10::DOUBLE, -12 / 20::DOUBLE)"
 
 
 @query(f"WITH {EV}, {TP} SELECT track, round(20 * log10(greatest(max(peak), 1e-10)), 4) + 0.0 AS tp_db FROM tp GROUP BY 1")
@@ -31,74 +26,62 @@ def true_peak(spark, d):
 
 
 @query(f"""WITH RECURSIVE {EV}, {TP},
-req AS MATERIALIZED (SELECT track, i, min(CASE WHEN peak > {LIT(CEILING)} THEN {LIT(CEILING)} / peak ELSE 1 END) OVER (PARTITION BY track ORDER BY i ROWS BETWEEN {AHEAD - 1} PRECEDING AND CURRENT ROW) AS low,
-  greatest(abs(lag(l, {AHEAD}, 0.0::DOUBLE) OVER (PARTITION BY track ORDER BY i)), abs(lag(r, {AHEAD}, 0.0::DOUBLE) OVER (PARTITION BY track ORDER BY i))) AS late FROM tp),
+req AS MATERIALIZED (SELECT track, i, min(CASE WHEN peak > {_CEIL} THEN {_CEIL} / peak ELSE 1 END) OVER (PARTITION BY track ORDER BY i ROWS BETWEEN 15 PRECEDING AND CURRENT ROW) AS low,
+  greatest(abs(lag(l, 16, 0.0::DOUBLE) OVER (PARTITION BY track ORDER BY i)), abs(lag(r, 16, 0.0::DOUBLE) OVER (PARTITION BY track ORDER BY i))) AS late FROM tp),
 g AS (SELECT DISTINCT track, -1::BIGINT AS i, 1.0::DOUBLE AS gain, 0.0::DOUBLE AS late FROM req UNION ALL
-SELECT q.track, q.i, q.low + CASE WHEN q.low < g.gain THEN {LIT(dyn.keeps(FS, dyn.LOOKAHEAD / 4))} ELSE {LIT(dyn.keeps(FS, dyn.LIMIT_RELEASE))} END * (g.gain - q.low), q.late
+SELECT q.track, q.i, q.low + CASE WHEN q.low < g.gain THEN {decay(0.0025 / 4)} ELSE {decay(0.09)} END * (g.gain - q.low), q.late
 FROM g JOIN req q ON q.track = g.track AND q.i = g.i + 1)
-SELECT track, round(-20 * log10(greatest(min(gain), 1e-6)), 4) + 0.0 AS max_gr, count(*) FILTER (WHERE late * gain > {LIT(CEILING)}) AS n_clipped FROM g GROUP BY 1""")
+SELECT track, round(-20 * log10(greatest(min(gain), 1e-6)), 4) + 0.0 AS max_gr, count(*) FILTER (WHERE late * gain > {_CEIL}) AS n_clipped FROM g GROUP BY 1""")
 def limiter_stats(spark, d):
     return dyn.limiter_stats(ev(spark, d), CEILING_DB, FS).select("track", r4(F.col("max_gr")).alias("max_gr"), "n_clipped")
 
 
-def _takes(kind: str) -> list[str]:
-    return [LIT(1 - dyn.keeps(FS, t)) for t in dyn.TRANSIENT[kind]]
-
-
-_F, _S, _G = map(_takes, ("fast", "slow", "gain"))
-
-
 @query(f"""WITH RECURSIVE {EV}, g AS (SELECT DISTINCT track, -1::BIGINT AS i, 0.0::DOUBLE AS fast, 0.0::DOUBLE AS slow, 0.0::DOUBLE AS gain FROM sp UNION ALL
-SELECT track, i, fast, slow, gain + CASE WHEN abs(goal) > abs(gain) THEN {_G[0]} ELSE {_G[1]} END * (goal - gain) FROM (
-  SELECT *, {LIT(AMOUNT)} * 0.6::DOUBLE * least(10, greatest(0, 20 * log10((fast + 1e-9) / (slow + 1e-9)))) AS goal FROM (
-    SELECT track, i, gain, fast + CASE WHEN x > fast THEN {_F[0]} ELSE {_F[1]} END * (x - fast) AS fast, slow + CASE WHEN x > slow THEN {_S[0]} ELSE {_S[1]} END * (x - slow) AS slow
+SELECT track, i, fast, slow, gain + CASE WHEN abs(goal) > abs(gain) THEN 1 - {decay(0.0005)} ELSE 1 - {decay(0.03)} END * (goal - gain) FROM (
+  SELECT *, 1.0::DOUBLE * 0.6::DOUBLE * least(10, greatest(0, 20 * log10((fast + 1e-9) / (slow + 1e-9)))) AS goal FROM (
+    SELECT track, i, gain, {follow('fast', 'x', 0.0002, 0.03)} AS fast, {follow('slow', 'x', 0.015, 0.3)} AS slow
     FROM (SELECT s.track, s.i, g.fast, g.slow, g.gain, greatest(abs(s.l), abs(s.r)) AS x FROM g JOIN sp s ON s.track = g.track AND s.i = g.i + 1))))
 SELECT track, round(max_by(gain, i), 4) + 0.0 AS g_last, round(max(gain), 4) + 0.0 AS g_max FROM g GROUP BY 1""")
 def transient_gain(spark, d):
     return dyn.transient_gain(ev(spark, d), AMOUNT, FS).select("track", r4(F.col("g_last")).alias("g_last"), r4(F.col("g_max")).alias("g_max"))
 
 
-_C = dyn.COMPRESSOR
-_E, _R = ([LIT(dyn.keeps(FS, t)) for t in _C[k]] for k in ("envelope", "gain"))
-_THR, _SLOPE, _HALF = -16 - 8 * DENSITY, 1 - 1 / (1.2 + 0.8 * DENSITY), _C["knee"] / 2
-
-
 @query(f"""WITH RECURSIVE {EV}, g AS (SELECT DISTINCT track, -1::BIGINT AS i, 0.0::DOUBLE AS level, -80.0::DOUBLE AS env, 0.0::DOUBLE AS gr FROM sp UNION ALL
-SELECT track, i, level, env, goal + CASE WHEN goal > gr THEN {_R[0]} ELSE {_R[1]} END * (gr - goal) FROM (
-  SELECT *, CASE WHEN env - {LIT(_THR)} >= {_HALF} THEN (env - {LIT(_THR)}) * {LIT(_SLOPE)} WHEN env - {LIT(_THR)} > -{_HALF} THEN {LIT(_SLOPE)} * pow(env - {LIT(_THR)} + {_HALF}, 2) / {4 * _HALF} ELSE 0 END AS goal FROM (
-    SELECT track, i, level, gr, db + CASE WHEN db > env THEN {_E[0]} ELSE {_E[1]} END * (env - db) AS env FROM (
+SELECT track, i, level, env, goal + CASE WHEN goal > gr THEN {decay(0.01)} ELSE {decay(0.15)} END * (gr - goal) FROM (
+  SELECT *, CASE WHEN env + 20 >= 4 THEN (env + 20) * (1 - 1 / 1.6::DOUBLE) WHEN env + 20 > -4 THEN (1 - 1 / 1.6::DOUBLE) * pow(env + 24, 2) / 16 ELSE 0 END AS goal FROM (
+    SELECT track, i, level, gr, db + CASE WHEN db > env THEN {decay(0.03)} ELSE {decay(0.25)} END * (env - db) AS env FROM (
       SELECT *, 10 * log10(level + 1e-12) AS db FROM (
-        SELECT s.track, s.i, g.env, g.gr, g.level + {LIT(1 - dyn.keeps(FS, _C['level']))} * ((s.l * s.l + s.r * s.r) / 2 - g.level) AS level FROM g JOIN sp s ON s.track = g.track AND s.i = g.i + 1)))))
+        SELECT s.track, s.i, g.env, g.gr, g.level + (1 - {decay(0.005)}) * ((s.l * s.l + s.r * s.r) / 2 - g.level) AS level FROM g JOIN sp s ON s.track = g.track AND s.i = g.i + 1)))))
 SELECT track, round(max_by(gr, i), 4) + 0.0 AS gr_last, round(max(gr), 4) + 0.0 AS gr_max FROM g GROUP BY 1""")
 def compressor_gr(spark, d):
     return dyn.compressor_reduction(ev(spark, d), DENSITY, FS).select("track", r4(F.col("gr_last")).alias("gr_last"), r4(F.col("gr_max")).alias("gr_max"))
 
 
 MS = EV.replace("sp AS (SELECT *,", "sp AS (SELECT track, idx, (l + r) / 2 AS l, (l - r) / 2 AS r,")
-_BAND = "(WITH RECURSIVE {ms}, {chain} SELECT track, sum(fl * fl) AS mid, sum(fr * fr) AS side FROM fs GROUP BY 1)"
+_BAND = "(WITH RECURSIVE {chain} SELECT track, sum(fl * fl) AS mid, sum(fr * fr) AS side FROM fs GROUP BY 1)"
 
 
 @query(f"""SELECT track, round(CASE WHEN lo.mid > 0 THEN 10 * log10((lo.side + 1e-12) / (lo.mid + 1e-12)) ELSE -60.0::DOUBLE END, 4) + 0.0 AS side_bass_db,
 round(CASE WHEN a.mid > 0 THEN 10 * log10((hi.mid + 1e-12) / (a.mid + 1e-12)) ELSE -60.0::DOUBLE END, 4) + 0.0 AS harsh_db
-FROM {_BAND.format(ms=MS, chain=_chain([lowpass(48000, 140, 0.707)]))} lo JOIN {_BAND.format(ms=MS, chain=_chain([highpass(48000, 4500, 0.707)]))} hi USING (track)
+FROM {_BAND.format(chain=recursion([coefficients('low', 140.0)], 'lr', MS))} lo JOIN {_BAND.format(chain=recursion([coefficients('high', 4500.0)], 'lr', MS))} hi USING (track)
 JOIN (WITH {MS} SELECT track, sum(l * l) AS mid FROM sp GROUP BY 1) a USING (track)""")
 def bass_hf_ratios(spark, d):
     return dyn.bass_and_treble(ev(spark, d), 48000).select("track", r4(F.col("side_bass_db")).alias("side_bass_db"), r4(F.col("harsh_db")).alias("harsh_db"))
 
 
-FLUX = f"WITH fx AS ({ORACLES['spectral_flux']})"
+FLUX = f"WITH fx AS ({RAW_FLUX})"
 
 
 @query(f"{FLUX} SELECT label, col, round(greatest(0, flux - avg(flux) OVER (PARTITION BY label ORDER BY col ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)), 4) + 0.0 AS d FROM fx")
 def detrend_flux(spark, d):
     mean = F.avg("flux").over(W.partitionBy("label").orderBy("col").rowsBetween(-7, 0))
-    return spectral_flux(spark, d).select("label", "col", r4(F.greatest(F.lit(0.0), F.col("flux") - mean)).alias("d"))
+    return raw_flux(spark, d).select("label", "col", r4(F.greatest(F.lit(0.0), F.col("flux") - mean)).alias("d"))
 
 
 @query(f"{FLUX} SELECT label, round(avg(flux), 4) + 0.0 AS mean, round(stddev_pop(flux), 4) + 0.0 AS sd, round(avg(flux) + 1.2 * stddev_pop(flux), 4) + 0.0 AS threshold FROM fx GROUP BY 1")
 def novelty_threshold(spark, d):
     mean, sd = F.avg("flux"), F.stddev_pop("flux")
-    return spectral_flux(spark, d).groupBy("label").agg(r4(mean).alias("mean"), r4(sd).alias("sd"), r4(mean + 1.2 * sd).alias("threshold"))
+    return raw_flux(spark, d).groupBy("label").agg(r4(mean).alias("mean"), r4(sd).alias("sd"), r4(mean + 1.2 * sd).alias("threshold"))
 
 
 @query(f"WITH ac AS ({ORACLES['autocorr_lags']}) SELECT track, lag, ac AS score FROM ac QUALIFY row_number() OVER (PARTITION BY track ORDER BY ac DESC, lag) = 1")
@@ -125,7 +108,7 @@ def beat_grid_join(spark, d):
 BANDS = [shelf(48000, 120, 3.0, high=False), peaking(48000, 450, -2.5, 0.9), peaking(48000, 3000, 4.0, 0.9), shelf(48000, 9000, 2.0)]
 
 
-@query(f"""WITH b AS (SELECT * FROM (VALUES {', '.join(f"({k}, {', '.join(map(LIT, c))})" for k, c in enumerate(BANDS))}) v(band, b0, b1, b2, a1, a2)),
+@query(f"""WITH b AS (SELECT * FROM (VALUES {', '.join(f"({k}, {', '.join(c)})" for k, c in enumerate([coefficients('lowshelf', 120.0, 3.0, 0.9), coefficients('peak', 450.0, -2.5, 0.9), coefficients('peak', 3000.0, 4.0, 0.9), coefficients('highshelf', 9000.0, 2.0, 0.9)]))}) v(band, b0, b1, b2, a1, a2)),
 f AS (SELECT i AS freq_i, 2 * pi() * 20 * pow(1000, i / 179::DOUBLE) / 48000 AS w FROM (SELECT unnest(range(180)) AS i))
 SELECT CAST(band AS BIGINT) AS band, CAST(freq_i AS BIGINT) AS freq_i, round(10 * log10((pow(b0 + b1 * cos(w) + b2 * cos(2 * w), 2) + pow(b1 * sin(w) + b2 * sin(2 * w), 2)) /
 (pow(1 + a1 * cos(w) + a2 * cos(2 * w), 2) + pow(a1 * sin(w) + a2 * sin(2 * w), 2))), 4) + 0.0 AS db FROM b CROSS JOIN f""")

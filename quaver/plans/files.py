@@ -14,7 +14,7 @@ from quaver.sinks.bits import BODY_CRC, HEADER_CRC, PAGE_CRC, crc_table
 from quaver.sources import positions, read
 
 
-@query(f"""WITH {EV} SELECT track, sum(CAST(greatest(-8388608, least(8388607, floor(l * 8388607 + 0.5))) AS BIGINT)) AS sum_l, max(CAST(greatest(-32768, least(32767, floor(r * 4 * 32767 + 0.5))) AS BIGINT)) AS max_r FROM ev GROUP BY 1""")
+@query(f"""WITH {EV} SELECT track, CAST(sum(CAST(greatest(-8388608, least(8388607, floor(l * 8388607 + 0.5))) AS BIGINT)) AS BIGINT) AS sum_l, max(CAST(greatest(-32768, least(32767, floor(r * 4 * 32767 + 0.5))) AS BIGINT)) AS max_r FROM ev GROUP BY 1""")
 def quantized_depths(spark, d):
     """Samples at 24 bits, and at 16 bits beyond full scale, without dither."""
     a = audio.quantized(ev(spark, d), 24, dither=False).groupBy("track").agg(F.sum("l").alias("sum_l"))

@@ -6,51 +6,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quaver.functions import half_up, highpass, r4
+from quaver.functions import half_up, r4
+from quaver.operators import dynamics as dyn
 from quaver.operators import mastering as ma
 from quaver.operators import measure as m
-from quaver.operators.dynamics import keeps
 from quaver.plans import dynamics  # noqa: F401  # registers queries that some of these build on
 from quaver.plans.dims import PRESETS
-from quaver.plans.queries import BLOCKS, EM, EU, EV, HOPS, LUFS, ORACLES, QUERIES, _chain, _values, dft, ev, query
-from quaver.sources import event_signal, positions, read
+from quaver.plans.queries import BLOCKS, EM, EU, EV, HOPS, LUFS, ORACLES, QUERIES, _values, dft, ev, query
+from quaver.plans.sql import coefficients, decay, follow, recursion
+from quaver.sources import event_signal, positions, read, written
 
 FS, BLOCK, AMOUNT, DRIVE, WIDTH = 4800, 64, 0.8, 0.4, 1.3
 LIT = "({!r}::DOUBLE)".format
 BANDS = 7
 
 
-def _follow(name: str, x: str, takes: tuple[float, float]) -> str:
-    """One step of an envelope: up by the first share, down by the second."""
-    return f"{name} + CASE WHEN {x} > {name} THEN {LIT(takes[0])} ELSE {LIT(takes[1])} END * ({x} - {name})"
-
-
-def _takes(times: dict, kind: str) -> tuple[float, ...]:
-    return tuple(1 - keeps(FS, t) for t in times[kind])
-
-
 @query(f"""WITH RECURSIVE {EV}, g AS (SELECT DISTINCT track, -1::BIGINT AS i, 0.0::DOUBLE AS fast, 0.0::DOUBLE AS slow FROM sp UNION ALL
-SELECT track, i, {_follow('fast', 'x', _takes(ma.DRUMS, 'fast'))}, {_follow('slow', 'x', _takes(ma.DRUMS, 'slow'))}
+SELECT track, i, {follow('fast', 'x', 0.0003, 0.035)}, {follow('slow', 'x', 0.02, 0.3)}
 FROM (SELECT s.track, s.i, g.fast, g.slow, greatest(abs(s.l), abs(s.r)) AS x FROM g JOIN sp s ON s.track = g.track AND s.i = g.i + 1))
 SELECT track, round(avg(least(1, greatest(0, (CASE WHEN slow > 1e-6 THEN fast / slow ELSE 1 END - 1.1::DOUBLE) / 1.2::DOUBLE))), 4) + 0.0 AS mean_weight FROM g WHERE i >= 0 GROUP BY 1""")
 def stem_drums_gain(spark, d):
     return ma.drum_weight(ev(spark, d), FS).select("track", r4(F.col("mean_weight")).alias("mean_weight"))
 
 
-_LOW, _MID, _HIGH = map(LIT, ma.width_gains(WIDTH))
 _SIDE = EV.replace("sp AS (SELECT *,", "sp AS (SELECT *, (l - r) / 2 AS s,")
 
 
-@query(f"""WITH RECURSIVE {_SIDE}, {_chain(ma.width_stages(FS), ('s',))}
-SELECT track, round(sum(pow((l + r) / 2, 2)), 4) + 0.0 AS mid_e, round(sum(pow({_LOW} * (s - sy1) + {_MID} * (sy1 - sy3) + {_HIGH} * sy3, 2)), 4) + 0.0 AS side_e
+@query(f"""WITH RECURSIVE {recursion([coefficients('high', f, q=q, fs=4800) for f in (140.0, 2000.0) for q in (0.54, 1.31)], 's', _SIDE)}
+SELECT track, round(sum(pow((l + r) / 2, 2)), 4) + 0.0 AS mid_e, round(sum(pow(1 * (s - sy1) + (1 + 0.3::DOUBLE * 0.7) * (sy1 - sy3) + (1 + 0.3::DOUBLE * 1.15) * sy3, 2)), 4) + 0.0 AS side_e
 FROM f JOIN sp USING (track, i) GROUP BY 1""")
 def width_ms(spark, d):
     mid, side = (F.col("l") + F.col("r")) / 2, (F.col("l") - F.col("r")) / 2
     return ma.widen(ev(spark, d), WIDTH, FS).groupBy("track").agg(r4(F.sum(mid * mid)).alias("mid_e"), r4(F.sum(side * side)).alias("side_e"))
 
 
-_G, _BIAS = 10 ** (DRIVE / 2), 0.12 * DRIVE
-_SAT = f"((tanh({LIT(_G)} * ({{x}} + {LIT(_BIAS)})) - tanh({LIT(_G * _BIAS)})) / {LIT(_G)})"
+_SAT = "((tanh(pow(10::DOUBLE, 0.2) * ({x} + 0.048)) - tanh(pow(10::DOUBLE, 0.2) * 0.048)) / pow(10::DOUBLE, 0.2))"
 
 
 @query(f"WITH {EV} SELECT track, round(sum(pow({_SAT.format(x='l')}, 2) + pow({_SAT.format(x='r')}, 2)), 4) + 0.0 AS energy FROM ev GROUP BY 1")
@@ -60,15 +50,14 @@ def saturate_energy(spark, d):
 
 
 _D = ma.DEHARSH
-_B0, _B1, _B2, _A1, _A2 = map(LIT, highpass(FS, _D["corner"] / 10, _D["q"]))
-_GA, _GR = _takes(_D, "gain")
+_B0, _B1, _B2, _A1, _A2 = coefficients("high", 450.0, fs=4800)
 
 
 @query(f"""WITH RECURSIVE {EV}, p AS MATERIALIZED (SELECT track, i, (l + r) / 2 AS x, i % {BLOCK} + 1 AS len, i % {BLOCK} = {BLOCK - 1} OR i = max(i) OVER (PARTITION BY track) AS done FROM sp),
 g AS (SELECT DISTINCT track, -1::BIGINT AS i, 0.0::DOUBLE AS z1, 0.0::DOUBLE AS z2, 0.0::DOUBLE AS high, 0.0::DOUBLE AS wide, 0.0::DOUBLE AS gr FROM p UNION ALL
-SELECT track, i, z1, z2, high, wide, CASE WHEN done THEN greatest(0, gr + least(1, CASE WHEN goal > gr THEN {LIT(_GA)} ELSE {LIT(_GR)} END * len) * (goal - gr)) ELSE gr END FROM (
-  SELECT *, {LIT(AMOUNT)} * least({LIT(_D['most'])}, greatest(0, 20 * log10((high + 1e-9) / (wide + 1e-9)) + {LIT(_D['grace'])})) AS goal FROM (
-    SELECT track, i, len, done, gr, {_B1} * x - {_A1} * y + z2 AS z1, {_B2} * x - {_A2} * y AS z2, {_follow('high', 'abs(y)', _takes(_D, 'env'))} AS high, {_follow('wide', 'abs(x)', _takes(_D, 'env'))} AS wide
+SELECT track, i, z1, z2, high, wide, CASE WHEN done THEN greatest(0, gr + least(1, CASE WHEN goal > gr THEN 1 - {decay(0.004)} ELSE 1 - {decay(0.12)} END * len) * (goal - gr)) ELSE gr END FROM (
+  SELECT *, 0.8::DOUBLE * least(6, greatest(0, 20 * log10((high + 1e-9) / (wide + 1e-9)) + 8)) AS goal FROM (
+    SELECT track, i, len, done, gr, {_B1} * x - {_A1} * y + z2 AS z1, {_B2} * x - {_A2} * y AS z2, {follow('high', 'abs(y)', 0.003, 0.08)} AS high, {follow('wide', 'abs(x)', 0.003, 0.08)} AS wide
     FROM (SELECT p.*, g.z1, g.z2, g.high, g.wide, g.gr, {_B0} * p.x + g.z1 AS y FROM g JOIN p ON p.track = g.track AND p.i = g.i + 1))))
 SELECT track, round(max_by(gr, i), 4) + 0.0 AS gr_last, round(max(gr), 4) + 0.0 AS gr_max FROM g GROUP BY 1""")
 def deharsh_gr(spark, d):
@@ -138,7 +127,7 @@ def beat_phase(spark, d):
 
 
 _NOV = f"""WITH {_SPEC}, c AS (SELECT *, dense_rank() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS col FROM dft),
-lv AS (SELECT label, col, band, ln(1 + sum(re * re + im * im)) AS level FROM c JOIN bands ON k >= lo AND k < hi GROUP BY 1, 2, 3),
+lv AS (SELECT label, col, band, log10(sum(re * re + im * im) + 1e-10) AS level FROM c JOIN bands ON k >= lo AND k < hi GROUP BY 1, 2, 3),
 d AS (SELECT label, col, avg(level) OVER a - avg(level) OVER b AS d, count(*) OVER a + count(*) OVER b AS n FROM lv
   WINDOW a AS (PARTITION BY label, band ORDER BY col ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING), b AS (PARTITION BY label, band ORDER BY col ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)),
 nov AS (SELECT label, col, round(sqrt(sum(d * d)), 4) + 0.0 AS v FROM d WHERE n = 8 GROUP BY 1, 2)"""
@@ -147,11 +136,11 @@ nov AS (SELECT label, col, round(sqrt(sum(d * d)), 4) + 0.0 AS v FROM d WHERE n
 @query(f"{_NOV} SELECT label, col, v FROM nov")
 def novelty(spark, d):
     col = F.dense_rank().over(W.partitionBy("label").orderBy("vec_id")).cast("long") - 1
-    levels = banded(dft(spark, d).withColumn("col", col)).groupBy("label", "col", "band").agg(F.log1p(F.sum(_power())).alias("level"))
+    levels = banded(dft(spark, d).withColumn("col", col)).groupBy("label", "col", "band").agg(F.log10(F.sum(_power()) + 1e-10).alias("level"))
     return ma.novelty(levels, 4).select("label", "col", r4(F.col("v")).alias("v"))
 
 
-SIGMAS, GAP = 0.5, 8
+SIGMAS, GAP = 1.2, 8
 _PEAKS = f"""{_NOV.replace('WITH ', 'WITH RECURSIVE ', 1)}, t AS (SELECT *, avg(v) OVER w + {SIGMAS} * stddev_pop(v) OVER w AS high, lag(v) OVER o AS a, lead(v) OVER o AS b FROM nov WINDOW w AS (PARTITION BY label), o AS (PARTITION BY label ORDER BY col)),
 cand AS MATERIALIZED (SELECT label, col, v, row_number() OVER (PARTITION BY label ORDER BY col) AS rn FROM t WHERE v > high AND v >= a AND v >= b),
 walk AS (SELECT label, rn, col, v, 1 AS slot FROM cand WHERE rn = 1 UNION ALL
@@ -227,12 +216,13 @@ def _ruled(spark, d) -> DataFrame:
     return facts(spark, d).select("track", F.inline(F.array(*each)))
 
 
-@query(f"""WITH {_FACTS} {' UNION ALL '.join(f"SELECT track, '{c}' AS \"check\", NOT ({bad}) AS pass FROM facts" for c, bad, _, _ in RULES)}""")
+@query(f"""WITH {_FACTS} SELECT track, unnest(['bass placement', 'width stability', 'image balance', 'hf texture']) AS "check", unnest([side_bass_db <= -12, corr_worst >= 0.15 AND corr_mean >= 0.5, abs(bal_db) < 0.3, harsh_db <= -10]) AS pass FROM facts""")
 def diagnosis_checks(spark, d):
     return _ruled(spark, d).select("track", "check", (~F.col("bad")).alias("pass"))
 
 
-@query(f"""WITH {_FACTS} {' UNION ALL '.join(f"SELECT track, '{i}' AS issue, CAST({v} AS DOUBLE) + 0.0 AS value FROM facts WHERE {bad}" for _, bad, i, v in RULES)}""")
+@query(f"""WITH {_FACTS} SELECT track, 'bassmono' AS issue, 1.0::DOUBLE AS value FROM facts WHERE side_bass_db > -12 UNION ALL SELECT track, 'balance', 0.0 - bal_db FROM facts WHERE bal_db >= 0.3 OR bal_db <= -0.3
+UNION ALL SELECT track, 'width', if(corr_worst < 0 OR corr_mean < 0.35, 0.85::DOUBLE, 0.92::DOUBLE) FROM facts WHERE least(corr_worst - 0.15, corr_mean - 0.5) < 0 UNION ALL SELECT track, 'smooth', if(harsh_db > -7, 0.5::DOUBLE, 0.3::DOUBLE) FROM facts WHERE harsh_db > -10""")
 def diagnosis_issues(spark, d):
     return _ruled(spark, d).where("bad").select("track", "issue", (F.col("value") + F.lit(0.0)).alias("value"))
 
@@ -251,6 +241,20 @@ def dynamics_report(spark, d):
     return all_.select("track", r4(plr).alias("plr"), "lra", words(plr, 8, 14, "crushed", "dynamic").alias("class"), words(F.col("lra"), 4, 12, "flat", "wide").alias("range_class"))
 
 
+@query(f"""WITH {_FACTS}, pk AS (WITH {EV} SELECT track, round(20 * log10(greatest(max(greatest(abs(l), abs(r))), 1e-10)), 4) + 0.0 AS peak_db FROM ev GROUP BY 1)
+SELECT track, lufs, lra, tp_db, peak_db, bal_db, side_bass_db, harsh_db, corr_mean, corr_worst FROM facts JOIN pk USING (track) JOIN ({ORACLES['integrated_loudness']}) USING (track) JOIN ({ORACLES['loudness_range']}) USING (track) JOIN ({ORACLES['true_peak']}) USING (track)""")
+def analysis(spark, d):
+    """All figures of a track in one row; the weighted hops are made once."""
+    s = ev(spark, d)
+    hops = written(m.weighted_hops(s))
+    parts = [m.integrated_loudness(hops), m.loudness_range(hops), dyn.true_peaks(s).groupBy("track").agg((20 * F.log10(F.greatest(F.max("peak"), F.lit(1e-10)))).alias("tp_db"))]
+    parts += [m.sample_peak(s), m.balance_offset(s), dyn.bass_and_treble(s, 48000), m.correlation_summary(m.window_correlation(s))]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.join(part, "track")
+    return out.select("track", *[r4(F.col(c)).alias(c) for c in ("lufs", "lra", "tp_db", "peak_db", "bal_db", "side_bass_db", "harsh_db", "corr_mean", "corr_worst")])
+
+
 #: Fixed rules in order: preset, condition on tempo and band levels against the mean.
 STYLES = [
     ("dnb", "bpm >= 155 AND sub > 2"),
@@ -267,8 +271,9 @@ _MIDDLES = [20 * 1000 ** ((b + 0.5) / BANDS) for b in range(BANDS)]
 _IN = {k: [b for b, f in enumerate(_MIDDLES) if lo <= f < hi] for k, (lo, hi) in SHARES.items()}
 
 
-@query(f"""WITH p AS ({ORACLES['band_profile']}), s AS (SELECT label, 70.0::DOUBLE + 12 * label AS bpm, {', '.join(f"round(avg(db) FILTER (WHERE band IN ({', '.join(map(str, b))})) - avg(db), 4) AS {k}" for k, b in _IN.items())} FROM p GROUP BY 1)
-SELECT label, {_STYLE} AS preset FROM s""")
+@query(f"""WITH p AS ({ORACLES['band_profile']}), s AS (SELECT label, 70.0::DOUBLE + 12 * label AS bpm, {', '.join(f"round(avg(db) FILTER (WHERE 20 * pow(1000::DOUBLE, (band + 0.5) / 7) >= {lo} AND 20 * pow(1000::DOUBLE, (band + 0.5) / 7) < {hi}) - avg(db), 4) AS {k}" for k, lo, hi in (('sub', 20, 90), ('mid', 250, 2000), ('bright', 6000, 16000)))} FROM p GROUP BY 1)
+SELECT label, CASE WHEN bpm >= 155 AND sub > 2 THEN 'dnb' WHEN bpm >= 118 AND bpm <= 138 AND sub > 1.5 THEN 'house' WHEN bpm >= 95 AND bpm < 118 AND sub > 1.5 THEN 'electronic' WHEN bpm >= 80 AND bpm <= 108 AND sub > 3.5 THEN 'hiphop'
+WHEN bpm > 0 AND bpm < 92 AND bright < -5 THEN 'rnb' WHEN bright > 1.5 AND bpm >= 100 AND bpm <= 145 THEN 'pop' WHEN mid > 1 THEN 'rock' ELSE 'pop' END AS preset FROM s""")
 def auto_preset(spark, d):
     share = lambda k: F.round(F.avg(F.when(F.col("band").isin(_IN[k]), F.col("db"))) - F.avg("db"), 4).alias(k)
     s = QUERIES["band_profile"](spark, d).groupBy("label").agg(*map(share, SHARES)).withColumn("bpm", 70.0 + 12 * F.col("label"))
@@ -292,8 +297,8 @@ def batch_status(spark, d):
 
 # --- matching curves
 
-_CENTRES = [(f, *ma._neighbours(f, BANDS)) for f in ma.MATCH_CENTRES]
-_AT = f"(VALUES {', '.join(f'({LIT(f)}, {a}, {b}, {LIT(t)})' for f, a, b, t in _CENTRES)}) AS c(centre, i0, i1, t)"
+_AT = """(SELECT centre, CAST(i0 AS INTEGER) AS i0, CAST(least(6, i0 + 1) AS INTEGER) AS i1, greatest(0, least(1, pos - i0)) AS t FROM (SELECT *, greatest(0, least(6, floor(pos))) AS i0 FROM (SELECT centre, ln(centre / 20) / ln(1000) * 7 - 0.5 AS pos
+FROM (VALUES (31.5::DOUBLE), (63.0::DOUBLE), (125.0::DOUBLE), (250.0::DOUBLE), (500.0::DOUBLE), (1000.0::DOUBLE), (2000.0::DOUBLE), (4000.0::DOUBLE), (8000.0::DOUBLE), (16000.0::DOUBLE)) v(centre)))) AS c"""
 
 
 @query(f"WITH p AS ({ORACLES['band_profile']}) SELECT a.label, centre, round(a.db * (1 - t) + b.db * t, 6) + 0.0 AS gain FROM {_AT} JOIN p a ON a.band = i0 JOIN p b ON b.band = i1 AND b.label = a.label")
@@ -340,14 +345,16 @@ def filename_template(spark, d):
 # --- stem lanes, and frames of long signals
 
 LANE_FS, LANE_DB = 48000, 3.0
-_EXTRA = LIT(10 ** (LANE_DB / 20) - 1)
+_EXTRA = "(pow(10::DOUBLE, 3 / 20::DOUBLE) - 1)"
+#: The oracle's lanes: kind, corner, qualities.
+_LANE_FILTERS = {"bass": [("low", 120.0, q) for q in (0.54, 1.31)], "vocal": [(k, f, q) for k, f in (("high", 250.0), ("low", 3500.0)) for q in (0.54, 1.31)], "air": [("low", 8000.0, q) for q in (0.54, 1.31)]}
 _MONO = EV.replace("sp AS (SELECT *,", "sp AS (SELECT *, (l + r) / 2 AS m,")
 
 
 def _lane_sql(lane: str) -> str:
     by = ("m",) if lane == "vocal" else ("l", "r")
     fl, fr = ("fs.fm", "fs.fm") if lane == "vocal" else ("fs.fl", "fs.fr") if lane == "bass" else ("(l - fs.fl)", "(r - fs.fr)")
-    return f"""SELECT * FROM (WITH RECURSIVE {_MONO}, {_chain(ma.lane_stages(lane, LANE_FS), by)}
+    return f"""SELECT * FROM (WITH RECURSIVE {recursion([coefficients(k, f, q=q) for k, f, q in _LANE_FILTERS[lane]], by, _MONO)}
 SELECT track, '{lane}' AS lane, round(sum(pow(l + {_EXTRA} * {fl}, 2) + pow(r + {_EXTRA} * {fr}, 2)), 4) + 0.0 AS energy FROM sp JOIN fs USING (track, i) GROUP BY 1)"""
 
 

@@ -30,12 +30,12 @@ def tenths(x: Column) -> Column:
 
 @query("""WITH x AS (SELECT o_orderkey, o_totalprice / 10000 - 30 AS a, o_totalprice / 50000 - 5 AS b, 60 + o_orderkey % 300 AS dur, o_totalprice / 1000 AS sec FROM orders)
 SELECT o_orderkey, greatest(-24, least(-6, floor(a * 10 + 0.5) / 10)) + 0.0 AS target, greatest(-3, least(-0.1::DOUBLE, floor(b * 10 + 0.5) / 10)) + 0.0 AS ceiling, greatest(-3, least(3, floor(b * 10 + 0.5) / 10)) + 0.0 AS balance,
-round(greatest(0, least(dur / 2, sec)), 4) + 0.0 AS fade, greatest(-3, least(3, b)) + 0.0 AS stem, greatest(0, least(5, floor(b * 10 + 0.5) / 10)) + 0.0 AS gap FROM x""")
+round(greatest(0, least(dur / 2, sec)), 6) + 0.0 AS fade, greatest(-3, least(3, b)) + 0.0 AS stem, greatest(0, least(5, floor(b * 10 + 0.5) / 10)) + 0.0 AS gap FROM x""")
 def inputs_clamped(spark, d):
     """What a user may set, within its limits and on its grid."""
     p = F.col("o_totalprice")
     a, b, dur = p / 10000 - 30, p / 50000 - 5, (60 + F.col("o_orderkey") % 300).cast("double")
-    put = {"target": clamp(tenths(a), -24, -6), "ceiling": clamp(tenths(b), -3, -0.1), "balance": clamp(tenths(b), -3, 3), "fade": F.round(clamp(p / 1000, 0, dur / 2), 4), "stem": clamp(b, -3, 3), "gap": clamp(tenths(b), 0, 5)}
+    put = {"target": clamp(tenths(a), -24, -6), "ceiling": clamp(tenths(b), -3, -0.1), "balance": clamp(tenths(b), -3, 3), "fade": F.round(clamp(p / 1000, 0, dur / 2), 6), "stem": clamp(b, -3, 3), "gap": clamp(tenths(b), 0, 5)}
     return read(spark, d, "orders").select("o_orderkey", *[(c + F.lit(0.0)).alias(n) for n, c in put.items()])
 
 

@@ -8,10 +8,11 @@ import numpy as np
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quaver.functions import energy_to_lufs, fade_gain, half_up, k_weighting, lowpass, r4
+from quaver.functions import energy_to_lufs, fade_gain, half_up, lowpass, r4
 from quaver.operators import measure as m
 from quaver.operators.blocks import filtered, folded
 from quaver.plans.dims import PLATFORMS, PRESETS
+from quaver.plans.sql import coefficients, recursion
 from quaver.sources import event_signal, line_signal, positions, read, written
 from quaver.streaming.loudness import meter_files, played
 from quaver.streaming.meters import meter_frames, meter_frames_stream
@@ -38,28 +39,7 @@ EV = """ev AS (SELECT event_type AS track, event_id AS idx, (value - 50) / 1024:
 sp AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY idx) - 1 AS i FROM ev)"""
 
 
-def _chain(stages, channels=("l", "r")) -> str:
-    """One recursive CTE over a cascade of filters: f(track, i, fl, fr)."""
-    cols, init, step, prev = [], [], [], {}
-    for c in channels:
-        x0, x1 = f"s.{c}", f"s.{c}"
-        for k, (b0, b1, b2, a1, a2) in enumerate(stages):
-            y = f"{c}y{k}"
-            z1, z2 = f"{c}p{k}", f"{c}q{k}"
-            y0 = f"({b0!r}::DOUBLE * {x0})"
-            y1 = f"({b0!r}::DOUBLE * {x1} + f.{z1})"
-            cols += [y, z1, z2]
-            init += [f"{y0} AS {y}", f"({b1!r}::DOUBLE * {x0} - ({a1!r}::DOUBLE) * {y0}) AS {z1}", f"({b2!r}::DOUBLE * {x0} - ({a2!r}::DOUBLE) * {y0}) AS {z2}"]
-            step += [y1, f"({b1!r}::DOUBLE * {x1} - ({a1!r}::DOUBLE) * {y1} + f.{z2})", f"({b2!r}::DOUBLE * {x1} - ({a2!r}::DOUBLE) * {y1})"]
-            x0, x1 = y0, y1
-        prev[c] = f"{c}y{len(stages) - 1}"
-    out = ", ".join(f"{v} AS f{c}" for c, v in prev.items())
-    return f"""f AS (SELECT s.track, s.i, {', '.join(init)} FROM sp s WHERE s.i = 0
-  UNION ALL SELECT s.track, s.i, {', '.join(step)} FROM f JOIN sp s ON s.track = f.track AND s.i = f.i + 1),
-fs AS (SELECT track, i, {out} FROM f)"""
-
-
-HOPS = f"""WITH RECURSIVE {EV}, {_chain(list(k_weighting()))},
+HOPS = f"""WITH RECURSIVE {recursion([coefficients('highshelf', 1681.974450955533, 3.999843853973347, 1.0), coefficients('high', 38.13547087602444, q=0.5003270373238773)], 'lr', EV)},
 hops AS (SELECT track, CAST(floor(i / 10) AS BIGINT) AS hop, sum(fl * fl + fr * fr) / 10 AS e FROM fs GROUP BY 1, 2 HAVING count(*) = 10)"""
 LUFS = "(-0.691 + 10 * log10(greatest({}, 1e-12)))"
 BLOCKS = "blocks AS (SELECT track, hop, avg(e) OVER w AS m, count(*) OVER w AS n FROM hops WINDOW w AS (PARTITION BY track ORDER BY hop ROWS BETWEEN 3 PRECEDING AND CURRENT ROW))"
@@ -68,7 +48,7 @@ INTEGRATED = f"""{BLOCKS}, g AS (SELECT track, avg(m) AS a FROM blocks WHERE n =
 loud AS (SELECT b.track, {LUFS.format('avg(m)')} AS lufs FROM blocks b JOIN g USING (track) WHERE n = 4 AND {LUFS.format('m')} > -70 AND {LUFS.format('m')} > {LUFS.format('g.a')} - 10 GROUP BY 1)"""
 
 
-@query(f"WITH RECURSIVE {EV}, {_chain([lowpass(48000, 8000, 0.7071)])} SELECT track, round(sum(fl * fl + fr * fr), 4) + 0.0 AS energy FROM fs GROUP BY 1")
+@query(f"WITH RECURSIVE {recursion([coefficients('low', 8000.0, q=0.7071)], 'lr', EV)} SELECT track, round(sum(fl * fl + fr * fr), 4) + 0.0 AS energy FROM fs GROUP BY 1")
 def biquad_energy(spark, d):
     return filtered(ev(spark, d), [lowpass(48000, 8000, 0.7071)]).groupBy("track").agg(r4(F.sum(F.col("l") * F.col("l") + F.col("r") * F.col("r"))).alias("energy"))
 
@@ -229,13 +209,21 @@ def band_profile(spark, d):
     return e.groupBy("label", "band").agg(r4(10 * F.log10(F.avg("e") + 1e-14)).alias("db")).select("label", F.col("band").cast("long").alias("band"), "db")
 
 
-@query(f"""WITH {EM}, g AS (SELECT *, ln(1 + 20 * sqrt(re * re + im * im)) AS mag, dense_rank() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS col FROM dft),
-x AS (SELECT label, col, greatest(0, mag - lag(mag, 1, 0.0::DOUBLE) OVER (PARTITION BY label, k ORDER BY col)) AS f FROM g) SELECT label, col, round(sum(f), 4) + 0.0 AS flux FROM x GROUP BY 1, 2""")
+RAW_FLUX = f"""WITH {EM}, g AS (SELECT *, ln(1 + 20 * sqrt(re * re + im * im)) AS mag, dense_rank() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS col FROM dft WHERE k >= 1 AND k < 32),
+x AS (SELECT label, col, greatest(0, mag - lag(mag, 1, 0.0::DOUBLE) OVER (PARTITION BY label, k ORDER BY col)) AS f FROM g) SELECT label, col, sum(f) AS flux FROM x GROUP BY 1, 2"""
+
+
+@query(f"SELECT label, col, round(flux, 4) + 0.0 AS flux FROM ({RAW_FLUX})")
 def spectral_flux(spark, d):
+    return raw_flux(spark, d).select("label", "col", r4(F.col("flux")).alias("flux"))
+
+
+def raw_flux(spark, d):
+    """Rise of the magnitudes from one vector to the next, summed over the bins without the lowest and the highest."""
     mag = F.log1p(20 * F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")))
-    g = dft(spark, d).withColumns({"mag": mag, "col": F.dense_rank().over(W.partitionBy("label").orderBy("vec_id")).cast("long") - 1})
+    g = dft(spark, d).where("k >= 1 AND k < 32").withColumns({"mag": mag, "col": F.dense_rank().over(W.partitionBy("label").orderBy("vec_id")).cast("long") - 1})
     rise = F.greatest(F.lit(0.0), F.col("mag") - F.lag("mag", 1, 0.0).over(W.partitionBy("label", "k").orderBy("col")))
-    return g.withColumn("f", rise).groupBy("label", "col").agg(r4(F.sum("f")).alias("flux"))
+    return g.withColumn("f", rise).groupBy("label", "col").agg(F.sum("f").alias("flux"))
 
 
 @query(f"""{HOPS} SELECT a.track, CAST(lag AS BIGINT) AS lag, round(sum(a.e * b.e) / count(*) * 1000, 4) + 0.0 AS ac
