@@ -91,9 +91,9 @@ class Cascade:
         return np.concatenate(parts) if parts else np.zeros(0), state
 
 
-def blocks(signal: DataFrame, size: int = BLOCK, numbered: bool = False) -> DataFrame:
-    """The samples of each block in order: track, block, idx, l, r (arrays). ``numbered``: the signal has positions i already."""
-    placed = signal if numbered else positions(signal)
+def blocks(signal: DataFrame, size: int = BLOCK) -> DataFrame:
+    """The samples of each block in order: track, block, idx, l, r (arrays). Positions i that the signal has already are taken as they are."""
+    placed = signal if "i" in signal.columns else positions(signal)
     at = F.struct("i", "idx", F.col("l").cast("double").alias("l"), F.col("r").cast("double").alias("r"))
     rows = placed.groupBy("track", F.floor(F.col("i") / size).alias("block")).agg(F.array_sort(F.collect_list(at)).alias("s"))  # at most ``size``
     return rows.select("track", "block", *[F.col(f"s.{c}").alias(c) for c in ("idx", "l", "r")])

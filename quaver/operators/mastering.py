@@ -17,7 +17,7 @@ from quaver.functions import highpass, lowpass, peaking
 from quaver.operators.blocks import Cascade, Pieces, biquad_from, folded, ordered
 from quaver.operators.dynamics import keeps
 from quaver.operators.measure import integrated_loudness, weighted_hops
-from quaver.sources import written
+from quaver.sources import positions, written
 
 #: Time constants in seconds, corner frequencies in Hz, filter qualities, limits in dB.
 DRUMS = {"fast": (0.0003, 0.035), "slow": (0.02, 0.3)}
@@ -170,18 +170,21 @@ def solve_gain(signal: DataFrame, target: float, drive: float, hop: int = 10, pa
     Each pass renders with every track's own gain, measures in parallel blocks and moves the gain by 0.95 of the error, until it is
     within ``tolerance``; tracks that are done keep theirs. What goes from pass to pass is one row per track.
     """
-    state = signal.select("track").distinct().select("track", F.lit(0.0).alias("gain_db"), F.lit(0).cast("long").alias("passes"), F.lit(None).cast("double").alias("final_err"))
+    placed = written(positions(signal).select("track", "idx", "i", "l", "r"))
+    state = placed.select("track").distinct().select("track", F.lit(0.0).alias("gain_db"), F.lit(0).cast("long").alias("passes"), F.lit(None).cast("double").alias("final_err"))
     for _ in range(passes):
         open_ = F.coalesce(F.abs("final_err") > tolerance, F.lit(True))
         moved = state.withColumn("gain_db", F.when(F.col("passes") == 0, 0.0).when(open_, F.col("gain_db") + 0.95 * F.col("final_err")).otherwise(F.col("gain_db")))
         gains = moved.select(F.col("track").alias("g_track"), F.pow(F.lit(10.0), F.col("gain_db") / 20).alias("g"))
-        driven = signal.join(gains, F.col("track").eqNullSafe(F.col("g_track"))).select("track", "idx", *[saturate(F.col(c) * F.col("g"), drive).alias(c) for c in "lr"])
+        driven = placed.join(gains, F.col("track").eqNullSafe(F.col("g_track"))).select("track", "idx", "i", *[saturate(F.col(c) * F.col("g"), drive).alias(c) for c in "lr"])
         loud = integrated_loudness(weighted_hops(driven, hop)).select(F.col("track").alias("l_track"), "lufs")
         err = F.lit(target) - F.coalesce("lufs", F.lit(-70.0))
         after = moved.join(loud, F.col("track").eqNullSafe(F.col("l_track")), "left").select(
             "track", "gain_db", F.when(open_, F.col("passes") + 1).otherwise(F.col("passes")).alias("passes"), F.when(open_, err).otherwise(F.col("final_err")).alias("final_err")
         )
         state = written(after)
+        if state.where(F.abs("final_err") > tolerance).isEmpty():
+            break
     return state
 
 
