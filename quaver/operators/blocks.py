@@ -6,7 +6,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, WindowSpec
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quaver.sources import positions
@@ -99,6 +100,20 @@ def blocks(signal: DataFrame, size: int = BLOCK) -> DataFrame:
     return rows.select("track", "block", *[F.col(f"s.{c}").alias(c) for c in ("idx", "l", "r")])
 
 
+def haloed(signal: DataFrame, reach: int, size: int = BLOCK) -> tuple[DataFrame, WindowSpec]:
+    """A signal for windows that look back at most ``reach`` samples, and their order: blocks with the last samples of the block before.
+
+    Adds block and halo; rows of the halo are there for others to look back at and have to be dropped afterwards. So a track is not
+    sorted in one task. Positions i that the signal has already are taken as they are.
+    """
+    placed = signal if "i" in signal.columns else positions(signal)
+    size = max(size, reach)
+    own = F.floor(F.col("i") / size)
+    later = F.when(F.col("i") - own * size >= size - reach, own + 1)
+    rows = placed.withColumn("block", F.explode(F.array_compact(F.array(own, later)))).withColumn("halo", F.col("block") > F.floor(F.col("i") / size))
+    return rows, W.partitionBy("track", "block").orderBy("i")
+
+
 def with_states(rows: DataFrame, cascade: Cascade) -> DataFrame:
     """Adds zl and zr, the filter's state at the start of each block: the block ends from rest, put together along each track.
 

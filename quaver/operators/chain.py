@@ -184,13 +184,10 @@ class _GainSmoother(Pieces):
 def limited(signal: DataFrame, ceiling_db: float, fs: float, delta: bool = False) -> DataFrame:
     """The limiter's output and gain: track, idx, l, r, gain. With ``delta`` what it takes from the delayed input instead.
 
-    True peaks, the lowest gain within the look-ahead and the delay are windows in the order of idx; only the gain itself is an
-    ordered pass, in the partitions that the windows have made.
+    True peaks, the lowest gain within the look-ahead and the delay are windows over blocks; only the gain itself is an ordered pass.
     """
-    n, ceiling = max(16, round(fs * dyn.LOOKAHEAD)), 10 ** (ceiling_db / 20)
-    w = W.partitionBy("track").orderBy("idx")
-    need = F.when(F.col("peak") > ceiling, ceiling / F.col("peak")).otherwise(1.0)
-    ready = dyn.true_peaks(signal).select("track", "idx", F.min(need).over(w.rowsBetween(1 - n, 0)).alias("gain"), *[F.lag(c, n, 0.0).over(w).alias(c) for c in "lr"])
+    ceiling = 10 ** (ceiling_db / 20)
+    ready = dyn.gains_needed(signal, ceiling, fs)
     both = ordered(ready, lambda: _GainSmoother(fs), ("gain", "l", "r"))
     clipped = lambda c: F.greatest(F.lit(-ceiling), F.least(F.lit(ceiling), F.col(c) * F.col("gain")))
     return both.select("track", "idx", *[(clipped(c) - F.col(c) if delta else clipped(c)).alias(c) for c in "lr"], "gain")

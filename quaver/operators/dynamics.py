@@ -5,12 +5,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from quaver.functions import highpass, lowpass
-from quaver.operators.blocks import filtered, folded
+from quaver.operators.blocks import filtered, folded, haloed
 
 #: Time constants in seconds, thresholds and ranges in dB.
 LOOKAHEAD, LIMIT_RELEASE = 0.0025, 0.09
@@ -30,13 +29,31 @@ def kernel(fraction: float, taps: int = 8) -> list[float]:
     return (h / h.sum()).tolist()
 
 
+#: Samples that a true peak looks back at.
+TAPS = 8
+
+
 def true_peaks(signal: DataFrame) -> DataFrame:
     """Adds peak: the largest of both channels at a sample and at the three quarter points near it."""
-    w = W.partitionBy("track").orderBy("idx")
+    rows, w = haloed(signal, TAPS - 1)
+    return rows.withColumn("peak", _peak(w)).where("NOT halo").drop("halo", "block", "i")
+
+
+def _peak(w: WindowSpec) -> Column:
     between = lambda c, h: sum((F.lag(c, n, 0.0).over(w) * h[n] for n in range(1, len(h))), F.col(c) * h[0])
     points: list[Column] = [F.abs(c) for c in ("l", "r")]
-    points += [F.abs(between(c, kernel(q / 4))) for c in ("l", "r") for q in (1, 2, 3)]
-    return signal.withColumn("peak", F.greatest(*points))
+    points += [F.abs(between(c, kernel(q / 4, TAPS))) for c in ("l", "r") for q in (1, 2, 3)]
+    return F.greatest(*points)
+
+
+def gains_needed(signal: DataFrame, ceiling: float, fs: float) -> DataFrame:
+    """What a limiter looks at: track, idx, the lowest gain that the true peaks within the look-ahead need (gain), and the delayed channels (l, r)."""
+    n = max(16, round(fs * LOOKAHEAD))
+    rows, w = haloed(signal.select("track", "idx", *(c for c in ("i", "l", "r") if c in signal.columns)), n + TAPS)
+    need = F.when(F.col("peak") > ceiling, ceiling / F.col("peak")).otherwise(1.0)
+    seen = rows.withColumn("peak", _peak(w)).withColumn("gain", F.min(need).over(w.rowsBetween(1 - n, 0)))
+    late = seen.withColumns({c: F.lag(c, n, 0.0).over(w) for c in "lr"})
+    return late.where("NOT halo").select("track", "idx", "gain", "l", "r")
 
 
 def limiter_stats(signal: DataFrame, ceiling_db: float, fs: float) -> DataFrame:
@@ -45,12 +62,9 @@ def limiter_stats(signal: DataFrame, ceiling_db: float, fs: float) -> DataFrame:
     The gain that each true peak needs, its minimum over the lookahead and the delay are window functions; only the
     smoothing of the gain is a sequential pass.
     """
-    n, ceiling = max(16, round(fs * LOOKAHEAD)), 10 ** (ceiling_db / 20)
+    ceiling = 10 ** (ceiling_db / 20)
     attack, release = keeps(fs, LOOKAHEAD / 4), keeps(fs, LIMIT_RELEASE)
-    w = W.partitionBy("track").orderBy("idx")
-    need = F.when(F.col("peak") > ceiling, ceiling / F.col("peak")).otherwise(1.0)
-    late = F.greatest(F.abs(F.lag("l", n, 0.0).over(w)), F.abs(F.lag("r", n, 0.0).over(w)))
-    ready = true_peaks(signal).select("track", "idx", F.min(need).over(w.rowsBetween(1 - n, 0)).alias("l"), late.alias("r"))
+    ready = gains_needed(signal, ceiling, fs).select("track", "idx", F.col("gain").alias("l"), F.greatest(F.abs("l"), F.abs("r")).alias("r"))
 
     def make():
         gain, least, clipped = 1.0, 1.0, 0

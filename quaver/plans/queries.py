@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quaver.functions import energy_to_lufs, fade_gain, half_up, lowpass, r4
 from quaver.operators import measure as m
-from quaver.operators.blocks import filtered, folded
+from quaver.operators.blocks import filtered, folded, haloed
 from quaver.plans.dims import PLATFORMS, PRESETS
 from quaver.plans.sql import coefficients, recursion
 from quaver.sources import event_signal, line_signal, positions, read, written
@@ -153,12 +153,14 @@ def balance_trim(spark, d):
 @query(f"WITH {EV} SELECT track, idx, round(min(least(1, 0.05 / greatest(abs(l), abs(r), 1e-9))) OVER (PARTITION BY track ORDER BY idx ROWS BETWEEN 15 PRECEDING AND CURRENT ROW), 4) + 0.0 AS wmin FROM ev")
 def sliding_min_gain(spark, d):
     need = F.least(F.lit(1.0), 0.05 / F.greatest(F.abs("l"), F.abs("r"), F.lit(1e-9)))
-    return ev(spark, d).select("track", "idx", r4(F.min(need).over(W.partitionBy("track").orderBy("idx").rowsBetween(-15, 0))).alias("wmin"))
+    rows, w = haloed(ev(spark, d), 15)
+    return rows.withColumn("wmin", F.min(need).over(w.rowsBetween(-15, 0))).where("NOT halo").select("track", "idx", r4(F.col("wmin")).alias("wmin"))
 
 
 @query(f"WITH {EV} SELECT track, idx, round(lag(l, 12, 0.0::DOUBLE) OVER (PARTITION BY track ORDER BY idx), 4) + 0.0 AS x_d FROM ev")
 def lookahead_delay(spark, d):
-    return ev(spark, d).select("track", "idx", r4(F.lag("l", 12, 0.0).over(W.partitionBy("track").orderBy("idx"))).alias("x_d"))
+    rows, w = haloed(ev(spark, d), 12)
+    return rows.withColumn("x_d", F.lag("l", 12, 0.0).over(w)).where("NOT halo").select("track", "idx", r4(F.col("x_d")).alias("x_d"))
 
 
 @query(f"""WITH RECURSIVE {EV}, e AS (SELECT track, i, 0.3::DOUBLE * abs(l) AS env FROM sp WHERE i = 0 UNION ALL

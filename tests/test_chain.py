@@ -46,6 +46,17 @@ def test_positions_of_uneven_and_null_rows(spark):
         assert [got[t, x] for x in order] == list(range(len(order)))
 
 
+def test_windows_over_blocks_look_back_into_the_block_before(spark):
+    s = noise(spark, 700, ("a",))
+    whole = ch.dyn.gains_needed(s, 0.3, 1000).orderBy("idx").collect()
+    was, blocks.haloed.__defaults__ = blocks.haloed.__defaults__, (50,)
+    try:
+        assert ch.dyn.gains_needed(s, 0.3, 1000).orderBy("idx").collect() == whole
+        assert len(whole) == 700 and min(r["gain"] for r in whole) < 1
+    finally:
+        blocks.haloed.__defaults__ = was
+
+
 def plain_cut(left, right, amount, block=128):
     """De-harsh: sample by sample."""
     keep = lambda t: 1 - math.exp(-1 / (FS * t))
