@@ -279,3 +279,18 @@ def folded(signal: DataFrame, make: Callable[[], Callable[[np.ndarray, np.ndarra
 
     rows = signal.select("track", "idx", "l", "r").repartition("track").sortWithinPartitions("track", F.col("idx").asc_nulls_last())
     return rows.mapInPandas(run, f"track {kind}, " + ", ".join(f"{n} double" for n in names))
+
+
+def transformed(frames: DataFrame, keys: list[str], window: np.ndarray | None = None) -> DataFrame:
+    """Fourier transform of frames x of one size, with a window if given: keys, k, re, im for each bin from 0 to half the size."""
+    kinds = ", ".join(f"{c} {frames.schema[c].dataType.simpleString()}" for c in keys)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                x = np.stack([np.asarray(v, np.float64) for v in b["x"]])
+                y = np.fft.rfft(x if window is None else x * window, axis=1)
+                yield b[keys].assign(re=list(y.real), im=list(y.imag))
+
+    made = frames.select(*keys, "x").mapInPandas(run, f"{kinds}, re array<double>, im array<double>")
+    return made.select(*keys, F.posexplode(F.arrays_zip("re", "im")).alias("k", "z")).select(*keys, F.col("k").cast("long").alias("k"), "z.re", "z.im")

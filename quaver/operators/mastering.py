@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quaver.functions import highpass, lowpass, peaking
-from quaver.operators.blocks import Cascade, Pieces, biquad_from, folded, ordered
+from quaver.operators.blocks import Cascade, Pieces, biquad_from, folded, ordered, transformed
 from quaver.operators.dynamics import keeps
 from quaver.operators.measure import integrated_loudness, weighted_hops
 from quaver.sources import positions, written
@@ -383,8 +383,5 @@ def framed(placed: DataFrame, size: int, hop: int) -> DataFrame:
 
 def powers(frames: DataFrame, keys: list[str], size: int) -> DataFrame:
     """Power of each bin from 0 to size / 2 of the frames x: keys, k, power."""
-    bins = F.explode(F.sequence(F.lit(0), F.lit(size // 2))).alias("k")
-    turn = lambda i: F.lit(2 * math.pi / size) * ((F.col("k") * i) % size)
-    total = lambda f: F.aggregate(F.transform("x", lambda v, i: v * f(turn(i))), F.lit(0.0), lambda s, v: s + v)
-    both = frames.select(*keys, "x", bins).select(*keys, "k", total(F.cos).alias("re"), total(F.sin).alias("im"))
-    return both.select(*keys, F.col("k").cast("long").alias("k"), (F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("power"))
+    both = transformed(frames.where(F.size("x") == size), keys)
+    return both.select(*keys, "k", (F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("power"))

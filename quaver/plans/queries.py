@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quaver.functions import energy_to_lufs, fade_gain, half_up, lowpass, r4
 from quaver.operators import measure as m
-from quaver.operators.blocks import filtered, folded, haloed
+from quaver.operators.blocks import filtered, folded, haloed, transformed
 from quaver.plans.dims import PLATFORMS, PRESETS
 from quaver.plans.sql import coefficients, recursion
 from quaver.sources import event_signal, line_signal, positions, read, written
@@ -182,19 +180,15 @@ def envelope_follower(spark, d):
     return folded(ev(spark, d), make, ("env_last", "env_max")).select("track", r4(F.col("env_last")).alias("env_last"), r4(F.col("env_max")).alias("env_max"))
 
 
-HANN = [0.5 - 0.5 * math.cos(2 * math.pi * i / 63) for i in range(64)]
 EM = f"""e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
 w AS (SELECT *, x * (0.5 - 0.5 * cos(2 * pi() * i / 63)) AS xw FROM e),
 dft AS (SELECT vec_id, label, k, sum(xw * cos(2 * pi() * k * i / 64)) AS re, -sum(xw * sin(2 * pi() * k * i / 64)) AS im FROM w, (SELECT unnest(range(33)) AS k) ks GROUP BY 1, 2, 3)"""
 
 
 def dft(spark, d):
-    """Windowed discrete Fourier transform of each embedding as a frame, by built-in array functions."""
-    bins = F.explode(F.sequence(F.lit(0), F.lit(32))).alias("k")
-    frames = read(spark, d, "embeddings").select("vec_id", "label", F.zip_with("embedding", F.array(*map(F.lit, HANN)), lambda x, h: x.cast("double") * h).alias("x"), bins)
-    turn = lambda i: F.lit(2 * math.pi / 64) * ((F.col("k") * i) % 64)
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
-    return frames.select("vec_id", "label", "k", total(F.transform("x", lambda v, i: v * F.cos(turn(i)))).alias("re"), (-total(F.transform("x", lambda v, i: v * F.sin(turn(i))))).alias("im"))
+    """Windowed Fourier transform of each embedding as a frame: vec_id, label, k, re, im; all frames of a batch at once."""
+    frames = read(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
+    return transformed(frames, ["vec_id", "label"], np.hanning(64))
 
 
 @query(f"WITH {EM} SELECT vec_id, k, round(re, 4) + 0.0 AS re, round(im, 4) + 0.0 AS im FROM dft")
