@@ -155,7 +155,7 @@ def _lasso(features: np.ndarray, y: np.ndarray, penalty: float, steps: int = 400
 
 
 def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, penalty: float = 0.002, seed: int = 42) -> RuleEnsemble:
-    """Rules from boosted trees on subsamples, then sparse weights. One class, or no rows: a constant."""
+    """Rules from boosted trees on subsamples, then sparse weights. One class, no rows, or too few to split: a constant."""
     if not len(y) or y.min() == y.max():
         return RuleEnsemble([], 0.0 if not len(y) else (4.0 if y[0] else -4.0))
     rng = np.random.default_rng(seed)
@@ -173,6 +173,8 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, pen
                 if hit.any():
                     margin[hit] += 0.3 * np.clip((y[hit] - p).sum() / ((p * (1 - p)).sum() + 1.0), -4, 4)
     rules = list(found.values())
+    if not rules:  # too few rows to split
+        return RuleEnsemble([], math.log(y.mean() / (1 - y.mean())))
     features = np.stack([r.holds(x) for r in rules], 1).astype(np.float64)
     weights, offset = _lasso(features, y, penalty)
     kept = [Rule(r.terms, float(w)) for r, w in zip(rules, weights, strict=True) if abs(w) > 1e-6]

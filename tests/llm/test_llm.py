@@ -63,6 +63,16 @@ def test_edge_cases_keep_every_row(edge, empty, labels, name):
     assert run(empty).count() == 0
 
 
+@pytest.mark.parametrize("name", ["quality", "secrets", "simhash", "substrings", "fingerprints", "bpe", "mixing", "toxicity", "sharding"])
+def test_very_long_texts(spark, labels, name):
+    """One run of letters and digits without white space, and two texts of 120,000 words."""
+    r = random.Random(3)
+    solid = "".join(r.choice("abcdef0123456789XYZ./=") for _ in range(200_000))
+    many = " ".join(r.choice(WORDS) for _ in range(120_000))
+    df = spark.createDataFrame(rows_of([(1, solid), (2, many), (3, many + " end")]), DOCS)
+    assert operators(labels)[name](df).count() == 3
+
+
 def test_sharding_against_python(edge):
     got = sorted(sharding.shard_by_bytes(edge, 4).collect(), key=lambda r: (r["shard"], r["slot"]))
     rows = sorted(((r["doc_id"] is None, r["doc_id"], len((r["text"] or "").encode()) + 16, zlib.crc32((r["text"] or "").encode())) for r in edge.collect()), key=lambda x: (x[0], x[1] or 0, x[2], x[3]))
