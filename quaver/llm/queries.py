@@ -1,4 +1,4 @@
-"""The ten operators as queries over the supplied tables, with DuckDB SQL where it can express them."""
+"""The operators as queries over the supplied tables, with DuckDB SQL where it can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaver.llm import bpe, fingerprints, mixing, quality, secrets, sharding, simhash, substrings, topk, toxicity
+from quaver.llm import bpe, filter_audit, fingerprints, mixing, quality, secrets, sharding, simhash, substrings, topk, toxicity
 from quaver.llm.common import table
 
 
@@ -58,6 +58,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("filter")
+
+
 #: Every window of 50 words by its own text; words that a window covers whose text also starts in an earlier document go.
 _OP4 = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
@@ -87,10 +91,28 @@ p AS (SELECT *, coalesce(sum(size) OVER (ORDER BY doc_id, size, text_crc32 ROWS
 c AS (SELECT *, CAST(least(39, middle * 40 // total) AS INTEGER) AS shard FROM p)
 SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id, size, text_crc32) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM c"""
 
+#: Flags of each document, then every order applied step by step.
+_OP11 = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+f AS (SELECT doc_id, part, [CASE WHEN len(ws) < 200 THEN 'A' END, CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' END,
+    CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 'C' END, CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' END,
+    CASE WHEN min(doc_id) OVER (PARTITION BY t) < doc_id THEN 'E' END] AS bad FROM d),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY 1),
+g AS (SELECT part, list_filter(bad, lambda x: x IS NOT NULL) AS bad, coalesce(good, 0) AS good, coalesce(l.toxic, 0) AS toxic, count(*) AS n FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, step, substr(filter_order, step, 1) AS own, string_split(substr(filter_order, 1, step - 1), '') AS before FROM o, (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS step)),
+r AS (SELECT part, filter_order, step, own, sum(n) FILTER (WHERE NOT list_contains(bad, own) AND NOT list_has_any(bad, before)) AS kept, sum(n) FILTER (WHERE list_contains(bad, own) AND NOT list_has_any(bad, before)) AS removed,
+    sum(n) FILTER (WHERE list_contains(bad, own) AND list_has_any(bad, before)) AS redundant, sum(n) FILTER (WHERE bad = [own]) AS unique_fails,
+    sum(n) FILTER (WHERE good = 1 AND list_contains(bad, own) AND NOT list_has_any(bad, before)) AS good_lost, sum(n) FILTER (WHERE toxic = 1 AND list_contains(bad, own) AND NOT list_has_any(bad, before)) AS toxic_lost
+  FROM g, s GROUP BY ALL)
+SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost, CAST(coalesce(sum(removed) OVER (PARTITION BY part, own), 0) AS BIGINT) AS shapley FROM r"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_secrets, op3_simhash, op4_substrings, op5_fingerprints, op6_bpe, op7_topk, op8_mixing, op9_toxicity, op10_sharding)}
+    return {f.__name__: f for f in (op1_quality, op2_secrets, op3_simhash, op4_substrings, op5_fingerprints, op6_bpe, op7_topk, op8_mixing, op9_toxicity, op10_sharding, op11_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substrings": _OP4, "op7_topk": _OP7, "op10_sharding": _OP10}
+    return {"op4_substrings": _OP4, "op7_topk": _OP7, "op10_sharding": _OP10, "op11_filter_audit": _OP11}
