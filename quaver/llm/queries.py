@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaver.llm import bpe, filter_audit, fingerprints, mixing, quality, secrets, sharding, simhash, substrings, topk, toxicity
+from quaver.llm import bpe, filter_audit, fingerprints, mixing, quality, resampling, secrets, sharding, simhash, substrings, topk, toxicity
 from quaver.llm.common import table
 
 
@@ -62,6 +62,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("filter")
 
 
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
 #: Every window of 50 words by its own text; words that a window covers whose text also starts in an earlier document go.
 _OP4 = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
@@ -109,10 +113,29 @@ r AS (SELECT part, filter_order, step, own, sum(n) FILTER (WHERE NOT list_contai
 SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
   CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost, CAST(coalesce(sum(removed) OVER (PARTITION BY part, own), 0) AS BIGINT) AS shapley FROM r"""
 
+#: The checksum of each distinct feature byte by byte, with the table of the reflected polynomial made by its rule.
+_OP13 = r"""
+WITH tab AS (SELECT list(c ORDER BY n) AS crcs FROM (SELECT n, list_reduce(range(8), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, n) AS c FROM (SELECT unnest(range(256)) AS n))),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+df AS (SELECT r, f, count(*) AS n FROM (SELECT r, unnest(list_concat(ws, list_concat(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]), list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])))) AS f FROM d) GROUP BY ALL),
+bf AS (SELECT f, count(*) AS n FROM (SELECT unnest(list_concat(ws, list_concat(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]), list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])))) AS f FROM b) GROUP BY ALL),
+h AS (SELECT f, xor(list_reduce(list_transform(regexp_extract_all(hex(encode(f)), '..'), lambda x: CAST('0x' || x AS BIGINT)), lambda a, x: xor(a >> 8, crcs[(xor(a, x) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) % 10000 AS bucket FROM (SELECT f FROM df UNION SELECT f FROM bf), tab),
+p AS (SELECT r, bucket, sum(n) AS n FROM df JOIN h USING (f) GROUP BY ALL),
+s AS (SELECT bucket, sum(n) AS s FROM p GROUP BY ALL),
+t AS (SELECT bucket, sum(n) AS t FROM bf JOIN h USING (f) GROUP BY ALL),
+z AS (SELECT (SELECT coalesce(sum(s), 0) FROM s) AS all_s, (SELECT coalesce(sum(t), 0) FROM t) AS all_t),
+g AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (all_s + 10000)::DOUBLE / ((s + 1)::DOUBLE * (all_t + 10000)::DOUBLE)))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket), z),
+w AS (SELECT r, sum(n) AS n_features, sum(n * gain) AS weight FROM p JOIN g USING (bucket) GROUP BY ALL),
+q AS (SELECT r, doc_id, len(ws) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight, ('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM d LEFT JOIN w USING (r)),
+v AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM q),
+k AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id, weight, n_features) AS place, count(*) OVER () * 5 // 100 AS drawn FROM v WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= drawn THEN place END AS rank FROM v LEFT JOIN k USING (r)"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_secrets, op3_simhash, op4_substrings, op5_fingerprints, op6_bpe, op7_topk, op8_mixing, op9_toxicity, op10_sharding, op11_filter_audit)}
+    return {f.__name__: f for f in (op1_quality, op2_secrets, op3_simhash, op4_substrings, op5_fingerprints, op6_bpe, op7_topk, op8_mixing, op9_toxicity, op10_sharding, op11_filter_audit, op13_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substrings": _OP4, "op7_topk": _OP7, "op10_sharding": _OP10, "op11_filter_audit": _OP11}
+    return {"op4_substrings": _OP4, "op7_topk": _OP7, "op10_sharding": _OP10, "op11_filter_audit": _OP11, "op13_resampling": _OP13}
