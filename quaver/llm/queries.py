@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaver.llm import bpe, filter_audit, fingerprints, mixing, quality, resampling, secrets, sharding, simhash, substrings, topk, toxicity
+from quaver.llm import bpe, filter_audit, fingerprints, mixing, quality, resampling, secrets, sharding, simhash, substrings, topk, toxicity, vptree
 from quaver.llm.common import table
 
 
@@ -62,6 +62,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("filter")
 
 
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.approximate_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
 
@@ -134,7 +138,7 @@ SELECT doc_id, n_features, weight, score, CASE WHEN place <= drawn THEN place EN
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_secrets, op3_simhash, op4_substrings, op5_fingerprints, op6_bpe, op7_topk, op8_mixing, op9_toxicity, op10_sharding, op11_filter_audit, op13_resampling)}
+    return {f.__name__: f for f in (op1_quality, op2_secrets, op3_simhash, op4_substrings, op5_fingerprints, op6_bpe, op7_topk, op8_mixing, op9_toxicity, op10_sharding, op11_filter_audit, op12_neighbours, op13_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
