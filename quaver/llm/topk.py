@@ -3,19 +3,15 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quaver.llm.common import materialize, small_batches
+from quaver.llm.regions import nearest, usable
 
 LEAF = 64
-#: Regions of the space, at most: their centres are the only thing that goes to all tasks.
-REGIONS = 256
+LONG = np.iinfo(np.int64)
 
 
 class BallTree:
@@ -32,8 +28,7 @@ class BallTree:
         self.radius: list[float] = []
         self.children: list[tuple[int, int] | None] = []
         self.span: list[np.ndarray] = []
-        if len(ids):
-            self._build(np.arange(len(ids)))
+        self._build(np.arange(len(ids)))
 
     def _build(self, some: np.ndarray) -> int:
         p = self.points[some]
@@ -55,8 +50,6 @@ class BallTree:
 
     def search(self, own: int, query: np.ndarray, k: int, floor: int | None) -> list[tuple[int, int]]:
         """The k best (score, id) of rows whose id isn't ``own``, best first; none below ``floor``, a k-th score known from elsewhere."""
-        if not len(self.ids):
-            return []
         q = query.astype(np.float64)
         norm = float(np.sqrt((q * q).sum()))
         exact = self.top * float(np.abs(q).max(initial=0.0)) * self.dim < 2**53
@@ -64,7 +57,7 @@ class BallTree:
             self._c, self._r = np.array(self.centre), np.array(self.radius)
         upper = self._c @ q + norm * self._r
         upper += 1e-9 * np.abs(upper) + 1e-6  # rounding never hides a row
-        kth = -np.inf if floor is None else float(floor)
+        kth = -np.inf if floor is None else floor  # an integer: as a double it could be above rows of the same score
         best: list[tuple[int, int]] = []  # (score, -id), the worst first
         open_nodes = [(-upper[0], 0)]
         while open_nodes:
@@ -80,7 +73,7 @@ class BallTree:
             if exact:
                 score = (self.points[some] @ q).astype(np.int64)
             else:
-                score = (self.rows[some].astype(object) * query.astype(object)).sum(1)
+                score = (self.rows[some].astype(object) * query.astype(object)).sum(1).clip(LONG.min, LONG.max)
             for i in np.flatnonzero((score >= kth) & (self.ids[some] != own)):
                 item = (int(score[i]), -int(self.ids[some[i]]))
                 if len(best) < k:
@@ -92,127 +85,20 @@ class BallTree:
         return [(s, -i) for s, i in sorted(best, reverse=True)]
 
 
-def _searched(k: int):
-    """Rows of whole shards, sorted so that a shard's vectors come before its queries."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, ids, rows, tree = None, [], [], None
-        for batch in batches:
-            out = []
-            for shard, is_query, vec_id, copy, v, floor in batch[["shard", "is_query", "vec_id", "copy", "v", "floor"]].itertuples(index=False, name=None):
-                if shard != at:
-                    at, ids, rows, tree = shard, [], [], None
-                if not is_query:
-                    ids.append(vec_id)
-                    rows.append(v)
-                    continue
-                if tree is None:
-                    # a shard without vectors of the query's length has no rows to offer
-                    tree = BallTree(np.array(ids, np.int64), np.array(rows, np.int64).reshape(len(ids), -1) if ids else np.zeros((0, 1), np.int64))
-                    ids, rows = [], []
-                best = tree.search(int(vec_id), np.asarray(v), k, None if pd.isna(floor) else int(floor))
-                out += [(int(vec_id), int(copy), i, s) for s, i in best]
-            yield pd.DataFrame(out, columns=["query_id", "copy", "vec_id", "score"])
-
-    return run
-
-
-def _regions(centres: dict[int, np.ndarray]):
-    """The nearest centre of each vector among those of its length, and the distance to it; -1: no centre has its length."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = pd.DataFrame({"vec_id": b["vec_id"], "v": b["v"], "dim": b["dim"], "region": np.int32(-1), "away": 0.0})
-            for dim, some in b.groupby("dim"):
-                c = centres.get(int(dim))
-                if c is not None:
-                    x = np.array(some["v"].tolist(), np.float64)
-                    d = (x * x).sum(1)[:, None] - 2 * (x @ c.T) + (c * c).sum(1)
-                    near = d.argmin(1)
-                    out.loc[some.index, "region"] = near.astype(np.int32)
-                    out.loc[some.index, "away"] = np.sqrt(((x - c[near]) ** 2).sum(1))
-            yield out
-
-    return run
-
-
-def _routed(centres: dict[int, np.ndarray], radius: dict[tuple[int, int], float]):
-    """The regions that can hold a row of at least the query's floor: inner product with the centre and norm times radius."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            to = []
-            for dim, v, floor in zip(b["dim"], b["v"], b["floor"], strict=True):
-                q = np.asarray(v, np.float64)
-                c = centres.get(int(dim), np.zeros((0, len(q))))
-                upper = c @ q + np.sqrt(q @ q) * np.array([radius.get((int(dim), i), -np.inf) for i in range(len(c))])
-                upper += 1e-9 * np.abs(upper) + 1e-6  # rounding never hides a row
-                fits = upper >= (-np.inf if pd.isna(floor) else float(floor))
-                to.append([i for i in np.flatnonzero(fits).tolist() if (int(dim), i) in radius] + [-1] * ((int(dim), -1) in radius))
-            yield b.assign(to=to)
-
-    return run
-
-
-def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, shard_rows: int = 8192) -> DataFrame:
+def _upper(q: np.ndarray, centres: np.ndarray, radii: np.ndarray) -> np.ndarray:
+    return centres @ q + np.sqrt(q @ q) * radii
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, shard_rows: int = 8192) -> DataFrame:
     """Each query's k highest integer inner products with all other rows: query_id, rank, vec_id, score.
 
     ``is_query``: a condition on vec_id. Components become floor(scale * x); vectors that are null or hold null or
     non-finite components, and rows without vec_id, take no part, nor do pairs of different length. Ties go to the smaller
     vec_id. Rows that share the query's vec_id are its own; other repeated rows are separate candidates, and each repeated query row has
-    ranks of its own. An empty table gives an empty result; extra columns are ignored.
+    ranks of its own. Scores are exact integers; components and scores that a long can't hold are held at its ends (and tie there).
+    An empty table gives an empty result; extra columns are ignored.
 
-    A bounded sample of at most REGIONS vectors gives the centres of regions; every row belongs to the nearest one, and large
-    regions are split by a hash into shards of about ``shard_rows``, each with a ball tree. Each query first visits one shard of
-    its own region; its k-th score there is then the floor everywhere: regions that can't reach it are not visited, nodes below it skipped.
+    ``regions.nearest`` deals rows to shards and queries to the shards that can reach their k-th score; each shard has a ball tree.
     """
-    spark = vectors.sparkSession
-    small_batches(spark)
-    e = F.col("embedding")
-    fits = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
-    clean = materialize(
-        vectors.where(F.col("vec_id").isNotNull() & e.isNotNull() & (F.size(e) > 0) & F.forall(e, lambda x: fits(x.cast("double"))))
-        .select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(e, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
-        .withColumn("dim", F.size("v"))
-    )
-    n = clean.count()
-    sample = clean.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(max(1, min(REGIONS, n // shard_rows))).collect()
-    by_dim: dict[int, list] = {}
-    for r in sample:
-        by_dim.setdefault(r["dim"], []).append(r["v"])
-    centres = {dim: np.array(v, np.float64) for dim, v in by_dim.items()}
-    placed = materialize(clean.mapInPandas(_regions(centres), "vec_id long, v array<long>, dim int, region int, away double"))
-    # a few lengths of vectors times at most REGIONS rows; lengths without a centre have the region -1
-    sizes = placed.groupBy("dim", "region").agg(F.max("away").alias("radius"), F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias("splits"))
-    found = sizes.where("region >= 0").collect()
-    radius = {(r["dim"], r["region"]): r["radius"] * (1 + 1e-9) + 1e-6 for r in found}
-    radius |= {(r["dim"], -1): 0.0 for r in sizes.where("region < 0").select("dim").distinct().collect()}
-    splits = F.broadcast(sizes.select("dim", "region", "splits"))
-
-    none = F.lit(None).cast("long").alias("floor")
-    key = lambda c: F.concat_ws("-", "dim", "region", c).alias("shard")
-    home = F.pmod(F.xxhash64("vec_id", "v"), "splits")
-    rows = placed.join(splits, ["dim", "region"]).select(key(home), F.lit(0).alias("is_query"), "vec_id", F.lit(0).alias("copy"), "v", none)
-    copy = F.row_number().over(W.partitionBy("vec_id").orderBy("v")).alias("copy")  # repeated query rows apart
-    queries = materialize(placed.where(is_query).join(splits, ["dim", "region"]).select("vec_id", copy, "v", "dim", "region", home.alias("home")))
-    count = max(1, -(-n // shard_rows) + len(radius))
-
-    def visit(asked: DataFrame) -> DataFrame:
-        both = rows.unionByName(asked)
-        dealt = both.repartition(min(4 * count, max(count, int(spark.conf.get("spark.sql.shuffle.partitions")))), "shard").sortWithinPartitions("shard", "is_query", "vec_id")
-        return dealt.mapInPandas(_searched(k), "query_id long, copy int, vec_id long, score long")
-
-    first = materialize(visit(queries.select(key("home"), F.lit(1).alias("is_query"), "vec_id", "copy", "v", none)))
-    floors = first.groupBy("query_id", "copy").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
-    asked = queries.join(floors.withColumnRenamed("query_id", "vec_id"), ["vec_id", "copy"], "left")
-    routed = asked.mapInPandas(_routed(centres, radius), "vec_id long, copy int, v array<long>, dim int, region int, home long, floor long, to array<int>")
-    others = (
-        routed.select("vec_id", "copy", "v", "dim", F.col("region").alias("own"), "home", "floor", F.explode("to").alias("region"))
-        .join(splits, ["dim", "region"])
-        .withColumn("split", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("splits") - 1).cast("long"))))
-        .where("NOT (region = own AND split = home)")
-        .select(key("split"), F.lit(1).alias("is_query"), "vec_id", "copy", "v", "floor")
-    )
-    best = first.unionByName(visit(others)) if count > 1 else first
-    order = W.partitionBy("query_id", "copy").orderBy(F.desc("score"), F.asc("vec_id"))
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    clean = usable(vectors).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
+    return nearest(clean, is_query, k, shard_rows, BallTree, lambda rows: rows.astype(np.float64), _upper, np.int64, "long")
