@@ -587,7 +587,7 @@ def test_held_out_recall_of_both_classes(spark, name, label, hits, spared):
     assert np.mean([r["predicted"] == 0 for r in rows if r[label] == 0]) >= spared
 
 
-@pytest.mark.parametrize("name", ["op4_substrings", "op7_topk", "op10_sharding"])
+@pytest.mark.parametrize("name", ["op4_substrings", "op7_topk", "op10_sharding", "op11_filter_audit", "op13_resampling"])
 def test_query_matches_its_sql(spark, name):
     import duckdb
 
