@@ -61,6 +61,8 @@ class Cascade:
             row, col = row @ a, a @ col
         self.response = np.concatenate([[d], self.left[:-1] @ b])
         self.step, self.n = a, n
+        #: Samples in which the slowest state forgets all but a share 1/e.
+        self.memory = float(-1 / np.log(min(max(np.abs(np.linalg.eigvals(a)).max(initial=0.0), 1e-300), 1 - 1e-9)))
 
     def rest(self) -> np.ndarray:
         return np.zeros(self.n)
@@ -195,8 +197,15 @@ class Pieces:
     """The processor of one track's columns (two channels, mostly): gets its samples in order, in pieces of any length, and keeps its own state.
 
     ``push`` returns what is ready, which may lag behind; ``finish`` the rest. All outputs together are as many as the inputs.
+    ``state`` is what it remembers between blocks of ``grain`` samples, ``memory`` the number of samples in which it forgets all but a share 1/e of it.
     """
 
+    memory, grain = 0.0, 1
+
+    @property
+    def state(self) -> np.ndarray:
+        raise TypeError("a processor that is run in spans defines state")
+
     def push(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, ...]:
         raise TypeError("a processor defines push")
 
@@ -204,21 +213,65 @@ class Pieces:
         return (np.zeros(0),) * 3
 
 
+class Follower(Pieces):
+    """A processor whose state is a few named numbers."""
+
+    names: tuple[str, ...] = ()
+
+    @property
+    def state(self) -> np.ndarray:
+        return np.array([getattr(self, n) for n in self.names])
+
+    @state.setter
+    def state(self, values: np.ndarray) -> None:
+        for n, v in zip(self.names, values.tolist(), strict=True):
+            setattr(self, n, v)
+
+
+class Filtering(Pieces):
+    """A processor whose state is that of its filters, listed by name in ``z``, and of ``inner`` processors."""
+
+    z: dict
+    inner: tuple[Pieces, ...] = ()
+
+    @property
+    def state(self) -> np.ndarray:
+        return np.concatenate([*self.z.values(), *[p.state for p in self.inner], np.zeros(0)])
+
+    @state.setter
+    def state(self, values: np.ndarray) -> None:
+        for k, old in self.z.items():
+            self.z[k], values = values[: len(old)].copy(), values[len(old) :]
+        for p in self.inner:
+            n = len(p.state)
+            p.state, values = values[:n], values[n:]
+
+
 class Chained(Pieces):
     """One processor after the other."""
 
     def __init__(self, parts: list[Pieces]) -> None:
-        self.parts = parts
+        self.parts, self.memory, self.grain = parts, sum(p.memory for p in parts), max((p.grain for p in parts), default=1)
+
+    @property
+    def state(self) -> np.ndarray:
+        return np.concatenate([p.state for p in self.parts])
+
+    @state.setter
+    def state(self, values: np.ndarray) -> None:
+        for p in self.parts:
+            n = len(p.state)
+            p.state, values = values[:n], values[n:]
 
     def push(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         for p in self.parts:
-            left, right = p.push(left, right)
+            left, right, *_ = p.push(left, right)
         return left, right
 
     def finish(self) -> tuple[np.ndarray, np.ndarray]:
         left, right = np.zeros(0), np.zeros(0)
         for p in self.parts:
-            a, b = p.push(left, right) if len(left) else (left, right)
+            a, b, *_ = p.push(left, right) if len(left) else (left, right)
             c, d, *_ = p.finish()
             left, right = np.concatenate([a, c]), np.concatenate([b, d])
         return left, right

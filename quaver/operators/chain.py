@@ -1,4 +1,4 @@
-"""The mastering chain with samples: equaliser stages in parallel blocks, dynamics in one ordered pass, gains as columns, limiter last.
+"""The mastering chain with samples: equaliser stages in parallel blocks, dynamics in one pass over spans, gains as columns, limiter last.
 
 Signals are (track, idx, l, r). Each stage is an operator of its own; ``master`` puts the active ones in order.
 """
@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from quaver.functions import energy_to_lufs, fade_gain, highpass, peaking, shelf
 from quaver.operators import dynamics as dyn
-from quaver.operators.blocks import Cascade, Chained, Pieces, filtered, ordered
+from quaver.operators.blocks import Cascade, Chained, Filtering, Pieces, filtered, ordered
+from quaver.operators.follow import followed
 from quaver.operators.mastering import DeHarsher, StemLanes, Widener
 from quaver.operators.measure import integrated_loudness, pyramid_base, short_term, weighted_hops
 from quaver.sources import positions, written
@@ -123,7 +124,7 @@ class _Halve:
         return self.even.push(x[::2]) + self.odd.push(x[1::2])
 
 
-class Saturator(Pieces):
+class Saturator(Filtering):
     """Biased soft clipping at four times the rate, then a blocker of direct current at 5 Hz."""
 
     def __init__(self, drive: float, fs: float) -> None:
@@ -131,7 +132,22 @@ class Saturator(Pieces):
         self.rates = [[_Double(), _Double(), _Halve(), _Halve()] for _ in "lr"]
         keep = math.exp(-2 * math.pi * 5 / fs)
         self.blocker = Cascade([(keep, -keep, 0.0, -keep, 0.0)], 1024)
-        self.states = [self.blocker.rest(), self.blocker.rest()]
+        self.z = {k: self.blocker.rest() for k in (0, 1)}
+        self.memory = self.blocker.memory + 64  # the rate changers look back at fewer than 64 samples
+
+    @property
+    def state(self) -> np.ndarray:
+        return np.concatenate([super().state, *[f.last for f in self._firs()]])
+
+    @state.setter
+    def state(self, values: np.ndarray) -> None:
+        n = sum(map(len, self.z.values()))
+        Filtering.state.fset(self, values[:n])
+        for f in self._firs():
+            f.last, n = values[n : n + len(f.last)].copy(), n + len(f.last)
+
+    def _firs(self) -> list[_Fir]:
+        return [f for rates in self.rates for r in rates for f in (r.even, r.odd)]
 
     def push(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         out = []
@@ -139,56 +155,43 @@ class Saturator(Pieces):
             up1, up2, down2, down1 = self.rates[k]
             y = up2.push(up1.push(x))
             y = (np.tanh(self.g * (y + self.bias)) - math.tanh(self.g * self.bias)) / self.g
-            y, self.states[k] = self.blocker.run(down1.push(down2.push(y)), self.states[k])
+            y, self.z[k] = self.blocker.run(down1.push(down2.push(y)), self.z[k])
             out.append(y)
         return out[0], out[1]
 
 
-class Compressor(Pieces):
+class Compressor(Filtering):
     """The soft-knee compressor with 0.7 of its expected reduction made up."""
 
     def __init__(self, density: float, fs: float) -> None:
-        self.reductions = dyn.compressor_reductions(density, fs)
+        self.reductions, self.z = dyn.CompressorReduction(density, fs), {}
+        self.inner, self.memory = (self.reductions,), self.reductions.memory
         over = max(0.0, -12 - (-16 - 8 * density))
         self.makeup = 10 ** (over * (1 - 1 / (1.2 + 0.8 * density)) * 0.7 / 20)
 
     def push(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        g = 10 ** (-self.reductions(left, right) / 20) * self.makeup
+        g = 10 ** (-self.reductions.push(left, right)[0] / 20) * self.makeup
         return left * g, right * g
 
 
-class Transients(Pieces):
+class Transients(Filtering):
     def __init__(self, amount: float, fs: float) -> None:
-        self.gains = dyn.transient_gains(amount, fs)
+        self.gains, self.z = dyn.TransientGain(amount, fs), {}
+        self.inner, self.memory = (self.gains,), self.gains.memory
 
     def push(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        g = 10 ** (self.gains(left, right) / 20)
+        g = 10 ** (self.gains.push(left, right)[0] / 20)
         return left * g, right * g
 
 
-class _GainSmoother(Pieces):
-    """The limiter's gain: falls fast to the lowest gain needed, comes back slowly. In: lowest gain and channels; out: gain and channels."""
-
-    def __init__(self, fs: float) -> None:
-        self.attack, self.release, self.gain = dyn.keeps(fs, dyn.LOOKAHEAD / 4), dyn.keeps(fs, dyn.LIMIT_RELEASE), 1.0
-
-    def push(self, lowest: np.ndarray, *channels: np.ndarray) -> tuple[np.ndarray, ...]:
-        gain, out = self.gain, []
-        for low in lowest.tolist():
-            gain = low + (self.attack if low < gain else self.release) * (gain - low)
-            out.append(gain)
-        self.gain = gain
-        return np.array(out), *channels
-
-
 def limited(signal: DataFrame, ceiling_db: float, fs: float, delta: bool = False) -> DataFrame:
     """The limiter's output and gain: track, idx, l, r, gain. With ``delta`` what it takes from the delayed input instead.
 
-    True peaks, the lowest gain within the look-ahead and the delay are windows over blocks; only the gain itself is an ordered pass.
+    True peaks, the lowest gain within the look-ahead and the delay are windows over blocks; the gain itself runs in spans.
     """
     ceiling = 10 ** (ceiling_db / 20)
     ready = dyn.gains_needed(signal, ceiling, fs)
-    both = ordered(ready, lambda: _GainSmoother(fs), ("gain", "l", "r"))
+    both = followed(ready, lambda: dyn.LimiterGain(fs), ("gain", "l", "r"), ("gain", "l", "r"))
     clipped = lambda c: F.greatest(F.lit(-ceiling), F.least(F.lit(ceiling), F.col(c) * F.col("gain")))
     return both.select("track", "idx", *[(clipped(c) - F.col(c) if delta else clipped(c)).alias(c) for c in "lr"], "gain")
 
@@ -228,7 +231,7 @@ def core(signal: DataFrame, s: Settings, fs: float) -> DataFrame:
     out = filtered(gained(signal, s.staging_db), equaliser(s, fs))
     makers = dynamics(s, fs)
     if makers:
-        out = ordered(out, lambda: Chained([make() for make in makers]))
+        out = followed(out, lambda: Chained([make() for make in makers]))
     if active(s)["balance"]:
         out = out.select("track", "idx", (F.col("l") * 10 ** (-s.balance_db / 40)).alias("l"), (F.col("r") * 10 ** (s.balance_db / 40)).alias("r"))
     return faded(out, s, fs)

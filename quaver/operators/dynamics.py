@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from quaver.functions import highpass, lowpass
-from quaver.operators.blocks import filtered, folded, haloed
+from quaver.operators.blocks import Follower, filtered, haloed
+from quaver.operators.follow import followed
 
 #: Time constants in seconds, thresholds and ranges in dB.
 LOOKAHEAD, LIMIT_RELEASE = 0.0025, 0.09
@@ -47,113 +48,105 @@ def _peak(w: WindowSpec) -> Column:
 
 
 def gains_needed(signal: DataFrame, ceiling: float, fs: float) -> DataFrame:
-    """What a limiter looks at: track, idx, the lowest gain that the true peaks within the look-ahead need (gain), and the delayed channels (l, r)."""
+    """What a limiter looks at: track, idx, i, the lowest gain that the true peaks within the look-ahead need (gain), and the delayed channels (l, r)."""
     n = max(16, round(fs * LOOKAHEAD))
     rows, w = haloed(signal.select("track", "idx", *(c for c in ("i", "l", "r") if c in signal.columns)), n + TAPS)
     need = F.when(F.col("peak") > ceiling, ceiling / F.col("peak")).otherwise(1.0)
     seen = rows.withColumn("peak", _peak(w)).withColumn("gain", F.min(need).over(w.rowsBetween(1 - n, 0)))
     late = seen.withColumns({c: F.lag(c, n, 0.0).over(w) for c in "lr"})
-    return late.where("NOT halo").select("track", "idx", "gain", "l", "r")
+    return late.where("NOT halo").select("track", "idx", "i", "gain", "l", "r")
 
 
 def limiter_stats(signal: DataFrame, ceiling_db: float, fs: float) -> DataFrame:
     """Largest gain reduction in dB and samples that still had to be clipped: track, max_gr, n_clipped.
 
-    The gain that each true peak needs, its minimum over the lookahead and the delay are window functions; only the
-    smoothing of the gain is a sequential pass.
+    The gain that each true peak needs, its minimum over the lookahead and the delay are window functions; the
+    smoothing of the gain runs in spans.
     """
     ceiling = 10 ** (ceiling_db / 20)
-    attack, release = keeps(fs, LOOKAHEAD / 4), keeps(fs, LIMIT_RELEASE)
-    ready = gains_needed(signal, ceiling, fs).select("track", "idx", F.col("gain").alias("l"), F.greatest(F.abs("l"), F.abs("r")).alias("r"))
+    ready = gains_needed(signal, ceiling, fs).select("track", "idx", "i", "gain", F.greatest(F.abs("l"), F.abs("r")).alias("late"))
+    gains = followed(ready, lambda: LimiterGain(fs), ("gain", "late"), ("gain", "late"))
+    reduction = -20 * F.log10(F.greatest(F.min("gain"), F.lit(1e-6)))
+    return gains.groupBy("track").agg(reduction.alias("max_gr"), F.count_if(F.col("late") * F.col("gain") > ceiling).alias("n_clipped"))
 
-    def make():
-        gain, least, clipped = 1.0, 1.0, 0
 
-        def push(lowest, delayed):
-            nonlocal gain, least, clipped
-            for low, x in zip(lowest.tolist(), delayed.tolist(), strict=True):
-                gain = low + (attack if low < gain else release) * (gain - low)
-                least = min(least, gain)
-                clipped += x * gain > ceiling
-            return -20 * math.log10(max(least, 1e-6)), float(clipped)
+class LimiterGain(Follower):
+    """The limiter's gain: falls fast to the lowest gain needed, comes back slowly. Other columns pass."""
 
-        return push
+    names = ("gain",)
 
-    return folded(ready, make, ("max_gr", "n_clipped")).withColumn("n_clipped", F.col("n_clipped").cast("long"))
+    def __init__(self, fs: float) -> None:
+        self.attack, self.release, self.gain, self.memory = keeps(fs, LOOKAHEAD / 4), keeps(fs, LIMIT_RELEASE), 1.0, fs * LIMIT_RELEASE
+
+    def push(self, lowest: np.ndarray, *others: np.ndarray) -> tuple[np.ndarray, ...]:
+        gain, attack, release, out = self.gain, self.attack, self.release, []
+        for low in lowest.tolist():
+            gain = low + (attack if low < gain else release) * (gain - low)
+            out.append(gain)
+        self.gain = gain
+        return np.array(out), *others
 
 
 def transient_gain(signal: DataFrame, amount: float, fs: float) -> DataFrame:
     """Gain in dB that follows attacks, where a fast envelope is above a slow one: track, g_last, g_max."""
-    def make():
-        gains, top = transient_gains(amount, fs), 0.0
-
-        def push(left, right):
-            nonlocal top
-            g = gains(left, right)
-            top = max(top, float(g.max(initial=0.0)))
-            return float(g[-1]), top
+    gains = followed(signal, lambda: TransientGain(amount, fs), outputs=("gain",))
+    return gains.groupBy("track").agg(F.max_by("gain", "i").alias("g_last"), F.greatest(F.max("gain"), F.lit(0.0)).alias("g_max"))
 
-        return push
 
-    return folded(signal, make, ("g_last", "g_max"))
+class TransientGain(Follower):
+    """The gain in dB at each sample."""
 
+    names = ("fast", "slow", "gain")
 
-def transient_gains(amount: float, fs: float):
-    """The gain in dB at each sample, for pieces of a track in order."""
-    (fa, fr), (sa, sr), (ga, gr) = ([1 - keeps(fs, t) for t in TRANSIENT[k]] for k in ("fast", "slow", "gain"))
-    fast = slow = gain = 0.0
+    def __init__(self, amount: float, fs: float) -> None:
+        self.amount, self.takes = amount, [[1 - keeps(fs, t) for t in TRANSIENT[k]] for k in self.names]
+        self.fast = self.slow = self.gain = 0.0
+        self.memory = fs * sum(max(TRANSIENT[k]) for k in self.names)
 
-    def push(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        nonlocal fast, slow, gain
-        out = []
+    def push(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray]:
+        (fa, fr), (sa, sr), (ga, gr) = self.takes
+        fast, slow, gain, amount, out = self.fast, self.slow, self.gain, self.amount, []
         for x in np.maximum(np.abs(left), np.abs(right)).tolist():
             fast += (fa if x > fast else fr) * (x - fast)
             slow += (sa if x > slow else sr) * (x - slow)
             goal = amount * 0.6 * min(10.0, max(0.0, 20 * math.log10((fast + 1e-9) / (slow + 1e-9))))
             gain += (ga if abs(goal) > abs(gain) else gr) * (goal - gain)
             out.append(gain)
-        return np.array(out)
-
-    return push
+        self.fast, self.slow, self.gain = fast, slow, gain
+        return (np.array(out),)
 
 
 def compressor_reduction(signal: DataFrame, density: float, fs: float) -> DataFrame:
     """Smoothed gain reduction in dB of a soft-knee compressor: track, gr_last, gr_max."""
-    def make():
-        reductions, top = compressor_reductions(density, fs), 0.0
-
-        def push(left, right):
-            nonlocal top
-            gr = reductions(left, right)
-            top = max(top, float(gr.max(initial=0.0)))
-            return float(gr[-1]), top
+    reductions = followed(signal, lambda: CompressorReduction(density, fs), outputs=("gr",))
+    return reductions.groupBy("track").agg(F.max_by("gr", "i").alias("gr_last"), F.greatest(F.max("gr"), F.lit(0.0)).alias("gr_max"))
 
-        return push
 
-    return folded(signal, make, ("gr_last", "gr_max"))
+class CompressorReduction(Follower):
+    """The smoothed reduction in dB at each sample."""
 
+    names = ("level", "env", "reduction")
 
-def compressor_reductions(density: float, fs: float):
-    """The smoothed reduction in dB at each sample, for pieces of a track in order."""
-    threshold, slope, knee = -16 - 8 * density, 1 - 1 / (1.2 + 0.8 * density), COMPRESSOR["knee"]
-    take = 1 - keeps(fs, COMPRESSOR["level"])
-    (ea, er), (ga, gr) = ([keeps(fs, t) for t in COMPRESSOR[k]] for k in ("envelope", "gain"))
-    level, env, reduction = 0.0, -80.0, 0.0
+    def __init__(self, density: float, fs: float) -> None:
+        self.threshold, self.slope = -16 - 8 * density, 1 - 1 / (1.2 + 0.8 * density)
+        self.take, self.envelope, self.gain = 1 - keeps(fs, COMPRESSOR["level"]), [keeps(fs, t) for t in COMPRESSOR["envelope"]], [keeps(fs, t) for t in COMPRESSOR["gain"]]
+        self.level, self.env, self.reduction = 0.0, -80.0, 0.0
+        self.memory = fs * (COMPRESSOR["level"] + max(COMPRESSOR["envelope"]) + max(COMPRESSOR["gain"]))
 
-    def push(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        nonlocal level, env, reduction
-        out = []
+    def push(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray]:
+        (ea, er), (ga, gr), take, slope, knee = self.envelope, self.gain, self.take, self.slope, COMPRESSOR["knee"]
+        level, env, reduction, out = self.level, self.env, self.reduction, []
         for power in (0.5 * (left * left + right * right)).tolist():
             level += take * (power - level)
             db = 10 * math.log10(level + 1e-12)
             env = db + (ea if db > env else er) * (env - db)
-            above = min(max(env - threshold + knee / 2, 0.0), knee)  # the part inside of the knee
-            goal = slope * (above * above / (2 * knee) + max(0.0, env - threshold - knee / 2))
+            over = env - self.threshold
+            above = min(max(over + knee / 2, 0.0), knee)  # the part inside of the knee
+            goal = slope * (above * above / (2 * knee) + max(0.0, over - knee / 2))
             reduction = goal + (ga if goal > reduction else gr) * (reduction - goal)
             out.append(reduction)
-        return np.array(out)
-
-    return push
+        self.level, self.env, self.reduction = level, env, reduction
+        return (np.array(out),)
 
 
 def bass_and_treble(signal: DataFrame, fs: float, bass: float = 140.0, treble: float = 4500.0) -> DataFrame:

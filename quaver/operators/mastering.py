@@ -1,6 +1,6 @@
 """Stems, width, saturation, de-harshing, the loudness solve, sections and curve matching.
 
-Signals are (track, idx, l, r). What depends on all samples before is one ordered pass per track; the rest is column work.
+Signals are (track, idx, l, r). What depends on all samples before runs in spans of a track; the rest is column work.
 """
 
 from __future__ import annotations
@@ -14,8 +14,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quaver.functions import highpass, lowpass, peaking
-from quaver.operators.blocks import Cascade, Pieces, biquad_from, folded, ordered, transformed
+from quaver.operators.blocks import Cascade, Filtering, Follower, biquad_from, transformed
 from quaver.operators.dynamics import keeps
+from quaver.operators.follow import followed
 from quaver.operators.measure import integrated_loudness, weighted_hops
 from quaver.sources import positions, written
 
@@ -40,19 +41,20 @@ def width_gains(width: float, bass_mono: bool = False) -> tuple[float, float, fl
 
 def widen(signal: DataFrame, width: float, fs: float, bass_mono: bool = False) -> DataFrame:
     """The signal with its side scaled by band."""
-    return ordered(signal, lambda: Widener(width, fs, bass_mono))
+    return followed(signal, lambda: Widener(width, fs, bass_mono)).drop("i")
 
 
-class Widener(Pieces):
+class Widener(Filtering):
     def __init__(self, width: float, fs: float, bass_mono: bool = False) -> None:
         self.gains, stages = width_gains(width, bass_mono), width_stages(fs)
         self.splits = [Cascade(stages[:2], 1024), Cascade(stages[2:], 1024)]
-        self.states = [c.rest() for c in self.splits]
+        self.z = {k: c.rest() for k, c in enumerate(self.splits)}
+        self.memory = sum(c.memory for c in self.splits)
 
     def push(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         mid, side = (left + right) / 2, (left - right) / 2
-        above, self.states[0] = self.splits[0].run(side, self.states[0])
-        high, self.states[1] = self.splits[1].run(above, self.states[1])
+        above, self.z[0] = self.splits[0].run(side, self.z[0])
+        high, self.z[1] = self.splits[1].run(above, self.z[1])
         low_gain, mid_gain, high_gain = self.gains
         wide = low_gain * (side - above) + mid_gain * (above - high) + high_gain * high
         return mid + wide, mid - wide
@@ -60,35 +62,28 @@ class Widener(Pieces):
 
 def drum_weight(signal: DataFrame, fs: float) -> DataFrame:
     """Mean share of the signal that counts as drum hits, where the fast envelope leads the slow one: track, mean_weight."""
-    def make():
-        weights, total, n = drum_weights(fs), 0.0, 0
+    return followed(signal, lambda: DrumWeight(fs), outputs=("weight",)).groupBy("track").agg(F.avg("weight").alias("mean_weight"))
 
-        def push(left, right):
-            nonlocal total, n
-            w = weights(left, right)
-            total, n = total + float(w.sum()), n + len(w)
-            return (total / n,)
 
-        return push
+class DrumWeight(Follower):
+    """How much each sample counts as a drum hit."""
 
-    return folded(signal, make, ("mean_weight",))
+    names = ("fast", "slow")
 
+    def __init__(self, fs: float) -> None:
+        self.takes = [[1 - keeps(fs, t) for t in DRUMS[k]] for k in self.names]
+        self.fast = self.slow = 0.0
+        self.memory = fs * max(max(DRUMS[k]) for k in self.names)
 
-def drum_weights(fs: float):
-    """How much each sample counts as a drum hit, for pieces of a track in order."""
-    (fa, fr), (sa, sr) = ([1 - keeps(fs, t) for t in DRUMS[k]] for k in ("fast", "slow"))
-    fast = slow = 0.0
-
-    def push(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        nonlocal fast, slow
-        out = []
+    def push(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray]:
+        (fa, fr), (sa, sr) = self.takes
+        fast, slow, out = self.fast, self.slow, []
         for x in np.maximum(np.abs(left), np.abs(right)).tolist():
             fast += (fa if x > fast else fr) * (x - fast)
             slow += (sa if x > slow else sr) * (x - slow)
             out.append(((fast / slow if slow > 1e-6 else 1.0) - 1.1) / 1.2)
-        return np.clip(np.array(out), 0.0, 1.0)
-
-    return push
+        self.fast, self.slow = fast, slow
+        return (np.clip(np.array(out), 0.0, 1.0),)
 
 
 def saturate(x: Column, drive: float) -> Column:
@@ -99,34 +94,33 @@ def saturate(x: Column, drive: float) -> Column:
 
 def deharsh_reduction(signal: DataFrame, amount: float, fs: float, block: int = 64, corner: float = DEHARSH["corner"]) -> DataFrame:
     """Reduction in dB of the band above ``corner`` Hz, set once per block: track, gr_last, gr_max."""
-    def make():
-        part = DeHarsher(amount, fs, block, corner)
-
-        def push(left, right):
-            part.push(left, right)
-            # a last block that isn't full counts too; what comes next starts from before it
-            return part.peek()
+    blocks = followed(signal, lambda: DeHarsher(amount, fs, block, corner), outputs=("a", "b", "gr"))
+    # a last block that isn't full counts too
+    return blocks.groupBy("track").agg(F.max_by("gr", "i").alias("gr_last"), F.max("gr").alias("gr_max"))
 
-        return push
 
-    return folded(signal, make, ("gr_last", "gr_max"))
+class DeHarsher(Follower):
+    """Cuts around 6.5 kHz while the band above ``corner`` is loud against the whole; the cut is set anew once per block.
 
+    Returns both channels and the reduction. A push that doesn't end with a block ends a track, or is followed by more of the same block: the state
+    stays that of the last full block, with the samples since then.
+    """
 
-class DeHarsher(Pieces):
-    """Cuts around 6.5 kHz while the band above ``corner`` is loud against the whole; the cut is set anew once per block."""
+    names = ("z1", "z2", "high", "full", "now", "applied", "l1", "l2", "r1", "r2")
 
     def __init__(self, amount: float, fs: float, block: int = 64, corner: float = DEHARSH["corner"]) -> None:
-        self.amount, self.fs, self.block = amount, fs, block
+        self.amount, self.fs, self.block, self.grain = amount, fs, block, block
         (self.ea, self.er), (self.ga, self.gr) = ([1 - keeps(fs, t) for t in DEHARSH[k]] for k in ("env", "gain"))
-        self.split, self.band = highpass(fs, corner, DEHARSH["q"]), (0.0, 0.0)
-        self.high = self.full = self.now = self.top = 0.0
-        self.cut, self.applied, self.states = (1.0, 0.0, 0.0, 0.0, 0.0), -1.0, [(0.0, 0.0), (0.0, 0.0)]
+        self.split = highpass(fs, corner, DEHARSH["q"])
+        self.z1 = self.z2 = self.high = self.full = self.now = self.l1 = self.l2 = self.r1 = self.r2 = 0.0
+        self.applied = -1.0
         self.held = (np.zeros(0), np.zeros(0))
+        self.memory = fs * (max(DEHARSH["env"]) + max(DEHARSH["gain"]))
 
     def _reduction(self, left: np.ndarray, right: np.ndarray) -> tuple:
         """State after a block: of the split, both envelopes, reduction."""
         mono = (left + right) / 2
-        band, state = biquad_from(mono, self.split, self.band)
+        band, state = biquad_from(mono, self.split, (self.z1, self.z2))
         high, full = self.high, self.full
         for b, w in zip(np.abs(band).tolist(), np.abs(mono).tolist(), strict=True):
             high += (self.ea if b > high else self.er) * (b - high)
@@ -134,34 +128,27 @@ class DeHarsher(Pieces):
         over = 20 * math.log10((high + 1e-9) / (full + 1e-9)) + DEHARSH["grace"]
         goal = self.amount * min(DEHARSH["most"], max(0.0, over))
         now = max(0.0, self.now + min(1.0, (self.ga if goal > self.now else self.gr) * len(left)) * (goal - self.now))
-        return state, high, full, now
+        return *state, high, full, now
 
-    def _one(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        self.band, self.high, self.full, self.now = self._reduction(left, right)
-        self.top = max(self.top, self.now)
+    def _one(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        self.z1, self.z2, self.high, self.full, self.now = self._reduction(left, right)
         if abs(self.now - self.applied) > DEHARSH["moved"]:
-            self.cut, self.applied = peaking(self.fs, DEHARSH["centre"], -self.now, DEHARSH["width"]), self.now
-        a, self.states[0] = biquad_from(left, self.cut, self.states[0])
-        b, self.states[1] = biquad_from(right, self.cut, self.states[1])
-        return a, b
-
-    def peek(self) -> tuple[float, float]:
-        """The reduction after all samples so far and the largest."""
-        if not len(self.held[0]):
-            return self.now, self.top
-        now = self._reduction(*self.held)[3]
-        return now, max(self.top, now)
+            self.applied = self.now
+        cut = peaking(self.fs, DEHARSH["centre"], -self.applied, DEHARSH["width"])
+        a, (self.l1, self.l2) = biquad_from(left, cut, (self.l1, self.l2))
+        b, (self.r1, self.r2) = biquad_from(right, cut, (self.r1, self.r2))
+        return a, b, np.full(len(left), self.now)
 
-    def push(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def push(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         left, right = np.concatenate([self.held[0], left]), np.concatenate([self.held[1], right])
         full = len(left) // self.block * self.block
         self.held = left[full:], right[full:]
         made = [self._one(left[i : i + self.block], right[i : i + self.block]) for i in range(0, full, self.block)]
-        return tuple(np.concatenate([m[k] for m in made]) if made else np.zeros(0) for k in (0, 1))
+        return tuple(np.concatenate([m[k] for m in made]) if made else np.zeros(0) for k in (0, 1, 2))
 
-    def finish(self) -> tuple[np.ndarray, np.ndarray]:
+    def finish(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         rest, self.held = self.held, (np.zeros(0), np.zeros(0))
-        return self._one(*rest) if len(rest[0]) else rest
+        return self._one(*rest) if len(rest[0]) else (*rest, np.zeros(0))
 
 
 def solve_gain(signal: DataFrame, target: float, drive: float, hop: int = 10, passes: int = 4, tolerance: float = 0.15) -> DataFrame:
@@ -334,18 +321,20 @@ def lane_stages(lane: str, fs: float) -> list[tuple[float, ...]]:
     return [(lowpass if kind == "low" else highpass)(fs, f, q) for kind, f, q in LANES[lane]]
 
 
-class StemLanes(Pieces):
+class StemLanes(Filtering):
     """Bass, vocal, air and drums raised or lowered one after the other: bass below its corner, vocal within a band of mid, air what its
     low-pass leaves out, drums where the fast envelope leads."""
 
     def __init__(self, gains_db: dict[str, float], fs: float) -> None:
         self.extra = {lane: 10 ** (db / 20) - 1 for lane, db in gains_db.items()}
         self.filters = {lane: Cascade(lane_stages(lane, fs), 1024) for lane in LANES if self.extra.get(lane, 0.0) != 0}
-        self.states = {(lane, k): c.rest() for lane, c in self.filters.items() for k in (0, 1)}
-        self.weights = drum_weights(fs)
+        self.z = {(lane, k): c.rest() for lane, c in self.filters.items() for k in (0, 1)}
+        self.weights = DrumWeight(fs)
+        self.inner = (self.weights,)
+        self.memory = sum(c.memory for c in self.filters.values()) + (self.weights.memory if self.extra.get("drums", 0.0) != 0 else 0.0)
 
     def _through(self, lane: str, k: int, x: np.ndarray) -> np.ndarray:
-        y, self.states[lane, k] = self.filters[lane].run(x, self.states[lane, k])
+        y, self.z[lane, k] = self.filters[lane].run(x, self.z[lane, k])
         return x - y if lane == "air" else y
 
     def push(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -356,14 +345,14 @@ class StemLanes(Pieces):
                 more = self._through(lane, 0, left), self._through(lane, 1, right)
             left, right = left + self.extra[lane] * more[0], right + self.extra[lane] * more[1]
         if self.extra.get("drums", 0.0) != 0:
-            g = 1 + self.extra["drums"] * self.weights(left, right)
+            g = 1 + self.extra["drums"] * self.weights.push(left, right)[0]
             left, right = left * g, right * g
         return left, right
 
 
 def lane_gain(signal: DataFrame, lane: str, gain_db: float, fs: float) -> DataFrame:
     """The signal with one stem lane raised."""
-    return ordered(signal, lambda: StemLanes({lane: gain_db}, fs))
+    return followed(signal, lambda: StemLanes({lane: gain_db}, fs)).drop("i")
 
 
 def framed(placed: DataFrame, size: int, hop: int) -> DataFrame:

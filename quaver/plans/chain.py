@@ -68,7 +68,7 @@ SELECT track, i, l, r, level, env, goal + CASE WHEN goal > gr THEN {decay(0.01)}
 SELECT track, round(sum(k * k * l * l), 4) + 0.0 AS e_l, round(sum(k * k * r * r), 4) + 0.0 AS e_r FROM y GROUP BY 1""")
 def compressed(spark, d):
     """Energies after the compressor at density 0.6, with its makeup."""
-    return _shown(ch.ordered(ev(spark, d), lambda: ch.Compressor(0.6, _LOW)))
+    return _shown(ch.followed(ev(spark, d), lambda: ch.Compressor(0.6, _LOW)))
 
 
 _TRANS = f"""g AS (SELECT DISTINCT track, -1::BIGINT AS i, 0.0::DOUBLE AS l, 0.0::DOUBLE AS r, 0.0::DOUBLE AS fast, 0.0::DOUBLE AS slow, 0.0::DOUBLE AS gain FROM sp UNION ALL
@@ -81,7 +81,7 @@ SELECT track, i, l, r, fast, slow, gain + CASE WHEN abs(goal) > abs(gain) THEN 1
 @query(f"WITH RECURSIVE {EV}, {_TRANS} SELECT track, round(sum(pow(10, gain / 10) * l * l), 4) + 0.0 AS e_l, round(sum(pow(10, gain / 10) * r * r), 4) + 0.0 AS e_r FROM g WHERE i >= 0 GROUP BY 1")
 def transients_shaped(spark, d):
     """Energies after softening attacks by 0.7."""
-    return _shown(ch.ordered(ev(spark, d), lambda: ch.Transients(-0.7, _LOW)))
+    return _shown(ch.followed(ev(spark, d), lambda: ch.Transients(-0.7, _LOW)))
 
 
 _CEIL = "pow(10::DOUBLE, -12 / 20::DOUBLE)"
@@ -106,7 +106,7 @@ def limiter_delta(spark, d):
 
 _PH = "(-0.5 * cos(2 * pi() * n / 30) + 0.42 + 0.08 * cos(4 * pi() * n / 30)) * sin(0.5 * pi() * (n - 15)) / (pi() * (n - 15))"
 _OS = f"""h AS MATERIALIZED (SELECT n // 2 AS k, h * 0.5 / sum(h) OVER () AS h FROM (SELECT n, {_PH} AS h FROM (SELECT unnest(range(0, 31, 2)) AS n))),
-x0 AS MATERIALIZED (SELECT track, i, l AS x, max(i) OVER (PARTITION BY track) AS last FROM sp WHERE track = 'click' OR track = (SELECT min(track) FROM sp)),
+x0 AS MATERIALIZED (SELECT track || '/' || ch AS track, i, CASE ch WHEN 'l' THEN l ELSE r END AS x, max(i) OVER (PARTITION BY track) AS last FROM sp, (SELECT unnest(['l', 'r']) AS ch)),
 x1 AS MATERIALIZED (SELECT track, 2 * a.i AS i, 2 * sum(h * coalesce(b.x, 0)) AS x FROM x0 a CROSS JOIN h LEFT JOIN x0 b USING (track) WHERE b.i = a.i - k GROUP BY 1, 2 UNION ALL SELECT track, 2 * (i + 7) + 1, x FROM x0 WHERE i + 7 <= last),
 x1z AS MATERIALIZED (SELECT track, i, x FROM x1 UNION ALL SELECT track, 2 * i + 1, 0 FROM x0 WHERE i < 7),
 x2 AS MATERIALIZED (SELECT track, 2 * a.i AS i, 2 * sum(h * b.x) AS x FROM x1z a CROSS JOIN h JOIN x1z b USING (track) WHERE b.i = a.i - k GROUP BY 1, 2 UNION ALL SELECT a.track, 2 * (a.i + 7) + 1, a.x FROM x1z a JOIN (SELECT track, max(i) AS top FROM x1z GROUP BY 1) t USING (track) WHERE a.i + 7 <= top UNION ALL SELECT track, 2 * i + 1, 0 FROM x1z WHERE i < 7),
@@ -117,12 +117,10 @@ dc AS (SELECT track, -1::BIGINT AS i, 0.0::DOUBLE AS d, 0.0::DOUBLE AS z FROM (S
   SELECT y0.track, y0.i, dc.d + (1 - exp(-2 * pi() * 5 / 48000)) * (y0.y - dc.d), y0.y - (dc.d + (1 - exp(-2 * pi() * 5 / 48000)) * (y0.y - dc.d)) FROM dc JOIN y0 ON y0.track = dc.track AND y0.i = dc.i + 1 JOIN x0 ON x0.track = y0.track AND x0.i = y0.i)"""
 
 
-@query(f"WITH RECURSIVE {EV}, {_OS} SELECT track, round(sum(z * z), 4) + 0.0 AS e_l FROM dc WHERE i >= 0 GROUP BY 1")
+@query(f"WITH RECURSIVE {EV}, {_OS} SELECT left(track, -2) AS track, round(sum(z * z) FILTER (right(track, 1) = 'l'), 4) + 0.0 AS e_l, round(sum(z * z) FILTER (right(track, 1) = 'r'), 4) + 0.0 AS e_r FROM dc WHERE i >= 0 GROUP BY 1")
 def saturated_oversampled(spark, d):
-    """Energy of the left channel of one track after the saturator at four times the rate and the blocker of direct current."""
-    s = ev(spark, d)
-    one = s.join(F.broadcast(s.agg(F.min("track").alias("only"))), F.col("track") == F.col("only")).drop("only")
-    return _shown(ch.ordered(one, lambda: ch.Saturator(0.4, FS))).select("track", "e_l")
+    """Energy after the saturator at four times the rate and the blocker of direct current."""
+    return _shown(ch.followed(ev(spark, d), lambda: ch.Saturator(0.4, FS)))
 
 
 _LANES = f"""{EV}, b AS MATERIALIZED (SELECT * FROM (WITH RECURSIVE {recursion([coefficients('low', 120.0, q=0.54), coefficients('low', 120.0, q=1.31)], "lr", EV)} SELECT track, i, sp.l + (pow(10::DOUBLE, 2 / 20::DOUBLE) - 1) * fl AS l, sp.r + (pow(10::DOUBLE, 2 / 20::DOUBLE) - 1) * fr AS r FROM fs JOIN sp USING (track, i))),
@@ -139,7 +137,7 @@ y AS (SELECT track, l, r, 1 + (pow(10::DOUBLE, -2 / 20::DOUBLE) - 1) * least(1,
 @query(f"WITH RECURSIVE {_LANES} SELECT track, round(sum(k * k * l * l), 4) + 0.0 AS e_l, round(sum(k * k * r * r), 4) + 0.0 AS e_r FROM y GROUP BY 1")
 def lanes_in_order(spark, d):
     """All four stem lanes, each on what the one before has made."""
-    return _shown(ch.ordered(ev(spark, d), lambda: ch.StemLanes({"bass": 2.0, "vocal": -1.5, "air": 3.0, "drums": -2.0}, FS)))
+    return _shown(ch.followed(ev(spark, d), lambda: ch.StemLanes({"bass": 2.0, "vocal": -1.5, "air": 3.0, "drums": -2.0}, FS)))
 
 
 @query(f"""WITH {EV}, b AS (SELECT track, CASE WHEN sum(l * l) > 0 AND sum(r * r) > 0 THEN 10 * log10(sum(r * r) / sum(l * l)) ELSE 0 END AS off FROM sp GROUP BY 1),

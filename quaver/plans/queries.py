@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from quaver.functions import energy_to_lufs, fade_gain, half_up, lowpass, r4
 from quaver.operators import measure as m
-from quaver.operators.blocks import filtered, folded, haloed, transformed
+from quaver.operators.blocks import Follower, filtered, haloed, transformed
+from quaver.operators.follow import followed
 from quaver.plans.dims import PLATFORMS, PRESETS
 from quaver.plans.sql import coefficients, recursion
 from quaver.sources import event_signal, line_signal, positions, read, written
@@ -165,19 +166,18 @@ def lookahead_delay(spark, d):
 SELECT s.track, s.i, e.env + CASE WHEN abs(s.l) > e.env THEN 0.3::DOUBLE ELSE 0.02::DOUBLE END * (abs(s.l) - e.env) FROM e JOIN sp s ON s.track = e.track AND s.i = e.i + 1)
 SELECT track, round(max_by(env, i), 4) + 0.0 AS env_last, round(max(env), 4) + 0.0 AS env_max FROM e GROUP BY 1""")
 def envelope_follower(spark, d):
-    def make():
-        env = top = 0.0
+    class Envelope(Follower):
+        names, env, memory = ("env",), 0.0, 50.0
 
-        def push(left, right):
-            nonlocal env, top
+        def push(self, left, right):
+            out = []
             for x in np.abs(left).tolist():
-                env += (0.3 if x > env else 0.02) * (x - env)
-                top = max(top, env)
-            return env, top
+                self.env += (0.3 if x > self.env else 0.02) * (x - self.env)
+                out.append(self.env)
+            return (np.array(out),)
 
-        return push
-
-    return folded(ev(spark, d), make, ("env_last", "env_max")).select("track", r4(F.col("env_last")).alias("env_last"), r4(F.col("env_max")).alias("env_max"))
+    env = followed(ev(spark, d), Envelope, outputs=("env",), span=4096)
+    return env.groupBy("track").agg(r4(F.max_by("env", "i")).alias("env_last"), r4(F.max("env")).alias("env_max"))
 
 
 EM = f"""e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
