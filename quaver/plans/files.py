@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from quaver.operators.spectra import song
 from quaver.plans.queries import EV, ev, query
 from quaver.sinks import audio
 from quaver.sinks.bits import BODY_CRC, HEADER_CRC, PAGE_CRC, crc_table
-from quaver.sources import positions, read
+from quaver.sources import positions, read, shared_dir, wav, written
 
 
 @query(f"""WITH {EV} SELECT track, CAST(sum(CAST(greatest(-8388608, least(8388607, floor(l * 8388607 + 0.5))) AS BIGINT)) AS BIGINT) AS sum_l, max(CAST(greatest(-32768, least(32767, floor(r * 4 * 32767 + 0.5))) AS BIGINT)) AS max_r FROM ev GROUP BY 1""")
@@ -110,3 +112,44 @@ def lossless_export(spark, d):
 def song_made(spark, d):
     s = song(spark, 4.0)
     return s.groupBy("track").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("l") * F.col("l")), 2).alias("e_l"), F.round(F.sum(F.col("r") * F.col("r")), 2).alias("e_r"))
+
+
+_INTS = f"""WITH {EV}, q AS (SELECT track, i, CAST(greatest(-32768, least(32767, floor(l * 32767 + 0.5))) AS BIGINT) AS l, CAST(greatest(-32768, least(32767, floor(r * 32767 + 0.5))) AS BIGINT) AS r FROM sp)"""
+
+
+def _folder(spark):
+    return f"{shared_dir(spark)}/quaver/{uuid.uuid4().hex}"
+
+
+@query(f"{_INTS} SELECT track, CAST(48000 AS INTEGER) AS rate, count(*) AS n, CAST(sum(i * l) AS BIGINT) AS places_l, CAST(sum(i * r) AS BIGINT) AS places_r FROM q GROUP BY 1")
+def wav_saved(spark, d):
+    """Every track written as a file with a commit, and all files read back in byte ranges: each sample at its place."""
+    folder = _folder(spark)
+    audio.save(ev(spark, d), folder, "wav", 48_000, 16, {"title": "events"}, dither=False)
+    whole = lambda c: F.sum(F.col("idx") * (F.col(c) * 32768).cast("long"))
+    return wav.read_wav(spark, folder, range_bytes=1 << 14).groupBy("track", "rate").agg(F.count(F.lit(1)).alias("n"), whole("l").alias("places_l"), whole("r").alias("places_r"))
+
+
+@query(f"{_INTS}, t AS (SELECT track, count(*) AS n FROM q GROUP BY 1) SELECT track, n, n * 4 + 44 AS bytes FROM t WHERE track >= 'd'")
+def wav_headers(spark, d):
+    """Files by their headers alone: no sample is read, and those of other tracks aren't opened for it."""
+    folder = _folder(spark)
+    audio.save(ev(spark, d), folder, "wav", 48_000, 16, dither=False)
+    found = wav.read_wav(spark, folder, "track string, idx long").groupBy("track").agg((F.max("idx") + 1).alias("n"))
+    return found.where("track >= 'd'").select("track", "n", (F.col("n") * 4 + 44).alias("bytes"))
+
+
+@query(f"""{_INTS}, o AS (SELECT track, count(*) AS n, CAST(length(track) % 2 AS BIGINT) AS album, sum(i * l) AS places_l FROM q GROUP BY 1), p AS (SELECT *, row_number() OVER (PARTITION BY album ORDER BY track) AS pos, ceil(n / 588::DOUBLE)::BIGINT AS frames FROM o)
+SELECT album, pos, track, frames, CAST(coalesce(sum(frames + 150) OVER (PARTITION BY album ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, CAST(places_l AS BIGINT) AS places_l FROM p""")
+def disc_saved(spark, d):
+    """Disc images written as files, and each track's samples found where the table of contents says."""
+    folder = _folder(spark)
+    q = written(audio.quantized(ev(spark, d), 16, dither=False))
+    pos = F.row_number().over(W.partitionBy("album").orderBy("track")).cast("long")  # tracks of one disc
+    order = q.select("track").distinct().withColumn("album", (F.length("track") % 2).cast("long")).withColumn("pos", pos)
+    contents = written(audio.save_disc(q, order, folder))
+    image = wav.read_wav(spark, folder, "track string, idx long, l double", 1 << 14).select(F.col("track").cast("long").alias("album"), "idx", (F.col("l") * 32768).cast("long").alias("l"))
+    # each sample's track by the frame it is in: a row of contents names its frames, so the join is on equal frames
+    frames = contents.select("album", "pos", "track", "frames", "start", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("frames") - 1)).alias("frame"))
+    at = image.withColumn("frame", F.floor(F.col("idx") / audio.DISC_FRAME)).join(frames, ["album", "frame"])
+    return at.groupBy("album", "pos", "track", "frames", "start").agg(F.sum((F.col("idx") - F.col("start") * audio.DISC_FRAME) * F.col("l")).alias("places_l"))

@@ -189,6 +189,100 @@ def test_ogg_pages(spark):
     assert data == b"".join(r[3] for r in rows) and len(pages) == 2 + 3
 
 
+def test_ogg_pages_close_when_their_lacing_is_full(spark):
+    sizes = [10, 20] + [1275, 1275, 3000, 0, 255, 64_769] * 20
+    rows = [("a", i, i * 960, bytes([i % 256]) * n) for i, n in enumerate(sizes)]
+    pages = audio.ogg_pages(spark.createDataFrame(rows, "track string, seq long, granule long, data binary")).orderBy("page").collect()
+    assert [p["page"] for p in pages] == list(range(len(pages))) and len(pages) > 20
+    data = b""
+    for k, p in enumerate(pages):
+        c = p["content"]
+        lacing = c[27 : 27 + c[26]]
+        assert sum(lacing) == len(c) - 27 - len(lacing) and c[5] == (2 if k == 0 else 4 if k == len(pages) - 1 else 0)
+        assert int.from_bytes(c[22:26], "little") == crc(c[:22] + bytes(4) + c[26:], 32, 0x04C11DB7) and int.from_bytes(c[18:22], "little") == k
+        data += c[27 + len(lacing) :]
+    assert data == b"".join(r[3] for r in rows)
+
+
+def listed(folder):
+    return sorted(p.relative_to(folder).as_posix() for p in folder.rglob("*") if p.is_file())
+
+
+@pytest.mark.parametrize("form,depth", [("wav", 16), ("wav", 24), ("flac", 16)])
+def test_saved_files_are_the_files(spark, tmp_path, form, depth):
+    s, tags = tracks(spark, 3000), {"title": "A name"}
+    audio.save(s, f"file://{tmp_path}/out", form, 48_000, depth, tags, dither=False)
+    makers = {"wav": audio.wav_files, "flac": audio.lossless_files}
+    want = {f"{r['track']}.{form}": r["content"] for r in makers[form](audio.quantized(s, depth, dither=False), 48_000, depth, tags).collect()}
+    assert listed(tmp_path / "out") == sorted(want) and all((tmp_path / "out" / k).read_bytes() == v for k, v in want.items())
+
+
+def test_a_file_is_many_partitions_and_only_what_is_asked_for(spark, tmp_path):
+    s = tracks(spark, 5000)
+    audio.save(s, f"file://{tmp_path}", "wav", 44_100, 24, dither=False)
+    (tmp_path / "other.wav").write_bytes(b"no file of that kind")
+    (tmp_path / "_hidden.wav").write_bytes((tmp_path / "tone.wav").read_bytes())
+    want = ints(audio.quantized(s, 24, dither=False))
+    got = wav.read_wav(spark, f"file://{tmp_path}", range_bytes=6 * 700)
+    assert got.rdd.getNumPartitions() == 4 * 8 + 1
+    back = ints(got.select("track", "idx", *[(F.col(c) * (1 << 23)).cast("long").alias(c) for c in "lr"]))
+    assert back.keys() == want.keys() and all((back[k] == want[k]).all() for k in want)
+    assert {r["rate"] for r in got.select("rate").distinct().collect()} == {44_100}
+    some = wav.read_wav(spark, f"file://{tmp_path}/tone.wav", "idx long, r double", 6 * 700).orderBy("idx").collect()
+    assert [r["idx"] for r in some] == list(range(5000)) and [round(r["r"] * (1 << 23)) for r in some] == want["tone"][:, 1].tolist()
+    with pytest.raises(Exception, match="no such columns"):
+        wav.read_wav(spark, f"file://{tmp_path}", "loudness double").count()
+
+
+def test_conditions_choose_files_and_ranges(spark, tmp_path):
+    audio.save(tracks(spark, 5000), f"file://{tmp_path}", "wav", 48_000, 16, dither=False)
+    reader = wav.PushingReader(wav.StructType.fromDDL("track string, idx long"), {"path": f"file://{tmp_path}", "rangeBytes": "4000"})
+    left = [wav.LessThan(("l",), 0.5)]
+    assert list(reader.pushFilters([wav.EqualTo(("track",), "tone"), wav.GreaterThan(("idx",), 1999), wav.LessThanOrEqual(("idx",), 3499), *left])) == left
+    assert [(p.path.rsplit("/")[-1], p.first, p.last) for p in reader.partitions()] == [("tone.wav", 2000, 3000), ("tone.wav", 3000, 3500)]
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        assert sorted(r["idx"] for r in wav.read_wav(spark, f"file://{tmp_path}", range_bytes=4000).where("track = 'tone' AND idx >= 4990 AND idx < 4995").collect()) == list(range(4990, 4995))
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_files_above_four_gigabytes(tmp_path):
+    """A sparse file with 64-bit sizes: only headers and the asked ranges are read."""
+    n = 1_200_000_000
+    with open(tmp_path / "long.wav", "wb") as f:
+        head = audio.wav_header(n, 48_000, 16)
+        f.write(head)
+        f.seek(len(head) + 4 * (n - 1))
+        f.write(struct.pack("<hh", 16384, -16384))
+    reader = wav.WavReader(wav.StructType.fromDDL("idx long, l double, r double"), {"path": f"file://{tmp_path}"})
+    parts = reader.partitions()
+    assert len(parts) == -(-4 * n // wav.RANGE) and parts[-1].last == n and all(p.first < p.last for p in parts)
+    last = list(reader.read(parts[-1]))[-1].to_pylist()[-1]
+    assert last == {"idx": n - 1, "l": 0.5, "r": -0.5}
+
+
+def test_a_write_that_fails_leaves_nothing(spark, tmp_path):
+    from quaver.sinks.files import save_parts
+
+    kept = spark.createDataFrame([("a", 0, b"one"), ("a", 1, b"two"), ("b", 0, b""), ("c", 0, None)], "name string, part long, content binary")
+    uri = f"file://{tmp_path}/f"
+    save_parts(kept, uri, ".bin")
+    assert listed(tmp_path / "f") == ["a.bin", "b.bin", "c.bin"] and (tmp_path / "f" / "a.bin").read_bytes() == b"onetwo"
+    bad = spark.createDataFrame([("x", 0, b"new"), ("a", 0, b"new"), ("../up", 0, b"out")], "name string, part long, content binary")
+    with pytest.raises(Exception, match="not a file name"):
+        save_parts(bad, uri, ".bin")
+    assert listed(tmp_path / "f") == ["a.bin", "b.bin", "c.bin"] and (tmp_path / "f" / "a.bin").read_bytes() == b"onetwo" and not (tmp_path / "up.bin").exists()
+    save_parts(kept.where("name = 'a' AND part = 1"), uri, ".bin", overwrite=False)
+    assert listed(tmp_path / "f") == ["a.bin", "b.bin", "c.bin"] and (tmp_path / "f" / "a.bin").read_bytes() == b"two"
+    save_parts(kept.where("name = 'b'"), uri, ".bin")  # overwriting removes what the new write doesn't have
+    assert listed(tmp_path / "f") == ["b.bin"] and [p.name for p in (tmp_path / "f").iterdir()] == ["b.bin"]
+    with pytest.raises(Exception, match="several places"):  # parts of one name dealt to several tasks
+        one = lambda part: kept.where(f"name = 'a' AND part = {part}").select("name", "content")
+        one(0).union(one(1)).write.format("quaver-parts").mode("append").save(uri)
+    assert listed(tmp_path / "f") == ["b.bin"]
+
+
 def test_disc_image(spark):
     q = audio.quantized(tracks(spark, 2000), dither=False)
     order = spark.createDataFrame([("tone", 7, 1), ("short", 7, 2), ("noise", 8, 1)], "track string, album int, pos long")
