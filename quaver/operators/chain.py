@@ -82,6 +82,14 @@ def active(s: Settings) -> dict[str, bool]:
     }
 
 
+def switches(smooth: Column, impact: Column, width: Column, bass_mono: Column, balance_db: Column, lane_db: Column) -> dict[str, Column]:
+    """``active`` for settings that are columns: whether each stage does anything."""
+    return {
+        "impact": F.abs(impact) > OFF, "smooth": smooth > OFF, "width": (F.abs(width - 1) > OFF) | bass_mono, "balance": F.abs(balance_db) > OFF,
+        "lanes": F.abs(F.pow(F.lit(10.0), lane_db / 20) - 1) > LANE_OFF,
+    }
+
+
 def half_band(taps: int = 31) -> np.ndarray:
     """Even taps of a half-band low-pass with a Blackman window; they sum to one half."""
     n = np.arange(0, taps, 2)
@@ -247,7 +255,8 @@ def render(signal: DataFrame, s: Settings, target: float, fs: float, hop: int, p
     """Rendered samples, and per track: gain_db, passes, lufs, err, max_gr.
 
     The core runs once and is written. Each pass limits it at every track's own gain and moves the gain by 0.95 of the error in
-    loudness until that is within ``tolerance``; tracks that are done keep their gain. One row per track goes from pass to pass.
+    loudness until that is within ``tolerance``; tracks that are done keep their gain. One row per track goes from pass to pass. The
+    reduction is that of the last pass.
     """
     base = written(core(signal, s, fs))
     track = F.col("track").eqNullSafe(F.col("s_track"))
@@ -270,7 +279,7 @@ def render(signal: DataFrame, s: Settings, target: float, fs: float, hop: int, p
         after = moved.join(loud, track, "left").join(most, F.col("track").eqNullSafe(F.col("m_track")), "left")
         now = F.coalesce("now", F.lit(-70.0))
         state = written(
-            after.select("track", "gain_db", F.when(open_, F.col("passes") + 1).otherwise(F.col("passes")).alias("passes"), now.alias("lufs"), (F.lit(target) - now).alias("err"), F.greatest("max_gr", F.coalesce("gr", F.lit(0.0))).alias("max_gr"))
+            after.select("track", "gain_db", F.when(open_, F.col("passes") + 1).otherwise(F.col("passes")).alias("passes"), now.alias("lufs"), (F.lit(target) - now).alias("err"), F.coalesce("gr", F.lit(0.0)).alias("max_gr"))
         )
         if state.where(F.abs("err") >= tolerance).isEmpty():
             break

@@ -9,7 +9,7 @@ from quaver.operators import chain as ch
 from quaver.operators import measure as m
 from quaver.plans.queries import EV, ev, query
 from quaver.plans.sql import between, coefficients, decay, follow, recursion
-from quaver.sources import positions
+from quaver.sources import positions, read
 
 FS = 48000
 
@@ -200,13 +200,10 @@ def parameter_slew(spark, d):
     return ch.slewed(p, FS).select("track", F.col("idx").alias("block"), r4(F.col("value")).alias("value"))
 
 
-#: Settings that are just off and just on, and what becomes of them.
-SWITCHES = [("smooth", 0.001), ("smooth", 0.0011), ("impact", -0.002), ("width", 1.0005), ("width", 0.998), ("balance_db", 0.001), ("density", 0.0), ("character", 0.002)]
-
-
-@query(f"SELECT name, value, CASE name WHEN 'impact' THEN abs(value) > 0.001 WHEN 'width' THEN abs(value - 1) > 0.001 WHEN 'balance_db' THEN abs(value) > 0.001 ELSE value > 0.001 END AS active FROM (VALUES {', '.join(f'({n!r}, {v!r}::DOUBLE)' for n, v in SWITCHES)}) s(name, value)")
+@query("""WITH c AS (SELECT c_custkey, c_acctbal / 1000000 AS v FROM customer)
+SELECT c_custkey, abs(v) > 0.001 AS impact, v > 0.001 AS smooth, abs(1 + v / 5 - 1) > 0.001 OR c_custkey % 7 = 0 AS width, abs(v / 4) > 0.001 AS balance, abs(pow(10, v / 0.5 / 20) - 1) > 0.003 AS lanes FROM c""")
 def stage_switches(spark, d):
-    """Which settings turn a stage on."""
-    rows = [(n, v, ch.active(ch.Settings(**{n: v}))["balance" if n == "balance_db" else n]) for n, v in SWITCHES]
-    return spark.createDataFrame(rows, "name string, value double, active boolean")
-
+    """Which stages of the chain the settings of each project turn on."""
+    v = F.col("v")
+    on = ch.switches(smooth=v, impact=v, width=1 + v / 5, bass_mono=F.col("c_custkey") % 7 == 0, balance_db=v / 4, lane_db=v / 0.5)
+    return read(spark, d, "customer").select("c_custkey", (F.col("c_acctbal") / 1_000_000).alias("v")).select("c_custkey", *[c.alias(k) for k, c in on.items()])

@@ -10,6 +10,7 @@ from quaver.functions import half_up, r4
 from quaver.operators import dynamics as dyn
 from quaver.operators import mastering as ma
 from quaver.operators import measure as m
+from quaver.operators.intervals import containing, first_containing
 from quaver.plans import dynamics  # noqa: F401  # registers queries that some of these build on
 from quaver.plans.dims import PRESETS
 from quaver.plans.queries import BLOCKS, EM, EU, EV, HOPS, LUFS, ORACLES, QUERIES, _values, dft, ev, query
@@ -265,6 +266,20 @@ STYLES = [
     ("pop", "bright > 1.5 AND bpm BETWEEN 100 AND 145"),
     ("rock", "mid > 1"),
 ]
+@query("""WITH s AS (SELECT l_suppkey, epoch(l_shipdate) / 86400 AS a, epoch(l_shipdate) / 86400 + l_quantity * CASE WHEN l_linenumber = 7 THEN 40 ELSE 1 END AS b, l_orderkey * 10 + l_linenumber AS section FROM lineitem),
+p AS (SELECT o_orderkey, o_custkey % 100 AS l_suppkey, epoch(o_orderdate) / 86400 + 0.5 AS day FROM orders)
+SELECT o_orderkey, min_by(section, struct_pack(a := a, s := section)) AS section, count(*) AS n FROM p JOIN s ON s.l_suppkey = p.l_suppkey AND day >= a AND day < b GROUP BY 1""")
+def sections_from_tables(spark, d):
+    """For each order the section of its supplier's layout that holds its day and begins first; sections are days of delivery, of any number and overlap."""
+    day = lambda c: F.unix_timestamp(F.col(c).cast("timestamp")) / 86400
+    end = F.col("start") + F.col("l_quantity") * F.when(F.col("l_linenumber") == 7, 40).otherwise(1)
+    sections = read(spark, d, "lineitem").select("l_suppkey", day("l_shipdate").alias("start"), "l_quantity", "l_linenumber", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("section")).withColumn("end", end).drop("l_quantity", "l_linenumber")
+    points = read(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 100).alias("l_suppkey"), (day("o_orderdate") + 0.5).alias("at"))
+    first = first_containing(points, sections, ["l_suppkey"], "section")
+    n = containing(points, sections, ["l_suppkey"]).groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n"))
+    return first.join(n, "o_orderkey").select("o_orderkey", "section", "n")
+
+
 SHARES = {"sub": (20, 90), "mid": (250, 2000), "bright": (6000, 16000)}
 _STYLE = f"CASE {' '.join(f"WHEN {c} THEN '{name}'" for name, c in STYLES)} ELSE 'pop' END"
 _MIDDLES = [20 * 1000 ** ((b + 0.5) / BANDS) for b in range(BANDS)]

@@ -58,10 +58,14 @@ def queue_filters(spark, d):
     return s.agg(count("pending AND NOT scanned AND source", "to_scan"), count("(pending OR scanned) AND source", "to_master"), count("NOT source", "without_source"))
 
 
-@query("SELECT id AS platform, target, ceiling FROM (VALUES ('spotify', -14.0::DOUBLE, -1.0::DOUBLE), ('apple', -16.0::DOUBLE, -1.0::DOUBLE), ('youtube', -14.0::DOUBLE, -1.0::DOUBLE), ('tidal', -14.0::DOUBLE, -1.0::DOUBLE)) p(id, target, ceiling)")
+@query("SELECT o_orderkey, id AS platform, target, ceiling FROM orders JOIN (VALUES ('spotify', -14.0::DOUBLE, -1.0::DOUBLE), ('apple', -16.0::DOUBLE, -1.0::DOUBLE), ('youtube', -14.0::DOUBLE, -1.0::DOUBLE), ('tidal', -14.0::DOUBLE, -1.0::DOUBLE)) p(id, target, ceiling) ON (o_custkey % 4 = 0 AND id IN ('spotify', 'apple')) OR (o_custkey % 4 = 1 AND id IN ('tidal', 'youtube', 'apple')) OR o_custkey % 4 = 2")
 def platform_subset(spark, d):
-    """The platforms of the delivery table out of all."""
-    return spark.createDataFrame(ALL_PLATFORMS, "platform string, target double, ceiling double").where(F.col("platform").isin("spotify", "apple", "youtube", "tidal"))
+    """The platforms that each order is delivered to: those of the table that its customer's list names, all four, or none."""
+    names = ("spotify", "apple", "youtube", "tidal")
+    lists = F.when(F.col("o_custkey") % 4 == 0, F.array(*map(F.lit, names[:2]))).when(F.col("o_custkey") % 4 == 1, F.array(*map(F.lit, names[1:]))).when(F.col("o_custkey") % 4 == 2, F.array(*map(F.lit, names)))
+    table = spark.createDataFrame(ALL_PLATFORMS, "platform string, target double, ceiling double")  # a fixed dimension of a few rows
+    wanted = read(spark, d, "orders").select("o_orderkey", F.explode(lists).alias("platform"))
+    return wanted.join(F.broadcast(table), "platform").select("o_orderkey", "platform", "target", "ceiling")
 
 
 @query("""SELECT p_partkey, array_to_string(list_transform(list_filter([{'k': 'TITLE', 'v': p_name}, {'k': 'GENRE', 'v': CASE WHEN p_size % 3 = 0 THEN '' ELSE p_type END}, {'k': 'ALBUM', 'v': CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_brand END}],
@@ -112,15 +116,16 @@ def fixes_applied(spark, d):
     return c.select("track", "issue", kept.otherwise(F.abs(0.1 - clamp(tenths(F.col("value")), -3, 3)) <= 0.05).alias("applied"))
 
 
-@query(f"""WITH s AS ({ORACLES['side_mid_ratio']}), p AS (SELECT a.track AS src, b.track AS ref, a.ratio_db AS x, b.ratio_db AS y FROM s a JOIN s b ON a.track <> b.track)
-SELECT src, ref, floor(greatest(0.7::DOUBLE, least(1.6::DOUBLE, pow(10, (y - x) / 40))) * 100 + 0.5) / 100 AS width, greatest(-24, least(-6, floor(y * 10 + 0.5) / 10)) + 0.0 AS target FROM p""")
+@query(f"""WITH {EV}, s AS (SELECT track, round(10 * log10((sum((l-r)*(l-r)/4) + 1e-12) / (sum((l+r)*(l+r)/4) + 1e-12)), 4) + 0.0 AS ratio_db FROM ev GROUP BY 1), p AS (SELECT a.track AS src, b.track AS ref, a.ratio_db AS x, b.ratio_db AS y FROM s a JOIN s b ON a.track <> b.track)
+SELECT src, ref, floor(greatest(0.7::DOUBLE, least(1.6::DOUBLE, pow(10, (y - x) / 40))) * 100 + 0.5) / 100 AS width, greatest(-24, least(-6, floor(lufs * 10 + 0.5) / 10)) + 0.0 AS target FROM p JOIN ({ORACLES['integrated_loudness']}) i ON i.track = ref""")
 def reference_width(spark, d):
-    """Width and target that bring one track to another's: side energy grows with the square of the width."""
-    s = QUERIES["side_mid_ratio"](spark, d)
-    a, b = s.select(F.col("track").alias("src"), F.col("ratio_db").alias("x")), s.select(F.col("track").alias("ref"), F.col("ratio_db").alias("y"))
-    p = a.join(F.broadcast(b), F.col("src") != F.col("ref"))  # a few tracks
+    """Width and target that bring one track to another's: side energy grows with the square of the width, the target is the other's loudness."""
+    s = m.side_mid_ratio(ev(spark, d)).select("track", r4(F.col("ratio_db")).alias("ratio_db"))
+    loud = QUERIES["integrated_loudness"](spark, d)
+    a, b = s.select(F.col("track").alias("src"), F.col("ratio_db").alias("x")), s.join(loud, "track").select(F.col("track").alias("ref"), F.col("ratio_db").alias("y"), "lufs")
+    p = a.join(b, F.col("src") != F.col("ref"))  # each track against each other is the result; Spark broadcasts a side only below its threshold
     width = half_up(clamp(F.pow(F.lit(10.0), (F.col("y") - F.col("x")) / 40), 0.7, 1.6) * 100) / 100
-    return p.select("src", "ref", width.alias("width"), (clamp(tenths(F.col("y")), -24, -6) + F.lit(0.0)).alias("target"))
+    return p.select("src", "ref", width.alias("width"), (clamp(tenths(F.col("lufs")), -24, -6) + F.lit(0.0)).alias("target"))
 
 
 _OVER = [("preset0", 1.1, -14.0, -1.0), ("preset1", 1.3, -11.5, -1.0), ("preset2", 0.9, -9.0, -0.8)]
@@ -339,11 +344,14 @@ def debounced(spark, d):
     return e.withColumn("next", after).where(F.col("next").isNull() | (F.col("next") - F.col("at") >= 36_000_000)).select("user_id", "event_id", "event_type")
 
 
-@query("SELECT user_id, event_type, max_by(value, event_id) AS value FROM (SELECT *, max(event_id // 3) OVER (PARTITION BY user_id, event_type) AS newest FROM events) t WHERE event_id // 3 = newest GROUP BY 1, 2")
+@query("""WITH e AS (SELECT user_id, event_id, value, epoch_us(ts) + CAST(floor(value * 864000) AS BIGINT) * 1000 AS done, lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS newer FROM events)
+SELECT user_id, event_id, value, newer IS NULL OR done < newer AS shown FROM e""")
 def newest_results(spark, d):
-    """Results of the newest request of each kind; those of older requests that come late are dropped."""
-    e = read(spark, d, "events").withColumn("seq", F.floor(F.col("event_id") / 3))
-    return e.groupBy("user_id", "event_type").agg(F.max_by("value", F.struct("seq", "event_id")).alias("value"))
+    """Which results are shown: a request takes a time that grows with its value (up to a day), and what comes after its user's next request is stale."""
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    newer = F.lead(us).over(W.partitionBy("user_id").orderBy("ts", "event_id"))
+    done = us + F.floor(F.col("value") * 864_000) * 1000
+    return read(spark, d, "events").select("user_id", "event_id", "value", F.coalesce(done < newer, F.lit(True)).alias("shown"))
 
 
 @query("""WITH RECURSIVE e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings), c AS (SELECT *, dense_rank() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS col FROM e),

@@ -12,7 +12,7 @@ from quaver.operators.blocks import Follower, filtered, haloed, transformed
 from quaver.operators.follow import followed
 from quaver.plans.dims import PLATFORMS, PRESETS
 from quaver.plans.sql import coefficients, recursion
-from quaver.sources import event_signal, line_signal, positions, read, written
+from quaver.sources import event_signal, line_signal, positions, read, write_out
 from quaver.streaming.loudness import meter_files, played
 from quaver.streaming.meters import meter_frames, meter_frames_stream
 
@@ -254,9 +254,11 @@ def queue_semi(spark, d):
     return read(spark, d, "customer").join(read(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
 
 
-@query("SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+@query("SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 450000)")
 def recents_anti(spark, d):
-    return read(spark, d, "customer").join(read(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    """Customers without a large order."""
+    large = read(spark, d, "orders").where("o_totalprice > 450000")
+    return read(spark, d, "customer").join(large, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("SELECT user_id, rn, event_type FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY last DESC) AS rn FROM (SELECT user_id, event_type, max(event_id) AS last FROM events GROUP BY 1, 2) t) u WHERE rn <= 6")
@@ -359,8 +361,8 @@ def meter_frames_streamed(spark, d):
 SELECT track, CAST(b AS BIGINT) AS frame, b = -1 AS ended, CASE WHEN b = -1 THEN n ELSE (b + 1) * 128 END AS playhead FROM b WHERE b = -1 OR n = 128""")
 def loudness_streamed(spark, d):
     """Which frames the streamed meter gives for each track, and the playhead at each; its readings are tested against the batch operators."""
-    samples = written(played(positions(ev(spark, d))))
-    stream = spark.readStream.schema(samples.schema).parquet(samples.inputFiles()[0].rsplit("/", 1)[0])
+    samples = played(positions(ev(spark, d)))
+    stream = spark.readStream.schema(samples.schema).parquet(write_out(samples))
     frames = meter_files(stream, 4800, 128)
     return frames.select("track", F.when(F.col("ended"), F.lit(-1)).otherwise(F.col("frame")).cast("long").alias("frame"), "ended", "playhead")
 

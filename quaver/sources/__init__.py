@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -20,15 +22,22 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_dir:
-        _own_dir.append("file://" + tempfile.mkdtemp(prefix="quaver-shared-"))
+        own = tempfile.mkdtemp(prefix="quaver-shared-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        _own_dir.append("file://" + own)
     return _own_dir[0]
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` from a table in the shared folder: cuts lineage, is computed once, survives lost executors."""
+def write_out(df: DataFrame) -> str:
+    """Writes ``df`` to a table in the shared folder and returns its path."""
     path = f"{shared_dir(df.sparkSession)}/quaver/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` from a table in the shared folder: cuts lineage, is computed once, survives lost executors."""
+    return df.sparkSession.read.schema(df.schema).parquet(write_out(df))
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
