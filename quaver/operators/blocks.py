@@ -148,7 +148,7 @@ def with_states(rows: DataFrame, cascade: Cascade) -> DataFrame:
 
 
 def filtered(signal: DataFrame, stages: list[tuple[float, ...]], size: int = BLOCK) -> DataFrame:
-    """Both channels through a cascade of filters: track, idx, l, r. Blocks are filtered in parallel."""
+    """Both channels through a cascade of filters: track, idx, i (position), l, r. Blocks are filtered in parallel."""
     cascade = Cascade(stages, size)
     rows = with_states(blocks(signal, size), cascade)
 
@@ -156,32 +156,65 @@ def filtered(signal: DataFrame, stages: list[tuple[float, ...]], size: int = BLO
         for b in batches:
             for c in ("l", "r"):
                 b[c] = [cascade.output(x, z) for x, z in zip(b[c], b[f"z{c}"], strict=True)]
-            yield b[["track", "idx", "l", "r"]]
+            yield b[["track", "block", "idx", "l", "r"]]
 
     kinds = rows.schema
-    made = rows.mapInPandas(run, f"track {kinds['track'].dataType.simpleString()}, idx {kinds['idx'].dataType.simpleString()}, l array<double>, r array<double>")
-    return made.select("track", F.inline(F.arrays_zip("idx", "l", "r")))
+    made = rows.mapInPandas(run, f"track {kinds['track'].dataType.simpleString()}, block long, idx {kinds['idx'].dataType.simpleString()}, l array<double>, r array<double>")
+    each = made.select("track", "block", F.posexplode(F.arrays_zip("idx", "l", "r")).alias("k", "s"))
+    return each.select("track", "s.idx", (F.col("block") * size + F.col("k")).alias("i"), "s.l", "s.r")
 
 
 def filtered_energy(signal: DataFrame, stages: list[tuple[float, ...]], hop: int, size: int = BLOCK) -> DataFrame:
-    """Mean energy of both filtered channels per hop: track, hop, e. Samples don't leave the pass, and a last hop that isn't full is dropped."""
-    size = max(1, size // hop) * hop
-    cascade = Cascade(stages, size)
-    rows = with_states(blocks(signal, size), cascade)
+    """Mean energy of both filtered channels per hop: track, hop, e. A last hop that isn't full is dropped."""
+    cascade = Cascade(stages, max(1, size // hop) * hop)
+    return hop_energies(blocks(signal, cascade.size), cascade, hop)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+
+def hop_energies(rows: DataFrame, cascade: Cascade, hop: int, shape: Callable[[np.ndarray, float], np.ndarray] | None = None) -> DataFrame:
+    """The same of blocks (track, block, l, r) that are there already, of ``cascade.size`` samples, a multiple of ``hop``.
+
+    ``shape(samples, g)`` changes the samples before, with the block's column g. Samples are read once: the energy of a hop whose block
+    starts in a state z is a + 2 b z + z c z, where a and b come from the block's output from rest and c from the filter alone. So a second pass has
+    a few numbers for each hop, puts the states together along each track, and gives the energies.
+    """
+    per, n, kind = cascade.size // hop, cascade.n, rows.schema["track"].dataType.simpleString()
+    left = cascade.left[: per * hop].reshape(per, hop, n)
+    gram = np.einsum("jhn,jhm->jnm", left, left)
+
+    def rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out: dict[str, list] = {"el": [], "er": [], "a": [], "b": []}
+            for k in range(len(batch)):
+                x = [np.asarray(batch[c].iloc[k], np.float64) for c in ("l", "r")]
+                if shape is not None:
+                    x = [shape(v, batch["g"].iloc[k]) for v in x]
+                full = len(x[0]) // hop
+                y = [cascade.output(v, cascade.rest())[: full * hop].reshape(full, hop) for v in x]
+                out["el"].append(cascade.end_from_rest(x[0]))
+                out["er"].append(cascade.end_from_rest(x[1]))
+                out["a"].append(sum((v * v).sum(1) for v in y))
+                out["b"].append(np.concatenate([np.einsum("jh,jhn->jn", v, left[:full]) for v in y], 1).ravel())
+            yield pd.DataFrame({"track": batch["track"], "block": batch["block"], **out})
+
+    def chained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, z = (), []
+        for batch in batches:
             tracks, hops, energies = [], [], []
-            for track, block, x, y, zl, zr in b[["track", "block", "l", "r", "zl", "zr"]].itertuples(index=False, name=None):
-                e = cascade.output(x, zl) ** 2 + cascade.output(y, zr) ** 2
-                full = len(e) // hop
-                tracks += [track] * full
-                hops.append(block * (size // hop) + np.arange(full))
-                energies.append(e[: full * hop].reshape(full, hop).sum(1) / hop)
+            for track, lo, hi in stretches(batch):
+                if at != (track,):
+                    at, z = (track,), [cascade.rest(), cascade.rest()]
+                for block, el, er, a, b in batch[["block", "el", "er", "a", "b"]].iloc[lo:hi].itertuples(index=False, name=None):
+                    full, b = len(a), np.asarray(b).reshape(len(a), 2 * n)
+                    e = np.asarray(a) + 2 * b @ np.concatenate(z) + sum(np.einsum("jnm,n,m->j", gram[:full], v, v) for v in z)
+                    tracks += [track] * full
+                    hops.append(block * per + np.arange(full))
+                    energies.append(np.maximum(e, 0.0) / hop)
+                    z = [end + cascade.turn @ v for end, v in zip((el, er), z, strict=True)]
             if tracks:
                 yield pd.DataFrame({"track": np.array([*tracks, None], object)[:-1], "hop": np.concatenate(hops), "e": np.concatenate(energies)})
 
-    return rows.mapInPandas(run, f"track {rows.schema['track'].dataType.simpleString()}, hop long, e double")
+    parts = rows.select("track", "block", "l", "r", *(["g"] if shape is not None else [])).mapInPandas(rest, f"track {kind}, block long, el array<double>, er array<double>, a array<double>, b array<double>")
+    return parts.repartition("track").sortWithinPartitions("track", "block").mapInPandas(chained, f"track {kind}, hop long, e double")
 
 
 def stretches(batch: pd.DataFrame) -> Iterator[tuple[object, int, int]]:

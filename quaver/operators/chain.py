@@ -10,7 +10,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quaver.functions import energy_to_lufs, fade_gain, highpass, peaking, shelf
@@ -201,7 +200,7 @@ def limited(signal: DataFrame, ceiling_db: float, fs: float, delta: bool = False
     ready = dyn.gains_needed(signal, ceiling, fs)
     both = followed(ready, lambda: dyn.LimiterGain(fs), ("gain", "l", "r"), ("gain", "l", "r"))
     clipped = lambda c: F.greatest(F.lit(-ceiling), F.least(F.lit(ceiling), F.col(c) * F.col("gain")))
-    return both.select("track", "idx", *[(clipped(c) - F.col(c) if delta else clipped(c)).alias(c) for c in "lr"], "gain")
+    return both.select("track", "idx", "i", *[(clipped(c) - F.col(c) if delta else clipped(c)).alias(c) for c in "lr"], "gain")
 
 
 def dynamics(s: Settings, fs: float, block: int = 128) -> list:
@@ -216,20 +215,27 @@ def dynamics(s: Settings, fs: float, block: int = 128) -> list:
 
 def gained(signal: DataFrame, db: float | Column) -> DataFrame:
     g = F.pow(F.lit(10.0), (F.lit(db) if isinstance(db, int | float) else db) / 20)
-    return signal.select("track", "idx", (F.col("l") * g).alias("l"), (F.col("r") * g).alias("r"))
+    return signal.select(*_place(signal), (F.col("l") * g).alias("l"), (F.col("r") * g).alias("r"))
+
+
+def _place(signal: DataFrame) -> list[str]:
+    """What says where a sample is: positions too where they are known."""
+    return ["track", "idx", *(["i"] if "i" in signal.columns else [])]
 
 
 def faded(signal: DataFrame, s: Settings, fs: float) -> DataFrame:
     """Fades at both ends of each track, in seconds."""
     if s.fade_in <= 0 and s.fade_out <= 0:
         return signal
-    p = positions(signal).withColumn("left", F.count(F.lit(1)).over(W.partitionBy("track")) - F.col("i"))
+    p = signal if "i" in signal.columns else positions(signal)
+    counts = p.groupBy("track").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("track", "n_track")  # one row for each track
+    p = p.join(counts, F.col("track").eqNullSafe(F.col("n_track"))).withColumn("left", F.col("n") - F.col("i"))
     g = F.lit(1.0)
     if s.fade_in > 0:
         g = g * F.when(F.col("i") / fs < s.fade_in, fade_gain(F.col("i") / fs / s.fade_in, s.fade_in_curve)).otherwise(1.0)
     if s.fade_out > 0:
         g = g * F.when(F.col("left") / fs < s.fade_out, fade_gain(F.col("left") / fs / s.fade_out, s.fade_out_curve)).otherwise(1.0)
-    return p.select("track", "idx", (F.col("l") * g).alias("l"), (F.col("r") * g).alias("r"))
+    return p.select("track", "idx", "i", (F.col("l") * g).alias("l"), (F.col("r") * g).alias("r"))
 
 
 def core(signal: DataFrame, s: Settings, fs: float) -> DataFrame:
@@ -241,7 +247,7 @@ def core(signal: DataFrame, s: Settings, fs: float) -> DataFrame:
     if makers:
         out = followed(out, lambda: Chained([make() for make in makers]))
     if active(s)["balance"]:
-        out = out.select("track", "idx", (F.col("l") * 10 ** (-s.balance_db / 40)).alias("l"), (F.col("r") * 10 ** (s.balance_db / 40)).alias("r"))
+        out = out.select(*_place(out), (F.col("l") * 10 ** (-s.balance_db / 40)).alias("l"), (F.col("r") * 10 ** (s.balance_db / 40)).alias("r"))
     return faded(out, s, fs)
 
 
@@ -272,7 +278,7 @@ def render(signal: DataFrame, s: Settings, target: float, fs: float, hop: int, p
         open_ = F.coalesce(F.abs("err") >= tolerance, F.lit(True))
         moved = state.withColumn("gain_db", F.when(F.col("passes") == 0, F.col("gain_db")).when(open_, F.col("gain_db") + 0.95 * F.col("err")).otherwise(F.col("gain_db")))
         gains = moved.select(F.col("track").alias("s_track"), F.pow(F.lit(10.0), F.col("gain_db") / 20).alias("g"))
-        driven = base.join(gains, track).select("track", "idx", *[(F.col(c) * F.col("g")).alias(c) for c in "lr"])
+        driven = base.join(gains, track).select(*_place(base), *[(F.col(c) * F.col("g")).alias(c) for c in "lr"])
         out = written(limited(driven, s.ceiling_db, fs))
         loud = integrated_loudness(weighted_hops(out.drop("gain"), hop)).withColumnsRenamed({"track": "s_track", "lufs": "now"})
         most = out.groupBy("track").agg((-20 * F.log10(F.greatest(F.min("gain"), F.lit(1e-6)))).alias("gr")).withColumnRenamed("track", "m_track")

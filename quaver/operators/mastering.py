@@ -13,11 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quaver.functions import highpass, lowpass, peaking
-from quaver.operators.blocks import Cascade, Filtering, Follower, biquad_from, transformed
+from quaver.functions import highpass, k_weighting, lowpass, peaking
+from quaver.operators.blocks import BLOCK, Cascade, Filtering, Follower, biquad_from, blocks, hop_energies, transformed
 from quaver.operators.dynamics import keeps
 from quaver.operators.follow import followed
-from quaver.operators.measure import integrated_loudness, weighted_hops
+from quaver.operators.measure import integrated_loudness
 from quaver.sources import positions, written
 
 #: Time constants in seconds, corner frequencies in Hz, filter qualities, limits in dB.
@@ -154,17 +154,20 @@ class DeHarsher(Follower):
 def solve_gain(signal: DataFrame, target: float, drive: float, hop: int = 10, passes: int = 4, tolerance: float = 0.15) -> DataFrame:
     """Gain into the saturator that brings each track's output to ``target``: track, gain_db, passes, final_err.
 
-    Each pass renders with every track's own gain, measures in parallel blocks and moves the gain by 0.95 of the error, until it is
+    Blocks are stored once; each pass drives them with every track's own gain, measures them in parallel and moves the gain by 0.95 of the error, until it is
     within ``tolerance``; tracks that are done keep theirs. What goes from pass to pass is one row per track.
     """
-    placed = written(positions(signal).select("track", "idx", "i", "l", "r"))
-    state = placed.select("track").distinct().select("track", F.lit(0.0).alias("gain_db"), F.lit(0).cast("long").alias("passes"), F.lit(None).cast("double").alias("final_err"))
+    cascade = Cascade(list(k_weighting()), max(1, BLOCK // hop) * hop)
+    stored = written(blocks(signal, cascade.size).select("track", "block", "l", "r"))
+    state = stored.select("track").distinct().select("track", F.lit(0.0).alias("gain_db"), F.lit(0).cast("long").alias("passes"), F.lit(None).cast("double").alias("final_err"))
+    g0, bias = 10 ** (drive / 2), 0.12 * drive
+    shape = lambda x, g: (np.tanh((x * g + bias) * g0) - math.tanh(g0 * bias)) / g0  # noqa: E731  # as saturate does, for arrays
     for _ in range(passes):
         open_ = F.coalesce(F.abs("final_err") > tolerance, F.lit(True))
         moved = state.withColumn("gain_db", F.when(F.col("passes") == 0, 0.0).when(open_, F.col("gain_db") + 0.95 * F.col("final_err")).otherwise(F.col("gain_db")))
         gains = moved.select(F.col("track").alias("g_track"), F.pow(F.lit(10.0), F.col("gain_db") / 20).alias("g"))
-        driven = placed.join(gains, F.col("track").eqNullSafe(F.col("g_track"))).select("track", "idx", "i", *[saturate(F.col(c) * F.col("g"), drive).alias(c) for c in "lr"])
-        loud = integrated_loudness(weighted_hops(driven, hop)).select(F.col("track").alias("l_track"), "lufs")
+        driven = stored.join(gains, F.col("track").eqNullSafe(F.col("g_track")))
+        loud = integrated_loudness(hop_energies(driven, cascade, hop, shape)).select(F.col("track").alias("l_track"), "lufs")
         err = F.lit(target) - F.coalesce("lufs", F.lit(-70.0))
         after = moved.join(loud, F.col("track").eqNullSafe(F.col("l_track")), "left").select(
             "track", "gain_db", F.when(open_, F.col("passes") + 1).otherwise(F.col("passes")).alias("passes"), F.when(open_, err).otherwise(F.col("final_err")).alias("final_err")
