@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quaver.functions import half_up
-from quaver.operators.spectra import song
+from quaver.operators.spectra import synthesized
 from quaver.plans.queries import EV, ev, query
 from quaver.sinks import audio
 from quaver.sinks.bits import BODY_CRC, HEADER_CRC, PAGE_CRC, crc_table
@@ -108,10 +108,30 @@ def lossless_export(spark, d):
     return _digest(audio.encoded(ev(spark, d), "flac", 48_000, 16, {"title": "events"}, dither=False))
 
 
-@query()  # its samples come from spark.range; a test finds its tempo
+@query(f"""WITH {EV}, n AS (SELECT sp.track, i * 40 AS start, 20 + idx % 60 AS n, 200 + 4 * value AS freq, 0.1::DOUBLE AS level, greatest(-1, least(1, r)) AS pan, (idx % 5)::DOUBLE AS fall FROM sp JOIN events ON event_id = idx),
+s AS (SELECT track, start + k AS idx, level * sin(2 * pi() * freq * k / 8000) * exp(-fall * k / n) AS x, pan FROM (SELECT *, unnest(range(n)) AS k FROM n)), m AS (SELECT track, idx, sum(x * (1 - pan) / 2) AS l, sum(x * (1 + pan) / 2) AS r FROM s GROUP BY 1, 2)
+SELECT track, count(*) AS n, round(sum(l * l), 4) + 0.0 AS e_l, round(sum(r * r), 4) + 0.0 AS e_r FROM m GROUP BY 1""")
 def song_made(spark, d):
-    s = song(spark, 4.0)
-    return s.groupBy("track").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("l") * F.col("l")), 2).alias("e_l"), F.round(F.sum(F.col("r") * F.col("r")), 2).alias("e_r"))
+    """Events as a score: each is a note, pitched by its value."""
+    e = read(spark, d, "events").select(F.col("event_id").alias("idx"), "value")
+    pan = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("r")))
+    notes = positions(ev(spark, d)).join(e, "idx").select("track", (F.col("i") * 40).alias("start"), (20 + F.col("idx") % 60).alias("n"), (200 + 4 * F.col("value")).alias("freq"), F.lit(0.1).alias("level"), pan.alias("pan"), (F.col("idx") % 5).cast("double").alias("fall"))
+    s = synthesized(notes, 8000)
+    return s.groupBy("track").agg(F.count(F.lit(1)).alias("n"), *[(F.round(F.sum(F.col(c) * F.col(c)), 4) + F.lit(0.0)).alias(f"e_{c}") for c in "lr"])
+
+
+_WINDOW = " + ".join(["0.35875::DOUBLE", *(f"{a} * cos({k} * pi() * u / 48)" for k, a in ((1, 0.48829), (2, 0.14128), (3, 0.01168)))])
+_CUT = "(0.5 * 44100 / 48000::DOUBLE - 1 / 48::DOUBLE)"
+
+
+@query(f"""WITH {EV}, n AS (SELECT track, count(*) AS n FROM sp GROUP BY 1), m AS (SELECT track, unnest(range(CAST(ceil(n * 147 / 160::DOUBLE) AS BIGINT))) AS idx FROM n),
+o AS (SELECT track, idx, idx * 160 // 147 + j AS i, (idx * 160 % 147) / 147::DOUBLE - j AS u FROM m, (SELECT unnest(range(-47, 49)) AS j)),
+h AS (SELECT *, CASE WHEN u = 0 THEN 2 * {_CUT} ELSE sin(2 * pi() * {_CUT} * u) / (pi() * u) END * ({_WINDOW}) AS h FROM o),
+y AS (SELECT h.track, h.idx, sum(h * coalesce(l, 0)) / sum(h) AS l, sum(h * coalesce(r, 0)) / sum(h) AS r FROM h LEFT JOIN sp ON sp.track = h.track AND sp.i = h.i GROUP BY 1, 2)
+SELECT track, idx, round(l, 4) + 0.0 AS l, round(r, 4) + 0.0 AS r FROM y""")
+def resampled_44100(spark, d):
+    """Signals at 48,000 samples a second brought to 44,100."""
+    return wav.resampled(ev(spark, d), 48_000, 44_100).select("track", "idx", *[(F.round(F.col(c), 4) + F.lit(0.0)).alias(c) for c in "lr"])
 
 
 _INTS = f"""WITH {EV}, q AS (SELECT track, i, CAST(greatest(-32768, least(32767, floor(l * 32767 + 0.5))) AS BIGINT) AS l, CAST(greatest(-32768, least(32767, floor(r * 32767 + 0.5))) AS BIGINT) AS r FROM sp)"""

@@ -301,8 +301,23 @@ def test_dither_is_triangular_and_repeats(spark):
     assert a == b and {r["l"] for r in a} <= {-1, 0, 1} and np.mean([r["l"] for r in a]) == pytest.approx(0.3, abs=0.02) and {r["r"] for r in a} == {-32768}
 
 
-def test_resampling_keeps_time(spark):
-    s = spark.range(4410).select(F.lit("t").alias("track"), F.col("id").alias("idx"), F.sin(F.col("id") / 44_100 * 600).alias("l"), (F.col("id") / 44_100).alias("r"))
-    got = wav.resampled(s, 44_100, 48_000).orderBy("idx").toPandas()
-    assert len(got) == 4800 and (got["idx"] == np.arange(4800)).all()
-    assert np.allclose(got["l"][:4790], np.sin(got["idx"][:4790] / 48_000 * 600), atol=1e-4) and np.allclose(got["r"][:4790], got["idx"][:4790] / 48_000)
+@pytest.mark.parametrize("fs,to,freq", [(48_000, 44_100, 9000.0), (44_100, 48_000, 12_000.0), (48_000, 24_000, 3000.0)])
+def test_resampled_sines_are_sines(spark, fs, to, freq):
+    """What isn't the sine itself, images included, lies 80 dB below; places are exact; blocks don't matter."""
+    n = 9600
+    s = spark.range(n).select(F.lit("t").alias("track"), F.col("id").alias("idx"), F.sin(F.col("id") * (2 * np.pi * freq / fs)).alias("l"), F.lit(0.5).alias("r"))
+    got = wav.resampled(s, fs, to).orderBy("idx").toPandas()
+    assert (got["idx"] == np.arange(-(-n * to // fs))).all()
+    inner = slice(120, len(got) - 120)
+    assert np.abs(got["l"] - np.sin(got["idx"] * (2 * np.pi * freq / to)))[inner].max() < 1e-4 and np.abs(got["r"] - 0.5)[inner].max() < 1e-9
+    small = wav.resampled(s, fs, to, size=100).orderBy("idx").toPandas()
+    assert np.abs(small["l"] - got["l"]).max() < 1e-12 and (small["idx"] == got["idx"]).all()
+
+
+def test_resampling_stops_what_would_fold(spark):
+    """A tone above half of the new rate is gone; a step of silence between two tracks stays in its track."""
+    s = spark.range(9600).select(F.when(F.col("id") < 9500, F.lit("t")).otherwise(F.lit(None)).alias("track"), F.col("id").alias("idx"), F.sin(F.col("id") * (2 * np.pi * 0.48)).alias("l"), F.lit(0.0).alias("r"))
+    got = wav.resampled(s, 48_000, 44_100).toPandas()
+    inner = got[(got["track"] == "t") & got["idx"].between(100, 8600)]
+    assert inner["l"].abs().max() < 1e-4 and got["track"].isna().sum() == -(-100 * 147 // 160) and not got["r"].any()
+    assert wav.resampled(s.limit(0), 48_000, 44_100).count() == 0
