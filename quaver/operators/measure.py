@@ -122,7 +122,8 @@ def correlation_summary(windows: DataFrame) -> DataFrame:
 def pyramid_base(signal: DataFrame, per: int = 8) -> DataFrame:
     """Per bucket of the mono signal: least (at most 0), greatest (at least 0), rms. The last part bucket stays."""
     mono = (F.col("l") + F.col("r")) / 2
-    return positions(signal).groupBy("track", F.floor(F.col("i") / per).alias("bucket")).agg(
+    placed = signal if "i" in signal.columns else positions(signal)
+    return placed.groupBy("track", F.floor(F.col("i") / per).alias("bucket")).agg(
         F.least(F.lit(0.0), F.min(mono)).alias("mn"), F.greatest(F.lit(0.0), F.max(mono)).alias("mx"), F.sqrt(F.avg(mono * mono)).alias("rms")
     )
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quaver.functions import half_up, r4
 from quaver.operators import measure as m
+from quaver.operators.views import store_pyramid, views
 from quaver.plans import mastering  # noqa: F401  # registers queries that some of these build on
 from quaver.plans.queries import EU, EV, ORACLES, QUERIES, _values, ev, query
-from quaver.sources import event_signal, positions, read
+from quaver.sources import event_signal, positions, read, shared_dir
 
 #: Public loudness targets and ceilings of delivery platforms; the first four are those of the delivery table.
 ALL_PLATFORMS = [
@@ -362,3 +365,25 @@ SELECT label, CAST(b AS BIGINT) AS band, col, round(v, 4) + 0.0 AS v FROM s WHER
 def display_bands(spark, d):
     """Peaks of 14 logarithmic bands of each vector as a spectrum, quick to rise and slow to fall from one to the next."""
     return m.display_bands(read(spark, d, "embeddings"), 14).select("label", "band", "col", r4(F.col("v")).alias("v"))
+
+
+@query(f"""WITH {EV}, t AS (SELECT track, row_number() OVER (ORDER BY track) - 1 AS k, n FROM (SELECT track, count(*) AS n FROM sp GROUP BY 1)),
+p0 AS (SELECT track, i // 4 AS bucket, least(0, min((l + r) / 2)) AS mn, greatest(0, max((l + r) / 2)) AS mx, sqrt(avg(pow((l + r) / 2, 2))) AS rms FROM sp GROUP BY 1, 2),
+p1 AS (SELECT track, bucket // 8 AS bucket, min(mn) AS mn, max(mx) AS mx, sqrt(avg(rms * rms)) AS rms FROM p0 GROUP BY 1, 2), p2 AS (SELECT track, bucket // 8 AS bucket, min(mn) AS mn, max(mx) AS mx, sqrt(avg(rms * rms)) AS rms FROM p1 GROUP BY 1, 2),
+p AS (SELECT 0 AS level, * FROM p0 UNION ALL SELECT 1, * FROM p1 WHERE track IN (SELECT track FROM p0 WHERE bucket >= 16) UNION ALL SELECT 2, * FROM p2 WHERE track IN (SELECT track FROM p1 WHERE bucket >= 16)),
+tops AS (SELECT track, max(level) AS top FROM p GROUP BY 1),
+q AS (SELECT c_custkey, track, c_custkey * 37 % n AS start, least(CASE WHEN 32 <= spp * 1.0001 THEN 1 ELSE 0 END + CASE WHEN 256 <= spp * 1.0001 THEN 1 ELSE 0 END, top) AS level, spp FROM (SELECT *, 0.5::DOUBLE + c_custkey % 300 AS spp FROM customer) c JOIN t ON k = c_custkey % (SELECT count(*) FROM t) JOIN tops USING (track)),
+x AS (SELECT c_custkey, track, level, x, greatest(0, floor(start / (4 * pow(8::DOUBLE, level)) + x * (spp / (4 * pow(8::DOUBLE, level))))) AS b0, ceil(start / (4 * pow(8::DOUBLE, level)) + (x + 1) * (spp / (4 * pow(8::DOUBLE, level)))) AS b1 FROM q, (SELECT unnest(range(10)) AS x))
+SELECT c_custkey, CAST(x AS BIGINT) AS x, CAST(x.level AS BIGINT) AS level, round(min(mn), 4) + 0.0 AS mn, round(max(mx), 4) + 0.0 AS mx, round(sqrt(avg(rms * rms)), 4) + 0.0 AS rms
+FROM x JOIN p ON p.track = x.track AND p.level = x.level AND bucket >= b0 AND bucket < greatest(b0 + 1, b1) GROUP BY 1, 2, 3""")
+def views_by_level(spark, d):
+    """A view of ten pixels for each customer, from a half to three hundred samples a pixel, out of a stored pyramid."""
+    s = positions(ev(spark, d))
+    folder = f"{shared_dir(spark)}/quaver/{uuid.uuid4().hex}"
+    store_pyramid(s, folder, 4, 8, 16)
+    n = s.groupBy("track").agg(F.count(F.lit(1)).alias("n"))
+    names = n.agg(F.array_sort(F.collect_list(F.struct("track", "n"))).alias("tracks"))  # one row: the kinds of events
+    c = read(spark, d, "customer").join(F.broadcast(names)).withColumn("t", F.element_at("tracks", (F.col("c_custkey") % F.size("tracks") + 1).cast("int")))
+    requests = c.select(F.col("c_custkey").alias("view"), "t.track", (F.col("c_custkey") * 37 % F.col("t.n")).alias("start"), ((0.5 + F.col("c_custkey") % 300) * 10).alias("length"))
+    shown = views(spark, folder, requests, 10, 4, 8)
+    return shown.select(F.col("view").alias("c_custkey"), F.col("x").cast("long").alias("x"), F.col("level").cast("long").alias("level"), *[r4(F.col(k)).alias(k) for k in ("mn", "mx", "rms")])
