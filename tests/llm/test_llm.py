@@ -594,7 +594,7 @@ def test_query_matches_its_sql(spark, name):
     from quaver.llm import queries
 
     con, sf = duckdb.connect(), "/root/testdata/sf0.001"
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     got = queries.queries()[name](spark, sf)
     cols = ", ".join(sorted(got.columns))
