@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quaver.functions import highpass, k_weighting, lowpass, peaking
 from quaver.operators.blocks import BLOCK, Cascade, Filtering, Follower, biquad_from, blocks, hop_energies, transformed
+from quaver.operators.dominance import SPAN, sums_above
 from quaver.operators.dynamics import keeps
 from quaver.operators.follow import followed
 from quaver.operators.measure import integrated_loudness
@@ -178,53 +179,29 @@ def solve_gain(signal: DataFrame, target: float, drive: float, hop: int = 10, pa
     return state
 
 
-class _Totals:
-    """Counts and sums by rank, added to one by one and read below a rank, each in logarithmic time."""
-
-    def __init__(self, n: int) -> None:
-        self.n, self.count, self.total = n, [0] * (n + 1), [0.0] * (n + 1)
-
-    def add(self, rank: int, x: float) -> None:
-        at = rank + 1
-        while at <= self.n:
-            self.count[at] += 1
-            self.total[at] += x
-            at += at & -at
-
-    def below(self, rank: int) -> tuple[int, float]:
-        count, total, at = 0, 0.0, rank
-        while at:
-            count, total = count + self.count[at], total + self.total[at]
-            at -= at & -at
-        return count, total
-
-
-def expanding_loudness(hops: DataFrame, stride: int = 5) -> DataFrame:
+def expanding_loudness(hops: DataFrame, stride: int = 5, span: int = SPAN) -> DataFrame:
     """Integrated loudness of all hops up to each ``stride``-th: track, hop, lufs; -70 where nothing passes the gates.
 
-    The relative gate moves with the mean, so each step needs the sum of blocks above a new threshold: kept by rank of the
-    block, which makes a track of n hops n log n work instead of a self join of n * n / 2 rows.
+    The relative gate moves with the mean, so each step needs the sum of blocks above a bar of its own (``sums_above``). Blocks of 4
+    hops in a row and running means come from spans of a track and the totals of the spans before, so no track meets in one task.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("hop")
-        e, hop = pdf["e"].to_numpy(np.float64), pdf["hop"].to_numpy()
-        blocks = [float(np.mean(e[i - 3 : i + 1])) if i >= 3 else 0.0 for i in range(len(e))]
-        floor = 10 ** ((-70 + 0.691) / 10)
-        order = np.sort([b for b in blocks if b > floor])
-        seen, n, total, out = _Totals(len(order)), 0, 0.0, []
-        for h, b in zip(hop.tolist(), blocks, strict=True):
-            if b > floor:
-                n, total = n + 1, total + b
-                seen.add(int(np.searchsorted(order, b)), b)
-            if (h + 1) % stride == 0:
-                out.append((pdf["track"].iloc[0], h, -70.0))
-                if n:
-                    quiet, low = seen.below(int(np.searchsorted(order, total / n / 10, side="right")))
-                    out[-1] = (*out[-1][:2], -0.691 + 10 * math.log10(max((total - low) / (n - quiet), 1e-12)))
-        return pd.DataFrame(out, columns=["track", "hop", "lufs"])
-
-    return hops.select("track", "hop", "e").groupBy("track").applyInPandas(run, "track string, hop long, lufs double")
+    place = F.floor(F.col("hop") / span)
+    later = F.when(F.col("hop") - place * span >= span - 3, place + 1)
+    spread = hops.select("track", "hop", "e", F.explode(F.array_compact(F.array(place, later))).alias("span"))
+    last = W.partitionBy("track", "span").orderBy("hop").rangeBetween(-3, 0)
+    mean = F.when(F.count("e").over(last) == 4, F.avg("e").over(last))
+    blocks = spread.withColumn("v", mean).withColumn("v", F.when(F.col("v") > 10 ** ((-70 + 0.691) / 10), F.col("v"))).where(F.col("span") == place).select("track", "span", "hop", "v")
+    so_far = W.partitionBy("track", "span").orderBy("hop").rowsBetween(W.unboundedPreceding, W.currentRow)
+    blocks = written(blocks.withColumns({"n": F.count("v").over(so_far), "s": F.coalesce(F.sum("v").over(so_far), F.lit(0.0))}))
+    spans = blocks.groupBy("track", "span").agg(F.max("n").alias("n"), F.max("s").alias("s"))  # both grow within a span
+    earlier = W.partitionBy("track").orderBy("span").rowsBetween(W.unboundedPreceding, -1)  # one row for each span
+    before = spans.select("track", "span", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in "ns"])
+    steps = blocks.where((F.col("hop") + 1) % stride == 0).alias("a")
+    at = steps.join(before.alias("b"), F.col("a.track").eqNullSafe(F.col("b.track")) & (F.col("a.span") == F.col("b.span")))
+    asks = at.select("a.track", F.col("hop").alias("at"), (F.try_divide(F.col("a.s") + F.col("b.s"), F.col("a.n") + F.col("b.n")) / 10).alias("bar"))
+    got = sums_above(blocks.select("track", F.col("hop").alias("at"), "v"), asks, span)
+    loud = -0.691 + 10 * F.log10(F.greatest(F.try_divide("total", "n"), F.lit(1e-12)))
+    return got.select("track", F.col("at").alias("hop"), F.when(F.col("n") > 0, loud).otherwise(F.lit(-70.0)).alias("lufs"))
 
 
 def novelty(bands: DataFrame, width: int) -> DataFrame:

@@ -10,6 +10,7 @@ from quaver.functions import energy_to_lufs, fade_gain, half_up, lowpass, r4
 from quaver.operators import measure as m
 from quaver.operators.blocks import Follower, filtered, haloed, transformed
 from quaver.operators.follow import followed
+from quaver.operators.spectra import autocorrelation
 from quaver.plans.dims import PLATFORMS, PRESETS
 from quaver.plans.sql import coefficients, recursion
 from quaver.sources import event_signal, line_signal, positions, read, write_out
@@ -225,10 +226,8 @@ def raw_flux(spark, d):
 @query(f"""{HOPS} SELECT a.track, CAST(lag AS BIGINT) AS lag, round(sum(a.e * b.e) / count(*) * 1000, 4) + 0.0 AS ac
 FROM hops a, (SELECT unnest(range(1, 13)) AS lag) l JOIN hops b ON b.track = a.track AND b.hop = a.hop + lag GROUP BY 1, 2""".replace("FROM hops a, (SELECT", "FROM hops a CROSS JOIN (SELECT"))
 def autocorr_lags(spark, d):
-    h = m.weighted_hops(ev(spark, d))
-    a = h.select("track", "e", "hop", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(12).cast("long"))).alias("lag")).withColumn("at", F.col("hop") + F.col("lag"))
-    b = h.select("track", F.col("hop").alias("at"), F.col("e").alias("f"))
-    return a.join(b, ["track", "at"]).groupBy("track", "lag").agg(r4(F.sum(F.col("e") * F.col("f")) / F.count(F.lit(1)) * 1000).alias("ac"))
+    sums = autocorrelation(m.weighted_hops(ev(spark, d)).withColumnRenamed("hop", "col"), "e", 1, 12).where("n > lag")
+    return sums.select("track", "lag", r4(F.col("p") / (F.col("n") - F.col("lag")) * 1000).alias("ac"))
 
 
 def _values(rows, names):
