@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quaver.llm.common import WORD, materialize
 
-#: Odd multiplier of the golden-ratio (Kronecker) sequence modulo 2**32, and the period used (products stay below 2**63).
-GOLDEN, PERIOD = 2654435769, 1 << 31
-#: Slots that a source's share may fall behind the schedule; bounds the discrepancy of the sequence.
-SLACK = 16
+#: The golden-ratio (Kronecker) sequence in 52 bits: an odd multiplier, so 2**52 points differ; products are made of halves of 26 bits.
+HALF = 26
+GOLDEN = round((5**0.5 - 1) / 2 * 2 ** (2 * HALF)) | 1
+
+
+def golden(i: Column) -> Column:
+    """The ``i``-th point of the sequence in [0, 1); exact for i from 0 to 2**36."""
+    i, low, high, half = i.cast("long"), GOLDEN % (1 << HALF), GOLDEN >> HALF, 1 << HALF
+    return ((i * high % half) * half + i * low) % (half * half) / F.lit(float(half * half))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -39,19 +44,22 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 42, block_words: int = 4096) -> DataFrame:
-    """How often the mix takes each document: doc_id, row_key, size, source, source_size, target, taken, first_pass, second_pass.
+    """How often and where the mix takes each document: doc_id, row_key, size, source, source_size, target, taken, first_pass, second_pass, first_slot, second_slot, start.
 
     Each source's documents are laid end to end in the order of a hash and cut into blocks of ``block_words`` words. Which
     documents are taken depends on that hash (``seed``), on the targets and, for the interleaving of sources, on ``block_words``. Slots follow the golden-ratio sequence mapped through the
     cumulative targets; the k-th slot of a source takes its block k modulo its number of blocks, until the source's
-    target is met, the last block in part. ``taken`` counts a document's words in all taken blocks; repeats count.
+    target is met, the last block in part. ``taken`` counts a document's words in all taken blocks; repeats count. The mix is in the
+    order of its slots, and within a slot in that of ``start`` (the document's first word in its source): ``first_slot`` and
+    ``second_slot`` are where each pass takes the document first, null where it doesn't. ``most`` is 2 or less, so two passes are all.
 
     Null texts and texts without words have size 0 and are taken 0 times. Null sources form one source, the last. Repeated
     rows and ids are separate documents; row_key tells documents apart by id and content. An empty table gives an empty result. Extra columns are ignored.
     Documents are dealt by (source, range of the hash), so a source with a third of all rows is spread over all tasks. Only tables of
     sources (offsets, targets, shares) meet in one task, not documents. Very long texts are counted as a whole, and span many blocks.
     """
-    spark = docs.sparkSession
+    if most > 2:
+        raise ValueError("a document is taken twice at most")
     text = F.coalesce(F.col("text"), F.lit(""))
     base = materialize(
         docs.select("doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(F.lit(seed), "doc_id", text).alias("h"))
@@ -82,7 +90,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     )
 
     taken_blocks = schedule(targets, block).groupBy("src", "block").agg(
-        F.sum("words").alias("block_taken"), F.max(F.when(F.col("pass") == 0, F.col("words"))).alias("w0"), F.max(F.when(F.col("pass") == 1, F.col("words"))).alias("w1")
+        *[F.max(F.when(F.col("pass") == k, F.col(c))).alias(f"{c[0]}{k}") for c in ("words", "slot") for k in (0, 1)]
     )
     pieces = stream.where("size > 0").select(
         "doc_id", "h", "copy", "bucket", "src", "start", "size",
@@ -95,46 +103,55 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     counts = (
         pieces.join(b, (F.col("src") == F.col("b_src")) & (F.col("block") == F.col("b_block")))
         .groupBy("src", "bucket", "h", "copy")
-        .agg(F.sum(part("w0")).alias("first_pass"), F.sum(part("w1")).alias("second_pass"))
+        .agg(
+            F.sum(part("w0")).alias("first_pass"), F.sum(part("w1")).alias("second_pass"),
+            F.min(F.when(part("w0") > 0, F.col("s0"))).alias("first_slot"), F.min(F.when(part("w1") > 0, F.col("s1"))).alias("second_slot"),
+        )
     )
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     return stream.join(counts, ["src", "bucket", "h", "copy"], "left").select(
         "doc_id", F.col("h").alias("row_key"), "size", "source", "source_size", "target", (zero("first_pass") + zero("second_pass")).alias("taken"),
-        zero("first_pass").alias("first_pass"), zero("second_pass").alias("second_pass"),
+        zero("first_pass").alias("first_pass"), zero("second_pass").alias("second_pass"), "first_slot", "second_slot", "start",
     )
 
 
-def schedule(targets: DataFrame, block: int, chunk: int = 4096, cells: int = 1024) -> DataFrame:
-    """The slots of the mix in order: slot, src, rank, pass, block, words.
+def schedule(targets: DataFrame, block: int, chunk: int = 4096) -> DataFrame:
+    """The slots of the mix in order: slot (from 0, gapless), src, rank, pass, block, words.
 
-    Golden-ratio points fall into the sources' intervals of [0, 1) by an equi-join on a grid of ``cells``. Ranks per source
-    come from counts per chunk of slots, so no source's slots meet in one task. The sequence is bounded, so sources of a small
-    share can be short of slots after it; the slots that they still miss follow at its end.
+    A source has as many slots as its target has blocks. As many golden-ratio points as there are slots in all fall into the sources'
+    intervals of [0, 1), whose lengths are their shares of the slots, by an equi-join on a grid. The points of an interval differ
+    from its share by a few at any time; at the end what a source has too many is left out, and what it lacks is put evenly between
+    the others, so each prefix of the mix is near its weights, however small a source is. Ranks and slots come from counts per chunk
+    of points, so no source's slots meet in one task. Sources with a target below 1 have none.
     """
     spark = targets.sparkSession
     t = targets.where("target >= 1").withColumn("need", F.floor("target").cast("long"))
-    t = t.withColumn("blocks", F.ceil(F.col("source_size") / block)).withColumn("needed", F.expr("need DIV source_size") * F.col("blocks") + F.ceil(F.col("need") % F.col("source_size") / block))
-    t = t.withColumn("share", F.col("target") / F.sum("target").over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
-    t = t.withColumn("hi", F.sum("share").over(W.orderBy("src"))).withColumn("lo", F.coalesce(F.lag("hi").over(W.orderBy("src")), F.lit(0.0)))
-    t = t.withColumn("hi", F.when(F.row_number().over(W.orderBy(F.desc("src"))) == 1, F.lit(1.0)).otherwise(F.col("hi")))
     # passes over a source end with a part block, so two passes take one slot more than words / block
-    longest, fair = t.agg(F.max((F.col("need") / block + 2 + SLACK) / F.col("share")), F.sum("need") / block).first()
-    n = int(min(longest or 0, 8 * (fair or 0) + 1e6)) + 1 if longest else 0
-    slots = spark.range(n).select(F.col("id").alias("slot"), (((F.col("id") % PERIOD) * GOLDEN) % (1 << 32) / F.lit(float(1 << 32))).alias("u")).withColumn("cell", F.floor(F.col("u") * cells))
+    t = t.withColumn("blocks", F.ceil(F.col("source_size") / block)).withColumn("needed", F.expr("need DIV source_size") * F.col("blocks") + F.ceil(F.col("need") % F.col("source_size") / block))
+    upto = W.orderBy("src").rowsBetween(W.unboundedPreceding, W.currentRow)
+    t = materialize(t.withColumn("upto", F.sum("needed").over(upto)))
+    n, sources = t.agg(F.coalesce(F.sum("needed"), F.lit(0)), F.count(F.lit(1))).first()
+    cells = max(1024, 4 * sources)
+    t = t.withColumns({"lo": (F.col("upto") - F.col("needed")) / F.lit(n or 1), "hi": F.col("upto") / F.lit(n or 1)})  # n / n is 1
+    points = spark.range(n).select(F.col("id").alias("point"), golden(F.col("id")).alias("u")).withColumn("cell", F.floor(F.col("u") * cells))
     grid = t.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * cells), F.least(F.lit(cells - 1), F.floor(F.col("hi") * cells)))))
-    drawn = slots.join(grid, "cell").where("u >= lo AND u < hi").select("slot", F.floor(F.col("slot") / chunk).alias("chunk"), "src", "need", "blocks", "source_size")
-    per_chunk = materialize(drawn.groupBy("src", "chunk").agg(F.count(F.lit(1)).alias("n")))
-    before = per_chunk.withColumn("ranks_before", F.coalesce(F.sum("n").over(W.partitionBy("src").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    ranked = drawn.withColumn("in_chunk", F.row_number().over(W.partitionBy("src", "chunk").orderBy("slot")) - 1).join(before, ["src", "chunk"])
-    ranked = ranked.withColumn("rank", F.col("in_chunk") + F.col("ranks_before")).select("slot", "src", "need", "blocks", "source_size", "rank")
-    short = t.join(per_chunk.groupBy("src").agg(F.sum("n").alias("got")), "src", "left").withColumn("got", F.coalesce("got", F.lit(0))).where("got < needed")
-    short = short.withColumn("slots_before", F.coalesce(F.sum(F.col("needed") - F.col("got")).over(W.orderBy("src").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    short = short.withColumn("from", F.explode(F.sequence("got", F.col("needed") - 1, F.lit(chunk).cast("long"))))
-    missing = short.withColumn("rank", F.explode(F.sequence("from", F.least(F.col("from") + chunk, "needed") - 1)))
-    missing = missing.withColumn("slot", F.col("slots_before") + F.col("rank") - F.col("got") + n)
-    ranked = ranked.unionByName(missing.select(*ranked.columns)).withColumns(
-        {"pass": F.floor(F.col("rank") / F.col("blocks")), "block": F.col("rank") % F.col("blocks")}
+    fields = ["src", "need", "needed", "blocks", "source_size"]
+    drawn = points.join(grid, "cell").where("u >= lo AND u < hi").select("point", F.lit(-1).cast("long").alias("k"), *fields)
+    short = t.join(drawn.groupBy("src").agg(F.count(F.lit(1)).alias("got")), "src", "left").withColumn("lacks", F.col("needed") - F.coalesce("got", F.lit(0))).where("lacks > 0")
+    added = short.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lacks") - 1)))
+    added = added.withColumn("point", F.floor((F.col("k") + golden(F.col("src") + 1)) * n / F.col("lacks")).cast("long"))  # after that point
+    slots = drawn.unionByName(added.select("point", "k", *fields)).withColumn("chunk", F.floor(F.col("point") / chunk))
+
+    per_chunk = slots.groupBy("src", "chunk").agg(F.count(F.lit(1)).alias("n"))
+    ranks = per_chunk.select("src", "chunk", F.coalesce(F.sum("n").over(W.partitionBy("src").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("ranks_before"))
+    inside = F.row_number().over(W.partitionBy("src", "chunk").orderBy("point", "k")) - 1
+    ranked = slots.withColumn("in_chunk", inside).join(ranks, ["src", "chunk"]).withColumn("rank", F.col("in_chunk") + F.col("ranks_before")).where("rank < needed")
+    ranked = materialize(ranked.select("point", "k", "chunk", *fields, "rank"))
+    firsts = ranked.groupBy("chunk").agg(F.count(F.lit(1)).alias("n")).select("chunk", F.coalesce(F.sum("n").over(W.orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("slots_before"))
+    slot = F.row_number().over(W.partitionBy("chunk").orderBy("point", "k", "src")) - 1
+    placed = ranked.withColumn("in_chunk", slot).join(firsts, "chunk").withColumns(
+        {"slot": F.col("in_chunk") + F.col("slots_before"), "pass": F.floor(F.col("rank") / F.col("blocks")), "block": F.col("rank") % F.col("blocks")}
     )
     length = F.least(F.lit(block), F.col("source_size") - F.col("block") * block)
     left = F.col("need") - F.col("pass") * F.col("source_size") - F.col("block") * block
-    return ranked.withColumn("words", F.least(length, left)).where("words > 0").select("slot", "src", "rank", "pass", "block", "words")
+    return placed.select("slot", "src", "rank", "pass", "block", F.least(length, left).alias("words"))

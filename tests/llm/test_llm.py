@@ -127,6 +127,69 @@ def test_schedule_has_every_slot(spark):
         assert len({r["slot"] for r in small}) == len(small)
 
 
+def slots_by_hand(targets: list[tuple[int, int, float]], block: int) -> list[tuple]:
+    """(src, rank, pass, block, words) in the order of the mix, from its definition."""
+    half, g = 1 << 26, mixing.GOLDEN
+    golden = lambda i: i * g % (half * half) / (half * half)
+    needed = {s: int(t) // size * -(-size // block) + -(-(int(t) % size) // block) for s, size, t in targets if t >= 1}
+    n, edges, at = sum(needed.values()), [], 0
+    for s in sorted(needed):
+        edges.append((s, at / n, (at + needed[s]) / n))
+        at += needed[s]
+    points = [(i, -1, next(s for s, lo, hi in edges if lo <= golden(i) < hi)) for i in range(n)]
+    got = {s: sum(p[2] == s for p in points) for s in needed}
+    for s in needed:
+        lacks = needed[s] - got[s]
+        points += [(int((k + golden(s + 1)) * n / lacks), k, s) for k in range(lacks)]
+    seen, out = dict.fromkeys(needed, 0), []
+    of = {s: (size, int(t)) for s, size, t in targets}
+    for _, _, s in sorted(points):
+        rank, (size, need) = seen[s], of[s]
+        seen[s] += 1
+        if rank < needed[s]:
+            passes, b = divmod(rank, -(-size // block))
+            out.append((s, rank, passes, b, min(block, size - b * block, need - passes * size - b * block)))
+    return out
+
+
+def test_schedule_is_the_one_by_hand_and_near_its_weights_at_any_time(spark):
+    targets = [(0, 90_000, 150_000.0), (1, 10, 20.0), (2, 479, 700.0), (3, 5000, 9999.5), (4, 30_000, 41_000.25), (5, 3, 0.5), (6, 1, 1.0)]
+    df = spark.createDataFrame(targets, "src int, source_size long, target double")
+    want = slots_by_hand(targets, 64)
+    for chunk in (7, 4096):
+        got = sorted(tuple(r) for r in mixing.schedule(df, 64, chunk).collect())
+        assert [r[0] for r in got] == list(range(len(want)))
+        assert [r[1:] for r in got] == want
+    total = {s: sum(w[0] == s for w in want) for s in range(7)}
+    at = dict.fromkeys(total, 0)
+    for i, w in enumerate(want, 1):
+        at[w[0]] += 1
+        assert all(abs(at[s] - i * total[s] / len(want)) < 5 for s in total)
+    tiny = [i for i, w in enumerate(want) if w[0] == 1]
+    assert len(tiny) == 2 and tiny[1] - tiny[0] > len(want) / 8  # both passes, not at one end
+
+
+def test_the_mix_by_hand(spark, edge):
+    rows = mixing.mix(edge, block_words=16).collect()
+    by_source = {}
+    for r in rows:
+        by_source.setdefault(r["source"], []).append(r)
+    names = sorted(by_source, key=lambda s: (s is None, s or ""))
+    targets = [(i, by_source[s][0]["source_size"], by_source[s][0]["target"]) for i, s in enumerate(names)]
+    words = {(i, k): [] for i in range(len(names)) for k in (0, 1)}  # of each pass: slot by word
+    for slot, (s, _, k, b, n) in enumerate(slots_by_hand(targets, 16)):
+        words[s, k] += [(b * 16 + j, slot) for j in range(n)]
+    for i, s in enumerate(names):
+        at = 0
+        passes = [dict(words[i, k]) for k in (0, 1)]
+        for r in sorted(by_source[s], key=lambda r: r["start"]):
+            assert r["size"] == 0 or r["start"] == at
+            mine = [[p[w] for w in range(r["start"], r["start"] + r["size"]) if w in p] for p in passes]
+            assert [r["first_pass"], r["second_pass"]] == [len(m) for m in mine] and r["taken"] == sum(map(len, mine))
+            assert [r["first_slot"], r["second_slot"]] == [min(m, default=None) for m in mine]
+            at += r["size"]
+
+
 def test_bpe_is_the_library(edge):
     import public_tokenizers
     from tokenizers import Tokenizer
