@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaver.llm import bpe, mixing, secrets, simhash, toxicity
-from quaver.llm.common import WORD, materialize, table
+from quaver.llm.common import WORD, materialize, partitions, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -48,22 +48,25 @@ def secrets_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; where a source's target ends inside of one, its words up to there.
+    """Documents as often as the mix takes them, in the order of the mix; where a source's target ends inside of one, its words up to there.
 
+    Partitions hold ranges of slots of about equal words, and their rows are in order, as are the files written from them.
     Repeated rows are taken as often as the mix takes each of them; they are alike but for lang, source and n_chars, of which the
     smallest are returned. Texts without words (null, empty, white space) are never taken. Null sources are one source; null ids
-    change nothing; an empty table stays empty; extra columns go.
+    change nothing; an empty table stays empty; very long texts are taken whole, at the slot that they begin in; extra columns go.
     """
     seed = 42
     key = [F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "row_key"]
     names = ["no_id", "id", "row_key"]
-    taken = mixing.mix(docs, seed=seed).where("first_pass > 0").select(*key, "size", "first_pass", "second_pass")
+    passes = F.array(F.struct(F.col("first_pass").alias("words"), F.col("first_slot").alias("slot")), F.struct(F.col("second_pass").alias("words"), F.col("second_slot").alias("slot")))
+    taken = materialize(mixing.mix(docs, seed=seed).where("first_pass > 0").select(*key, "size", "start", F.inline(F.filter(passes, lambda p: p["words"] > 0))))
+    slots, parts = (taken.agg(F.max("slot")).first()[0] or 0) + 1, partitions(spark)
     keyed = docs.select(*COLUMNS).withColumn("row_key", F.xxhash64(F.lit(seed), "doc_id", F.coalesce(F.col("text"), F.lit("")))).select(*COLUMNS, *key)
     one = keyed.groupBy(*names).agg(F.first("doc_id").alias("doc_id"), F.min("text").alias("text"), F.min(F.struct("lang", "source", "n_chars")).alias("rest"))
-    passes = one.join(taken, names).withColumn("words", F.explode(F.filter(F.array("first_pass", "second_pass"), lambda n: n > 0)))
     part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("words").cast("int")), " ")
-    cut = passes.withColumn("text", F.when(F.col("words") < F.col("size"), part).otherwise(F.col("text")))
-    return cut.select("doc_id", "text", "rest.lang", "rest.source", F.length("text").cast("long").alias("n_chars")).select(*COLUMNS)
+    cut = one.join(taken, names).withColumn("text", F.when(F.col("words") < F.col("size"), part).otherwise(F.col("text")))
+    ordered = cut.repartitionById(parts, F.floor(F.col("slot") * parts / slots).cast("int")).sortWithinPartitions("slot", "start")
+    return ordered.select("doc_id", "text", "rest.lang", "rest.source", F.length("text").cast("long").alias("n_chars")).select(*COLUMNS)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
