@@ -155,12 +155,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = 2
     Token scores come from all of them. For the calibration each of FOLDS parts is scored with the tokens of the others: the rate and
     size of the Gumbel law from the best segments of the clean texts and their lengths, then a logistic curve from the evidence
     of all segments to the probability, in which the rarer class counts more (see _logistic).
-    Of rows that share a labelled id all are learned from. Without labels of both kinds the score is a constant.
+    Of rows that share a labelled id the one with the least text is learned from, so the bound holds for any table. Without labels of both kinds the score is a constant.
     """
     spark = docs.sparkSession
     small_batches(spark)
     rows = materialize(training_rows(labels, label, limit).withColumn("fold", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(FOLDS)).cast("int")))
-    sample = materialize(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(rows), "doc_id"))  # rows are bounded by the sample
+    labelled = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(rows), "doc_id")  # rows are bounded by the sample
+    sample = materialize(labelled.groupBy("doc_id", "label", "fold").agg(F.min("text").alias("text")))
     every, *others = token_weights(sample)
     model = ToxicityModel(every)
     sides = [ToxicityModel(w) for w in others]

@@ -127,6 +127,16 @@ def test_schedule_has_every_slot(spark):
         assert len({r["slot"] for r in small}) == len(small)
 
 
+def test_toxicity_learns_from_one_row_of_an_id(spark):
+    texts = [(i, f"plain words of day {i % 7} and {'idiot scum ' * (i % 3) if i % 4 == 0 else 'nothing else '}here") for i in range(160)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(160)], "doc_id long, toxic int")
+    more = docs.unionByName(docs.withColumn("text", F.concat("text", F.lit(" zeal")))).unionByName(docs)  # later texts and copies
+    one, many = toxicity.fit(docs, labels), toxicity.fit(more, labels)
+    assert one.weights and one.weights == pytest.approx(many.weights)
+    assert (many.rate, many.size, many.slope, many.offset) == pytest.approx((one.rate, one.size, one.slope, one.offset))
+
+
 def slots_by_hand(targets: list[tuple[int, int, float]], block: int) -> list[tuple]:
     """(src, rank, pass, block, words) in the order of the mix, from its definition."""
     half, g = 1 << 26, mixing.GOLDEN
