@@ -1,8 +1,13 @@
 """Points in intervals against comparing all."""
 
+import datetime
 import random
 
-from quaver.operators.intervals import containing, first_containing
+import duckdb
+
+from quaver.operators.intervals import containing, first_and_count, first_containing
+from quaver.plans import mastering  # noqa: F401  # registers its queries
+from quaver.plans.queries import ORACLES, QUERIES
 
 
 def test_against_all_pairs(spark):
@@ -31,3 +36,27 @@ def test_no_points_and_no_intervals(spark):
     p = spark.createDataFrame([("a", 1.0)], "k string, at double")
     i = spark.createDataFrame([("a", 0.0, 2.0, "x")], "k string, start double, end double, name string")
     assert containing(p, i.limit(0), ["k"]).count() == 0 and containing(p.limit(0), i, ["k"]).count() == 0 and containing(p, i, ["k"]).count() == 1
+
+
+def test_no_side_goes_through_the_driver(spark):
+    p = spark.createDataFrame([("a", float(n % 7), n) for n in range(50)], "k string, at double, id int")
+    i = spark.createDataFrame([("a", 0.5 * n, 0.5 * n + 3, n) for n in range(20)], "k string, start double, end double, name int")
+    for got in (containing(p, i, ["k"]), first_and_count(p, i, ["k"], "name")):
+        assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    got = {r["id"]: (r["first"]["name"], r["n"]) for r in first_and_count(p, i, ["k"], "name").collect()}
+    held = {n: [m for m in range(20) if 0.5 * m <= n % 7 < 0.5 * m + 3] for n in range(50)}
+    assert got == {n: (min(m), len(m)) for n, m in held.items()}
+
+
+def test_sections_of_repeated_and_nameless_orders(spark, tmp_path):
+    r, day = random.Random(3), lambda n: datetime.datetime(2000, 1, 1) + datetime.timedelta(days=n)
+    lines = [(n, r.randrange(4), n % 8, float(r.randrange(1, 50)), day(r.randrange(300))) for n in range(200)]
+    orders = [(r.choice([None, None, *range(40)]), r.randrange(5) + 100 * r.randrange(3), day(r.randrange(300))) for _ in range(150)]
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long, l_linenumber int, l_quantity double, l_shipdate timestamp_ntz").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz").write.parquet(f"{tmp_path}/orders.parquet")
+    got = QUERIES["sections_from_tables"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    for t in ("orders", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    want = con.execute(ORACLES["sections_from_tables"]).fetchall()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str) and any(x[0] is None for x in want)
