@@ -56,7 +56,7 @@ def coded_numbers(spark, d):
     """Numbers as the formats hold them: in the manner of UTF-8, in bytes of seven bits, and with the least byte first."""
     v = F.col("o_orderkey") * 37
     part = lambda shift, most: F.shiftright(v, shift) % most
-    two = lambda x: F.lpad(F.hex(x), 2, "0")
+    two = lambda x: F.lpad(F.hex(x), F.greatest(F.lit(2), F.length(F.hex(x))), F.lit("0"))  # noqa: E731  # two digits at least, none cut off
     tail = lambda k: [two(128 + part(6 * j, 64)) for j in range(k - 1, -1, -1)]
     coded = F.when(v < 128, two(v)).when(v < 2048, F.concat(two(192 + F.shiftright(v, 6)), *tail(1))).when(v < 65536, F.concat(two(224 + F.shiftright(v, 12)), *tail(2))).otherwise(F.concat(two(240 + F.shiftright(v, 18)), *tail(3)))
     return read(spark, d, "orders").select("o_orderkey", coded.alias("coded"), F.concat(*[two(part(s, 128)) for s in (21, 14, 7, 0)]).alias("safe"), F.concat(*[two(part(s, 256)) for s in (0, 8, 16, 24)]).alias("little"))

@@ -2,10 +2,13 @@
 
 import struct
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quaver.plans import files
+from quaver.plans.queries import ORACLES
 from quaver.sinks import audio, lossless
 from quaver.sinks.bits import BODY_CRC, HEADER_CRC, Bits, coded_number, crc, syncsafe
 from quaver.sources import wav
@@ -175,6 +178,15 @@ def test_small_fields():
     assert tag[:6] == b"ID3\x03\0\0" and tag[10:14] == b"TIT2" and tag[-2:] == "Ü".encode("utf-16-le") and audio.text_tags({}) == b""
 
 
+def test_no_digit_of_large_numbers_is_cut(spark, tmp_path):
+    keys = [0, 3, 4, 55, 56, 1771, 1772, 56679, 56680, 113359, 113360, 150000, 900000, 9000000, 1 << 40]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM read_parquet('{tmp_path}/orders.parquet/*.parquet')")
+    want = con.execute(ORACLES["coded_numbers"]).fetchall()
+    assert sorted(map(tuple, files.coded_numbers(spark, str(tmp_path)).collect())) == sorted(want)
+
+
 def test_ogg_pages(spark):
     rows = [("a", i, i * 960, bytes([i % 256]) * (i * 37 % 600)) for i in range(120)]
     pages = audio.ogg_pages(spark.createDataFrame(rows, "track string, seq long, granule long, data binary")).orderBy("page").collect()
