@@ -1,14 +1,17 @@
 """Event-time streams: samples out of order, restarts, resets, silence, late rows."""
 
 import datetime
+import time
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from quaver.functions import k_weighting
 from quaver.operators.blocks import Cascade
 from quaver.streaming import live
-from quaver.streaming.loudness import FRAME, PLAY, SEEK
+from quaver.streaming.loudness import FRAME, PLAY, SEEK, _lufs
 
 FS, SCHEMA = 4800, "track string, ts timestamp, seq long, kind string, l double, r double"
 T0 = datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC)
@@ -56,6 +59,74 @@ def test_samples_out_of_order_over_restarts(spark):
         assert_same(got[t], plain([r for r in rows if r[0] == t]))
 
 
+def test_exact_readings_at_each_frame_in_little_time():
+    r, hop = np.random.default_rng(5), 10
+    x = r.normal(size=(120_000, 2)) * np.repeat(r.choice([1e-5, 0.01, 0.3], 120), 1000)[:, None]  # its gates move up and down
+    meter, stages = live.ExactMeter(48_000, 128, hop / 48_000), list(k_weighting(48_000))
+    meter.begin([])
+    began, got = time.process_time(), []
+    for a in range(0, len(x), 40_000):
+        got += meter.push(x[a : a + 40_000, 0], x[a : a + 40_000, 1], Cascade(stages, 1024), False)
+    took = time.process_time() - began
+    y = [Cascade(stages, 1024).run(x[:, k], np.zeros(4))[0] for k in (0, 1)]
+    e = (y[0] ** 2 + y[1] ** 2).reshape(-1, hop).mean(1)
+    blocks = np.convolve(e, np.ones(4) / 4, "valid")
+    assert [f[1] for f in got] == list(range(128, len(x) + 1, 128))
+    for f in got[::29]:
+        hops = f[1] // hop
+        b = blocks[: hops // 5 * 5 - 3]
+        b = b[[_lufs(v) > -70 for v in b]]
+        want = (_lufs(e[hops - 4 : hops].mean()), _lufs(e[max(0, hops - 30) : hops].mean()), _lufs(b[b > b.mean() / 10].mean()) if len(b) else -70.0)
+        assert f[4:7] == pytest.approx(want, abs=1e-6)
+    assert took < 2  # a loop over hops that goes through all blocks at each fifth takes several seconds
+
+
+class Held:
+    """A state that counts the bytes that are read from it."""
+
+    def __init__(self):
+        self.items, self.moved = {}, 0
+
+    exists = lambda self: bool(self.items)
+    containsKey = lambda self, k: k in self.items
+    keys = lambda self: iter(list(self.items))
+    removeKey = lambda self, k: self.items.pop(k)
+    clear = lambda self: self.items.clear()
+
+    def getValue(self, k):
+        self.moved += len(self.items[k][0])
+        return self.items[k]
+
+    def updateValue(self, k, v):
+        self.items[k] = v
+
+    def get(self):
+        return self.items["value"] if "value" in self.items else iter(list(self.items.values()))
+
+    def update(self, v):
+        self.items["value"] = v
+
+    def appendValue(self, v):
+        self.items[len(self.items)] = v
+
+
+def test_rows_that_are_not_due_are_not_touched():
+    states, rows, out = {}, samples(4000, ("a",)), []
+    take = lambda name, *_: states.setdefault(name, Held())
+    handle = SimpleNamespace(getValueState=take, getListState=take, getMapState=take, registerTimer=lambda at: None)
+    meter, now = live.LiveMeter(FS, 256, 0.02, None, 100_000_000), int(T0.timestamp() * 1000)
+    meter.init(handle)
+    for k in range(80):  # of 50 samples each, 2000 seconds ahead of what is due
+        b = pd.DataFrame(rows[50 * k : 50 * k + 50], columns=["track", "ts", "seq", "kind", "l", "r"])
+        timers = SimpleNamespace(getCurrentWatermarkInMs=lambda late=(50 * k - 2000) * 1000: now + late)
+        meter.handleInputRows(("a",), iter([b.assign(ts=b["ts"].dt.tz_localize(None))]), timers)
+        out += [f for frames in meter.handleExpiredTimer(("a",), timers, None) for f in frames.to_dict("records")]
+    timers = SimpleNamespace(getCurrentWatermarkInMs=lambda: now + 10_000_000)
+    out += [f for frames in meter.handleExpiredTimer(("a",), timers, None) for f in frames.to_dict("records")]
+    assert_same(out, plain(rows)[:-1])
+    assert not states["waiting"].items and states["waiting"].moved < 3 * len(rows) * live.ROW.itemsize
+
+
 def test_seek_resets_the_readings(spark):
     rows = samples(1500, ("a",)) + [("a", at(799.5), 0, SEEK, 0.0, 0.0)]
     got = run(spark, [rows], restart=False)["a"]
