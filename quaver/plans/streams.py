@@ -14,8 +14,8 @@ IDLE_MS = 7_200_000
 
 
 def _samples(spark, d):
-    times = read(spark, d, "events").select(F.col("event_id").alias("idx"), F.col("ts").cast("timestamp").alias("ts"))
-    return event_signal(spark, d).join(times, "idx").select("track", "ts", F.col("idx").alias("seq"), F.lit(PLAY).alias("kind"), "l", "r")
+    s = event_signal(spark, d, more=[F.col("ts").cast("timestamp").alias("ts")])
+    return s.select("track", "ts", F.col("idx").alias("seq"), F.lit(PLAY).alias("kind"), "l", "r")
 
 
 def _arrivals(spark, d):

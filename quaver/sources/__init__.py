@@ -6,8 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -44,11 +45,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def event_signal(spark: SparkSession, sf_dir: str, track: str = "event_type") -> DataFrame:
-    """Events as a two-channel signal, ordered by event_id."""
+def event_signal(spark: SparkSession, sf_dir: str, track: str = "event_type", more: Sequence[Column] = ()) -> DataFrame:
+    """Events as a two-channel signal, ordered by event_id, with columns ``more`` of the table."""
     k = F.get_json_object("props", "$.k").cast("double")
     return read(spark, sf_dir, "events").select(
-        F.col(track).alias("track"), F.col("event_id").alias("idx"), ((F.col("value") - 50) / 1024).alias("l"), ((k - 50) / 128).alias("r")
+        F.col(track).alias("track"), F.col("event_id").alias("idx"), ((F.col("value") - 50) / 1024).alias("l"), ((k - 50) / 128).alias("r"), *more
     )
 
 
