@@ -129,3 +129,19 @@ def test_calibration_is_what_the_chain_adds(spark):
 def test_preview_has_buckets_of_512(spark):
     pyramid, lane, state = ch.preview(noise(spark, 6000, tracks=("a",), level=0.05), ch.Settings(), -20.0, -15.0, FS, 480)
     assert pyramid.count() == 12 and lane.count() == 2 and abs(state.first()["err"]) < 0.25 and state.first()["passes"] <= 3
+
+
+def test_peaks_are_looked_for_once_however_many_passes(spark, monkeypatch):
+    calls, made = [], ch.dyn.peaks_ahead
+    monkeypatch.setattr(ch.dyn, "peaks_ahead", lambda *a: calls.append(a) or made(*a), raising=False)
+    r = np.random.default_rng(6)
+    rows = [("a", i, float(x), float(y)) for i, (x, y) in enumerate(r.normal(size=(1200, 2)) * 0.2)]
+    signal = spark.createDataFrame(rows, "track string, idx long, l double, r double")
+    s = ch.Settings(density=0.3, ceiling_db=-12.0)
+    out, state = ch.render(signal, s, -11.0, 4800, 10)
+    state = state.collect()[0]
+    assert state["passes"] > 1 and len(calls) == 1
+    want = ch.limited(ch.gained(ch.core(signal, s, 4800), state["gain_db"]), s.ceiling_db, 4800).orderBy("idx").collect()
+    got = out.orderBy("idx").collect()
+    assert len(got) == len(want) == 1200
+    assert max(abs(a[c] - b[c]) for a, b in zip(got, want, strict=True) for c in ("l", "r", "gain")) < 1e-9
